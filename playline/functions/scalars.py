@@ -26,7 +26,12 @@ def ts_literal(df: DataFrame, col: str, text: str) -> Column:
 
 # F1
 def from_epoch_ms(ms) -> Column:
-    return F.timestamp_millis(_c(ms))
+    """Epoch milliseconds -> UTC wall time as TIMESTAMP_NTZ (keeps ms, no session-zone dependence)."""
+    return F.timestamp_add("MILLISECOND", _c(ms), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+
+
+def to_epoch_ms(ts) -> Column:
+    return F.timestamp_diff("MILLISECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), _c(ts))
 
 
 # F2
@@ -36,15 +41,10 @@ def major_minor(version) -> Column:
     return F.when(F.size(parts) < 2, _c(version)).otherwise(F.array_join(F.slice(parts, 1, 2), "."))
 
 
-def version_sort_keys(version) -> list[Column]:
-    """Natural order: major and minor as integers (NULL when not numeric)."""
-    v = _c(version)
-    return [F.expr("try_cast(split_part({0}, '.', 1) as int)".format(_sql(v))),
-            F.expr("try_cast(split_part({0}, '.', 2) as int)".format(_sql(v)))]
-
-
-def _sql(col: Column) -> str:
-    return col._jc.toString()
+def version_sort_keys(version: str) -> list[Column]:
+    """Natural order: major and minor as integers (NULL when not numeric).
+    ``split_part`` past the end gives '' and ``try_cast`` keeps ANSI mode from throwing."""
+    return [F.expr(f"try_cast(split_part(`{version}`, '.', {i}) as int)") for i in (1, 2)]
 
 
 # F3
@@ -104,7 +104,7 @@ def time_bucket_ord(bucket) -> Column:
 # F9 / F10
 def local_hour(ts, offset_hours: int = 0) -> Column:
     """Hour of day after a fixed offset (weekday is deliberately left in UTC by callers)."""
-    return F.hour(_c(ts) + F.make_interval(hours=F.lit(offset_hours)))
+    return F.hour(F.timestamp_add("HOUR", F.lit(offset_hours), _c(ts)))
 
 
 # F11

@@ -61,10 +61,10 @@ def swing_games(sessions: DataFrame, ticks: DataFrame, cfg: AnalysisConfig = DEF
     sc = scope(sessions, cfg)
     a = anchors(in_scope(ticks, sc), cfg)
     both = sc.select(KEY, "win").join(a, KEY)
-    mean = both.agg(F.avg("anchor_gold").alias("_m"))
-    d = F.col("anchor_gold") - F.col("_m")
+    mean = both.agg(F.avg("anchor_gold")).scalar()     # scalar subquery, evaluated once
+    d = F.col("anchor_gold") - mean
     thr = cfg.swing_threshold
-    return (both.crossJoin(F.broadcast(mean))
+    return (both
             .select(KEY, "win", F.col("anchor_gold").alias("gold_at_14"), d.alias("gold_delta"),
                     ((d >= thr) & ~F.col("win")).alias("is_throw"),
                     ((d <= -thr) & F.col("win")).alias("is_comeback")))
@@ -83,7 +83,7 @@ def incident_context(sessions: DataFrame, ticks: DataFrame, incidents: DataFrame
     si = in_scope(incidents, sc)
     base = baseline_by_tick(st, "gold")
     a = anchors(st, cfg)
-    mean_anchor = a.agg(F.avg("anchor_gold").alias("_mean_anchor"))
+    mean_anchor = a.agg(F.avg("anchor_gold")).scalar()
     if missing == "zero":
         lead = F.coalesce(F.col("gold_at_death"), F.lit(0)) - F.coalesce(F.col("avg_gold"), F.lit(0.0))
     elif missing == "unknown":
@@ -95,7 +95,6 @@ def incident_context(sessions: DataFrame, ticks: DataFrame, incidents: DataFrame
     thr, t = cfg.swing_threshold, F.col(TICK)
     df = (si.join(F.broadcast(base), TICK, "left")
           .join(a.select(KEY, "anchor_gold"), KEY, "left")
-          .crossJoin(F.broadcast(mean_anchor))
           .withColumn("gold_lead_approx", lead.cast("double"))
           .withColumn("_prev", prev))
     return df.select(
@@ -104,7 +103,7 @@ def incident_context(sessions: DataFrame, ticks: DataFrame, incidents: DataFrame
         ((F.col("gold_lead_approx") < -thr) & (t <= cfg.laning_end)).alias("is_deficit_fight"),
         (t < cfg.early_tick).alias("is_early_death"),
         F.coalesce((t - F.col("_prev")) <= cfg.spiral_gap, F.lit(False)).alias("is_tilt_spiral"),
-        F.coalesce((t > cfg.laning_end) & (F.col("anchor_gold") > F.col("_mean_anchor") + thr),
+        F.coalesce((t > cfg.laning_end) & (F.col("anchor_gold") > mean_anchor + thr),
                    F.lit(False)).alias("is_post_laning_throw"))
 
 
@@ -125,7 +124,7 @@ def excursions(sessions: DataFrame, ticks: DataFrame, cfg: AnalysisConfig = DEFA
     sc = scope(sessions, cfg)
     loaded = in_scope(ticks.where(F.col(TICK).between(cfg.load_start, cfg.load_end)), sc)
     base = baseline_by_tick(loaded, "cs", cfg.phase_start, cfg.phase_end, with_std=True)
-    rate = sc.agg(F.coalesce(F.avg("cs_per_min"), F.lit(0.0)).alias("_rate"))
+    rate = sc.agg(F.coalesce(F.avg("cs_per_min"), F.lit(0.0))).scalar()
 
     w = Window.partitionBy(KEY).orderBy(TICK)
     t = F.col(TICK)
@@ -156,8 +155,8 @@ def excursions(sessions: DataFrame, ticks: DataFrame, cfg: AnalysisConfig = DEFA
         .where(F.col("_rows") >= min_rows))
     dur = F.col("roam_end_min") - F.col("roam_start_min") + 1
     kills = F.greatest(F.col("_k_end") - F.col("_k_pre"), F.lit(0))
-    return (runs.crossJoin(F.broadcast(rate))
-            .withColumn("expected_cs_delta", (dur * F.col("_rate")).cast("double"))
+    return (runs
+            .withColumn("expected_cs_delta", (dur * rate).cast("double"))
             .select(KEY, "roam_start_min", "roam_end_min", F.col("cs_before").cast("int").alias("cs_before"),
                     F.col("cs_after").cast("int").alias("cs_after"), "expected_cs_delta",
                     F.greatest(F.col("expected_cs_delta") - (F.col("cs_after") - F.col("cs_before")),

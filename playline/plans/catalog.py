@@ -42,7 +42,7 @@ def R(sql_body: str, *double_cols: str, extra: str = "") -> str:
     """Oracle SELECT wrapped with adapter CTEs; listed doubles rounded to 6 dp."""
     body = sql_body
     if double_cols:
-        rep = ", ".join(f"round({c}, 6) AS {c}" for c in double_cols)
+        rep = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in double_cols)
         body = f"SELECT * REPLACE ({rep}) FROM ({sql_body}) _r"
     return q(body, extra)
 
@@ -171,3 +171,7 @@ def feature_matrix_df(s, sf):
 
 register("feature_matrix", R("SELECT * FROM fm", "tilt_index", "gold_delta", "tilt_spiral_ratio",
                              "avg_cs_sacrifice", "roam_impact_rate", extra=FEAT))(feature_matrix_df)
+
+
+# Reports, exploration tables and scalar families register themselves on import.
+from playline.plans import catalog_reports  # noqa: E402,F401
