@@ -24,14 +24,28 @@ def ts_literal(df: DataFrame, col: str, text: str) -> Column:
     return F.lit(text.replace(" ", "T") + "Z").cast("timestamp")
 
 
+def micros_since(ts, origin: str, ts_type: str = "timestamp_ntz") -> Column:
+    """Microseconds from a UTC wall-time ``origin`` to ``ts``.
+
+    For TIMESTAMP_NTZ the difference is taken as a day-time interval and its
+    fields are summed, so no session time zone (and no DST shift) is involved;
+    for TIMESTAMP it is plain epoch arithmetic."""
+    if ts_type == "timestamp_ntz":
+        iv = _c(ts) - F.lit(origin).cast("timestamp_ntz")
+        part = lambda f: F.extract(F.lit(f), iv)
+        return (part("DAY").cast("long") * F.lit(86_400_000_000) + part("HOUR").cast("long") * F.lit(3_600_000_000)
+                + part("MINUTE").cast("long") * F.lit(60_000_000) + (part("SECOND") * 1_000_000).cast("long"))
+    return F.unix_micros(_c(ts)) - F.unix_micros(F.lit(origin.replace(" ", "T") + "Z").cast("timestamp"))
+
+
 # F1
 def from_epoch_ms(ms) -> Column:
     """Epoch milliseconds -> UTC wall time as TIMESTAMP_NTZ (keeps ms, no session-zone dependence)."""
     return F.timestamp_add("MILLISECOND", _c(ms), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
 
 
-def to_epoch_ms(ts) -> Column:
-    return F.timestamp_diff("MILLISECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), _c(ts))
+def to_epoch_ms(ts, ts_type: str = "timestamp_ntz") -> Column:
+    return F.floor(micros_since(ts, "1970-01-01 00:00:00", ts_type) / F.lit(1000)).cast("long")
 
 
 # F2

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from playline.functions.scalars import micros_since
 from playline.operators.sequence import number_rows
 from playline.schemas import INCIDENTS_SCHEMA, TICKS_SCHEMA, conform, sessions_schema
 
@@ -35,9 +36,7 @@ def load_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_frame(events: DataFrame) -> DataFrame:
     """Per-event derived columns; projection only (no shuffle)."""
-    ts_type = events.schema["ts"].dataType.simpleString()
-    epoch = F.lit(EPOCH).cast(ts_type)
-    us = F.timestamp_diff("MICROSECOND", epoch, F.col("ts"))
+    us = micros_since("ts", EPOCH, events.schema["ts"].dataType.simpleString())
     return (events
             .select("event_id", "ts", "user_id", "event_type", "value", "props", us.alias("us"))
             .withColumn("blk", F.floor(F.col("us") / F.lit(BLOCK_US)).cast("long"))
