@@ -176,3 +176,4 @@ register("feature_matrix", R("SELECT * FROM fm", "tilt_index", "gold_delta", "ti
 # Reports, exploration tables and scalar families register themselves on import.
 from playline.plans import catalog_reports  # noqa: E402,F401
 from playline.plans import catalog_ingest  # noqa: E402,F401
+from playline.plans import catalog_models  # noqa: E402,F401
