@@ -17,7 +17,7 @@ from playline.plans.ingest import ingest
 from playline.plans.tables import TableStore
 from playline.schemas import DECLARED, PRIMARY_KEYS, contract_violations
 from playline.session import shared_path
-from playline.sources import documents as D, landing as L
+from playline.sources import adapter, documents as D, landing as L
 
 K = ("(CAST(split_part(match_id, '-', 1) AS BIGINT) + CAST(split_part(match_id, '-', 2) AS BIGINT))")
 KEEP = f"{K} % 13 <> 0 AND {K} % 17 <> 0 AND {K} % 19 <> 0"
@@ -120,9 +120,8 @@ register("new_keys", R(f"SELECT match_id FROM sessions WHERE {K} % 17 = 0"))(
 register("first_n_distinct", R(
     "SELECT match_id, min(event_id) AS pos FROM ev2 GROUP BY match_id ORDER BY pos, match_id LIMIT 100"))(
     lambda s, sf: L.first_n_distinct(
-        __import__("playline.sources.adapter", fromlist=["x"]).event_frame(
-            __import__("playline.sources.adapter", fromlist=["x"]).load_events(s, sf))
-        .select("match_id", F.col("event_id").alias("pos")), "match_id", "pos", 100))
+        adapter.event_frame(adapter.load_events(s, sf)).select("match_id", F.col("event_id").alias("pos")),
+        "match_id", "pos", 100))
 
 register("candidate_filter", R(
     "SELECT match_id, queue_id, game_datetime FROM sessions WHERE queue_id = 420 "
@@ -141,3 +140,24 @@ def _status(s, sf):
     parts = F.split("match_id", "-")
     before = inv.where((F.get(parts, 0).cast("long") + F.get(parts, 1).cast("long")) % 2 == 0)
     return L.landing_status(T3(s, sf)[0].select("match_id"), before, inv)
+
+
+# ---------------------------------------------------------------- ST1 ------
+@register("ingest_increment", R(
+    "SELECT t.* FROM ticks t JOIN kept USING (match_id)", extra=KEPT))
+def _increment(s, sf):
+    """Two landings processed by two availableNow runs of the stream: half of
+    the timelines arrive only in the second landing, after their details."""
+    from playline.streaming.ingest_stream import ingest_stream
+    tables = dict(zip(("sessions", "ticks", "incidents"), T3(s, sf)))
+    raw, store = shared_path(s, "landing"), TableStore(s, shared_path(s, "store"))
+    ckpt = shared_path(s, "stream-ckpt")
+    keys = tables["sessions"].select("match_id")
+    parts = F.split("match_id", "-")
+    even = keys.where((F.get(parts, 0).cast("long") + F.get(parts, 1).cast("long")) % 2 == 0)
+    odd = keys.join(even, "match_id", "left_anti")
+    L.write_landing(tables, raw, CFG.tick_ms, part="p1", timeline_keys=even)
+    ingest_stream(s, raw, store, ckpt, None, CFG.tick_ms)
+    L.write_landing(tables, raw, CFG.tick_ms, part="p2", detail_keys=keys.limit(0), timeline_keys=odd)
+    ingest_stream(s, raw, store, ckpt, None, CFG.tick_ms)
+    return store.read("ticks")

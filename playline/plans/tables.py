@@ -86,10 +86,11 @@ class TableStore:
         return r.parquet(*ps)
 
     # -- commit -------------------------------------------------------------
-    def commit(self, frames: dict[str, DataFrame], mode: str = "append") -> int:
+    def commit(self, frames: dict[str, DataFrame], mode: str = "append", replace=()) -> int:
         """Write every frame to a new version folder, then publish one manifest
         version naming the folders of all tables (append keeps older folders,
-        replace names only the new ones for the tables written)."""
+        replace names only the new ones for the tables written; ``replace``
+        lists tables replaced even in append mode)."""
         if mode not in ("append", "replace"):
             raise ValueError("mode must be 'append' or 'replace'")
         current = self.paths()
@@ -98,7 +99,7 @@ class TableStore:
         for name, df in frames.items():
             p = f"{self.root}/data/{name}/v{v:06d}"
             df.write.mode("error").parquet(p)
-            keep = current.get(name, []) if mode == "append" else []
+            keep = current.get(name, []) if mode == "append" and name not in replace else []
             entries += [(name, q) for q in keep] + [(name, p)]
         for name, ps in current.items():
             if name not in frames:

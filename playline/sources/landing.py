@@ -108,11 +108,20 @@ def timeline_documents(sessions: DataFrame, ticks: DataFrame, incidents: DataFra
     return frames.join(keep, "match_id", "left_semi").select(F.to_json(doc).alias("value"))
 
 
-def write_landing(tables: dict[str, DataFrame], path: str, tick_ms: int) -> str:
-    """Write JSON Lines documents under ``path``/detail and ``path``/timeline."""
-    detail_documents(tables["sessions"]).write.mode("error").text(f"{path}/detail")
-    timeline_documents(tables["sessions"], tables["ticks"], tables["incidents"], tick_ms) \
-        .write.mode("error").text(f"{path}/timeline")
+def write_landing(tables: dict[str, DataFrame], path: str, tick_ms: int, part: str = "",
+                  detail_keys: DataFrame | None = None, timeline_keys: DataFrame | None = None) -> str:
+    """Write JSON Lines documents under ``path``/detail[/part] and
+    ``path``/timeline[/part]; ``*_keys`` (match_id frames) restrict what lands
+    in this call, so a landing can arrive over several runs."""
+    suffix = f"/{part}" if part else ""
+    sessions = tables["sessions"]
+    d_sess = sessions if detail_keys is None else sessions.join(detail_keys, "match_id", "left_semi")
+    t_sess = sessions if timeline_keys is None else sessions.join(timeline_keys, "match_id", "left_semi")
+    if detail_keys is None or not detail_keys.isEmpty():
+        detail_documents(d_sess).write.mode("error").text(f"{path}/detail{suffix}")
+    if timeline_keys is None or not timeline_keys.isEmpty():
+        timeline_documents(t_sess, tables["ticks"], tables["incidents"], tick_ms) \
+            .write.mode("error").text(f"{path}/timeline{suffix}")
     return path
 
 
