@@ -88,8 +88,13 @@ def pair_documents(docs: DataFrame, player: str | Column | None = None) -> dict[
     perspective = (F.lit(player) if isinstance(player, str)
                    else player if player is not None else F.element_at(F.col("metadata.participants"), 1))
     details = docs.where(F.col("kind") == "detail")
+    # The malformed test also reads ``info.frames`` (a size can never be < 0):
+    # Spark refuses scans whose only parsed column is the corrupt-record column,
+    # because the parser would then skip the records it is asked to judge.
+    no_frames = F.array().cast(T.ArrayType(FRAME))
+    t_bad = F.col("_corrupt_record").isNotNull() | (F.size(F.coalesce(F.col("info.frames"), no_frames)) < 0)
     timelines = docs.where(F.col("kind") == "timeline").select(
-        "doc_key", F.col("info.frames").alias("frames"), F.col("_corrupt_record").alias("_t_corrupt"),
+        "doc_key", F.col("info.frames").alias("frames"), t_bad.alias("_t_corrupt"),
         F.col("file_name").alias("timeline_file"))
     d = (details
          .withColumn("player", perspective)
@@ -105,7 +110,7 @@ def pair_documents(docs: DataFrame, player: str | Column | None = None) -> dict[
     d = d.withColumn("_reason", reason)
     joined = d.join(timelines, "doc_key", "left")
     t_reason = (F.when(F.col("timeline_file").isNull(), F.lit("timeline missing"))
-                .when(F.col("_t_corrupt").isNotNull(), F.lit("malformed timeline")))
+                .when(F.col("_t_corrupt"), F.lit("malformed timeline")))
     joined = joined.withColumn("_reason", F.coalesce(F.col("_reason"), t_reason))
     good = joined.where(F.col("_reason").isNull()).drop("_reason", "_t_corrupt")
     quarantine = joined.where(F.col("_reason").isNotNull()).select(
