@@ -96,7 +96,8 @@ rf AS (
   SELECT match_id, puuid, game_datetime, win,
          least(greatest(coalesce(avg(CASE WHEN win THEN 1.0 ELSE 0.0 END) OVER (
              PARTITION BY puuid ORDER BY game_datetime, match_id
-             ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 0.5), 0.0), 1.0) AS tilt_index
+             ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 0.5), 0.0), 1.0) AS tilt_index,
+         row_number() OVER (PARTITION BY puuid ORDER BY game_datetime, match_id) AS game_number
   FROM scoped
 ),
 ia AS (

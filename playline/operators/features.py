@@ -191,12 +191,12 @@ def rival_matchups(sessions: DataFrame, cfg: AnalysisConfig = DEFAULT, min_games
 def rolling_form(sessions: DataFrame, cfg: AnalysisConfig = DEFAULT, entity: str = "puuid") -> DataFrame:
     """Prior-N win rate per entity (the tilt proxy); first session -> neutral.
 
-    Columns: match_id, puuid, game_datetime, win, tilt_index.
+    Columns: match_id, puuid, game_datetime, win, tilt_index, game_number (1.. per entity).
     """
     sc = scope(sessions, cfg).select(KEY, entity, "game_datetime", "win")
     out = rolling_prior_mean(sc, [entity], ["game_datetime", KEY], "win", n=cfg.rolling_window,
-                             neutral=cfg.neutral_form, out="tilt_index")
-    return out.select(KEY, entity, "game_datetime", "win", "tilt_index")
+                             neutral=cfg.neutral_form, out="tilt_index", seq_out="game_number")
+    return out.select(KEY, entity, "game_datetime", "win", "tilt_index", "game_number")
 
 
 # ------------------------------------------------------------- A5/A6/A7 ----

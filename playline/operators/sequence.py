@@ -74,6 +74,26 @@ def gap_flags(df: DataFrame, key, order, value: str, max_gap: int, out: str = "w
     return res
 
 
+# ---------------------------------------------------------------- J8 -------
+def offset_lookup(df: DataFrame, key, tick: str, value: str, offset: int, out: str,
+                  default=None) -> DataFrame:
+    """``value`` of the same key at exactly ``tick + offset`` (else ``default``).
+
+    For offset +-1 this is a guarded lag/lead (ticks are unique per key, so the
+    row one tick away, when present, is the adjacent row): no self-join. Other
+    offsets use an equi-join on (key, tick + offset)."""
+    k = _cols(key)
+    dflt = F.lit(default) if default is not None else F.lit(None).cast(df.schema[value].dataType)
+    if abs(offset) == 1:
+        w = Window.partitionBy(*k).orderBy(tick)
+        nb_t = F.lag(tick).over(w) if offset == -1 else F.lead(tick).over(w)
+        nb_v = F.lag(value).over(w) if offset == -1 else F.lead(value).over(w)
+        return df.withColumn(out, F.when(nb_t == F.col(tick) + offset, nb_v).otherwise(dflt))
+    other = df.select(*k, (F.col(tick) - offset).alias(tick), F.col(value).alias(out))
+    j = df.join(other, k + [tick], "left")
+    return j.withColumn(out, F.coalesce(F.col(out), dflt))
+
+
 # ---------------------------------------------------------------- A6 -------
 def max_true_run(df: DataFrame, key, order, flag: str, out: str = "max_run") -> DataFrame:
     """Longest run of consecutive True ``flag`` rows; keys without any True row are absent."""
@@ -183,7 +203,7 @@ def number_rows(df: DataFrame, group_cols, order_cols, out: str = "seq",
 # ---------------------------------------------------------------- W7 -------
 def rolling_prior_mean(df: DataFrame, entity, order_cols, value: str, n: int = 5,
                        neutral: float = 0.5, out: str = "prior_mean",
-                       bucket_rows: int = 4096) -> DataFrame:
+                       bucket_rows: int = 4096, seq_out: str | None = None) -> DataFrame:
     """Mean of ``value`` over the previous ``n`` rows of the same entity.
 
     Excludes the current row, uses however many prior rows exist (min 1),
@@ -204,7 +224,8 @@ def rolling_prior_mean(df: DataFrame, entity, order_cols, value: str, n: int = 5
     mean = F.avg(F.col(value).cast("double")).over(w)
     res = (both.withColumn(out, F.least(F.greatest(F.coalesce(mean, F.lit(neutral)), F.lit(0.0)), F.lit(1.0)))
            .where("_own"))
-    return res.drop("_bucket", "_own")
+    res = res.drop("_bucket", "_own")
+    return res.withColumnRenamed("_seq", seq_out) if seq_out else res.drop("_seq")
 
 
 def running_total(df: DataFrame, key, order, value: str, out: str) -> DataFrame:

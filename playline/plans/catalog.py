@@ -173,6 +173,64 @@ register("feature_matrix", R("SELECT * FROM fm", "tilt_index", "gold_delta", "ti
                              "avg_cs_sacrifice", "roam_impact_rate", extra=FEAT))(feature_matrix_df)
 
 
+# ---------------------------------------------------------------- J3, J8, W6, A6, W8
+@register("pace_lead", R(
+    "SELECT d.match_id, d.death_number, d.timestamp_min, b.avg_gold, "
+    "CAST(coalesce(d.gold_at_death, 0) AS DOUBLE) - coalesce(b.avg_gold, 0.0) AS gold_lead_approx "
+    "FROM scoped_incidents d LEFT JOIN base_gold b ON b.timestamp_min = d.timestamp_min",
+    "avg_gold", "gold_lead_approx", extra=FEAT))
+def _pace_lead(s, sf):
+    se, ti, inc = T3(s, sf)
+    sc = FT.scope(se, CFG)
+    base = FT.baseline_by_tick(FT.in_scope(ti, sc), "gold")
+    return (FT.in_scope(inc, sc).join(F.broadcast(base), "timestamp_min", "left")
+            .select("match_id", "death_number", "timestamp_min", "avg_gold",
+                    (F.coalesce("gold_at_death", F.lit(0)) - F.coalesce("avg_gold", F.lit(0.0))).alias("gold_lead_approx")))
+
+
+@register("offset_lookup", R(
+    "SELECT t.match_id, t.timestamp_min, p.cs AS cs_prev, coalesce(n.cs, t.cs) AS cs_next, "
+    "coalesce(q.gold, 0) AS gold_back3 FROM scoped_ticks t "
+    "LEFT JOIN scoped_ticks p ON p.match_id = t.match_id AND p.timestamp_min = t.timestamp_min - 1 "
+    "LEFT JOIN scoped_ticks n ON n.match_id = t.match_id AND n.timestamp_min = t.timestamp_min + 1 "
+    "LEFT JOIN scoped_ticks q ON q.match_id = t.match_id AND q.timestamp_min = t.timestamp_min - 3"))
+def _offset(s, sf):
+    from playline.operators.sequence import offset_lookup
+    se, ti, _ = T3(s, sf)
+    st = FT.in_scope(ti, FT.scope(se, CFG)).select("match_id", "timestamp_min", "cs", "gold")
+    a = offset_lookup(st, "match_id", "timestamp_min", "cs", -1, "cs_prev")
+    a = offset_lookup(a, "match_id", "timestamp_min", "cs", 1, "cs_next")
+    a = a.withColumn("cs_next", F.coalesce("cs_next", "cs"))
+    a = offset_lookup(a, "match_id", "timestamp_min", "gold", -3, "gold_back3", default=0)
+    return a.select("match_id", "timestamp_min", "cs_prev", "cs_next", "gold_back3")
+
+
+@register("bool_islands", R(
+    "SELECT match_id, death_number, is_tilt_spiral, CAST(sum(CASE WHEN p IS NULL OR p <> is_tilt_spiral "
+    "THEN 1 ELSE 0 END) OVER (PARTITION BY match_id ORDER BY death_number ROWS UNBOUNDED PRECEDING) AS BIGINT) "
+    "AS block FROM (SELECT *, lag(is_tilt_spiral) OVER (PARTITION BY match_id ORDER BY death_number) AS p FROM ic) x",
+    extra=FEAT))
+def _islands(s, sf):
+    from playline.operators.sequence import bool_islands
+    ic = FT.incident_context(*T3(s, sf), CFG).select("match_id", "death_number", "is_tilt_spiral")
+    return bool_islands(ic, "match_id", "death_number", "is_tilt_spiral")
+
+
+@register("max_streak", R("SELECT * FROM streak", extra=FEAT))
+def _streak(s, sf):
+    from playline.operators.sequence import max_true_run
+    ic = FT.incident_context(*T3(s, sf), CFG)
+    return max_true_run(ic, "match_id", "death_number", "is_tilt_spiral", out="max_death_streak")
+
+
+@register("surrogate_ids", R(
+    "SELECT match_id AS original_match_id, printf('GAME_%04d', row_number() OVER "
+    "(ORDER BY game_datetime, match_id)) AS surrogate_match_id FROM scoped"))
+def _surrogates(s, sf):
+    from playline.plans.publish import surrogate_ids
+    return surrogate_ids(FT.scope(T3(s, sf)[0], CFG))
+
+
 # Reports, exploration tables and scalar families register themselves on import.
 from playline.plans import catalog_reports  # noqa: E402,F401
 from playline.plans import catalog_ingest  # noqa: E402,F401
