@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from playline.plans.tables import TableStore, append_if_absent
 from playline.schemas import PRIMARY_KEYS
-from playline.sources.documents import flatten, read_documents
+from playline.sources.documents import flatten_joined, pair_documents, read_documents, with_snapshots
 
 TABLES = ("sessions", "ticks", "incidents")
 
@@ -22,10 +22,10 @@ def ingest(spark: SparkSession, raw_path: str, store: TableStore, player=None, t
     """
     if mode not in ("incremental", "full"):
         raise ValueError("mode must be 'incremental' or 'full'")
-    docs = read_documents(spark, raw_path, layout)
-    fl = flatten(docs, player, tick_ms)
-    # the paired documents feed three writes and the summary: keep them for the run
-    fl["pairs"].persist(StorageLevel.MEMORY_AND_DISK)
+    p = pair_documents(read_documents(spark, raw_path, layout), player)
+    joined = with_snapshots(p["joined"], tick_ms).persist(StorageLevel.MEMORY_AND_DISK)
+    # the paired documents feed three writes, the quarantine and the summary: parse and pair once
+    fl = flatten_joined(joined, tick_ms) | {"orphans": p["orphans"]}
     try:
         frames = {}
         for t in TABLES:
@@ -35,7 +35,7 @@ def ingest(spark: SparkSession, raw_path: str, store: TableStore, player=None, t
         summary = ingest_counts(fl["pairs"], fl["quarantine"], store.read("sessions"))
         return {"version": version, "summary": summary, "quarantine": fl["quarantine"], "orphans": fl["orphans"]}
     finally:
-        fl["pairs"].unpersist()
+        joined.unpersist()
 
 
 def ingest_counts(pairs: DataFrame, quarantine: DataFrame, target: DataFrame) -> DataFrame:

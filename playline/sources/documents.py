@@ -112,11 +112,15 @@ def pair_documents(docs: DataFrame, player: str | Column | None = None) -> dict[
     t_reason = (F.when(F.col("timeline_file").isNull(), F.lit("timeline missing"))
                 .when(F.col("_t_corrupt"), F.lit("malformed timeline")))
     joined = joined.withColumn("_reason", F.coalesce(F.col("_reason"), t_reason))
-    good = joined.where(F.col("_reason").isNull()).drop("_reason", "_t_corrupt")
-    quarantine = joined.where(F.col("_reason").isNotNull()).select(
-        "doc_key", "file_name", F.col("_reason").alias("reason"))
     orphans = timelines.join(details.select("doc_key"), "doc_key", "left_anti").select("doc_key", "timeline_file")
-    return {"pairs": good, "quarantine": quarantine, "orphans": orphans}
+    return {"joined": joined, **split_pairs(joined), "orphans": orphans}
+
+
+def split_pairs(joined: DataFrame) -> dict[str, DataFrame]:
+    """Paired documents (no reason) and the quarantine (doc_key, file_name, reason)."""
+    return {"pairs": joined.where(F.col("_reason").isNull()).drop("_reason", "_t_corrupt"),
+            "quarantine": joined.where(F.col("_reason").isNotNull()).select(
+                "doc_key", "file_name", F.col("_reason").alias("reason"))}
 
 
 # ---------------------------------------------------------------- P2-P5 ----
@@ -157,28 +161,46 @@ def session_facts(pairs: DataFrame) -> DataFrame:
     return conform(out, sessions_schema(T.TimestampNTZType()))
 
 
-def _snapshots(tick_ms: int) -> Column:
-    """Per frame (array order): the player's snapshot with the running kill
-    count; frames lacking the player's snapshot still add their kills (W1);
-    then only the last frame of each tick survives (W2)."""
+def with_snapshots(pairs: DataFrame, tick_ms: int = 60_000) -> DataFrame:
+    """Add ``_snaps``: per tick, the player's last snapshot with the running
+    kill count (W1: frames lacking the player's snapshot still add their kills;
+    W2: the last frame inside a tick wins), and ``_deaths``: the player's
+    incident events in document order.
+
+    Every array is consumed only as the *input* of a higher-order function,
+    never referenced inside a lambda (Spark would re-evaluate it per element),
+    so each step is linear or quadratic in the frame count per document."""
     pid = F.col("own.participantId")
     key = pid.cast("string")
+    no_events = F.array().cast(T.ArrayType(EVENT))
     frames = F.coalesce(F.col("frames"), F.array().cast(T.ArrayType(FRAME)))
-    kills_per_frame = F.transform(frames, lambda f: F.size(F.filter(
-        F.coalesce(f.events, F.array().cast(T.ArrayType(EVENT))),
-        lambda e: e.isNotNull() & (e.type == KILL_EVENT) & (e.killerId == pid))))
-    snaps = F.transform(frames, lambda f, i: F.named_struct(
+    kills = F.transform(frames, lambda f: F.size(F.filter(
+        F.coalesce(f.events, no_events), lambda e: e.isNotNull() & (e.type == KILL_EVENT) & (e.killerId == pid))))
+    start = F.named_struct(F.lit("s"), F.lit(0), F.lit("out"), F.array().cast("array<int>"))
+    running = F.aggregate(F.col("_kpf"), start,
+                          lambda acc, x: F.named_struct(F.lit("s"), acc.s + x,
+                                                        F.lit("out"), F.concat(acc.out, F.array(acc.s + x))),
+                          lambda acc: acc.out)
+    zipped = F.arrays_zip(frames.alias("f"), F.col("_run").alias("k"))
+    snaps = F.filter(F.transform(zipped, lambda z, i: F.named_struct(
         F.lit("pos"), i,
-        F.lit("tick"), F.floor(F.coalesce(f.timestamp, F.lit(0)) / F.lit(tick_ms)).cast("int"),
-        F.lit("pf"), F.try_element_at(f.participantFrames, key),
-        F.lit("kills"), F.aggregate(F.slice(kills_per_frame, 1, i + 1), F.lit(0), lambda acc, x: acc + x)))
-    present = F.filter(snaps, lambda s: s.pf.isNotNull())
-    return F.filter(present, lambda s: ~F.exists(present, lambda o: (o.tick == s.tick) & (o.pos > s.pos)))
+        F.lit("tick"), F.floor(F.coalesce(z.f.timestamp, F.lit(0)) / F.lit(tick_ms)).cast("int"),
+        F.lit("pf"), F.try_element_at(z.f.participantFrames, key),
+        F.lit("kills"), z.k)), lambda s: s.pf.isNotNull())
+    snap_type = "array<struct<pos:int,tick:int,pf:{},kills:int>>".format(PARTICIPANT_FRAME.simpleString())
+    last = F.aggregate(F.col("_present"), F.array().cast(snap_type),
+                       lambda acc, s: F.concat(F.filter(acc, lambda a: a.tick != s.tick), F.array(s)))
+    deaths = F.flatten(F.transform(frames, lambda f: F.filter(
+        F.coalesce(f.events, no_events), lambda e: e.isNotNull() & (e.type == KILL_EVENT) & (e.victimId == pid))))
+    return (pairs.withColumn("_kpf", kills).withColumn("_run", running).withColumn("_present", snaps)
+            .withColumn("_snaps", last).withColumn("_deaths", deaths).drop("_kpf", "_run", "_present"))
 
 
 def tick_rows(pairs: DataFrame, tick_ms: int = 60_000) -> DataFrame:
     """One row per (session, tick): the last snapshot inside the tick."""
-    rows = pairs.select(F.col("metadata.matchId").alias("match_id"), F.explode(_snapshots(tick_ms)).alias("s"))
+    if "_snaps" not in pairs.columns:
+        pairs = with_snapshots(pairs, tick_ms)
+    rows = pairs.select(F.col("metadata.matchId").alias("match_id"), F.explode("_snaps").alias("s"))
     pf = F.col("s.pf")
     out = rows.select(
         "match_id", F.col("s.tick").alias("timestamp_min"), F.coalesce(pf.totalGold, F.lit(0)).alias("gold"),
@@ -191,22 +213,21 @@ def tick_rows(pairs: DataFrame, tick_ms: int = 60_000) -> DataFrame:
 def incident_rows(pairs: DataFrame, tick_ms: int = 60_000) -> DataFrame:
     """Incidents in document order (frame position, then event position),
     numbered from 1, with the snapshot of the incident's own tick (J6)."""
-    pid = F.col("own.participantId")
-    frames = F.coalesce(F.col("frames"), F.array().cast(T.ArrayType(FRAME)))
-    deaths = F.flatten(F.transform(frames, lambda f: F.filter(
-        F.coalesce(f.events, F.array().cast(T.ArrayType(EVENT))),
-        lambda e: e.isNotNull() & (e.type == KILL_EVENT) & (e.victimId == pid))))
-    rows = pairs.select(F.col("metadata.matchId").alias("match_id"), _snapshots(tick_ms).alias("snaps"),
-                        F.posexplode(deaths).alias("n", "e"))
+    if "_snaps" not in pairs.columns:
+        pairs = with_snapshots(pairs, tick_ms)
+    rows = pairs.select(F.col("metadata.matchId").alias("match_id"), "_snaps",
+                        F.posexplode("_deaths").alias("n", "e"))
     ms = F.coalesce(F.col("e.timestamp"), F.lit(0))
     tick = F.floor(ms / F.lit(tick_ms)).cast("int")
-    snap = F.try_element_at(F.filter("snaps", lambda s: s.tick == tick), F.lit(1))
+    staged = rows.select("match_id", "n", ms.alias("ms"), tick.alias("tick"),
+                         F.try_element_at(F.filter("_snaps", lambda s: s.tick == tick), F.lit(1)).alias("snap"))
+    snap = F.col("snap")
     has = snap.isNotNull()
-    out = rows.select("match_id", (F.col("n") + 1).alias("death_number"), ms.alias("timestamp_ms"),
-                      tick.alias("timestamp_min"),
-                      F.when(has, F.coalesce(snap.pf.totalGold, F.lit(0))).alias("gold_at_death"),
-                      F.when(has, F.coalesce(snap.pf.minionsKilled, F.lit(0))
-                             + F.coalesce(snap.pf.jungleMinionsKilled, F.lit(0))).alias("cs_at_death"))
+    out = staged.select("match_id", (F.col("n") + 1).alias("death_number"), F.col("ms").alias("timestamp_ms"),
+                        F.col("tick").alias("timestamp_min"),
+                        F.when(has, F.coalesce(snap.pf.totalGold, F.lit(0))).alias("gold_at_death"),
+                        F.when(has, F.coalesce(snap.pf.minionsKilled, F.lit(0))
+                               + F.coalesce(snap.pf.jungleMinionsKilled, F.lit(0))).alias("cs_at_death"))
     return conform(out, INCIDENTS_SCHEMA)
 
 
@@ -221,7 +242,14 @@ def ingest_summary(pairs: DataFrame, quarantine: DataFrame, target_sessions: Dat
 
 def flatten(docs: DataFrame, player=None, tick_ms: int = 60_000) -> dict[str, DataFrame]:
     p = pair_documents(docs, player)
-    pairs = p["pairs"]
+    return flatten_joined(with_snapshots(p["joined"], tick_ms), tick_ms) | {"orphans": p["orphans"]}
+
+
+def flatten_joined(joined: DataFrame, tick_ms: int = 60_000) -> dict[str, DataFrame]:
+    """The three tables and the quarantine from one paired (and snapshotted)
+    frame - persist ``joined`` once and every output reads it."""
+    sp = split_pairs(joined)
+    pairs = sp["pairs"]
     return {"sessions": session_facts(pairs), "ticks": tick_rows(pairs, tick_ms),
-            "incidents": incident_rows(pairs, tick_ms), "quarantine": p["quarantine"],
-            "orphans": p["orphans"], "pairs": pairs}
+            "incidents": incident_rows(pairs, tick_ms), "quarantine": sp["quarantine"],
+            "pairs": pairs, "joined": joined}
