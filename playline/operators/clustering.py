@@ -122,8 +122,13 @@ class ClusteringModel:
                                {int(k): v for k, v in meta["mapping"].items()}, float(meta["cost"]))
 
 
+def stats_rows(fm: DataFrame) -> int:
+    return int(fm.agg(F.count(F.lit(1))).first()[0])
+
+
 def fit_clusters(fm: DataFrame, cfg: AnalysisConfig = DEFAULT, restarts: int | None = None,
-                 max_iter: int = 300, tol: float = 1e-4, parallelism: int = 8) -> ClusteringModel:
+                 max_iter: int = 300, tol: float = 1e-4, parallelism: int = 8,
+                 rows_per_partition: int = 200_000) -> ClusteringModel:
     """K-Means with ``restarts`` seeds (seed, seed+1, ...), lowest cost wins."""
     validate(fm, cfg)
     restarts = cfg.restarts if restarts is None else restarts
@@ -132,7 +137,11 @@ def fit_clusters(fm: DataFrame, cfg: AnalysisConfig = DEFAULT, restarts: int | N
     stats = fm.sparkSession.createDataFrame([stats.first()], stats.schema)   # freeze: one row of metadata
     assembler = VectorAssembler(inputCols=list(feats), outputCol="features")
     vec = assembler.transform(standardize(fm, feats, stats)).select("match_id", "features")
-    vec = vec.persist(StorageLevel.MEMORY_AND_DISK)
+    # size the fit input by its row count: every Lloyd iteration is one job,
+    # so tiny inputs should not fan out into many near-empty tasks
+    n_rows = stats_rows(fm)
+    parts = max(1, -(-n_rows // rows_per_partition))
+    vec = vec.repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         vec.count()
 
