@@ -69,7 +69,9 @@ def main() -> None:
     run("feature_matrix", fm_build)
     fm = spark.read.parquet(f"{root}/feature_matrix")
     labels = adapter.fixed_labels(FT.scope(se, CFG))
-    run("reports", lambda: RP.kpi_overview(se, CFG).crossJoin(RP.swing_summary(fm)))
+    run("kpi_overview", lambda: RP.kpi_overview(se, CFG))
+    run("swing_summary", lambda: RP.swing_summary(fm))
+    run("delta_quartiles", lambda: X.delta_quartiles(FT.swing_games(se, ti, CFG)))
     run("pace_curves", lambda: RP.pace_curves(ti, labels, CFG.curve_min_count, CFG.curve_min_share))
     run("feature_corr", lambda: X.pairwise_corr(fm, X.__dict__.get("NUMERIC_FM", CFG.features)))
 

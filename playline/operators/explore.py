@@ -63,15 +63,53 @@ def equal_width_histogram(df: DataFrame, col: str, nbins: int, by=None) -> DataF
                     (mn + (F.col("bin") + 1) * width).alias("bin_hi"), "count"))
 
 
-def quartiles(df: DataFrame, col: str, by=None, exact: bool = True) -> DataFrame:
-    """Box-plot statistics per group (exact linear-interpolated percentiles, or
-    ``percentile_approx`` when exact is off for very large groups)."""
-    p = (F.percentile(col, [0.25, 0.5, 0.75]) if exact
-         else F.percentile_approx(col, [0.25, 0.5, 0.75], 10000))
-    return (df.groupBy(*_by(by)).agg(p.alias("_q"), F.min(col).alias("min"), F.max(col).alias("max"),
-                                     F.count(col).alias("n"))
-            .select(*_by(by), F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                    F.col("_q")[2].alias("q3"), "min", "max", "n"))
+def exact_quantiles(df: DataFrame, col: str, probs, by=None, tiebreak=None) -> DataFrame:
+    """Exact linearly interpolated quantiles per group, without buffering a group.
+
+    Values are numbered inside their group by ``number_rows`` (range
+    partitioning splits a hot group over many tasks); the handful of rank
+    positions each quantile needs (floor and ceil of q*(n-1)) form a table of
+    at most 2*len(probs) rows per group, which is joined back on (group, rank).
+    Same result as ``quantile_cont`` / numpy's default interpolation."""
+    from playline.operators.sequence import number_rows
+    g = _by(by)
+    vals = df.where(F.col(col).isNotNull()).select(*g, F.col(col).cast("double").alias("_v"),
+                                                   *( [F.col(tiebreak).alias("_t")] if tiebreak else []))
+    order = ["_v", "_t"] if tiebreak else ["_v"]
+    ranked = number_rows(vals, g, order, out="_r")
+    counts = vals.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
+    wanted = counts.select(*g, "_n", F.explode(F.array(*[F.lit(float(q)) for q in probs])).alias("_q"))
+    pos = F.col("_q") * (F.col("_n") - 1)
+    wanted = wanted.select(*g, "_q", pos.alias("_pos"),
+                           (F.floor(pos) + 1).cast("long").alias("_lo"), (F.ceil(pos) + 1).cast("long").alias("_hi"))
+    need = (wanted.select(*g, F.col("_lo").alias("_r")).unionByName(wanted.select(*g, F.col("_hi").alias("_r")))
+            .distinct())
+    hit = ranked.join(need, g + ["_r"], "left_semi").select(*g, "_r", "_v")
+    lo = hit.select(*g, F.col("_r").alias("_lo"), F.col("_v").alias("_vlo"))
+    hi = hit.select(*g, F.col("_r").alias("_hi"), F.col("_v").alias("_vhi"))
+    frac = F.col("_pos") - F.floor(F.col("_pos"))
+    return (wanted.join(lo, g + ["_lo"]).join(hi, g + ["_hi"])
+            .select(*g, F.col("_q").alias("q"),
+                    (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * frac).alias("value")))
+
+
+def quartiles(df: DataFrame, col: str, by=None, exact: bool = True, tiebreak=None) -> DataFrame:
+    """Box-plot statistics per group: q1, median, q3 (exact and distributed by
+    default, ``percentile_approx`` sketches when ``exact`` is off), min, max, n."""
+    g = _by(by)
+    stats = df.groupBy(*g).agg(F.min(col).alias("min"), F.max(col).alias("max"), F.count(col).alias("n"))
+    if exact:
+        q = exact_quantiles(df, col, (0.25, 0.5, 0.75), by, tiebreak)
+        wide = q.groupBy(*g).agg(*[F.max(F.when(F.col("q") == p, F.col("value"))).alias(name)
+                                   for p, name in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
+    else:
+        p = F.percentile_approx(col, [0.25, 0.5, 0.75], 10000)
+        wide = df.groupBy(*g).agg(p.alias("_q")).select(*g, F.col("_q")[0].alias("q1"),
+                                                        F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
+    if not g:   # one row on each side: join them on a constant key
+        stats, wide, g = stats.withColumn("_all", F.lit(0)), wide.withColumn("_all", F.lit(0)), ["_all"]
+        return stats.join(wide, g, "left").select("q1", "median", "q3", "min", "max", "n")
+    return stats.join(wide, g, "left").select(*g, "q1", "median", "q3", "min", "max", "n")
 
 
 def profile(df: DataFrame, cols) -> DataFrame:

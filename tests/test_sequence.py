@@ -56,3 +56,18 @@ def test_islands_and_longest_run(spark):
     blocks = [r.block for r in bool_islands(df, "k", "i", "f").orderBy("i").collect()]
     assert blocks == [1, 2, 2, 3, 4, 4, 4, 5]
     assert max_true_run(df, "k", "i", "f", out="m").first().m == 3
+
+
+def test_exact_quantiles_match_numpy_under_skew(spark):
+    import numpy as np
+    from playline.operators.explore import quartiles
+    df = skewed(spark, 3000).withColumn("x", (F.col("id") * 37 % 1013).cast("double"))
+    got = {r.grp: r for r in quartiles(df, "x", by="grp", tiebreak="id").collect()}
+    data = {}
+    for r in df.select("grp", "x").collect():
+        data.setdefault(r.grp, []).append(r.x)
+    for g, xs in data.items():
+        q1, med, q3 = np.percentile(xs, [25, 50, 75])
+        assert (got[g].q1, got[g].median, got[g].q3) == (q1, med, q3) and got[g].n == len(xs)
+    whole = quartiles(df, "x").first()
+    assert whole.median == np.percentile([r.x for r in df.select("x").collect()], 50)
