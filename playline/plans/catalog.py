@@ -47,6 +47,12 @@ def R(sql_body: str, *double_cols: str, extra: str = "") -> str:
     return q(body, extra)
 
 
+def T2(spark: SparkSession, sf: str):
+    """Sessions and ticks only (no incident numbering job)."""
+    ev = adapter.load_events(spark, sf)
+    return adapter.sessions(ev), adapter.ticks(ev)
+
+
 def T3(spark: SparkSession, sf: str):
     ev = adapter.load_events(spark, sf)
     ticks = adapter.ticks(ev)
@@ -66,12 +72,12 @@ register("incidents_table", R("SELECT * FROM incidents"))(
 
 # ---------------------------------------------------------------- P1 -------
 register("scope_sessions", R("SELECT * FROM scoped", "kda", "cs_per_min"))(
-    lambda s, sf: FT.scope(T3(s, sf)[0], CFG))
+    lambda s, sf: FT.scope(T2(s, sf)[0], CFG))
 
 
 @register("scope_ticks", R("SELECT * FROM scoped_ticks"))
 def _scope_ticks(s, sf):
-    se, ti, _ = T3(s, sf)
+    se, ti = T2(s, sf)
     return FT.in_scope(ti, FT.scope(se, CFG))
 
 
@@ -80,7 +86,7 @@ def _scope_ticks(s, sf):
     "SELECT timestamp_min, avg(gold) AS avg_gold, avg(cs) AS avg_cs, stddev_samp(cs) AS std_cs "
     "FROM scoped_ticks GROUP BY timestamp_min", "avg_gold", "avg_cs", "std_cs"))
 def _baseline(s, sf):
-    se, ti, _ = T3(s, sf)
+    se, ti = T2(s, sf)
     st = FT.in_scope(ti, FT.scope(se, CFG))
     return st.groupBy("timestamp_min").agg(F.avg("gold").alias("avg_gold"), F.avg("cs").alias("avg_cs"),
                                            F.stddev_samp("cs").alias("std_cs"))
@@ -89,14 +95,14 @@ def _baseline(s, sf):
 # ---------------------------------------------------------------- W4 -------
 @register("nearest_anchor", R("SELECT * FROM anchor", extra=FEAT))
 def _anchor(s, sf):
-    se, ti, _ = T3(s, sf)
+    se, ti = T2(s, sf)
     return FT.anchors(FT.in_scope(ti, FT.scope(se, CFG)), CFG)
 
 
 # ---------------------------------------------------------------- D2 -------
 @register("swing_games", R("SELECT * FROM sw", "gold_delta", extra=FEAT))
 def _swing(s, sf):
-    se, ti, _ = T3(s, sf)
+    se, ti = T2(s, sf)
     return FT.swing_games(se, ti, CFG)
 
 
@@ -119,13 +125,13 @@ def _ic_unknown(s, sf):
 # ---------------------------------------------------------------- D3 -------
 @register("excursions", R("SELECT * FROM ex", "expected_cs_delta", "cs_sacrifice", extra=FEAT))
 def _ex(s, sf):
-    se, ti, _ = T3(s, sf)
+    se, ti = T2(s, sf)
     return FT.excursions(se, ti, CFG)
 
 
 @register("excursions_fallback", R("SELECT * FROM ex", "expected_cs_delta", "cs_sacrifice", extra=FEAT_LOW))
 def _ex_low(s, sf):
-    se, ti, _ = T3(s, sf)
+    se, ti = T2(s, sf)
     return FT.excursions(se, ti, CFG, std_mult=0.5)
 
 
@@ -141,13 +147,13 @@ FROM scoped WHERE opp_champion_name IS NOT NULL AND opp_cs_total IS NOT NULL
 GROUP BY champion_name, opp_champion_name HAVING count(*) >= 2""",
     "our_avg_cs", "opp_avg_cs", "cs_diff", "our_winrate", "our_avg_kda", "opp_avg_kda"))
 def _rivals(s, sf):
-    return FT.rival_matchups(T3(s, sf)[0], CFG)
+    return FT.rival_matchups(T2(s, sf)[0], CFG)
 
 
 # ---------------------------------------------------------------- D5 -------
 @register("rolling_form", R("SELECT * FROM rf", "tilt_index", extra=FEAT))
 def _form(s, sf):
-    return FT.rolling_form(T3(s, sf)[0], CFG)
+    return FT.rolling_form(T2(s, sf)[0], CFG)
 
 
 # ---------------------------------------------------------------- A5-A7 ----
@@ -160,7 +166,7 @@ def _ia(s, sf):
 
 @register("excursion_agg", R("SELECT * FROM ea", "avg_cs_sacrifice", "roam_impact_rate", extra=FEAT))
 def _ea(s, sf):
-    se, ti, _ = T3(s, sf)
+    se, ti = T2(s, sf)
     return FT.excursion_agg(FT.excursions(se, ti, CFG))
 
 
@@ -196,7 +202,7 @@ def _pace_lead(s, sf):
     "LEFT JOIN scoped_ticks q ON q.match_id = t.match_id AND q.timestamp_min = t.timestamp_min - 3"))
 def _offset(s, sf):
     from playline.operators.sequence import offset_lookup
-    se, ti, _ = T3(s, sf)
+    se, ti = T2(s, sf)
     st = FT.in_scope(ti, FT.scope(se, CFG)).select("match_id", "timestamp_min", "cs", "gold")
     a = offset_lookup(st, "match_id", "timestamp_min", "cs", -1, "cs_prev")
     a = offset_lookup(a, "match_id", "timestamp_min", "cs", 1, "cs_next")
@@ -228,7 +234,7 @@ def _streak(s, sf):
     "(ORDER BY game_datetime, match_id)) AS surrogate_match_id FROM scoped"))
 def _surrogates(s, sf):
     from playline.plans.publish import surrogate_ids
-    return surrogate_ids(FT.scope(T3(s, sf)[0], CFG))
+    return surrogate_ids(FT.scope(T2(s, sf)[0], CFG))
 
 
 # Reports, exploration tables and scalar families register themselves on import.

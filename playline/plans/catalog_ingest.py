@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from playline.config import ADAPTER as CFG
-from playline.plans.catalog import R, T3, register
+from playline.plans.catalog import R, T2, T3, register
 from playline.plans.ingest import ingest
 from playline.plans.tables import TableStore
 from playline.schemas import DECLARED, PRIMARY_KEYS, contract_violations
@@ -114,7 +114,7 @@ def _inventory(s, path):
 
 
 register("new_keys", R(f"SELECT match_id FROM sessions WHERE {K} % 17 = 0"))(
-    lambda s, sf: L.new_keys(T3(s, sf)[0].select("match_id"),
+    lambda s, sf: L.new_keys(T2(s, sf)[0].select("match_id"),
                              _inventory(s, land(s, sf)).where(F.col("kind") == "detail")))
 
 register("first_n_distinct", R(
@@ -126,7 +126,7 @@ register("first_n_distinct", R(
 register("candidate_filter", R(
     "SELECT match_id, queue_id, game_datetime FROM sessions WHERE queue_id = 420 "
     "AND game_datetime >= TIMESTAMP '2024-01-06 00:00:00' AND game_datetime <= TIMESTAMP '2024-01-25 00:00:00'"))(
-    lambda s, sf: L.candidate_filter(T3(s, sf)[0].select("match_id", "queue_id", "game_datetime"), 420,
+    lambda s, sf: L.candidate_filter(T2(s, sf)[0].select("match_id", "queue_id", "game_datetime"), 420,
                                      "2024-01-06 00:00:00", "2024-01-25 00:00:00"))
 
 
@@ -139,7 +139,7 @@ def _status(s, sf):
     inv = _inventory(s, land(s, sf))
     parts = F.split("match_id", "-")
     before = inv.where((F.get(parts, 0).cast("long") + F.get(parts, 1).cast("long")) % 2 == 0)
-    return L.landing_status(T3(s, sf)[0].select("match_id"), before, inv)
+    return L.landing_status(T2(s, sf)[0].select("match_id"), before, inv)
 
 
 # ---------------------------------------------------------------- ST1 ------

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from playline.config import ADAPTER as CFG, FEATURE_COLUMNS
 from playline.functions import scalars as S
 from playline.operators import explore as X, features as FT, reports as RP
-from playline.plans.catalog import FEAT, R, T3, feature_matrix_df, register
+from playline.plans.catalog import FEAT, R, T2, T3, feature_matrix_df, register
 from playline.sources import adapter
 
 RM = """
@@ -57,12 +57,12 @@ def _ctx(s, sf):
 
 
 def _ex(s, sf):
-    se, ti, _ = T3(s, sf)
+    se, ti = T2(s, sf)
     return FT.excursions(se, ti, CFG)
 
 
 def _swing(s, sf):
-    se, ti, _ = T3(s, sf)
+    se, ti = T2(s, sf)
     return FT.swing_games(se, ti, CFG)
 
 
@@ -70,13 +70,13 @@ def _swing(s, sf):
 register("kpi_overview", R(
     "SELECT CAST(count(*) AS INTEGER) AS total_games, avg(CAST(win AS INTEGER)) AS win_rate, "
     "avg(kda) AS avg_kda, avg(cs_per_min) AS avg_cs_per_min FROM scoped",
-    "win_rate", "avg_kda", "avg_cs_per_min"))(lambda s, sf: RP.kpi_overview(T3(s, sf)[0], CFG))
+    "win_rate", "avg_kda", "avg_cs_per_min"))(lambda s, sf: RP.kpi_overview(T2(s, sf)[0], CFG))
 
 register("version_stats", R(
     "SELECT game_version, CAST(count(*) AS INTEGER) AS games, avg(CAST(win AS INTEGER)) AS win_rate, "
     "TRY_CAST(split_part(game_version, '.', 1) AS INTEGER) AS version_major, "
     "TRY_CAST(split_part(game_version, '.', 2) AS INTEGER) AS version_minor "
-    "FROM scoped GROUP BY game_version", "win_rate"))(lambda s, sf: RP.version_stats(T3(s, sf)[0], CFG))
+    "FROM scoped GROUP BY game_version", "win_rate"))(lambda s, sf: RP.version_stats(T2(s, sf)[0], CFG))
 
 register("time_bucket_stats", R(
     "SELECT time_bucket, CAST(count(*) AS INTEGER) AS games, avg(CAST(win AS INTEGER)) AS win_rate, "
@@ -96,33 +96,33 @@ register("matchup_table", R(
     "SELECT champion_name, opp_champion_name, games, round(our_winrate * 100, 2) AS our_winrate_pct, "
     "round(cs_diff, 2) AS cs_diff, round(our_avg_kda, 2) AS our_avg_kda, round(opp_avg_kda, 2) AS opp_avg_kda, "
     "cs_diff >= 0 AS cs_ahead FROM rm", "our_winrate_pct", "cs_diff", "our_avg_kda", "opp_avg_kda", extra=EXTRA))(
-    lambda s, sf: RP.matchup_table(FT.rival_matchups(T3(s, sf)[0], CFG)))
+    lambda s, sf: RP.matchup_table(FT.rival_matchups(T2(s, sf)[0], CFG)))
 
 register("dimension_members", R(
     "SELECT DISTINCT champion_name FROM rm WHERE champion_name IS NOT NULL", extra=EXTRA))(
-    lambda s, sf: RP.dimension_members(FT.rival_matchups(T3(s, sf)[0], CFG), "champion_name"))
+    lambda s, sf: RP.dimension_members(FT.rival_matchups(T2(s, sf)[0], CFG), "champion_name"))
 
 # ---------------------------------------------------------------- R6, R7 ---
 register("cluster_summary", R("SELECT * FROM cs_sum", *FEATURE_COLUMNS, extra=EXTRA))(
-    lambda s, sf: RP.cluster_summary(feature_matrix_df(s, sf), _labels(T3(s, sf)[0])))
+    lambda s, sf: RP.cluster_summary(feature_matrix_df(s, sf), _labels(T2(s, sf)[0])))
 
 _Z = ", ".join(
     f"({c} - (SELECT avg({c}) FROM cs_sum)) / (SELECT CASE WHEN stddev_pop({c}) = 0 THEN 1.0 "
     f"ELSE stddev_pop({c}) END FROM cs_sum) AS {c}" for c in FEATURE_COLUMNS)
 register("centroid_z", R(f"SELECT cluster_id, {_Z} FROM cs_sum", *FEATURE_COLUMNS, extra=EXTRA))(
-    lambda s, sf: RP.centroid_z(RP.cluster_summary(feature_matrix_df(s, sf), _labels(T3(s, sf)[0]))))
+    lambda s, sf: RP.centroid_z(RP.cluster_summary(feature_matrix_df(s, sf), _labels(T2(s, sf)[0]))))
 
 
 @register("pace_curves", R("SELECT * FROM pc", "avg_gold", extra=EXTRA))
 def _pace(s, sf):
-    se, ti, _ = T3(s, sf)
+    se, ti = T2(s, sf)
     return RP.pace_curves(ti, _labels(se), CFG.curve_min_count, CFG.curve_min_share)
 
 
 @register("missing_members", R(
     "SELECT DISTINCT cluster_id FROM labels_fixed WHERE cluster_id NOT IN (SELECT cluster_id FROM pc)", extra=EXTRA))
 def _missing(s, sf):
-    se, ti, _ = T3(s, sf)
+    se, ti = T2(s, sf)
     lab = _labels(se)
     return RP.missing_members(RP.pace_curves(ti, lab, CFG.curve_min_count, CFG.curve_min_share), lab)
 
@@ -220,7 +220,7 @@ register("game_type_share", R(
     "JOIN gt g ON g.match_id = t.match_id WHERE t.timestamp_min <= 30 GROUP BY g.game_type, t.timestamp_min",
     "avg_gold", extra=EXTRA))
 def _gtc(s, sf):
-    se, ti, _ = T3(s, sf)
+    se, ti = T2(s, sf)
     return X.game_type_curve(FT.swing_games(se, ti, CFG), ti)
 
 
@@ -239,7 +239,7 @@ register("excursion_start", R(_unit_hist("roam_start_min", "ex", 4, 11, by="roam
 register("top_matchups", R(
     "SELECT * FROM rm ORDER BY games DESC, champion_name, opp_champion_name LIMIT 10",
     "our_avg_cs", "opp_avg_cs", "cs_diff", "our_winrate", "our_avg_kda", "opp_avg_kda", extra=EXTRA))(
-    lambda s, sf: X.top_matchups(FT.rival_matchups(T3(s, sf)[0], CFG)))
+    lambda s, sf: X.top_matchups(FT.rival_matchups(T2(s, sf)[0], CFG)))
 
 # ---------------------------------------------------------------- E19-E24 --
 _CUT = " ".join(f"WHEN tilt_index >= {lo} AND tilt_index < {hi} THEN '{lab}'"
@@ -247,14 +247,14 @@ _CUT = " ".join(f"WHEN tilt_index >= {lo} AND tilt_index < {hi} THEN '{lab}'"
 register("form_bucket_rate", R(
     f"SELECT tilt_bucket, avg(CASE WHEN win THEN 1.0 ELSE 0.0 END) AS win_rate, count(*) AS games FROM "
     f"(SELECT CASE {_CUT} END AS tilt_bucket, win FROM rf) b WHERE tilt_bucket IS NOT NULL GROUP BY tilt_bucket",
-    "win_rate", extra=FEAT))(lambda s, sf: X.form_bucket_rate(FT.rolling_form(T3(s, sf)[0], CFG)))
+    "win_rate", extra=FEAT))(lambda s, sf: X.form_bucket_rate(FT.rolling_form(T2(s, sf)[0], CFG)))
 
 _LT = " ".join(f"WHEN h BETWEEN {lo} AND {hi} THEN '{lab}'" for lab, lo, hi in X.LOCAL_TIME_BUCKETS)
 register("local_time_rate", R(
     f"SELECT CASE {_LT} ELSE '{X.LOCAL_NIGHT}' END AS time_bucket, "
     "avg(CASE WHEN win THEN 1.0 ELSE 0.0 END) AS win_rate, count(*) AS games FROM "
     f"(SELECT hour(game_datetime + INTERVAL {X.LOCAL_OFFSET_HOURS} HOUR) AS h, win FROM sessions) x GROUP BY 1",
-    "win_rate"))(lambda s, sf: X.local_time_rate(T3(s, sf)[0]))
+    "win_rate"))(lambda s, sf: X.local_time_rate(T2(s, sf)[0]))
 
 _DAYS = "[" + ", ".join(f"'{d}'" for d in X.WEEKDAY_NAMES) + "]"
 register("weekday_rate", R(
@@ -262,7 +262,7 @@ register("weekday_rate", R(
     "FROM (SELECT CAST(range AS INTEGER) AS day_of_week FROM range(7)) d LEFT JOIN "
     "(SELECT CAST(isodow(game_datetime) - 1 AS INTEGER) AS day_of_week, "
     "avg(CASE WHEN win THEN 1.0 ELSE 0.0 END) AS win_rate, count(*) AS games FROM sessions GROUP BY 1) p "
-    "ON p.day_of_week = d.day_of_week", "win_rate"))(lambda s, sf: X.weekday_rate(T3(s, sf)[0]))
+    "ON p.day_of_week = d.day_of_week", "win_rate"))(lambda s, sf: X.weekday_rate(T2(s, sf)[0]))
 
 NUMERIC_FM = ("tilt_index", "hour_of_day", "day_of_week", "gold_delta", "total_deaths", "deaths_while_ahead",
               "tilt_spiral_ratio", "max_death_streak", "total_roams", "avg_cs_sacrifice", "roam_impact_rate")
@@ -285,14 +285,14 @@ register("cluster_outcomes", R(
     "avg(f.gold_delta) AS avg_gold_delta, avg(f.total_deaths) AS avg_deaths FROM labels_fixed l "
     "JOIN fm f ON f.match_id = l.match_id GROUP BY l.cluster_id",
     "win_rate", "avg_gold_delta", "avg_deaths", extra=FEAT))(
-    lambda s, sf: X.cluster_outcomes(feature_matrix_df(s, sf), _labels(T3(s, sf)[0])))
+    lambda s, sf: X.cluster_outcomes(feature_matrix_df(s, sf), _labels(T2(s, sf)[0])))
 
 
 @register("pace_curves_raw", R(
     "SELECT l.cluster_id, t.timestamp_min, avg(CAST(t.gold AS DOUBLE)) AS avg_gold FROM labels_fixed l "
     "JOIN ticks t ON t.match_id = l.match_id GROUP BY l.cluster_id, t.timestamp_min", "avg_gold"))
 def _pcr(s, sf):
-    se, ti, _ = T3(s, sf)
+    se, ti = T2(s, sf)
     return X.pace_curves_raw(ti, _labels(se))
 
 
@@ -307,7 +307,7 @@ def _pcr(s, sf):
     "(SELECT match_id, game_version || '.' || CAST(vision_score AS VARCHAR) AS raw, "
     "'v' || CAST(vision_score AS VARCHAR) AS short_raw FROM sessions) x"))
 def _sv(s, sf):
-    se = T3(s, sf)[0]
+    se = T2(s, sf)[0]
     x = se.select("match_id", F.concat_ws(".", "game_version", F.col("vision_score").cast("string")).alias("raw"),
                   F.concat(F.lit("v"), F.col("vision_score").cast("string")).alias("short_raw"))
     major, minor = S.version_sort_keys("raw")
@@ -326,7 +326,7 @@ def _sv(s, sf):
     "CAST(hour(game_datetime + INTERVAL 7 HOUR) AS INTEGER) AS local_hour, "
     "CAST(game_duration_sec * 1000 // 21600000 AS INTEGER) AS duration_ticks FROM sessions"))
 def _st(s, sf):
-    se = T3(s, sf)[0]
+    se = T2(s, sf)[0]
     ms = S.to_epoch_ms("game_datetime")
     ts = F.col("game_datetime")
     return se.select("match_id", ms.alias("epoch_ms"), S.from_epoch_ms(ms).alias("utc_ts"),
@@ -346,7 +346,7 @@ def _st(s, sf):
     "coalesce(opp_kills, 0) + coalesce(opp_assists, 0) AS opp_involvement FROM sessions",
     "kda", "opp_kda", "cs_per_min", "kda_clamped", "assist_share", "log_cs", "kill_ratio"))
 def _sr(s, sf):
-    se = T3(s, sf)[0]
+    se = T2(s, sf)[0]
     k = S.kda("kills", "deaths", "assists")
     return se.select("match_id", k.alias("kda"), S.kda("opp_kills", "opp_deaths", "opp_assists").alias("opp_kda"),
                      S.per_minute("cs_total", "game_duration_sec").alias("cs_per_min"),
@@ -366,7 +366,7 @@ def _sr(s, sf):
     "nullif(trim(CASE WHEN instr(handle, '#') > 0 THEN substr(handle, instr(handle, '#') + 1) END), '')) "
     "AS handle_tag FROM (SELECT *, ' ' || champion_name || ' #' || puuid || '#x' AS handle FROM sessions) s"))
 def _stx(s, sf):
-    se = T3(s, sf)[0].withColumn(
+    se = T2(s, sf)[0].withColumn(
         "handle", F.concat(F.lit(" "), "champion_name", F.lit(" #"), "puuid", F.lit("#x")))
     h = S.split_handle("handle", F.when(F.col("kills") % 2 == 0, F.lit("EUW")))
     return se.select("match_id",
@@ -384,7 +384,7 @@ def _stx(s, sf):
                for lo, hi, lab in zip(X.FORM_EDGES[:-1], X.FORM_EDGES[1:], X.FORM_LABELS))
     + " END AS share_bucket FROM (SELECT *, kills / greatest(kills + deaths, 1) AS share FROM sessions) x"))
 def _sc(s, sf):
-    se = T3(s, sf)[0]
+    se = T2(s, sf)[0]
     lab = S.first_label([(F.col("kills") > F.col("deaths"), "ahead"), (F.col("deaths") > F.col("kills") + 5, "behind"),
                          (F.col("assists") > 0, "support")], "even")
     share = F.col("kills") / F.greatest(F.col("kills") + F.col("deaths"), F.lit(1))
