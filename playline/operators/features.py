@@ -45,6 +45,17 @@ def baseline_by_tick(ticks: DataFrame, value: str, low: int | None = None, high:
     return t.groupBy(TICK).agg(*aggs)
 
 
+def tick_baselines(scoped_ticks: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
+    """Both per-tick baselines in one aggregate over the scoped ticks: mean
+    gold over all ticks (incident context) and mean / sample std of cs over the
+    phase ticks (excursion fallback). One row per tick value."""
+    phase = F.col(TICK).between(cfg.phase_start, cfg.phase_end)
+    return scoped_ticks.groupBy(TICK).agg(
+        F.avg("gold").alias("avg_gold"),
+        F.avg(F.when(phase, F.col("cs"))).alias("avg_cs"),
+        F.stddev_samp(F.when(phase, F.col("cs"))).alias("std_cs"))
+
+
 def anchors(scoped_ticks: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
     """W4 on gold: one row per scoped session that has a tick in the anchor window."""
     return nearest_anchor(scoped_ticks, KEY, TICK, "gold", cfg.anchor_tick, cfg.anchor_low,
@@ -52,14 +63,16 @@ def anchors(scoped_ticks: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame
 
 
 # ---------------------------------------------------------------- D2 -------
-def swing_games(sessions: DataFrame, ticks: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
+def swing_games(sessions: DataFrame, ticks: DataFrame, cfg: AnalysisConfig = DEFAULT,
+                anchor_rows: DataFrame | None = None) -> DataFrame:
     """Throw / comeback classification from the anchor-tick gold delta.
 
     Columns: match_id, gold_at_14, gold_delta, is_throw, is_comeback (+ win).
     Thresholds are inclusive; sessions without an anchor tick drop out.
+    ``anchor_rows`` lets a caller share one anchor computation.
     """
     sc = scope(sessions, cfg)
-    a = anchors(in_scope(ticks, sc), cfg)
+    a = anchor_rows if anchor_rows is not None else anchors(in_scope(ticks, sc), cfg)
     both = sc.select(KEY, "win").join(a, KEY)
     mean = both.agg(F.avg("anchor_gold")).scalar()     # scalar subquery, evaluated once
     d = F.col("anchor_gold") - mean
@@ -72,17 +85,19 @@ def swing_games(sessions: DataFrame, ticks: DataFrame, cfg: AnalysisConfig = DEF
 
 # ---------------------------------------------------------------- D1 -------
 def incident_context(sessions: DataFrame, ticks: DataFrame, incidents: DataFrame,
-                     cfg: AnalysisConfig = DEFAULT, missing: str = "zero") -> DataFrame:
+                     cfg: AnalysisConfig = DEFAULT, missing: str = "zero",
+                     baselines: DataFrame | None = None, anchor_rows: DataFrame | None = None) -> DataFrame:
     """Per-incident context flags.
 
     ``missing="zero"`` treats an unknown snapshot as 0 gold (parity with the
     analysed application); ``"unknown"`` keeps the lead and its two lead flags NULL.
+    ``baselines`` / ``anchor_rows`` let a caller share those computations.
     """
     sc = scope(sessions, cfg)
     st = in_scope(ticks, sc)
     si = in_scope(incidents, sc)
-    base = baseline_by_tick(st, "gold")
-    a = anchors(st, cfg)
+    base = (baselines if baselines is not None else baseline_by_tick(st, "gold")).select(TICK, "avg_gold")
+    a = anchor_rows if anchor_rows is not None else anchors(st, cfg)
     mean_anchor = a.agg(F.avg("anchor_gold")).scalar()
     if missing == "zero":
         lead = F.coalesce(F.col("gold_at_death"), F.lit(0)) - F.coalesce(F.col("avg_gold"), F.lit(0.0))
@@ -109,7 +124,8 @@ def incident_context(sessions: DataFrame, ticks: DataFrame, incidents: DataFrame
 
 # ---------------------------------------------------------------- D3 -------
 def excursions(sessions: DataFrame, ticks: DataFrame, cfg: AnalysisConfig = DEFAULT,
-               std_mult: float | None = None, min_rows: int | None = None) -> DataFrame:
+               std_mult: float | None = None, min_rows: int | None = None,
+               baselines: DataFrame | None = None) -> DataFrame:
     """Excursion windows inside the phase ticks, with their cost and kill impact.
 
     Mode per session: position mode if any phase tick has ``position_x``
@@ -123,7 +139,8 @@ def excursions(sessions: DataFrame, ticks: DataFrame, cfg: AnalysisConfig = DEFA
     min_rows = cfg.min_excursion_rows if min_rows is None else min_rows
     sc = scope(sessions, cfg)
     loaded = in_scope(ticks.where(F.col(TICK).between(cfg.load_start, cfg.load_end)), sc)
-    base = baseline_by_tick(loaded, "cs", cfg.phase_start, cfg.phase_end, with_std=True)
+    base = (baselines.select(TICK, "avg_cs", "std_cs") if baselines is not None
+            else baseline_by_tick(loaded, "cs", cfg.phase_start, cfg.phase_end, with_std=True))
     rate = sc.agg(F.coalesce(F.avg("cs_per_min"), F.lit(0.0))).scalar()
 
     w = Window.partitionBy(KEY).orderBy(TICK)
@@ -233,10 +250,13 @@ def feature_matrix(sessions: DataFrame, ticks: DataFrame, incidents: DataFrame,
                    cfg: AnalysisConfig = DEFAULT) -> DataFrame:
     """One NULL-free row per scoped session (19 columns, contract order)."""
     sc = scope(sessions, cfg)
+    st = in_scope(ticks, sc)
+    base = tick_baselines(st, cfg)        # one aggregate for both baselines
+    a = anchors(st, cfg)                  # one anchor pass for swing games and incident context
     form = rolling_form(sessions, cfg).select(KEY, "tilt_index")
-    swing = swing_games(sessions, ticks, cfg).select(KEY, "is_throw", "is_comeback", "gold_delta")
-    inc = incident_agg(incident_context(sessions, ticks, incidents, cfg))
-    exc = excursion_agg(excursions(sessions, ticks, cfg))
+    swing = swing_games(sessions, ticks, cfg, anchor_rows=a).select(KEY, "is_throw", "is_comeback", "gold_delta")
+    inc = incident_agg(incident_context(sessions, ticks, incidents, cfg, baselines=base, anchor_rows=a))
+    exc = excursion_agg(excursions(sessions, ticks, cfg, baselines=base))
     fm = (sc.select(KEY, "win", "game_datetime", "champion_name")
           .join(form, KEY, "left").join(temporal(sc), KEY, "left").join(swing, KEY, "left")
           .join(inc, KEY, "left").join(exc, KEY, "left"))
