@@ -24,7 +24,7 @@ def get_spark(master: str | None = None, app: str = "playline",
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
-         .config("spark.sql.session.timeZone", "UTC")
+         .config("spark.sql.session.timeZone", os.environ.get("PLAYLINE_TZ", "UTC"))
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          .config("spark.driver.memory", os.environ.get("PLAYLINE_DRIVER_MEM", "12g"))
          .config("spark.sql.files.maxPartitionBytes", str(128 * 1024 * 1024)))
