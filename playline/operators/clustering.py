@@ -177,8 +177,13 @@ def scaled_centroids(spark: SparkSession, model: ClusteringModel) -> DataFrame:
 
 
 def train_and_save(spark: SparkSession, fm: DataFrame, path: str, cfg: AnalysisConfig = DEFAULT,
-                   restarts: int | None = None) -> tuple[ClusteringModel, DataFrame]:
-    """Fit, persist the model, and return (model, labels)."""
+                   restarts: int | None = None, store=None) -> tuple[ClusteringModel, DataFrame]:
+    """Fit, persist the model, and return (model, labels). With a ``TableStore``
+    the labels table is replaced in one new store version (K4)."""
     model = fit_clusters(fm, cfg, restarts)
     model.save(spark, path)
-    return model, model.labels(fm)
+    labels = model.labels(fm)
+    if store is not None:
+        store.commit({"cluster_labels": labels}, mode="append", replace=("cluster_labels",))
+        labels = store.read("cluster_labels")
+    return model, labels

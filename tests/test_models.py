@@ -22,7 +22,10 @@ def feature_frame(spark):
 
 def test_fit_labels_profile_and_persistence(spark, tmp_path):
     fm = feature_frame(spark)
-    model, labels = CL.train_and_save(spark, fm, str(tmp_path / "model"), CFG)
+    from playline.plans.tables import TableStore
+    store = TableStore(spark, str(tmp_path / "store"))
+    model, labels = CL.train_and_save(spark, fm, str(tmp_path / "model"), CFG, store=store)
+    assert store.tables() == ["cluster_labels"] and store.version() == 1
     lab = {r.match_id: r.cluster_id for r in labels.collect()}
     assert len(lab) == 12 and set(lab.values()) == {0, 1, 2, 3}
     # canonical ids: centroids sorted, so the lowest group is cluster 0
