@@ -12,10 +12,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-MANIFEST_SCHEMA = T.StructType([T.StructField("version", T.LongType()), T.StructField("table", T.StringType()),
-                                T.StructField("path", T.StringType()), T.StructField("n_entries", T.LongType())])
+MANIFEST_SCHEMA = T.StructType([T.StructField("version", T.LongType()), T.StructField("commit_id", T.StringType()),
+                                T.StructField("table", T.StringType()), T.StructField("path", T.StringType()),
+                                T.StructField("n_entries", T.LongType())])
 
 
 def dedup_first(df: DataFrame, keys) -> DataFrame:
@@ -48,24 +51,33 @@ class TableStore:
         return (self.spark.read.schema(MANIFEST_SCHEMA).option("recursiveFileLookup", "true")
                 .json(f"{self.root}/_manifest"))
 
-    def _entries(self) -> list:
+    def _latest(self):
+        """(version, commit_id) of the newest complete manifest, or None.
+
+        A manifest is complete when all its rows are present; a crashed
+        attempt (partial data folders, partial or missing manifest) is never
+        visible and never blocks a retry, which uses a fresh commit id."""
         try:
             m = self._manifest()
+            best = (m.groupBy("version", "commit_id")
+                    .agg(F.count(F.lit(1)).alias("n"), F.max("n_entries").alias("want"))
+                    .where(F.col("n") == F.col("want"))
+                    .orderBy(F.desc("version"), F.desc("commit_id")).first())   # manifest metadata only
         except Exception:  # noqa: BLE001 - no manifest yet
+            return None
+        return (best["version"], best["commit_id"]) if best else None
+
+    def _entries(self) -> list:
+        latest = self._latest()
+        if latest is None:
             return []
-        complete = (m.groupBy("version").agg(F.count(F.lit(1)).alias("n"), F.max("n_entries").alias("want"))
-                    .where(F.col("n") == F.col("want")).agg(F.max("version")).scalar())
-        # manifest metadata only: one row per data folder of the latest complete version
-        return m.where(F.col("version") == complete).select("table", "path").collect()
+        m = self._manifest()
+        return (m.where((F.col("version") == latest[0]) & (F.col("commit_id") == latest[1]))
+                .select("table", "path").collect())
 
     def version(self) -> int:
-        try:
-            m = self._manifest()
-            v = (m.groupBy("version").agg(F.count(F.lit(1)).alias("n"), F.max("n_entries").alias("want"))
-                 .where(F.col("n") == F.col("want")).agg(F.max("version")).first()[0])
-            return int(v or 0)
-        except Exception:  # noqa: BLE001
-            return 0
+        latest = self._latest()
+        return int(latest[0]) if latest else 0
 
     def paths(self) -> dict[str, list[str]]:
         out: dict[str, list[str]] = {}
@@ -95,16 +107,17 @@ class TableStore:
             raise ValueError("mode must be 'append' or 'replace'")
         current = self.paths()
         v = self.version() + 1
+        cid = uuid.uuid4().hex[:12]
         entries = []
         for name, df in frames.items():
-            p = f"{self.root}/data/{name}/v{v:06d}"
+            p = f"{self.root}/data/{name}/v{v:06d}-{cid}"
             df.write.mode("error").parquet(p)
             keep = current.get(name, []) if mode == "append" and name not in replace else []
             entries += [(name, q) for q in keep] + [(name, p)]
         for name, ps in current.items():
             if name not in frames:
                 entries += [(name, q) for q in ps]
-        rows = [(v, t, p, len(entries)) for t, p in entries]
+        rows = [(v, cid, t, p, len(entries)) for t, p in entries]
         (self.spark.createDataFrame(rows, MANIFEST_SCHEMA).coalesce(1)
-         .write.mode("error").json(f"{self.root}/_manifest/m{v:06d}"))
+         .write.mode("error").json(f"{self.root}/_manifest/m{v:06d}-{cid}"))
         return v

@@ -145,3 +145,15 @@ def test_zero_incident_kda(spark, tmp_path):
     assert r.deaths == 0 and r.kda == pytest.approx(9.0)
     assert out["ticks"].count() == 0 and out["incidents"].count() == 0
     assert out["sessions"].where(F.col("match_id") == "Z").count() == 1
+
+
+def test_store_survives_a_crashed_commit(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "s"))
+    a = spark.range(3).withColumnRenamed("id", "k")
+    assert store.commit({"t": a}) == 1
+    # a crashed attempt at version 2: data written, manifest never completed
+    a.write.parquet(str(tmp_path / "s" / "data" / "t" / "v000002-deadbeef"))
+    spark.createDataFrame([(2, "deadbeef", "t", "x", 5)], "version long, commit_id string, table string, "
+                          "path string, n_entries long").write.json(str(tmp_path / "s" / "_manifest" / "m000002-deadbeef"))
+    assert store.version() == 1 and store.read("t").count() == 3
+    assert store.commit({"t": a}) == 2 and store.read("t").count() == 6
