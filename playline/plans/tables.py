@@ -33,11 +33,18 @@ def dedup_first(df: DataFrame, keys) -> DataFrame:
 
 
 def append_if_absent(new: DataFrame, existing: DataFrame | None, keys) -> DataFrame:
-    """K1: rows of ``new`` whose key is not yet in ``existing``."""
+    """K1: rows of ``new`` whose key is not yet in ``existing``.
+
+    The stored keys are first narrowed to the keys of this batch with a
+    left-semi join whose build side is the (small) batch - broadcast when AQE
+    sees it is small, so the large table is scanned for its key columns only
+    and never shuffled - and the anti join then runs on two small inputs."""
+    keys = list(keys)
     batch = dedup_first(new, keys)
     if existing is None:
         return batch
-    return batch.join(existing.select(*keys), list(keys), "left_anti")
+    hits = existing.select(*keys).join(batch.select(*keys), keys, "left_semi")
+    return batch.join(hits, keys, "left_anti")
 
 
 class TableStore:
