@@ -71,3 +71,9 @@ def test_exact_quantiles_match_numpy_under_skew(spark):
         assert (got[g].q1, got[g].median, got[g].q3) == (q1, med, q3) and got[g].n == len(xs)
     whole = quartiles(df, "x").first()
     assert whole.median == np.percentile([r.x for r in df.select("x").collect()], 50)
+
+
+def test_empty_inputs(spark):
+    df = skewed(spark, 10).where("id < 0")
+    assert number_rows(df, ["grp"], ["ts", "id"], out="n").count() == 0
+    assert rolling_prior_mean(df.withColumn("win", F.lit(1)), ["grp"], ["ts", "id"], "win").count() == 0
