@@ -125,6 +125,8 @@ def number_rows(df: DataFrame, group_cols, order_cols, out: str = "seq",
     ranged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
               .withColumn("_pid", F.spark_partition_id()))
     ranged = cut_lineage(ranged)
+    if not gcols:
+        return _number_globally(ranged, df.columns, out)
 
     g_schema = [f for f in ranged.schema.fields if f.name in gcols]
     summary_schema = T.StructType(
@@ -200,6 +202,18 @@ def number_rows(df: DataFrame, group_cols, order_cols, out: str = "seq",
     return with_off.mapInPandas(number, out_schema)
 
 
+def _number_globally(ranged: DataFrame, names, out: str) -> DataFrame:
+    """Global 1..n numbering, JVM only: a row's position inside its
+    (checkpointed, sorted) range partition is ``monotonically_increasing_id``
+    minus the partition base; rows before the partition are a prefix sum over
+    one count per partition (a table bounded by the partition count)."""
+    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
+    local = F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("long"), 33)
+    return (ranged.withColumn("_local", local).join(F.broadcast(before), "_pid")
+            .select(*names, (F.col("_off") + F.col("_local") + 1).cast("long").alias(out)))
+
+
 # ---------------------------------------------------------------- W7 -------
 def rolling_prior_mean(df: DataFrame, entity, order_cols, value: str, n: int = 5,
                        neutral: float = 0.5, out: str = "prior_mean",
