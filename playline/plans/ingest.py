@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from playline.plans.tables import TableStore, append_if_absent
+from playline.plans.tables import TableStore, append_if_absent, ensure_tables
 from playline.schemas import PRIMARY_KEYS
 from playline.sources.documents import flatten_joined, pair_documents, read_documents, with_snapshots
 
@@ -22,6 +22,7 @@ def ingest(spark: SparkSession, raw_path: str, store: TableStore, player=None, t
     """
     if mode not in ("incremental", "full"):
         raise ValueError("mode must be 'incremental' or 'full'")
+    ensure_tables(store)       # create-if-absent + column contracts, before any write
     p = pair_documents(read_documents(spark, raw_path, layout), player)
     joined = with_snapshots(p["joined"], tick_ms).persist(StorageLevel.MEMORY_AND_DISK)
     # the paired documents feed three writes, the quarantine and the summary: parse and pair once

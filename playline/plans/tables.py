@@ -128,3 +128,19 @@ class TableStore:
         (self.spark.createDataFrame(rows, MANIFEST_SCHEMA).coalesce(1)
          .write.mode("error").json(f"{self.root}/_manifest/m{v:06d}-{cid}"))
         return v
+
+
+def ensure_tables(store: TableStore, schemas: dict | None = None) -> int:
+    """Create-if-absent plus a column-contract check of existing tables
+    (K6/K7, the schema-initialisation step): missing tables are committed
+    empty with their declared schema in one version; an existing table whose
+    column set differs raises ``SchemaContractError`` with sorted missing and
+    unexpected names. Returns the store version."""
+    from playline.schemas import DECLARED, assert_columns
+    schemas = schemas or {t: DECLARED[t] for t in ("sessions", "ticks", "incidents")}
+    present = store.paths()
+    for name, schema in schemas.items():
+        if name in present:
+            assert_columns(store.read(name), name, schema.fieldNames())
+    missing = {n: store.spark.createDataFrame([], sch) for n, sch in schemas.items() if n not in present}
+    return store.commit(missing) if missing else store.version()

@@ -125,7 +125,7 @@ def test_ingest_idempotent_and_summary(spark, landed):
     ingest(spark, landed, store, PLAYER, layout="files")
     assert {t: store.read(t).count() for t in ("sessions", "ticks", "incidents")} == n
     full = ingest(spark, landed, store, PLAYER, layout="files", mode="full")
-    assert full["version"] == 3 and store.read("ticks").count() == n["ticks"]
+    assert full["version"] == 4 and store.read("ticks").count() == n["ticks"]   # v1 = empty tables
 
 
 def test_column_contract_error_text(spark):
@@ -157,3 +157,17 @@ def test_store_survives_a_crashed_commit(spark, tmp_path):
                           "path string, n_entries long").write.json(str(tmp_path / "s" / "_manifest" / "m000002-deadbeef"))
     assert store.version() == 1 and store.read("t").count() == 3
     assert store.commit({"t": a}) == 2 and store.read("t").count() == 6
+
+
+def test_ensure_tables_creates_then_checks(spark, tmp_path):
+    from playline.plans.tables import ensure_tables
+    from playline.schemas import DECLARED
+    store = TableStore(spark, str(tmp_path / "s"))
+    assert ensure_tables(store) == 1
+    assert store.tables() == ["incidents", "sessions", "ticks"] and store.read("ticks").count() == 0
+    assert ensure_tables(store) == 1                      # idempotent: nothing to create
+    bad = store.read("sessions").drop("opp_assists")
+    store.commit({"sessions": bad}, replace=("sessions",))
+    with pytest.raises(SchemaContractError, match="missing columns: opp_assists; unexpected columns: none"):
+        ensure_tables(store)
+    assert DECLARED["ticks"].fieldNames()[:2] == ["match_id", "timestamp_min"]
