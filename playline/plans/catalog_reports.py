@@ -362,13 +362,13 @@ def _sr(s, sf):
     "nullif(team_position, '')) AS position, "
     "printf('GAME_%04d', vision_score) AS short_id, printf('GAME_%04d', vision_score * 1000) AS long_id, "
     "nullif(trim(split_part(handle, '#', 1)), '') AS handle_name, "
-    "coalesce(nullif(trim(CASE WHEN kills % 2 = 0 THEN 'EUW' END), ''), "
+    "coalesce(nullif(trim(CASE WHEN kills % 2 = 0 THEN 'XY' END), ''), "
     "nullif(trim(CASE WHEN instr(handle, '#') > 0 THEN substr(handle, instr(handle, '#') + 1) END), '')) "
     "AS handle_tag FROM (SELECT *, ' ' || champion_name || ' #' || puuid || '#x' AS handle FROM sessions) s"))
 def _stx(s, sf):
     se = T2(s, sf)[0].withColumn(
         "handle", F.concat(F.lit(" "), "champion_name", F.lit(" #"), "puuid", F.lit("#x")))
-    h = S.split_handle("handle", F.when(F.col("kills") % 2 == 0, F.lit("EUW")))
+    h = S.split_handle("handle", F.when(F.col("kills") % 2 == 0, F.lit("XY")))
     return se.select("match_id",
                      S.first_present(F.when(F.col("kills") % 3 == 0, F.lit("")).otherwise(F.col("lane")),
                                      "team_position").alias("position"),

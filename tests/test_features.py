@@ -22,11 +22,11 @@ def test_feature_matrix_scope_season(spark):
 
 
 def test_scope_excludes_other_roles(spark):
-    extra = [session_row("S16_BOTTOM", S16[3], True, "Zed", 5, 2, 3, 180, role="BOTTOM", opp_cs=160)]
+    extra = [session_row("S16_BOTTOM", S16[3], True, "Alpha", 5, 2, 3, 180, role="BOTTOM", opp_cs=160)]
     se, ti, de = fixture_tables(spark, extra_sessions=extra)
     fm = FT.feature_matrix(se, ti, de, CFG)
     assert "S16_BOTTOM" not in {r.match_id for r in fm.collect()}
-    m = FT.rival_matchups(se, CFG).where("champion_name = 'Zed' AND opp_champion_name = 'Viktor'").first()
+    m = FT.rival_matchups(se, CFG).where("champion_name = 'Alpha' AND opp_champion_name = 'Bravo'").first()
     assert m.games == 3
 
 
@@ -55,7 +55,7 @@ def test_excursion_cs_fallback(spark):
     upd = {("S16_A", m): {"position_x": None, "position_y": None} for m in range(21)}
     upd[("S16_A", 5)] = {"position_x": None, "position_y": None, "cs": 0}
     upd[("S16_A", 6)] = {"position_x": None, "position_y": None, "cs": 0}
-    extra = [session_row("S16_E", S16[3], True, "Zed", 5, 2, 3, 180, opp_cs=160)]
+    extra = [session_row("S16_E", S16[3], True, "Alpha", 5, 2, 3, 180, opp_cs=160)]
     extra_ticks = [("S16_E", m, 500 + m * 250, m * 8, m * 100, 0, 7500 + m * 10, 7500 + m * 10) for m in range(21)]
     se, ti, _ = fixture_tables(spark, extra_sessions=extra, tick_updates=upd, extra_ticks=extra_ticks)
     ex = FT.excursions(se, ti, CFG).where("match_id = 'S16_A'").collect()

@@ -26,10 +26,10 @@ def participant(pid, puuid, team, pos, champ, win, k, d, a, cs, ncs, gold, ipos=
 
 
 def detail(match_id, deaths=7, player=PLAYER):
-    parts = [participant(1, "ally", 100, "TOP", "Garen", False, 1, 1, 1, 10, 0, 5000),
-             participant(2, "enemy-top", 200, "TOP", "Darius", True, 2, 2, 2, 20, 0, 6000),
-             participant(3, "enemy-mid", 200, "", "Leblanc", True, 14, 1, 4, 180, 7, 15729, ipos="MIDDLE"),
-             participant(8, player, 100, "MIDDLE", "Fizz", False, 5, deaths, 4, 200, 21, 10976)]
+    parts = [participant(1, "ally", 100, "TOP", "Foxtrot", False, 1, 1, 1, 10, 0, 5000),
+             participant(2, "enemy-top", 200, "TOP", "Golf", True, 2, 2, 2, 20, 0, 6000),
+             participant(3, "enemy-mid", 200, "", "Echo", True, 14, 1, 4, 180, 7, 15729, ipos="MIDDLE"),
+             participant(8, player, 100, "MIDDLE", "Delta", False, 5, deaths, 4, 200, 21, 10976)]
     return {"metadata": {"matchId": match_id, "participants": [p["puuid"] for p in parts]},
             "info": {"gameCreation": 1768478400123, "gameVersion": "16.11.734.2211", "gameDuration": 1522,
                      "queueId": 420, "participants": parts}}
@@ -92,9 +92,9 @@ def test_flatten_documents(spark, landed):
     s = out["sessions"].collect()
     assert [r.match_id for r in s] == ["M1"]
     r = s[0]
-    assert r.game_version == "16.11" and r.champion_name == "Fizz" and r.team_position == "MIDDLE"
+    assert r.game_version == "16.11" and r.champion_name == "Delta" and r.team_position == "MIDDLE"
     assert (r.kills, r.deaths, r.assists, r.cs_total) == (5, 7, 4, 221)
-    assert (r.opp_champion_name, r.opp_cs_total, r.opp_kills) == ("Leblanc", 187, 14)
+    assert (r.opp_champion_name, r.opp_cs_total, r.opp_kills) == ("Echo", 187, 14)
     assert r.kda == pytest.approx(9 / 7) and r.cs_per_min == pytest.approx(221 / (1522 / 60))
     assert str(r.game_datetime) == "2026-01-15 12:00:00.123000"
 

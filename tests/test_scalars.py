@@ -22,14 +22,14 @@ def test_epoch_round_trip_is_zone_independent(spark):
 
 
 def test_text_and_version_functions(spark):
-    df = spark.createDataFrame([("16.11.734.2211", 7, " Faker #KR1#x ", None), ("16", 12345, "name#", "EUW"),
+    df = spark.createDataFrame([("16.11.734.2211", 7, " Player #AB1#x ", None), ("16", 12345, "name#", "XY"),
                                 ("x.y", 1, "#tag", "")], "v string, n int, h string, t string")
     r = df.select(S.major_minor("v").alias("mm"), *S.version_sort_keys("v"),
                   S.padded_id("GAME_", "n").alias("id"), S.split_handle("h", F.col("t")).alias("hd")).collect()
     assert [x.mm for x in r] == ["16.11", "16", "x.y"]
     assert [x.id for x in r] == ["GAME_0007", "GAME_12345", "GAME_0001"]
-    assert (r[0].hd.name, r[0].hd.tag) == ("Faker", "KR1#x")
-    assert (r[1].hd.name, r[1].hd.tag) == ("name", "EUW")
+    assert (r[0].hd.name, r[0].hd.tag) == ("Player", "AB1#x")
+    assert (r[1].hd.name, r[1].hd.tag) == ("name", "XY")
     assert (r[2].hd.name, r[2].hd.tag) == (None, "tag")
     assert [tuple(x)[1:3] for x in r] == [(16, 11), (16, None), (None, None)]
 
