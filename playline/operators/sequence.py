@@ -39,15 +39,15 @@ def nearest_anchor(ticks: DataFrame, key: str = "match_id", tick: str = "timesta
                    out: str = "anchor_value", out_tick: str = "anchor_tick") -> DataFrame:
     """One row per key: ``value`` at the tick nearest ``target`` within [low, high].
 
-    Ties (equal distance) go to the earlier tick. Expressed as a ``min`` over
-    a struct ordered by (distance, tick): a plain aggregate, so Spark combines
-    map-side and needs no sort of the sequence.
+    Ties (equal distance) go to the earlier tick. The (distance, tick) order
+    is packed into one long, so the pick is ``min_by`` over fixed-width
+    buffers: a hash aggregate with map-side combine, no sort of the sequence.
     """
-    best = F.min(F.struct(F.abs(F.col(tick) - F.lit(target)).alias("d"),
-                          F.col(tick).alias("t"), F.col(value).alias("v")))
+    rank = (F.abs(F.col(tick) - F.lit(target)).cast("long") * F.lit(1 << 32)
+            + (F.col(tick) - F.lit(low)).cast("long"))
     return (ticks.where(F.col(tick).between(low, high))
-            .groupBy(key).agg(best.alias("_b"))
-            .select(key, F.col("_b.v").alias(out), F.col("_b.t").alias(out_tick)))
+            .groupBy(key).agg(F.min_by(F.col(value), rank).alias(out), F.min(rank).alias("_r"))
+            .select(key, out, (F.col("_r") % F.lit(1 << 32) + F.lit(low)).cast("int").alias(out_tick)))
 
 
 # ---------------------------------------------------------------- W6 -------
