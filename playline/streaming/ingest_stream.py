@@ -54,12 +54,15 @@ def _process(store: TableStore, batch: DataFrame, player, tick_ms: int) -> None:
 
 
 def ingest_stream(spark: SparkSession, raw_path: str, store: TableStore, checkpoint: str, player=None,
-                  tick_ms: int = 60_000):
-    """Process everything landed so far (``availableNow``) and stop."""
-    q = (document_stream(spark, raw_path).writeStream
+                  tick_ms: int = 60_000, every: str | None = None):
+    """By default process everything landed so far (``availableNow``) and
+    stop; with ``every`` (e.g. '5 minutes') keep running on a processing-time
+    trigger and return the running query."""
+    w = (document_stream(spark, raw_path).writeStream
          .foreachBatch(lambda df, epoch: process_batch(store, df, player, tick_ms))
-         .option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True)
-         .start())
+         .option("checkpointLocation", checkpoint))
+    if every:
+        return w.trigger(processingTime=every).start()
+    q = w.trigger(availableNow=True).start()
     q.awaitTermination()
     return q

@@ -171,3 +171,33 @@ def test_ensure_tables_creates_then_checks(spark, tmp_path):
     with pytest.raises(SchemaContractError, match="missing columns: opp_assists; unexpected columns: none"):
         ensure_tables(store)
     assert DECLARED["ticks"].fieldNames()[:2] == ["match_id", "timestamp_min"]
+
+
+def test_quarantine_reasons_lines_layout(spark, tmp_path):
+    raw = tmp_path / "raw"
+    (raw / "detail").mkdir(parents=True)
+    (raw / "timeline").mkdir(parents=True)
+    no_pid = detail("P1")
+    for p in no_pid["info"]["participants"]:
+        if p["puuid"] == PLAYER:
+            p.pop("participantId")
+    no_champ = detail("P2")
+    for p in no_champ["info"]["participants"]:
+        if p["puuid"] == PLAYER:
+            p.pop("championName")
+    no_version = detail("P3")
+    no_version["info"].pop("gameVersion")
+    ok = detail("P4")
+    lines = [no_pid, no_champ, no_version, ok]
+    (raw / "detail" / "d.json").write_text("\n".join(json.dumps(d) for d in lines) + "\n")
+    tls = []
+    for k in ("P1", "P2", "P3", "P4"):
+        t = timeline()
+        t["metadata"]["matchId"] = k
+        tls.append(t)
+    (raw / "timeline" / "t.json").write_text("\n".join(json.dumps(t) for t in tls) + "\n")
+    out = D.flatten(D.read_documents(spark, str(raw), "lines"), PLAYER)
+    q = {r.doc_key: r.reason for r in out["quarantine"].collect()}
+    assert q == {"P1": "participant id missing", "P2": "missing required field", "P3": "missing required field"}
+    assert [r.match_id for r in out["sessions"].collect()] == ["P4"]
+    assert out["ticks"].count() == 4 and out["incidents"].count() == 3
