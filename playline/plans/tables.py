@@ -41,7 +41,7 @@ def append_if_absent(new: DataFrame, existing: DataFrame | None, keys) -> DataFr
     and never shuffled - and the anti join then runs on two small inputs."""
     keys = list(keys)
     batch = dedup_first(new, keys)
-    if existing is None:
+    if existing is None or existing.isEmpty():
         return batch
     hits = existing.select(*keys).join(batch.select(*keys), keys, "left_semi")
     return batch.join(hits, keys, "left_anti")
@@ -52,6 +52,7 @@ class TableStore:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self._cache = None      # (version, commit_id, entries) of the last manifest read by this writer
 
     # -- manifest -----------------------------------------------------------
     def _manifest(self) -> DataFrame:
@@ -74,17 +75,26 @@ class TableStore:
             return None
         return (best["version"], best["commit_id"]) if best else None
 
+    def _state(self):
+        if self._cache is None:
+            latest = self._latest()
+            if latest is None:
+                self._cache = (0, None, [])
+            else:
+                rows = (self._manifest().where((F.col("version") == latest[0]) & (F.col("commit_id") == latest[1]))
+                        .select("table", "path").collect())
+                self._cache = (int(latest[0]), latest[1], [(r["table"], r["path"]) for r in rows])
+        return self._cache
+
+    def refresh(self) -> None:
+        """Forget the cached manifest (another writer may have committed)."""
+        self._cache = None
+
     def _entries(self) -> list:
-        latest = self._latest()
-        if latest is None:
-            return []
-        m = self._manifest()
-        return (m.where((F.col("version") == latest[0]) & (F.col("commit_id") == latest[1]))
-                .select("table", "path").collect())
+        return [{"table": t, "path": p} for t, p in self._state()[2]]
 
     def version(self) -> int:
-        latest = self._latest()
-        return int(latest[0]) if latest else 0
+        return self._state()[0]
 
     def paths(self) -> dict[str, list[str]]:
         out: dict[str, list[str]] = {}
@@ -127,6 +137,7 @@ class TableStore:
         rows = [(v, cid, t, p, len(entries)) for t, p in entries]
         (self.spark.createDataFrame(rows, MANIFEST_SCHEMA).coalesce(1)
          .write.mode("error").json(f"{self.root}/_manifest/m{v:06d}-{cid}"))
+        self._cache = (v, cid, entries)
         return v
 
 

@@ -155,8 +155,11 @@ def test_store_survives_a_crashed_commit(spark, tmp_path):
     a.write.parquet(str(tmp_path / "s" / "data" / "t" / "v000002-deadbeef"))
     spark.createDataFrame([(2, "deadbeef", "t", "x", 5)], "version long, commit_id string, table string, "
                           "path string, n_entries long").write.json(str(tmp_path / "s" / "_manifest" / "m000002-deadbeef"))
+    store.refresh()                                        # re-read the manifest from storage
     assert store.version() == 1 and store.read("t").count() == 3
     assert store.commit({"t": a}) == 2 and store.read("t").count() == 6
+    fresh = TableStore(spark, str(tmp_path / "s"))        # another reader sees the same state
+    assert fresh.version() == 2 and fresh.read("t").count() == 6
 
 
 def test_ensure_tables_creates_then_checks(spark, tmp_path):
