@@ -89,8 +89,13 @@ def main() -> None:
 
     run("publish", pub)
     total = round(sum(timings.values()), 3)
+    label = os.path.basename(sf).replace("sf", "")
+    try:
+        sf_value = float(label)
+    except ValueError:
+        sf_value = label
     print(json.dumps({"metric": "total_sec", "value": total, "unit": "sec", "queries": timings,
-                      "sf": os.path.basename(sf).replace("sf", ""), "cpus": cpus, "restarts": restarts}))
+                      "sf": sf_value, "cpus": cpus, "restarts": restarts}))
 
 
 if __name__ == "__main__":
