@@ -119,6 +119,31 @@ def _pace(s, sf):
     return RP.pace_curves(ti, _labels(se), CFG.curve_min_count, CFG.curve_min_share)
 
 
+_NAMES = " ".join(f"WHEN {k} THEN '{v}'" for k, v in RP.CLUSTER_NAMES.items())
+PC_LOW = """
+pc_low AS (
+  SELECT p.cluster_id, p.timestamp_min, p.avg_gold FROM (
+    SELECT l.cluster_id, t.timestamp_min, count(*) AS match_count, avg(CAST(t.gold AS DOUBLE)) AS avg_gold
+    FROM labels_fixed l JOIN ticks t ON t.match_id = l.match_id GROUP BY l.cluster_id, t.timestamp_min) p
+  JOIN (SELECT cluster_id, count(*) AS cluster_size FROM labels_fixed GROUP BY cluster_id) s
+    ON s.cluster_id = p.cluster_id
+  WHERE p.match_count >= greatest(3, round(s.cluster_size * 0.1))
+)"""
+
+
+@register("pace_curves_named", R(
+    f"SELECT cluster_id, timestamp_min, avg_gold, CASE cluster_id {_NAMES} END AS cluster_name FROM pc_low",
+    "avg_gold", extra=PC_LOW))
+def _pace_named(s, sf):
+    """J17 (cluster id -> display name, a broadcast of the k-row name dimension)
+    on pace curves with a 10 % support share, so that at the check scale both
+    retained and dropped (cluster, tick) cells occur."""
+    from pyspark.sql import functions as F2
+    se, ti = T2(s, sf)
+    curves = RP.pace_curves(ti, _labels(se), CFG.curve_min_count, 0.1)
+    return curves.join(F2.broadcast(RP.cluster_name_dim(s)), "cluster_id", "left")
+
+
 @register("missing_members", R(
     "SELECT DISTINCT cluster_id FROM labels_fixed WHERE cluster_id NOT IN (SELECT cluster_id FROM pc)", extra=EXTRA))
 def _missing(s, sf):
