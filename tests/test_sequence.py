@@ -77,3 +77,16 @@ def test_empty_inputs(spark):
     df = skewed(spark, 10).where("id < 0")
     assert number_rows(df, ["grp"], ["ts", "id"], out="n").count() == 0
     assert rolling_prior_mean(df.withColumn("win", F.lit(1)), ["grp"], ["ts", "id"], "win").count() == 0
+
+
+def test_offset_lookup_exact_offsets(spark):
+    from playline.operators.sequence import offset_lookup
+    t = spark.createDataFrame([("a", 3, 30), ("a", 4, 40), ("a", 6, 60), ("a", 7, 70), ("b", 5, 5)],
+                              "k string, t int, v int")
+    prev = offset_lookup(t, "k", "t", "v", -1, "p")
+    nxt = offset_lookup(prev, "k", "t", "v", 1, "n")
+    back3 = offset_lookup(nxt, "k", "t", "v", -3, "b3", default=0)
+    got = {(r.k, r.t): (r.p, r.n, r.b3) for r in back3.collect()}
+    # tick 6 has no tick 5: the adjacent row (tick 4) is not a hit
+    assert got == {("a", 3): (None, 40, 0), ("a", 4): (30, None, 0), ("a", 6): (None, 70, 30),
+                   ("a", 7): (60, None, 40), ("b", 5): (None, None, 0)}
