@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from playline.config import DEFAULT, AnalysisConfig
 from playline.functions.scalars import time_bucket, ts_literal
-from playline.operators.sequence import max_true_run, nearest_anchor, rolling_prior_mean
+from playline.operators.sequence import gap_flags, max_true_run, nearest_anchor, rolling_prior_mean
 
 KEY, TICK = "match_id", "timestamp_min"
 
@@ -105,19 +105,17 @@ def incident_context(sessions: DataFrame, ticks: DataFrame, incidents: DataFrame
         lead = F.col("gold_at_death") - F.col("avg_gold")
     else:
         raise ValueError("missing must be 'zero' or 'unknown'")
-    w = Window.partitionBy(KEY).orderBy("death_number")
-    prev = F.lag(TICK).over(w)
     thr, t = cfg.swing_threshold, F.col(TICK)
     df = (si.join(F.broadcast(base), TICK, "left")
           .join(a.select(KEY, "anchor_gold"), KEY, "left")
           .withColumn("gold_lead_approx", lead.cast("double"))
-          .withColumn("_prev", prev))
+          .transform(lambda d: gap_flags(d, KEY, "death_number", TICK, cfg.spiral_gap, out="_spiral")))
     return df.select(
         KEY, "death_number", TICK, "gold_at_death", "gold_lead_approx",
         ((F.col("gold_lead_approx") > thr) & (t <= cfg.laning_end)).alias("is_overextension_ahead"),
         ((F.col("gold_lead_approx") < -thr) & (t <= cfg.laning_end)).alias("is_deficit_fight"),
         (t < cfg.early_tick).alias("is_early_death"),
-        F.coalesce((t - F.col("_prev")) <= cfg.spiral_gap, F.lit(False)).alias("is_tilt_spiral"),
+        F.col("_spiral").alias("is_tilt_spiral"),
         F.coalesce((t > cfg.laning_end) & (F.col("anchor_gold") > mean_anchor + thr),
                    F.lit(False)).alias("is_post_laning_throw"))
 
