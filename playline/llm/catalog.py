@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from playline.llm import mixing, quality, secrets
+from playline.llm import bpe, fingerprint, mixing, quality, secrets
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
+    "op2_fingerprints": fingerprint.op2_fingerprints,
     "op3_source_mixing": mixing.op3_source_mixing,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op9_bpe": bpe.op9_bpe,
 }
 ORACLES = {
     "op1_secret_scans": secrets.ORACLE,
