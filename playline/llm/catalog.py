@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from playline.llm import bpe, fingerprint, language, mixing, quality, secrets
+from playline.llm import bpe, fingerprint, language, mixing, pii, quality, secrets
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
     "op2_fingerprints": fingerprint.op2_fingerprints,
     "op3_source_mixing": mixing.op3_source_mixing,
+    "op4_pii": pii.op4_pii,
     "op5_language": language.op5_language,
     "op6_quality_rules": quality.op6_quality_rules,
     "op9_bpe": bpe.op9_bpe,
