@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from playline.llm import bpe, fingerprint, language, mixing, pii, quality, secrets
+from playline.llm import bpe, fingerprint, language, mixing, pages, pii, quality, secrets
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_pii": pii.op4_pii,
     "op5_language": language.op5_language,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op7_html": pages.op7_html,
     "op9_bpe": bpe.op9_bpe,
 }
 ORACLES = {
