@@ -10,7 +10,7 @@ words between batches.
 Defined cases: null or empty text has no tokens and decodes to the empty text;
 added tokens of the file found in a text become their own id, as the
 tokenizers library does by default; repeated rows and null ids keep their rows;
-whole texts of any length; extra columns pass through ``encode``.
+whole texts of any length; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -158,25 +158,12 @@ class Encoder:
         return b"".join([raw[i] for i in np.frombuffer(ids, dtype="<u4").tolist()]).decode("utf-8", errors="replace")
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """Append ``ids`` (array<int>) and ``decoded`` (text) to ``docs`` (needs ``text``)."""
-    tables = load(path)
-
-    def make():
-        enc = Encoder(tables)
-
-        def work(texts):
-            ids = enc.encode(texts)
-            return {"ids": [np.frombuffer(x, dtype="<u4").astype(np.int32) for x in ids],
-                    "decoded": [enc.decode(x) for x in ids]}
-
-        return work
-
-    return map_texts(docs, "text", make, "ids array<int>, decoded string")
+def _sha(b: bytes) -> str:
+    return hashlib.sha256(b).hexdigest()
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens and the digests of ids and decoded text."""
+def tokens(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
+    """Every row with its columns but ``text``, and n_tokens, the digests and (unless switched off) the ids."""
     tables = load(path)
 
     def make():
@@ -184,14 +171,16 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
         def work(texts):
             ids = enc.encode(texts)
-            sha = lambda b: hashlib.sha256(b).hexdigest()
-            return {"n_tokens": [len(x) // 4 for x in ids], "ids_sha256": [sha(x) for x in ids],
-                    "decoded_sha256": [sha(enc.decode(x).encode()) for x in ids]}
+            out = {"n_tokens": [len(x) // 4 for x in ids], "ids_sha256": [_sha(x) for x in ids],
+                   "decoded_sha256": [_sha(enc.decode(x).encode()) for x in ids]}
+            if with_ids:
+                out["ids"] = [np.frombuffer(x, dtype="<u4").astype(np.int32) for x in ids]
+            return out
 
         return work
 
-    return map_texts(docs.select("doc_id", "text"), "text", make,
-                     "n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    schema = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    return map_texts(docs, "text", make, schema + (", ids array<int>" if with_ids else ""))
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -201,4 +190,4 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(documents(spark, sf_dir), tokenizer_path())
+    return tokens(documents(spark, sf_dir).select("doc_id", "text"), tokenizer_path(), with_ids=False)

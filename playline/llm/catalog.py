@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from playline.llm import bpe, fingerprint, language, mixing, pages, pii, quality, secrets
+from playline.llm import bpe, fingerprint, jaccard, language, mixing, pages, pii, quality, secrets, substring
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
@@ -12,9 +12,13 @@ QUERIES = {
     "op5_language": language.op5_language,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_html": pages.op7_html,
+    "op8_jaccard_join": jaccard.op8_jaccard_join,
     "op9_bpe": bpe.op9_bpe,
+    "op10_substring_dedup": substring.op10_substring_dedup,
 }
 ORACLES = {
     "op1_secret_scans": secrets.ORACLE,
     "op6_quality_rules": quality.ORACLE,
+    "op8_jaccard_join": jaccard.ORACLE,
+    "op10_substring_dedup": substring.ORACLE,
 }

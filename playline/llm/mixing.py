@@ -17,7 +17,7 @@ twice its own, the excess shared again by weight.
 Defined cases: null or blank text has size 0 and takes 0; a null source is a
 source, last in order; null ids are ordinary; equal (id, source, size) rows share
 one draw; an empty table gives no rows; the draw is a hash of ids and seed, so
-reruns agree; extra columns are carried by ``copies``.
+reruns agree; extra columns are kept by ``copies``.
 """
 
 from __future__ import annotations
@@ -155,10 +155,9 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def copies(docs: DataFrame) -> DataFrame:
     """The mixed corpus: every document as often as it was taken, with its own columns."""
-    cols = docs.columns
-    m = (mix(docs).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("_n"))
-         .select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z"), "_n"))
-    d = docs.withColumn("_size", F.regexp_count(text_of(), F.lit(WORD)).cast("long"))
-    return (d.join(m, d["doc_id"].eqNullSafe(m["_i"]) & d["source"].eqNullSafe(m["_s"]) & (d["_size"] == m["_z"]))
-            .filter("_n > 0").withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
-            .select(*cols))
+    m = (mix(docs).filter("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").alias("n"))
+         .select(F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("size").alias("z"), "n"))
+    d = docs.select(F.struct("*").alias("_doc"), "doc_id", "source",
+                    F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"))
+    return (d.join(m, d["doc_id"].eqNullSafe(m["i"]) & d["source"].eqNullSafe(m["s"]) & (d["size"] == m["z"]))
+            .select("_doc", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("_doc.*"))

@@ -296,10 +296,13 @@ def _masked(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 def redact(docs: DataFrame) -> DataFrame:
     """The same columns, with every span of ``text`` replaced by its kind in brackets; null stays null."""
-    model, cols = train(docs), docs.columns
+    model = train(docs)
 
     def make():
-        return lambda texts: {"_masked": [_masked(t, a) for t, (_, a) in zip(texts, find(texts, model))]}
+        return lambda texts: {"masked": [_masked(t, a) for t, (_, a) in zip(texts, find(texts, model))]}
 
-    out = map_texts(docs.withColumn("_null", F.col("text").isNull()), "text", make, "_masked string")
-    return out.withColumn("text", F.when(~F.col("_null"), F.col("_masked"))).select(*cols)
+    rest = [c for c in docs.columns if c != "text"]
+    out = map_texts(docs.select(F.struct(*rest).alias("_doc"), F.col("text").isNull().alias("_null"), "text"),
+                    "text", make, "masked string")
+    text = F.when(~F.col("_null"), F.col("masked")).alias("text")
+    return out.select(*[text if c == "text" else F.col("_doc")[c].alias(c) for c in docs.columns])

@@ -43,10 +43,10 @@ def _repeat_words(words: Column, n: Column) -> Column:
         lambda i: F.xxhash64(words[i], words[i + 1], words[i + 2]))).otherwise(F.array().cast("array<bigint>"))
 
 
-def measures(df: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
-    """Append the base counts and the rule numbers of every whole text."""
+def measures(df: DataFrame) -> DataFrame:
+    """Append the base counts and the rule numbers of every whole ``text``."""
     t = "_t"
-    d = df.withColumn(t, text_of(text))
+    d = df.withColumn(t, text_of())
     d = (d.withColumn("_words", words_of(F.col(t)))
           .withColumn("_lines", F.filter(F.split(F.col(t), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
           .withColumn("_wc", F.length(F.regexp_replace(F.col(t), r"[\x20\x09-\x0D]+", "")).cast("long"))
@@ -73,7 +73,7 @@ def measures(df: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
         "base_failed": (F.col("_n") < 50) | (F.col("_rep") * 100 > F.col("_n") * 50),
         "symbol_rate": F.col("_sym") / n1, "dup_line_share": F.col("_dl") / F.greatest(F.col("_nl"), F.lit(1)),
         "repeat_share": F.col("_rep") / n1, "shout_rate": F.col("_bang") / n1, "word_length": F.col("_wc") / n1}
-    return d.select(*[F.col(f"`{c}`") for c in df.columns], *[v.alias(prefix + k) for k, v in out.items()])
+    return d.select(*[F.col(f"`{c}`") for c in df.columns], *[v.alias(k) for k, v in out.items()])
 
 
 def binomial_cdf(k: int, n: int, p: float) -> float:
@@ -153,14 +153,9 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def filter_docs(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the rules keep, with their own columns."""
-    cols = docs.columns
-    m = measures(docs, prefix="q_")
-    plain = m.select("doc_id", "lang", *[F.col(f"q_{r}").alias(r) for r in [*RULES, "base_failed"]])
-    cut = thresholds(plain, labels)
-    keep = ~F.col("q_base_failed")
-    for (lang, rule), c in cut.items():
-        keep = keep & ~(F.col("lang").eqNullSafe(F.lit(lang)) & (F.col(f"q_{rule}") >= c))
-    return m.filter(keep).select(*cols)
+    m = measures(docs.select(F.struct("*").alias("_doc"), "doc_id", "lang", "text"))
+    cut = thresholds(m.drop("_doc", "text"), labels)
+    return m.filter(verdict(cut)).select("_doc.*")
 
 
 def _sql() -> str:
