@@ -106,14 +106,15 @@ def thresholds(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, del
     row of counts per language."""
     lab = (labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
            .groupBy("doc_id").agg((F.max("quality") > 0).alias("_good")))
-    rows = measured.filter(~F.col("base_failed")).join(lab, "doc_id")
-    sums = []
+    # conditions stay inside the sums: a filter would be pushed below the measures and repeat them
+    rows, judged = measured.join(lab, "doc_id"), ~F.col("base_failed")
+    sums = [F.count_if(judged).alias("judged"), F.count_if(judged & F.col("_good")).alias("n")]
     for rule, grid in RULES.items():
         for j, c in enumerate(grid):
-            hit = F.col(rule) >= c
+            hit = judged & (F.col(rule) >= c)
             sums += [F.count_if(hit & F.col("_good")).alias(f"g_{rule}_{j}"),
                      F.count_if(hit & ~F.col("_good")).alias(f"b_{rule}_{j}")]
-    counts = rows.groupBy("lang").agg(F.count_if("_good").alias("n"), *sums).collect()
+    counts = [r for r in rows.groupBy("lang").agg(*sums).collect() if r["judged"]]
     level = delta / max(1, len(counts) * len(RULES))
     chosen = {}
     for r in counts:
@@ -155,7 +156,9 @@ def filter_docs(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the rules keep, with their own columns."""
     m = measures(docs.select(F.struct("*").alias("_doc"), "doc_id", "lang", "text"))
     cut = thresholds(m.drop("_doc", "text"), labels)
-    return m.filter(verdict(cut)).select("_doc.*")
+    # the row number is not deterministic, which keeps the filter above the measures: they are computed once
+    m = m.withColumn("_row", F.monotonically_increasing_id())
+    return m.filter(verdict(cut) & (F.col("_row") >= 0)).select("_doc.*")
 
 
 def _sql() -> str:
