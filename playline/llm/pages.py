@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from playline.llm.arrow import map_texts
 
-SAMPLE_PAGES, PAGE_BLOCKS, WIDTH, EPOCHS = 300, 1000, 1 << 14, 60
+SAMPLE_PAGES, PAGE_BLOCKS, COPIES, WIDTH, EPOCHS = 200, 1000, 6, 1 << 14, 60
 
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -172,14 +172,14 @@ def _own(block) -> list[str]:
            f"stop{min((text.count('. ') + text.count(', ')) * 20 // n, 4)}", f"digit{any(c.isdigit() for c in text[:200])}",
            f"first{text[0] if text[0] in '©&|»›' else text[0].isupper()}", f"depth{min(len(path), 8)}",
            f"top{path[-1].partition(' ')[0] if path else ''}"]
+    aside = False
     for p in set(path):
         tag = p.partition(" ")[0]
         out.append("t:" + tag)
         words = _words(p)
         out += [f"c:{w}" for w in words]
-        if tag in ASIDE_TAGS or not ASIDE_WORDS.isdisjoint(words):
-            out.append("aside")
-    return out
+        aside = aside or tag in ASIDE_TAGS or not ASIDE_WORDS.isdisjoint(words)
+    return [*out, f"aside{aside}", f"{aside}:{out[7]}", f"{aside}:{out[0]}:{link}"]
 
 
 def features(bs: list[tuple]) -> list[list[int]]:
@@ -306,7 +306,7 @@ def train(pages: DataFrame) -> dict | None:
                     out.append([])
                     continue
                 seed = zlib.crc32(p.encode())
-                copies = [(bs, ys), *(altered(bs, ys, seed + k) for k in range(3))]
+                copies = [(bs, ys), *(altered(bs, ys, seed + k) for k in range(COPIES))]
                 out.append([{"y": y, "x": [f for f in features(b)]} for b, y in copies])
             return {"got": out}
         return work
@@ -314,7 +314,7 @@ def train(pages: DataFrame) -> dict | None:
     schema = "got array<struct<y:array<int>,x:array<array<int>>>>"
     got = map_texts(rows.filter(F.col("page_id").isin(ids)), "html", make, schema).collect()
     got = sorted(((r["page_id"], c["x"], c["y"]) for r in got for c in r["got"]), key=lambda r: (r[0], r[2], r[1]))
-    got = [(x, y) for _, x, y in got[:4 * 2 * SAMPLE_PAGES]]
+    got = [(x, y) for _, x, y in got[:2 * SAMPLE_PAGES * (COPIES + 1)]]
     return fit(got) if got else None
 
 

@@ -4,7 +4,8 @@ Base rules give fixed spans. High-recall generators propose further, overlapping
 spans (any address around an at sign, spelt-out addresses, any digit chain and
 its parts); gradient-boosted trees score each from its format and its context,
 Platt scaling calibrates the scores on held-out candidates, and per kind the
-least threshold with PRECISION on those held-out candidates selects redactions.
+least threshold (LEAST or more) with PRECISION on those held-out candidates selects
+redactions.
 Selected spans never displace base spans: what overlaps a base span or a better
 selected one is left out.
 
@@ -33,7 +34,7 @@ from playline.llm.arrow import map_texts
 from playline.llm.common import documents, text_of
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_DOCS, PER_DOC, PRECISION, LEAST = 2000, 40, 0.98, 0.9
+SAMPLE_DOCS, PER_DOC, PRECISION, LEAST = 2000, 40, 0.98, 0.5
 
 # The base patterns. A run that fails at its first character
 # fails at the others too, so looking behind keeps the matches and saves time.
@@ -226,10 +227,9 @@ def train(docs: DataFrame) -> dict | None:
         pk, yk = p[kh == k], yh[kh == k]
         best = 2.0  # a kind without enough evidence selects nothing
         for t in sorted(set(pk[yk > 0].tolist()), reverse=True):
-            if t < LEAST:
-                break
-            if (yk[pk >= t].sum() / (pk >= t).sum()) >= PRECISION:
-                best = t
+            if t >= LEAST and yk[pk >= t].mean() >= PRECISION:
+                # halfway to the next lower held-out score
+                best = max(LEAST, (t + max(pk[pk < t], default=0.0)) / 2)
         cut.append(best)
     return {"trees": model, "a": a, "b": b, "cut": cut}
 

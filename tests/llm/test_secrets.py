@@ -1,0 +1,75 @@
+import hashlib
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from playline.llm import secrets as S
+from playline.session import shared_path
+from tests.llm.helpers import awkward, empty, row
+
+BASE = [("assign", re.compile(r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"), 2, 6),
+        ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 20), ("hex", re.compile(r"[0-9a-f]+"), 0, 24)]
+
+
+def brute(text):
+    out = []
+    for k, (kind, rx, group, least) in enumerate(BASE):
+        out += [(m.start(), k, f"{kind}:{m.start()}:{m.end()}") for m in rx.finditer(text or "") if len(m.group(group)) >= least]
+    return [x[2] for x in sorted(out)]
+
+
+def samples():
+    rng = random.Random(4)
+    parts = ["password", "Token", "api_key", "APIKEY", "secret", "=", ":", " = ", "\"", "'", "abcdef12", "x", "é", "\n", " ",
+             "AKIA", "ABCDEFGHIJ0123456789", "0123456789abcdef" * 2, "deadbeef", "ghp_" + "a" * 36, "🙂", "token=secret=abcdef"]
+    return ["".join(rng.choice(parts) for _ in range(rng.randint(1, 40))) for _ in range(400)]
+
+
+def test_base_spans_match_a_plain_scan(spark):
+    texts = samples()
+    docs = awkward(spark, [row(100 + i, t) for i, t in enumerate(texts)])
+    got = S.digests(S.scan(docs, shared_path(spark, "t"))).collect()
+    assert len(got) == docs.count()
+    by = {r["doc_id"]: r for r in got if r["doc_id"] is not None and r["doc_id"] >= 100}
+    for i, t in enumerate(texts):
+        want, r = brute(t), by[100 + i]
+        assert r["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(w.startswith(k) for w in want) for k, *_ in BASE]
+        assert set(want) <= set(r["spans"].split(","))
+    none = next(r for r in got if r["doc_id"] == 5)
+    assert none["spans"] == "" and none["base_sha256"] == hashlib.sha256(b"").hexdigest()
+    assert S.scan(empty(spark), shared_path(spark, "t")).count() == 0
+
+
+def test_ledger_scans_only_new_pairs(spark):
+    ledger = shared_path(spark, "ledger")
+    first = spark.createDataFrame([row(1, "password=abcdef99"), row(2, "password=abcdef99"), row(3, "nothing")],
+                                  "doc_id long, text string, lang string, source string, n_chars long, size string, _doc int, kept string")
+    one = S.digests(S.scan(first, ledger)).collect()
+    assert spark.read.parquet(ledger).count() == 2  # two blobs for three paths
+    assert [r["n_assign"] for r in sorted(one)] == [1, 1, 0]
+    later = first.union(spark.createDataFrame([row(4, "AKIA" + "B" * 16)], first.schema))
+    two = S.digests(S.scan(later, ledger)).collect()
+    assert spark.read.parquet(ledger).count() == 3  # only the unseen blob
+    assert {r["doc_id"]: r["n_assign"] + r["n_access"] for r in two} == {1: 1, 2: 1, 3: 0, 4: 1}
+    # a new version of one rule is scanned on every blob, the others are not scanned again
+    rules = (S.RULES[0], S.Rule("access", 2, r"AKIA[A-Z0-9]{10,}"), *S.RULES[2:])
+    S.scan(later, ledger, rules).count()
+    added = spark.read.parquet(ledger).filter(F.array_contains("keys", "access@2"))
+    assert added.count() == 3 and added.filter(F.size("keys") > 1).count() == 0
+    again = S.digests(S.scan(later, ledger, rules), rules).collect()
+    assert {r["doc_id"]: r["n_assign"] + r["n_access"] for r in again} == {1: 1, 2: 1, 3: 0, 4: 1}
+    assert spark.read.parquet(ledger).count() == 6
+
+
+def test_plan_has_no_python(spark):
+    df = S.scan_blobs(awkward(spark).select("text").withColumn("missing", F.array(F.lit("hex@1"))))
+    assert "Python" not in df._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("text", ["token: key", "password=token :abcdef", "a" * 3000 + "0" * 24])
+def test_short_groups_use_up_their_text(spark, text):
+    got = S.digests(S.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), shared_path(spark, "t"))).first()
+    assert got["base_sha256"] == hashlib.sha256(",".join(brute(text)).encode()).hexdigest()
