@@ -50,16 +50,16 @@ def validation_report(fm: DataFrame, features) -> DataFrame:
 def validate(fm: DataFrame, cfg: AnalysisConfig = DEFAULT) -> None:
     missing = [c for c in cfg.features if c not in fm.columns]
     if missing:
-        raise FeatureValidationError(f"Missing model features: {missing}")
+        raise FeatureValidationError(f"the feature table lacks {', '.join(missing)}")
     rep = validation_report(fm, cfg.features).collect()   # one row per feature (metadata-sized)
     n = rep[0]["rows"] if rep else 0
     if n <= cfg.k:
-        raise FeatureValidationError(f"K-Means requires more than {cfg.k} feature rows.")
+        raise FeatureValidationError(f"{cfg.k} clusters need at least {cfg.k + 1} rows, got {n}")
     nulls = [r["feature"] for r in rep if r["nulls"]]
     if nulls:
-        raise FeatureValidationError(f"NULL values found in model features: {nulls}")
+        raise FeatureValidationError(f"rows without a value in {', '.join(nulls)}")
     if any(r["non_finite"] for r in rep):
-        raise FeatureValidationError("Non-finite values found in model features.")
+        raise FeatureValidationError("a feature is NaN or infinite")
 
 
 # ---------------------------------------------------------------- M2 -------

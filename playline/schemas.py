@@ -91,9 +91,7 @@ def assert_columns(df: DataFrame, name: str, expected) -> None:
     missing, unexpected = schema_diff(df.columns, expected)
     if missing or unexpected:
         raise SchemaContractError(
-            f"Schema mismatch for table {name}: "
-            f"missing columns: {', '.join(missing) or 'none'}; "
-            f"unexpected columns: {', '.join(unexpected) or 'none'}")
+            f"{name} breaks its column contract (absent: {missing}, not declared: {unexpected})")
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:

@@ -19,45 +19,50 @@ def spark():
     yield s
 
 
-# Season boundary of the default configuration is 2026-01-10.
-S15 = dt.datetime(2025, 12, 15, 12)
-S16 = [dt.datetime(2026, 1, 15, 12), dt.datetime(2026, 2, 1, 12), dt.datetime(2026, 2, 15, 12),
-       dt.datetime(2026, 3, 1, 12)]
 CFG = AnalysisConfig()
+LAST_TICK = 18
+OLD = dt.datetime(2025, 11, 3, 9, 30)
 
 
-def session_row(mid, when, win, champ, k, d, a, cs, role="MIDDLE", opp="Bravo", opp_cs=150, version="16.1"):
-    return (mid, "puuid1", when, version, 420, 1800, 1, champ, 100, role, "MID", win, k, d, a,
-            (k + a) / max(d, 1), cs, 6.0, 12000, 20000, 30, opp, opp_cs, 11000, 2, 3, 1)
+def day(n: int) -> dt.datetime:
+    return dt.datetime(2026, 2, 2, 20, 15) + dt.timedelta(days=3 * n)
+
+
+def gold_at(tick: int) -> int:
+    return 400 + 310 * tick
+
+
+def session_row(mid, when, win, champ="Mote", role="MIDDLE", rival="Flint", kills=4, deaths=3, assists=7, cs=154):
+    rival_part = (rival, 148, 9400, 3, 4, 6) if rival else (None,) * 6
+    return (mid, "u-7", when, "16.3", 420, 1680, 11, champ, 200, role, role, win, kills, deaths, assists,
+            (kills + assists) / max(deaths, 1), cs, 5.5, 10250, 17300, 21, *rival_part)
+
+
+# Own design: "old" lies before the season; n1..n5 go loss, win, win, loss, win.
+SESSIONS = [("old", OLD, True), ("n1", day(0), False), ("n2", day(1), True), ("n3", day(2), True),
+            ("n4", day(3), False), ("n5", day(4), True)]
+# From tick 10 on n4 is 900 ahead of the common line and n5 800 behind it.
+SHIFT = {"n4": 900, "n5": -800}
+INCIDENT_TICKS = {"old": [4], "n1": [2, 4, 10, 13], "n2": [], "n3": [6, 7, 8, 16], "n4": [1, 14, 15], "n5": [9, 12]}
+
+
+def tick_row(mid, t):
+    gold = gold_at(t) + (SHIFT.get(mid, 0) if t >= 10 else 0)
+    return [mid, t, gold, 7 * t, 90 * t, 0, 6000 + 20 * t, 6000 + 20 * t]
 
 
 def fixture_tables(spark, extra_sessions=(), tick_updates=None, extra_ticks=()):
-    """The feature unit fixture: one out-of-season and four in-season sessions
-    (W, L, W, L), ticks 0-20 with gold 500+250t and cs 8t on the diagonal, and
-    incidents at ticks 5,7,9,11 / 3,8,12,14,15 / none / 3,15."""
-    sessions = [session_row("S15_MATCH", S15, True, "Alpha", 5, 2, 3, 180, opp_cs=160)]
-    for mid, when, win, champ, k, d, a, cs in [
-            ("S16_A", S16[0], True, "Alpha", 5, 2, 3, 180), ("S16_B", S16[1], False, "Alpha", 4, 5, 2, 160),
-            ("S16_C", S16[2], True, "Charlie", 6, 1, 4, 200), ("S16_D", S16[3], False, "Alpha", 3, 4, 5, 140)]:
-        sessions.append(session_row(mid, when, win, champ, k, d, a, cs))
-    sessions += list(extra_sessions)
-    ticks = {}
-    for mid in ["S15_MATCH", "S16_A", "S16_B", "S16_C", "S16_D"]:
-        for m in range(21):
-            ticks[(mid, m)] = [mid, m, 500 + m * 250, m * 8, m * 100, 0, 7500 + m * 10, 7500 + m * 10]
-    for row in extra_ticks:
-        ticks[(row[0], row[1])] = list(row)
-    for (mid, m), upd in (tick_updates or {}).items():
-        for col, val in upd.items():
-            idx = ["match_id", "timestamp_min", "gold", "cs", "xp", "kills", "position_x", "position_y"].index(col)
-            ticks[(mid, m)][idx] = val
-    deaths = [("S16_A", 1, 300000, 5, 2750, 40), ("S16_A", 2, 420000, 7, 3250, 56),
-              ("S16_A", 3, 540000, 9, 3750, 72), ("S16_A", 4, 660000, 11, 4250, 88),
-              ("S16_B", 1, 180000, 3, 2000, 24), ("S16_B", 2, 480000, 8, 3500, 64),
-              ("S16_B", 3, 720000, 12, 4500, 96), ("S16_B", 4, 840000, 14, 5000, 112),
-              ("S16_B", 5, 900000, 15, 5250, 120),
-              ("S16_D", 1, 180000, 3, 2000, 24), ("S16_D", 2, 900000, 15, 5000, 120)]
-    se = spark.createDataFrame(sessions, sessions_schema())
-    ti = spark.createDataFrame([tuple(v) for v in ticks.values()], TICKS_SCHEMA)
-    de = spark.createDataFrame(deaths, INCIDENTS_SCHEMA)
-    return se, ti, de
+    """(sessions, ticks, incidents); ``tick_updates`` overrides columns of (session, tick)."""
+    columns = TICKS_SCHEMA.fieldNames()
+    ticks = {(m, t): tick_row(m, t) for m, _, _ in SESSIONS for t in range(LAST_TICK + 1)}
+    for r in extra_ticks:
+        ticks[(r[0], r[1])] = list(r)
+    for key, new in (tick_updates or {}).items():
+        for name, value in new.items():
+            ticks[key][columns.index(name)] = value
+    incidents = [(m, n + 1, t * 60_000 + 500, t, ticks[(m, t)][2], ticks[(m, t)][3])
+                 for m, ts in INCIDENT_TICKS.items() for n, t in enumerate(ts)]
+    rows = [session_row(*s) for s in SESSIONS] + list(extra_sessions)
+    return (spark.createDataFrame(rows, sessions_schema()),
+            spark.createDataFrame([tuple(v) for v in ticks.values()], TICKS_SCHEMA),
+            spark.createDataFrame(incidents, INCIDENTS_SCHEMA))

@@ -1,128 +1,122 @@
-"""Feature operators on the hand-made five-session fixture."""
+"""Feature operators on the small hand-made season of conftest (goldens worked out by hand there)."""
 
 from __future__ import annotations
 
-import math
-
+import pytest
 from pyspark.sql import functions as F
 
 from playline.operators import features as FT
-from tests.conftest import CFG, S16, fixture_tables, session_row
+from tests.conftest import CFG, day, fixture_tables, gold_at, session_row, tick_row
+
+SEASON = ["n1", "n2", "n3", "n4", "n5"]
+
+
+def by_id(df):
+    return {r["match_id"]: r for r in df.collect()}
 
 
-def rows(df, *order):
-    return [r.asDict() for r in df.orderBy(*order).collect()]
+@pytest.fixture(scope="module")
+def season(spark):
+    return fixture_tables(spark)
 
 
-def test_feature_matrix_scope_season(spark):
-    se, ti, de = fixture_tables(spark)
-    fm = FT.feature_matrix(se, ti, de, CFG)
-    ids = {r.match_id for r in fm.collect()}
-    assert ids == {"S16_A", "S16_B", "S16_C", "S16_D"}
+@pytest.fixture(scope="module")
+def matrix(season):
+    return FT.feature_matrix(*season, CFG).cache()
 
 
-def test_scope_excludes_other_roles(spark):
-    extra = [session_row("S16_BOTTOM", S16[3], True, "Alpha", 5, 2, 3, 180, role="BOTTOM", opp_cs=160)]
-    se, ti, de = fixture_tables(spark, extra_sessions=extra)
-    fm = FT.feature_matrix(se, ti, de, CFG)
-    assert "S16_BOTTOM" not in {r.match_id for r in fm.collect()}
-    m = FT.rival_matchups(se, CFG).where("champion_name = 'Alpha' AND opp_champion_name = 'Bravo'").first()
-    assert m.games == 3
+def test_only_season_sessions_of_the_role_are_in_scope(spark):
+    other = [session_row("side", day(5), True, role="BOTTOM"), session_row("alone", day(6), False, rival=None)]
+    tables = fixture_tables(spark, extra_sessions=other)
+    assert sorted(by_id(FT.feature_matrix(*tables, CFG))) == sorted([*SEASON, "alone"])
+    pair = FT.rival_matchups(tables[0], CFG).collect()
+    # five season sessions against Flint; the one without a rival and the one of another role don't count
+    assert [(r.champion_name, r.opp_champion_name, r.games) for r in pair] == [("Mote", "Flint", 5)]
+    assert pair[0].our_winrate == pytest.approx(0.6) and pair[0].cs_diff == pytest.approx(6.0)
 
 
-def test_swing_delta_zero_for_identical_anchors(spark):
-    se, ti, _ = fixture_tables(spark)
-    sw = FT.swing_games(se, ti, CFG).collect()
-    assert {r.match_id for r in sw} == {"S16_A", "S16_B", "S16_C", "S16_D"}
-    assert all(r.gold_delta == 0.0 for r in sw)
+def test_swing_games(season):
+    sw = by_id(FT.swing_games(season[0], season[1], CFG))
+    mean = gold_at(14) + (900 - 800) / 5
+    assert sw["n4"].gold_delta == pytest.approx(gold_at(14) + 900 - mean) == pytest.approx(880)
+    assert sw["n5"].gold_delta == pytest.approx(-820)
+    assert [m for m in SEASON if sw[m].is_throw] == ["n4"] and [m for m in SEASON if sw[m].is_comeback] == ["n5"]
+    assert {sw[m].gold_delta for m in ("n1", "n2", "n3")} == {-20.0}
 
 
-def test_rolling_form_golden(spark):
-    se, _, _ = fixture_tables(spark)
-    out = rows(FT.rolling_form(se, CFG), "game_datetime")
-    assert [r["match_id"] for r in out] == ["S16_A", "S16_B", "S16_C", "S16_D"]
-    assert [round(r["tilt_index"], 4) for r in out] == [0.5, 1.0, 0.5, 0.6667]
+def test_form_before_each_session(season):
+    form = by_id(FT.rolling_form(season[0], CFG))
+    assert [round(form[m].tilt_index, 4) for m in SEASON] == [0.5, 0.0, 0.5, 0.6667, 0.5]
+    assert [form[m].game_number for m in SEASON] == [1, 2, 3, 4, 5]
 
 
 def test_excursion_by_position(spark):
-    se, ti, _ = fixture_tables(spark, tick_updates={("S16_A", 5): {"position_x": 12000, "position_y": 7000},
-                                                   ("S16_A", 6): {"position_x": 12000, "position_y": 7000}})
-    ex = FT.excursions(se, ti, CFG).where("match_id = 'S16_A'").collect()
-    assert len(ex) == 1 and (ex[0].roam_start_min, ex[0].roam_end_min) == (5, 6)
-
-
-def test_excursion_cs_fallback(spark):
-    upd = {("S16_A", m): {"position_x": None, "position_y": None} for m in range(21)}
-    upd[("S16_A", 5)] = {"position_x": None, "position_y": None, "cs": 0}
-    upd[("S16_A", 6)] = {"position_x": None, "position_y": None, "cs": 0}
-    extra = [session_row("S16_E", S16[3], True, "Alpha", 5, 2, 3, 180, opp_cs=160)]
-    extra_ticks = [("S16_E", m, 500 + m * 250, m * 8, m * 100, 0, 7500 + m * 10, 7500 + m * 10) for m in range(21)]
-    se, ti, _ = fixture_tables(spark, extra_sessions=extra, tick_updates=upd, extra_ticks=extra_ticks)
-    ex = FT.excursions(se, ti, CFG).where("match_id = 'S16_A'").collect()
-    assert len(ex) == 1
-    assert (ex[0].roam_start_min, ex[0].roam_end_min, ex[0].roam_result) == (5, 6, "no_impact")
-    # offsets: cs at tick 4 before, tick 7 after; a missing tick is not a lookup hit
-    assert (ex[0].cs_before, ex[0].cs_after) == (32, 56)
-
-
-def test_excursion_runs_over_present_rows(spark):
-    """A missing tick does not break a run; duration counts the gap."""
-    upd = {("S16_A", m): {"position_x": 12000, "position_y": 7000} for m in (5, 7)}
-    se, ti, _ = fixture_tables(spark, tick_updates=upd)
-    ti = ti.where(~((F.col("match_id") == "S16_A") & (F.col("timestamp_min") == 6)))
-    ex = FT.excursions(se, ti, CFG).where("match_id = 'S16_A'").collect()
-    assert len(ex) == 1 and (ex[0].roam_start_min, ex[0].roam_end_min) == (5, 7)
-    assert math.isclose(ex[0].expected_cs_delta, 3 * 6.0)
-
-
-def test_spiral_ratio_and_streak(spark):
-    se, ti, de = fixture_tables(spark)
-    fm = {r.match_id: r for r in FT.feature_matrix(se, ti, de, CFG).collect()}
-    assert all(0.0 <= r.tilt_spiral_ratio <= 1.0 for r in fm.values())
-    assert fm["S16_C"].tilt_spiral_ratio == 0.0 and fm["S16_C"].max_death_streak == 0
-    assert fm["S16_A"].max_death_streak == 3
-    assert fm["S16_A"].tilt_spiral_ratio == 0.75
-
-
-def test_feature_matrix_has_no_nulls(spark):
-    se, ti, de = fixture_tables(spark)
-    fm = FT.feature_matrix(se, ti, de, CFG)
-    nulls = fm.select([F.sum(F.col(c).isNull().cast("int")).alias(c) for c in fm.columns]).first().asDict()
-    assert all(v == 0 for v in nulls.values())
-    assert fm.columns[0] == "match_id" and len(fm.columns) == 19
-
-
-def test_incident_context_excludes_out_of_scope(spark):
-    se, ti, de = fixture_tables(spark)
-    de = de.unionByName(spark.createDataFrame([("S15_MATCH", 1, 300000, 5, 2750, 40)], de.schema))
-    ic = FT.incident_context(se, ti, de, CFG)
-    assert "S15_MATCH" not in {r.match_id for r in ic.collect()}
-
-
-def test_incident_flags_strict_thresholds(spark):
-    se, ti, de = fixture_tables(spark)
-    ic = {(r.match_id, r.death_number): r for r in FT.incident_context(se, ti, de, CFG).collect()}
-    # snapshot 2750 at tick 5 vs the scoped tick-5 mean of 1750: lead +1000
-    assert ic[("S16_A", 1)].gold_lead_approx == 1000.0 and ic[("S16_A", 1)].is_overextension_ahead
-    assert ic[("S16_B", 4)].is_overextension_ahead            # tick 14 is still inside the phase
-    assert not ic[("S16_B", 5)].is_overextension_ahead        # tick 15 is not
-    assert not any(r.is_deficit_fight for r in ic.values())
-    assert ic[("S16_A", 1)].is_early_death and not ic[("S16_A", 1)].is_tilt_spiral
-    assert ic[("S16_A", 2)].is_tilt_spiral
-    assert not ic[("S16_D", 2)].is_tilt_spiral
-
-
-def test_unknown_snapshot_mode(spark):
-    se, ti, de = fixture_tables(spark)
-    de = de.withColumn("gold_at_death", F.when(F.col("death_number") == 1, None).otherwise(F.col("gold_at_death")))
-    zero = {(r.match_id, r.death_number): r for r in FT.incident_context(se, ti, de, CFG).collect()}
-    unk = {(r.match_id, r.death_number): r for r in FT.incident_context(se, ti, de, CFG, "unknown").collect()}
-    assert zero[("S16_A", 1)].is_deficit_fight is True
-    assert unk[("S16_A", 1)].gold_lead_approx is None and unk[("S16_A", 1)].is_deficit_fight is None
+    away = {"position_x": 11000, "position_y": 5500}
+    se, ti, _ = fixture_tables(spark, tick_updates={("n2", 8): away, ("n2", 9): away, ("n3", 6): away})
+    got = [(r.match_id, r.roam_start_min, r.roam_end_min, r.cs_before, r.cs_after) for r in FT.excursions(se, ti, CFG).collect()]
+    assert got == [("n2", 8, 9, 49, 70)]  # one tick alone is too short
 
 
-def test_cs_sacrifice_is_log_transformed(spark):
-    se, ti, de = fixture_tables(spark)
-    fm = FT.feature_matrix(se, ti, de, CFG)
-    lo, hi = fm.agg(F.min("avg_cs_sacrifice"), F.max("avg_cs_sacrifice")).first()
-    assert lo >= 0 and hi < 5
+def test_excursion_by_lost_income(spark):
+    upd = {("n3", t): {"position_x": None, "position_y": None} for t in range(19)}
+    for t in (8, 9):
+        upd[("n3", t)] = {"position_x": None, "position_y": None, "cs": 0}
+    se, ti, _ = fixture_tables(spark, tick_updates=upd)
+    r, = FT.excursions(se, ti, CFG).collect()
+    assert (r.match_id, r.roam_start_min, r.roam_end_min, r.roam_result) == ("n3", 8, 9, "no_impact")
+    assert (r.cs_before, r.cs_after) == (49, 70)
+    assert r.expected_cs_delta == pytest.approx(2 * 5.5) and r.cs_sacrifice == 0.0
+
+
+def test_excursion_runs_over_the_rows_that_exist(spark):
+    away = {"position_x": 11000, "position_y": 5500, "kills": 2}
+    se, ti, _ = fixture_tables(spark, tick_updates={("n1", 9): away, ("n1", 11): away})
+    r, = FT.excursions(se, ti.where("match_id <> 'n1' OR timestamp_min <> 10"), CFG).collect()
+    assert (r.roam_start_min, r.roam_end_min, r.kills_during_roam, r.roam_result) == (9, 11, 2, "impact")
+    assert r.expected_cs_delta == pytest.approx(3 * 5.5)
+
+
+def test_incident_features(matrix):
+    fm = by_id(matrix)
+    assert [fm[m].total_deaths for m in SEASON] == [4, 0, 4, 3, 2]
+    assert [fm[m].tilt_spiral_ratio for m in SEASON] == [0.5, 0.0, 0.5, 0.3333, 0.5]
+    assert [fm[m].max_death_streak for m in SEASON] == [1, 0, 2, 1, 1]
+    assert [fm[m].deaths_while_ahead for m in SEASON] == [0, 0, 0, 1, 0]
+
+
+def test_matrix_is_complete(matrix):
+    assert len(matrix.columns) == 19 and matrix.columns[0] == "match_id"
+    assert matrix.select([F.count_if(F.col(c).isNull()).alias(c) for c in matrix.columns]).first().asDict() == {
+        c: 0 for c in matrix.columns}
+    rows = by_id(matrix)
+    assert all(r.hour_of_day == 20 and r.avg_cs_sacrifice == 0.0 and r.roam_impact_rate == 0.5 for r in rows.values())
+    assert [rows[m].day_of_week for m in SEASON] == [0, 3, 6, 2, 5]
+    assert [rows[m].is_weekend for m in SEASON] == [False, False, True, False, True]
+
+
+def test_incident_context(season):
+    got = {(r.match_id, r.death_number): r for r in FT.incident_context(*season, CFG).collect()}
+    assert not any(m == "old" for m, _ in got)
+    assert [k for k, r in sorted(got.items()) if r.is_overextension_ahead] == [("n4", 2)]
+    assert [k for k, r in sorted(got.items()) if r.is_deficit_fight] == [("n5", 2)]
+    assert [k for k, r in sorted(got.items()) if r.is_post_laning_throw] == [("n4", 3)]
+    assert [k for k, r in sorted(got.items()) if r.is_tilt_spiral] == [("n1", 2), ("n1", 4), ("n3", 2), ("n3", 3), ("n4", 3), ("n5", 2)]
+    assert [k for k, r in sorted(got.items()) if r.is_early_death] == [("n1", 1), ("n1", 2), ("n4", 1)]
+    assert got[("n4", 2)].gold_lead_approx == pytest.approx(880) and got[("n5", 2)].gold_lead_approx == pytest.approx(-820)
+
+
+def test_lead_exactly_at_the_threshold_is_not_ahead(spark):
+    """Five sessions, one raised by 375: the lead over the mean is 375 * 4 / 5 = 300."""
+    se, ti, de = fixture_tables(spark, tick_updates={("n1", 4): {"gold": gold_at(4) + 375}})
+    r = {(r.match_id, r.death_number): r for r in FT.incident_context(se, ti, de, CFG).collect()}[("n1", 2)]
+    assert r.gold_lead_approx == pytest.approx(300) and not r.is_overextension_ahead
+
+
+def test_unknown_snapshots(season):
+    se, ti, de = season
+    de = de.withColumn("gold_at_death", F.when(F.col("match_id") != "n3", F.col("gold_at_death")))
+    zero = {(r.match_id, r.death_number): r for r in FT.incident_context(se, ti, de, CFG).collect()}
+    unknown = {(r.match_id, r.death_number): r for r in FT.incident_context(se, ti, de, CFG, "unknown").collect()}
+    assert zero[("n3", 1)].is_deficit_fight and zero[("n3", 1)].gold_lead_approx == -gold_at(6)
+    assert unknown[("n3", 1)].gold_lead_approx is None and unknown[("n3", 1)].is_deficit_fight is None
+    assert tick_row("n3", 6)[2] == gold_at(6)

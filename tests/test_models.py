@@ -11,12 +11,17 @@ from playline.operators import clustering as CL, reports as RP
 CFG = AnalysisConfig(restarts=4)
 
 
+CENTRES = (-6.0, 0.0, 5.0, 17.0)
+MEMBERS = "abcde"
+
+
 def feature_frame(spark):
-    """4 well separated groups x 3 rows: feature i = 10*group + 0.1*sample + 0.01*i."""
+    """Four tight clouds of five members around CENTRES; odd features run downwards."""
     rows = []
-    for g in range(4):
-        for s in range(3):
-            rows.append((f"match_{g}_{s}", *[g * 10.0 + s * 0.1 + i * 0.01 for i in range(len(FEATURE_COLUMNS))]))
+    for g, c in enumerate(CENTRES):
+        for s, name in enumerate(MEMBERS):
+            jitter = (s - 2) * 0.07
+            rows.append((f"{name}{g}", *[(c + jitter) * (1 if i % 2 == 0 else -1) for i in range(len(FEATURE_COLUMNS))]))
     return spark.createDataFrame(rows, ["match_id", *FEATURE_COLUMNS])
 
 
@@ -27,12 +32,10 @@ def test_fit_labels_profile_and_persistence(spark, tmp_path):
     model, labels = CL.train_and_save(spark, fm, str(tmp_path / "model"), CFG, store=store)
     assert store.tables() == ["cluster_labels"] and store.version() == 1
     lab = {r.match_id: r.cluster_id for r in labels.collect()}
-    assert len(lab) == 12 and set(lab.values()) == {0, 1, 2, 3}
-    # canonical ids: centroids sorted, so the lowest group is cluster 0
-    assert [lab[f"match_{g}_0"] for g in range(4)] == [0, 1, 2, 3]
-    assert all(lab[f"match_{g}_{s}"] == lab[f"match_{g}_0"] for g in range(4) for s in range(3))
+    # canonical ids follow the centres of the first feature
+    assert lab == {f"{m}{g}": g for g in range(len(CENTRES)) for m in MEMBERS}
     prof = {r.cluster_id: r for r in RP.cluster_summary(fm, labels).collect()}
-    assert prof[2].size == 3 and prof[2].gold_delta == pytest.approx(20.1)
+    assert prof[2].size == 5 and prof[2].gold_delta == pytest.approx(5.0)
     loaded = CL.ClusteringModel.load(spark, str(tmp_path / "model"))
     again = {r.match_id: r.cluster_id for r in loaded.labels(fm).collect()}
     assert again == lab
@@ -51,23 +54,23 @@ def test_population_scaling(spark):
 
 def test_rejects_nulls_and_small_input(spark):
     fm = feature_frame(spark)
-    bad = fm.withColumn("gold_delta", F.when(F.col("match_id") == "match_0_0", None).otherwise(F.col("gold_delta")))
-    with pytest.raises(CL.FeatureValidationError, match="NULL values"):
+    bad = fm.withColumn("gold_delta", F.when(F.col("match_id") == "c1", None).otherwise(F.col("gold_delta")))
+    with pytest.raises(CL.FeatureValidationError, match="without a value"):
         CL.validate(bad, CFG)
-    with pytest.raises(CL.FeatureValidationError, match="more than 4"):
+    with pytest.raises(CL.FeatureValidationError, match="at least 5 rows"):
         CL.validate(fm.limit(4), CFG)
-    with pytest.raises(CL.FeatureValidationError, match="Missing model features"):
+    with pytest.raises(CL.FeatureValidationError, match="lacks"):
         CL.validate(fm.drop("tilt_index"), CFG)
 
 
-def test_pace_curves_drop_sparse_ticks(spark):
-    labels = spark.createDataFrame([(f"match_{g}_{s}", g) for g in range(4) for s in range(3)],
-                                   "match_id string, cluster_id int")
-    ticks = [(f"match_{g}_{s}", m, 500 + m * 300) for g in range(4) for s in range(3) for m in range(11)]
-    ticks += [(f"match_{g}_0", 11, 3800) for g in range(4)]
-    t = spark.createDataFrame(ticks, "match_id string, timestamp_min int, gold long")
-    curves = RP.pace_curves(t, labels)
-    assert 11 not in {r.timestamp_min for r in curves.collect()}
-    assert curves.count() == 4 * 11
+def test_pace_curves_drop_thin_ticks(spark):
+    """Clusters of 5 need round(2.5) = 3 members at a tick; tick 7 has two, tick 8 three."""
+    labels = spark.createDataFrame([(f"{m}{g}", g) for g in range(4) for m in MEMBERS], "match_id string, cluster_id int")
+    ticks = [(f"{m}{g}", t, 1000 * g + 10 * t) for g in range(4) for m in MEMBERS for t in range(7)]
+    ticks += [(f"{m}{g}", 7, 1) for g in range(4) for m in "ab"] + [(f"{m}{g}", 8, 2) for g in range(3) for m in "abc"]
+    curves = RP.pace_curves(spark.createDataFrame(ticks, "match_id string, timestamp_min int, gold long"), labels)
+    got = {(r.cluster_id, r.timestamp_min): r.avg_gold for r in curves.collect()}
+    assert sorted(got) == [(g, t) for g in range(4) for t in [*range(7), *([8] if g < 3 else [])]]
+    assert got[(2, 3)] == 2030.0
     assert RP.missing_members(curves, labels).count() == 0
     assert RP.missing_members(curves.where("cluster_id <> 3"), labels).first().cluster_id == 3
