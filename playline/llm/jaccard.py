@@ -271,6 +271,8 @@ def links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, tasks: int) -> D
     found = (_plain(docs).join(stored(places, "jaccard-places").withColumnRenamed("rep", "id"), "id")
              .select("node", "copies", "root", "places", "text").mapInArrow(sets, schema))
 
+    need = least_matches()
+
     def verify(batches):
         for (_, p, q), rs in _groups(batches, 3):
             once = {r[1]: r for r in rs}
@@ -278,7 +280,7 @@ def links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, tasks: int) -> D
             own = np.array([r[0] for r in rs])
             name, copies = (np.array([r[k] for r in rs], dtype=np.int64) for k in (1, 2))
             left, right = (np.arange(len(rs)), None) if p == q else (np.flatnonzero(own == p), np.flatnonzero(own == q))
-            i, j = exact_pairs([np.frombuffer(r[3], dtype=np.uint64) for r in rs], left, right)
+            i, j = exact_pairs([np.frombuffer(r[3], dtype=np.uint64) for r in rs], left, right, need)
             if not len(i):
                 continue
             texts = np.bincount(i, minlength=len(rs)) + np.bincount(j, minlength=len(rs))
@@ -292,34 +294,33 @@ def links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, tasks: int) -> D
             .mapInArrow(verify, "node long, texts long, docs long, to long"))
 
 
-def exact_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None,
+def exact_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None, need: list[int],
                 threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs whose exact Jaccard similarity reaches the threshold; within left, or between left and right."""
-    a, b = (left, left) if right is None else (left, right)
+    """Pairs whose exact Jaccard similarity reaches the threshold, among those that
+    pruning keeps; within left, or between left and right."""
     size = np.array([len(s) for s in sets], dtype=np.int64)
+    i, j = survivors(signatures(sets), size, left, right, need)
+    if not len(i):
+        return i, j
     value, code = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), size)
-    shared = np.bincount(code, minlength=len(value)) > 1  # others meet nobody
-    number = np.cumsum(shared) - 1
-    keep = shared[code]
-    col, row = number[code[keep]], owner[keep]
-    order = np.argsort(col, kind="stable")
-    col, row = col[order], row[order]
-    both = np.zeros((len(a), len(b)), dtype=np.float32)
-    width = max(256, 4_000_000 // max(1, len(sets)))
-    edges = np.searchsorted(col, np.arange(0, int(shared.sum()) + width, width))
-    for k in range(len(edges) - 1):
-        x = np.zeros((len(sets), width), dtype=np.float32)
-        s = slice(edges[k], edges[k + 1])
-        x[row[s], col[s] - k * width] = 1
-        both += x[a] @ x[b].T
-    common = both.astype(np.int64)
-    union = size[a][:, None] + size[b][None, :] - common
-    ok = common >= threshold * union - 1e-9
-    if right is None:
-        ok = np.triu(ok, 1)
-    i, j = np.nonzero(ok)
-    return a[i], b[j]
+    begin = np.cumsum(size) - size
+    order = np.argsort(i, kind="stable")
+    i, j = i[order], j[order]
+    common = np.empty(len(i), dtype=np.int64)
+    edge = np.flatnonzero(np.r_[True, i[1:] != i[:-1], True])
+    mark = np.zeros(len(value), dtype=bool)
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+        own = code[begin[i[a]]:begin[i[a]] + size[i[a]]]
+        mark[own] = True
+        for x in range(a, b, 1024):  # partners of one set, their codes laid end to end
+            js = j[x:min(b, x + 1024)]
+            n = size[js]
+            first = np.cumsum(n) - n
+            flat = np.repeat(begin[js] - first, n) + np.arange(n.sum())
+            common[x:x + len(js)] = np.add.reduceat(mark[code[flat]].astype(np.int64), first)
+        mark[own] = False
+    ok = common >= threshold * (size[i] + size[j] - common) - 1e-9
+    return i[ok], j[ok]
 
 
 def _nodes(described: DataFrame) -> DataFrame:
