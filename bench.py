@@ -28,7 +28,10 @@ def main() -> None:
     from playline.plans.ingest import ingest
     from playline.plans.publish import publish
     from playline.plans.tables import TableStore
-    from playline.sources import adapter, landing
+    from playline.checks import landing_docs
+    from playline.plans.catalog_ingest import player
+    from playline.plans.catalog_reports import NUMERIC_FM
+    from playline.sources import adapter
 
     timings: dict[str, float] = {}
 
@@ -55,8 +58,8 @@ def main() -> None:
     se, ti, inc = (spark.read.parquet(f"{root}/{n}") for n in ("sessions", "ticks", "incidents"))
 
     raw = f"{root}/landing"
-    landing.write_landing({"sessions": se, "ticks": ti, "incidents": inc}, raw, CFG.tick_ms)
-    run("document_ingest", lambda: ingest(spark, raw, TableStore(spark, f"{root}/store"), None, CFG.tick_ms)
+    landing_docs.write_landing({"sessions": se, "ticks": ti, "incidents": inc}, raw, CFG.tick_ms)
+    run("document_ingest", lambda: ingest(spark, raw, TableStore(spark, f"{root}/store"), player(), CFG.tick_ms)
         ["summary"])
 
     run("incident_context", lambda: FT.incident_context(se, ti, inc, CFG))
@@ -75,7 +78,7 @@ def main() -> None:
     run("swing_summary", lambda: RP.swing_summary(fm))
     run("delta_quartiles", lambda: X.delta_quartiles(FT.swing_games(se, ti, CFG)))
     run("pace_curves", lambda: RP.pace_curves(ti, labels, CFG.curve_min_count, CFG.curve_min_share))
-    run("feature_corr", lambda: X.pairwise_corr(fm, X.__dict__.get("NUMERIC_FM", CFG.features)))
+    run("feature_corr", lambda: X.pairwise_corr(fm, NUMERIC_FM))
 
     def clusters():
         model = CL.fit_clusters(fm, CFG, restarts=restarts)

@@ -1,7 +1,7 @@
 """Command line for the end-to-end flow over one table store.
 
-    python -m playline.cli ingest   --raw RAW --store STORE [--player ID] [--layout files|lines] [--full]
-    python -m playline.cli stream   --raw RAW --store STORE --checkpoint CKPT [--player ID]
+    python -m playline.cli ingest   --raw RAW --store STORE --player ID [--layout files|lines] [--full]
+    python -m playline.cli stream   --raw RAW --store STORE --checkpoint CKPT --player ID [--layout files|lines]
     python -m playline.cli features --store STORE
     python -m playline.cli train    --store STORE --models DIR [--restarts N]
     python -m playline.cli publish  --store STORE --out OUT [--coarsen day]
@@ -61,10 +61,10 @@ def main(argv=None) -> None:
         s.add_argument("--store", required=True)
         if name in ("ingest", "stream"):
             s.add_argument("--raw", required=True)
-            s.add_argument("--player", default=None)
+            s.add_argument("--player", required=True)
             s.add_argument("--tick-ms", type=int, default=DEFAULT.tick_ms)
-        if name == "ingest":
             s.add_argument("--layout", default="files", choices=("files", "lines"))
+        if name == "ingest":
             s.add_argument("--full", action="store_true")
         if name == "stream":
             s.add_argument("--checkpoint", required=True)
@@ -84,7 +84,7 @@ def main(argv=None) -> None:
         print(json.dumps(out["summary"].first().asDict()))
     elif a.cmd == "stream":
         from playline.streaming.ingest_stream import ingest_stream
-        ingest_stream(spark, a.raw, store, a.checkpoint, a.player, a.tick_ms)
+        ingest_stream(spark, a.raw, store, a.checkpoint, a.player, a.tick_ms, layout=a.layout)
     elif a.cmd == "features":
         print(json.dumps(feature_summary(build_features(store)).first().asDict()))
     elif a.cmd == "train":

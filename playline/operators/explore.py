@@ -112,29 +112,34 @@ def quartiles(df: DataFrame, col: str, by=None, exact: bool = True, tiebreak=Non
     return stats.join(wide, g, "left").select(*g, "q1", "median", "q3", "min", "max", "n")
 
 
-def profile(df: DataFrame, cols) -> DataFrame:
-    """Per column: non-null count, NULL count, mean, min, max.
+def profile(df: DataFrame, cols=None) -> DataFrame:
+    """Per column: non-null count, NULL count; mean, min and max of numbers and
+    booleans (as 0/1); the least and greatest value of any column as text.
 
     One aggregate pass over ``df`` produces a single wide row; ``inline`` of
     an array of per-column structs turns it into one row per column."""
+    number = (T.NumericType, T.BooleanType)
     aggs = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"{c}|n"), F.sum(x.isNull().cast("long")).alias(f"{c}|nulls"),
-                 F.avg(x).alias(f"{c}|mean"), F.min(x).alias(f"{c}|min"), F.max(x).alias(f"{c}|max")]
-    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}|n`").alias("n"),
-                              F.col(f"`{c}|nulls`").alias("nulls"), F.col(f"`{c}|mean`").alias("mean"),
-                              F.col(f"`{c}|min`").alias("min"), F.col(f"`{c}|max`").alias("max"))
-                     for c in cols])
+    for c in cols or df.columns:
+        x, numeric = F.col(f"`{c}`"), isinstance(df.schema[c].dataType, number)
+        v = x.cast("double") if numeric else F.lit(None).cast("double")
+        aggs += [F.count(x).alias(f"{c}|n"), F.count_if(x.isNull()).alias(f"{c}|nulls"),
+                 F.avg(v).alias(f"{c}|mean"), F.min(v).alias(f"{c}|min"), F.max(v).alias(f"{c}|max"),
+                 F.min(x).cast("string").alias(f"{c}|low"), F.max(x).cast("string").alias(f"{c}|high")]
+    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), *[F.col(f"`{c}|{k}`").alias(a) for k, a in (
+        ("n", "n"), ("nulls", "nulls"), ("mean", "mean"), ("min", "min"), ("max", "max"), ("low", "low"),
+        ("high", "high"))]) for c in cols or df.columns])
     return df.agg(*aggs).select(F.inline(rows))
 
 
 def pairwise_corr(df: DataFrame, cols) -> DataFrame:
     """Pearson correlation for every pair (strict lower triangle) in one
-    aggregate pass; a constant column yields NULL instead of an error."""
+    aggregate pass, each over the rows where both values are present; a
+    constant column yields NULL instead of an error."""
     aggs, rows = [], []
     for i, (a, b) in enumerate(combinations(cols, 2)):
-        xa, xb = F.col(a).cast("double"), F.col(b).cast("double")
+        both = F.col(a).isNotNull() & F.col(b).isNotNull()
+        xa, xb = F.when(both, F.col(a).cast("double")), F.when(both, F.col(b).cast("double"))
         aggs += [F.covar_pop(xa, xb).alias(f"c{i}"), F.stddev_pop(xa).alias(f"a{i}"),
                  F.stddev_pop(xb).alias(f"b{i}")]
         c, sa, sb = F.col(f"c{i}"), F.col(f"a{i}"), F.col(f"b{i}")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from playline.config import DEFAULT, AnalysisConfig
 from playline.functions.scalars import time_bucket, ts_literal
-from playline.operators.sequence import gap_flags, max_true_run, nearest_anchor, rolling_prior_mean
+from playline.operators.sequence import gap_flags, nearest_anchor, rolling_prior_mean, run_by_bucket
 
 KEY, TICK = "match_id", "timestamp_min"
 
@@ -109,7 +109,8 @@ def incident_context(sessions: DataFrame, ticks: DataFrame, incidents: DataFrame
     df = (si.join(F.broadcast(base), TICK, "left")
           .join(a.select(KEY, "anchor_gold"), KEY, "left")
           .withColumn("gold_lead_approx", lead.cast("double"))
-          .transform(lambda d: gap_flags(d, KEY, "death_number", TICK, cfg.spiral_gap, out="_spiral")))
+          .transform(lambda d: gap_flags(d, KEY, "death_number", TICK, cfg.spiral_gap, out="_spiral",
+                                         seq="death_number")))
     return df.select(
         KEY, "death_number", TICK, "gold_at_death", "gold_lead_approx",
         ((F.col("gold_lead_approx") > thr) & (t <= cfg.laning_end)).alias("is_overextension_ahead"),
@@ -216,17 +217,18 @@ def rolling_form(sessions: DataFrame, cfg: AnalysisConfig = DEFAULT, entity: str
 
 # ------------------------------------------------------------- A5/A6/A7 ----
 def incident_agg(ctx: DataFrame) -> DataFrame:
-    """Per session: total incidents, incidents while ahead, spiral ratio (bround 4), max streak."""
-    per = ctx.groupBy(KEY).agg(
-        F.count(F.lit(1)).cast("int").alias("total_deaths"),
-        F.sum(F.col("is_overextension_ahead").cast("int")).cast("int").alias("deaths_while_ahead"),
-        F.sum(F.col("is_tilt_spiral").cast("int")).alias("_spirals"))
+    """Per session: total incidents, incidents while ahead, spiral ratio (bround 4), max streak.
+
+    One pass over the incidents, bucket by bucket, then one row per bucket."""
+    parts = run_by_bucket(ctx, KEY, "death_number", "is_tilt_spiral", extra=(
+        F.count(F.lit(1)).alias("_n"), F.sum(F.col("is_overextension_ahead").cast("int")).alias("_ahead"),
+        F.sum(F.col("is_tilt_spiral").cast("int")).alias("_spirals")))
+    per = parts.groupBy(KEY).agg(F.sum("_n").cast("int").alias("total_deaths"),
+                                 F.sum("_ahead").cast("int").alias("deaths_while_ahead"),
+                                 F.sum("_spirals").alias("_spirals"), F.max("_run").cast("int").alias("_run"))
     ratio = F.bround(F.col("_spirals") / F.greatest(F.col("total_deaths"), F.lit(1)), 4)
-    streak = max_true_run(ctx.select(KEY, "death_number", "is_tilt_spiral"), KEY, "death_number",
-                          "is_tilt_spiral", out="max_death_streak")
-    return (per.join(streak, KEY, "left")
-            .select(KEY, "total_deaths", "deaths_while_ahead", ratio.alias("tilt_spiral_ratio"),
-                    F.coalesce("max_death_streak", F.lit(0)).alias("max_death_streak")))
+    return per.select(KEY, "total_deaths", "deaths_while_ahead", ratio.alias("tilt_spiral_ratio"),
+                      F.coalesce("_run", F.lit(0)).alias("max_death_streak"))
 
 
 def excursion_agg(ex: DataFrame) -> DataFrame:

@@ -9,21 +9,19 @@ All of them take column names, so they work for any entity/tick table:
 * ``rolling_prior_mean`` - mean of the previous N rows of an entity, skew-safe (W7)
 * ``max_true_run``    - longest run of consecutive true flags per key (A6)
 
-Session-keyed windows (anchor, islands, lags) work on per-session sequences
-whose length is bounded by the tick domain, so a hash partitioning on the
-session key is the right physical plan and it is shared by every step of a
-feature (one exchange). Entity-keyed or global sequences are not bounded (one
-player, or the whole table, may hold a third of all rows); those go through
-``number_rows``, which range-partitions on the full sort key so Spark's sampler
-splits a hot group across many tasks.
+Windows over ticks work on per-session sequences whose length is bounded by the
+tick domain, so a hash partitioning on the session key is the right physical
+plan and it is shared by every step of a feature (one exchange). Incidents of a
+session, entity-keyed and global sequences are not bounded (one key may hold a
+third of all rows): ``number_rows`` range-partitions on the full sort key, so
+Spark's sampler splits a hot group across many tasks, and the numbered rows are
+then dealt into buckets of BUCKET_ROWS with a halo.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from playline.session import cut_lineage
@@ -50,28 +48,68 @@ def nearest_anchor(ticks: DataFrame, key: str = "match_id", tick: str = "timesta
             .select(key, out, (F.col("_r") % F.lit(1 << 32) + F.lit(low)).cast("int").alias(out_tick)))
 
 
+BUCKET_ROWS = 4096
+
+
+def _bucket(seq: str, rows: int):
+    return F.floor((F.col(seq) - 1) / F.lit(rows)).cast("long")
+
+
+def _with_halo(df: DataFrame, seq: str, rows: int, halo: int = 1) -> DataFrame:
+    """Deal rows numbered 1, 2, ... per key into buckets of ``rows``; the last
+    ``halo`` rows of a bucket also stand before the next one (``_own`` false)."""
+    b = _bucket(seq, rows)
+    own = F.struct(b.alias("b"), F.lit(True).alias("own"))
+    copy = F.struct((b + 1).alias("b"), F.lit(False).alias("own"))
+    last = ((F.col(seq) - 1) % rows) >= rows - halo
+    x = df.withColumn("_x", F.explode(F.when(last, F.array(own, copy)).otherwise(F.array(own))))
+    return x.withColumn("_bucket", F.col("_x.b")).withColumn("_own", F.col("_x.own")).drop("_x")
+
+
 # ---------------------------------------------------------------- W6 -------
-def bool_islands(df: DataFrame, key, order, flag: str, out: str = "block") -> DataFrame:
+def bool_islands(df: DataFrame, key, order, flag: str, out: str = "block", seq: str | None = None,
+                 bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Block id that increments whenever ``flag`` differs from the previous row.
 
-    The first row of every key opens block 1 (it has no predecessor).
-    """
-    w = Window.partitionBy(*_cols(key)).orderBy(*_cols(order))
+    The first row of every key opens block 1 (it has no predecessor). With
+    ``seq`` (rows numbered 1..n per key in this order) a long key is dealt into
+    buckets: changes are counted inside buckets and carried over by a prefix
+    sum of one row per bucket."""
+    k = _cols(key)
+    if seq is None:
+        w = Window.partitionBy(*k).orderBy(*_cols(order))
+        prev = F.lag(F.col(flag)).over(w)
+        change = F.when(prev.isNull() | (prev != F.col(flag)), 1).otherwise(0)
+        return df.withColumn(out, F.sum(change).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    w = Window.partitionBy(*k, "_bucket").orderBy(seq)
     prev = F.lag(F.col(flag)).over(w)
-    change = F.when(prev.isNull() | (prev != F.col(flag)), 1).otherwise(0)
-    return df.withColumn(out, F.sum(change).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = (_with_halo(df, seq, bucket_rows).withColumn("_c", F.when(prev.isNull() | (prev != F.col(flag)), 1).otherwise(0))
+            .where("_own")
+            .withColumn("_local", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    before = Window.partitionBy(*k).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carry = (rows.groupBy(*k, "_bucket").agg(F.sum("_c").alias("_n"))
+             .withColumn("_carry", F.sum("_n").over(before)).where(F.col("_carry").isNotNull()).drop("_n"))
+    return (rows.join(carry, [*k, "_bucket"], "left")
+            .select(*df.columns, (F.col("_local") + F.coalesce("_carry", F.lit(0))).alias(out)))
 
 
 # ---------------------------------------------------------------- W5 -------
 def gap_flags(df: DataFrame, key, order, value: str, max_gap: int, out: str = "within_gap",
-              prev_out: str | None = None) -> DataFrame:
-    """``value - lag(value) <= max_gap``; the first row of a key is False."""
-    w = Window.partitionBy(*_cols(key)).orderBy(*_cols(order))
+              prev_out: str | None = None, seq: str | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """``value - lag(value) <= max_gap``; the first row of a key is False.
+
+    With ``seq`` (rows numbered 1..n per key in this order) a long key is dealt
+    into buckets that know the row before them."""
+    k = _cols(key)
+    if seq is None:
+        rows, w = df, Window.partitionBy(*k).orderBy(*_cols(order))
+    else:
+        rows, w = _with_halo(df, seq, bucket_rows), Window.partitionBy(*k, "_bucket").orderBy(seq)
     prev = F.lag(F.col(value)).over(w)
-    res = df.withColumn(out, F.coalesce((F.col(value) - prev) <= F.lit(max_gap), F.lit(False)))
+    res = rows.withColumn(out, F.coalesce((F.col(value) - prev) <= F.lit(max_gap), F.lit(False)))
     if prev_out:
         res = res.withColumn(prev_out, prev)
-    return res
+    return res if seq is None else res.where("_own").drop("_bucket", "_own")
 
 
 # ---------------------------------------------------------------- J8 -------
@@ -95,9 +133,31 @@ def offset_lookup(df: DataFrame, key, tick: str, value: str, offset: int, out: s
 
 
 # ---------------------------------------------------------------- A6 -------
-def max_true_run(df: DataFrame, key, order, flag: str, out: str = "max_run") -> DataFrame:
+def run_by_bucket(df: DataFrame, key, seq: str, flag: str, extra=(), bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Per (key, bucket): aggregates ``extra`` and ``_run``, the longest run of
+    true flags that ends in the bucket. ``seq`` numbers the rows 1..n per key;
+    runs that enter a bucket are completed by a prefix maximum over one row per bucket."""
+    k = _cols(key)
+    w = Window.partitionBy(*k, "_bucket").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
+    on = F.coalesce(F.col(flag), F.lit(False))
+    last_off = F.max(F.when(~on, F.col(seq))).over(w)
+    rows = df.withColumn("_bucket", _bucket(seq, bucket_rows)).withColumn("_off", last_off)
+    parts = rows.groupBy(*k, "_bucket").agg(
+        *extra, F.max("_off").alias("_last"),
+        F.max(F.when(on & F.col("_off").isNotNull(), F.col(seq) - F.col("_off"))).alias("_inner"),
+        F.max(F.when(on & F.col("_off").isNull(), F.col(seq))).alias("_lead"))
+    before = Window.partitionBy(*k).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    lead = F.col("_lead") - F.coalesce(F.max("_last").over(before), F.lit(0))
+    return parts.withColumn("_run", F.greatest(F.col("_inner"), lead)).drop("_last", "_inner", "_lead")
+
+
+def max_true_run(df: DataFrame, key, order, flag: str, out: str = "max_run", seq: str | None = None,
+                 bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Longest run of consecutive True ``flag`` rows; keys without any True row are absent."""
     k = _cols(key)
+    if seq is not None:
+        runs = run_by_bucket(df, k, seq, flag, bucket_rows=bucket_rows)
+        return (runs.groupBy(*k).agg(F.max("_run").cast("int").alias(out)).where(F.col(out).isNotNull()))
     blocks = bool_islands(df, k, order, flag, out="_blk")
     runs = blocks.where(F.col(flag)).groupBy(*k, "_blk").agg(F.count(F.lit(1)).alias("_n"))
     return runs.groupBy(*k).agg(F.max("_n").cast("int").alias(out))
@@ -106,100 +166,30 @@ def max_true_run(df: DataFrame, key, order, flag: str, out: str = "max_run") ->
 # ------------------------------------------------------------- W3 / W8 -----
 def number_rows(df: DataFrame, group_cols, order_cols, out: str = "seq",
                 num_partitions: int | None = None) -> DataFrame:
-    """Exact 1..n numbering of rows inside each group by a total order.
-
-    Works without collecting a group into one task: the frame is
-    range-partitioned on (group, order) - Spark samples the key distribution,
-    so a hot group is split over many tasks - then checkpointed so every later
-    pass sees the same partition assignment even after executor loss. A
-    per-partition summary (one row per partition: first/last group and their
-    run lengths) yields the count carried into each partition; that table is
-    bounded by the partition count and is broadcast back. Numbering inside a
-    partition is a vectorised pandas cumcount over its sorted batches.
+    """Exact 1..n numbering of rows inside each group by a total order, JVM only.
+
+    The frame is range-partitioned on (group, order) - Spark samples the keys,
+    so a hot group is split over many tasks - and checkpointed, so every later
+    pass sees the same partitions even after executor loss. A row's global
+    position is its place in its partition plus the rows before the partition;
+    its number is that position less the first position of its group (one row
+    per group). Rows with a NULL group form a group; no column leaves the JVM.
     ``order_cols`` must make the order total inside a group.
     """
     gcols, ocols = _cols(group_cols), _cols(order_cols)
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = gcols + ocols
-    ranged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-              .withColumn("_pid", F.spark_partition_id()))
-    ranged = cut_lineage(ranged)
+    ranged = cut_lineage(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+                         .withColumn("_pid", F.spark_partition_id()))
+    placed = _number_globally(ranged, df.columns, out)
     if not gcols:
-        return _number_globally(ranged, df.columns, out)
-
-    g_schema = [f for f in ranged.schema.fields if f.name in gcols]
-    summary_schema = T.StructType(
-        [T.StructField("_pid", T.IntegerType())]
-        + [T.StructField("_f_" + f.name, f.dataType) for f in g_schema]
-        + [T.StructField("_l_" + f.name, f.dataType) for f in g_schema]
-        + [T.StructField("_n_last", T.LongType())])
-
-    def summarize(batches):
-        pid, first, last, n_last = None, None, None, 0
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            pid = int(pdf["_pid"].iat[0])
-            if not gcols:
-                first, last, n_last = (), (), n_last + len(pdf)
-                continue
-            kdf = pdf[gcols]
-            if first is None:
-                first = tuple(kdf.iloc[0])
-            tail = tuple(kdf.iloc[-1])
-            same = (kdf == pd.Series(tail, index=gcols)).all(axis=1).to_numpy()
-            if same.all():
-                n_last = len(same) + (n_last if last == tail else 0)
-            else:
-                n_last = len(same) - 1 - int(np.flatnonzero(~same)[-1])
-            last = tail
-        if pid is not None:
-            yield pd.DataFrame([[pid, *first, *last, n_last]], columns=summary_schema.fieldNames())
-
-    summary = ranged.select("_pid", *gcols).mapInPandas(summarize, summary_schema)
-    g_first = F.struct(*[F.col("_f_" + c).alias(c) for c in gcols]) if gcols else F.lit(0)
-    g_last = F.struct(*[F.col("_l_" + c).alias(c) for c in gcols]) if gcols else F.lit(0)
-    by_last = Window.partitionBy(g_last).orderBy("_pid").rowsBetween(Window.unboundedPreceding, 0)
-    seq_w = Window.orderBy("_pid")   # one row per partition: bounded by the partition count
-    offsets = (summary
-               .withColumn("_cum", F.sum("_n_last").over(by_last))
-               .withColumn("_prev_last", F.lag(g_last).over(seq_w))
-               .withColumn("_prev_cum", F.lag("_cum").over(seq_w))
-               .select("_pid", F.when(F.col("_prev_last") == g_first, F.col("_prev_cum"))
-                       .otherwise(F.lit(0)).cast("long").alias("_off")))
-
-    with_off = ranged.join(F.broadcast(offsets), "_pid", "left")
-    out_schema = T.StructType(list(df.schema.fields) + [T.StructField(out, T.LongType(), False)])
-    names = df.columns
-
-    def number(batches):
-        carry_key, carry_n = None, 0
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            if gcols:
-                kdf = pdf[gcols]
-                change = (kdf != kdf.shift()).any(axis=1).to_numpy()
-                change[0] = carry_key is None or tuple(kdf.iloc[0]) != carry_key
-                new_key = tuple(kdf.iloc[-1])
-            else:
-                change = np.zeros(len(pdf), dtype=bool)
-                change[0] = carry_key is None
-                new_key = ()
-            run_id = change.cumsum()
-            pos = pdf.groupby(run_id).cumcount().to_numpy().astype("int64") + 1
-            first_run = run_id == run_id[0]
-            if carry_key is None:
-                # the partition's leading group continues a group from earlier partitions
-                pos[first_run] += int(pdf["_off"].fillna(0).iat[0])
-            elif not change[0]:
-                pos[first_run] += carry_n
-            carry_key, carry_n = new_key, int(pos[-1])
-            res = pdf[names].copy()
-            res[out] = pos
-            yield res
-    return with_off.mapInPandas(number, out_schema)
+        return placed
+    # checkpointed, so that the join sees two plain inputs and can split a hot group
+    first = cut_lineage(placed.groupBy(*gcols).agg(F.min(out).alias("_first"))
+                        .withColumnsRenamed({c: f"_g_{c}" for c in gcols}))
+    same = reduce(lambda a, b: a & b, [placed[c].eqNullSafe(first[f"_g_{c}"]) for c in gcols])
+    return placed.join(first, same).select(*[placed[c] for c in df.columns],
+                                           (F.col(out) - F.col("_first") + 1).alias(out))
 
 
 def _number_globally(ranged: DataFrame, names, out: str) -> DataFrame:
@@ -228,24 +218,10 @@ def rolling_prior_mean(df: DataFrame, entity, order_cols, value: str, n: int = 5
     groups of at most ``bucket_rows + n`` rows however large one entity is.
     """
     ent = _cols(entity)
-    numbered = number_rows(df, ent, order_cols, out="_seq")
-    b = F.floor((F.col("_seq") - 1) / F.lit(bucket_rows))
-    own = numbered.withColumn("_bucket", b).withColumn("_own", F.lit(True))
-    halo = (numbered.where(((F.col("_seq") - 1) % bucket_rows) >= bucket_rows - n)
-            .withColumn("_bucket", b + 1).withColumn("_own", F.lit(False)))
-    both = own.unionByName(halo)
+    both = _with_halo(number_rows(df, ent, order_cols, out="_seq"), "_seq", bucket_rows, n)
     w = (Window.partitionBy(*ent, "_bucket").orderBy("_seq").rowsBetween(-n, -1))
     mean = F.avg(F.col(value).cast("double")).over(w)
     res = (both.withColumn(out, F.least(F.greatest(F.coalesce(mean, F.lit(neutral)), F.lit(0.0)), F.lit(1.0)))
            .where("_own"))
     res = res.drop("_bucket", "_own")
     return res.withColumnRenamed("_seq", seq_out) if seq_out else res.drop("_seq")
-
-
-def running_total(df: DataFrame, key, order, value: str, out: str) -> DataFrame:
-    w = Window.partitionBy(*_cols(key)).orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(out, F.sum(value).over(w))
-
-
-def union_all(frames) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)

@@ -237,14 +237,14 @@ def _offset(s, sf):
 def _islands(s, sf):
     from playline.operators.sequence import bool_islands
     ic = FT.incident_context(*T3(s, sf), CFG).select("match_id", "death_number", "is_tilt_spiral")
-    return bool_islands(ic, "match_id", "death_number", "is_tilt_spiral")
+    return bool_islands(ic, "match_id", "death_number", "is_tilt_spiral", seq="death_number")
 
 
 @register("max_streak", R("SELECT * FROM streak", extra=FEAT))
 def _streak(s, sf):
     from playline.operators.sequence import max_true_run
     ic = FT.incident_context(*T3(s, sf), CFG)
-    return max_true_run(ic, "match_id", "death_number", "is_tilt_spiral", out="max_death_streak")
+    return max_true_run(ic, "match_id", "death_number", "is_tilt_spiral", out="max_death_streak", seq="death_number")
 
 
 @register("surrogate_ids", R(

@@ -1,87 +1,171 @@
 """Ingest, table-maintenance and landing keys of the query registry.
 
-Each query lands documents synthesised from the driver tables into a fresh
-folder under the shared checkpoint root, then runs the operator on what it
-reads back, so the oracle is the adapter's own tables (restricted by the
-landing rules: no timeline when k % 13 = 0, no detail when k % 17 = 0, player
-not listed when k % 19 = 0, with k = user + block).
+Each query lands documents made from the driver tables into a fresh folder
+under the shared checkpoint root, then runs the operator on what it reads back,
+so the oracle is the adapter's own tables. Every session lands; defective
+documents are extra ones (checks/landing_docs.py). A session id starts with its
+player's id, which gives the tracked player of each document.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from playline.checks import landing_docs as LD
 from playline.config import ADAPTER as CFG
 from playline.plans.catalog import R, T2, T3, register
 from playline.plans.ingest import ingest
 from playline.plans.tables import TableStore
-from playline.schemas import DECLARED, PRIMARY_KEYS, contract_violations
+from playline.schemas import DECLARED, PRIMARY_KEYS, contract_violations, schema_diff
 from playline.session import shared_path
 from playline.sources import adapter, documents as D, landing as L
 
-K = ("(CAST(split_part(match_id, '-', 1) AS BIGINT) + CAST(split_part(match_id, '-', 2) AS BIGINT))")
-KEEP = f"{K} % 13 <> 0 AND {K} % 17 <> 0 AND {K} % 19 <> 0"
-KEPT = f"kept AS (SELECT match_id FROM sessions WHERE {KEEP})"
 MS = "epoch_ms(epoch_us(game_datetime) // 1000)"
+SESSIONS = f"SELECT * REPLACE ({MS} AS game_datetime) FROM sessions"
 
 
-def land(spark, sf):
-    path = shared_path(spark, "landing")
-    L.write_landing(dict(zip(("sessions", "ticks", "incidents"), T3(spark, sf))), path, CFG.tick_ms)
-    return path
+def player():
+    return F.split("metadata.matchId", "-")[0]
 
 
-def flat(spark, sf):
-    return D.flatten(D.read_documents(spark, land(spark, sf), "lines"), None, CFG.tick_ms)
+def _tables(spark, sf):
+    return dict(zip(("sessions", "ticks", "incidents"), T3(spark, sf)))
+
+
+def land(spark, sf, write=LD.write_landing, defects=False):
+    path = write(_tables(spark, sf), shared_path(spark, "landing"), CFG.tick_ms)
+    return LD.write_defects(_tables(spark, sf), path, CFG.tick_ms) if defects else path
+
+
+def flat(spark, sf, **kw):
+    return D.flatten(D.read_documents(spark, land(spark, sf, **kw), "lines"), player(), CFG.tick_ms)
 
 
 # ---------------------------------------------------------------- S1-S4, P2-P5, W1-W3, N1-N8
-register("ingest_sessions", R(
-    f"SELECT * REPLACE ({MS} AS game_datetime) FROM sessions WHERE {KEEP}", "kda", "cs_per_min"))(
-    lambda s, sf: flat(s, sf)["sessions"])
-register("ingest_ticks", R(
-    "SELECT t.* FROM ticks t JOIN kept USING (match_id)", extra=KEPT))(lambda s, sf: flat(s, sf)["ticks"])
-register("ingest_incidents", R(
-    "SELECT d.* FROM incidents d JOIN kept USING (match_id)", extra=KEPT))(lambda s, sf: flat(s, sf)["incidents"])
-register("ingest_quarantine", R(
-    f"SELECT match_id AS doc_key, CASE WHEN {K} % 19 = 0 THEN 'player not found' ELSE 'timeline missing' END "
-    f"AS reason FROM sessions WHERE {K} % 17 <> 0 AND ({K} % 19 = 0 OR {K} % 13 = 0)"))(
-    lambda s, sf: flat(s, sf)["quarantine"].select("doc_key", "reason"))
-register("ingest_orphans", R(
-    f"SELECT match_id AS doc_key FROM sessions WHERE {K} % 17 = 0 AND {K} % 13 <> 0"))(
-    lambda s, sf: flat(s, sf)["orphans"].select("doc_key"))
+register("ingest_sessions", R(SESSIONS, "kda", "cs_per_min"))(lambda s, sf: flat(s, sf)["sessions"])
+register("ingest_ticks", R("SELECT * FROM ticks"))(lambda s, sf: flat(s, sf)["ticks"])
+register("ingest_incidents", R("SELECT * FROM incidents"))(lambda s, sf: flat(s, sf)["incidents"])
+register("ingest_bad_elements", R(SESSIONS, "kda", "cs_per_min"))(
+    lambda s, sf: flat(s, sf, write=LD.write_strays)["sessions"])
+register("ingest_bad_elements_ticks", R("SELECT * FROM ticks"))(
+    lambda s, sf: flat(s, sf, write=LD.write_strays)["ticks"])
+register("ingest_bad_elements_incidents", R("SELECT * FROM incidents"))(
+    lambda s, sf: flat(s, sf, write=LD.write_strays)["incidents"])
+register("ingest_duplicates", R(SESSIONS, "kda", "cs_per_min"))(
+    lambda s, sf: flat(s, sf, write=LD.write_duplicates)["sessions"])
+register("ingest_duplicates_ticks", R("SELECT * FROM ticks"))(
+    lambda s, sf: flat(s, sf, write=LD.write_duplicates)["ticks"])
+
+
+@register("ingest_files", R(SESSIONS, "kda", "cs_per_min"))
+def _files(s, sf):
+    """The landing of the analysed application: the player's documents, one object per file.
+
+    Spark writes the files (one document a line per file is the same as one
+    object per file for a multi-line reader, so each session gets a partition of its own)."""
+    path, t = shared_path(s, "landing"), _tables(s, sf)
+    for kind, docs in (("", LD.detail_documents(t["sessions"])),
+                       ("_timeline", LD.timeline_documents(t["sessions"], t["ticks"], t["incidents"], CFG.tick_ms))):
+        docs.select("value", F.concat(F.col("match_id"), F.lit(kind)).alias("stem")).write.partitionBy("stem").text(
+            f"{path}/parts{kind}")
+    docs = (s.read.schema(D.DOC_SCHEMA).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt_record")
+            .option("recursiveFileLookup", True).json([f"{path}/parts", f"{path}/parts_timeline"]))
+    stem = F.regexp_extract("_metadata.file_path", r"stem=([^/]+)/", 1)
+    rows = docs.select(F.regexp_replace(stem, "_timeline$", "").alias("doc_key"),
+                       F.when(stem.endswith("_timeline"), F.lit("timeline")).otherwise(F.lit("detail")).alias("kind"),
+                       F.concat(stem, F.lit(".json")).alias("file_name"), F.col("_metadata.file_path").alias("path"),
+                       F.col("_metadata.file_block_start").alias("block"), "metadata", "info", "_corrupt_record")
+    return D.flatten(D.with_arrival(rows), player(), CFG.tick_ms)["sessions"]
+
+
+_REASONS = " UNION ALL ".join(
+    f"SELECT {'NULL' if tag == '#broken' else f"match_id || '{tag}'"} AS doc_key, '{reason}' AS reason FROM sessions"
+    for tag, reason in (("#no-timeline", "timeline missing"), ("#absent", "player not found"),
+                        ("#no-version", "missing required field"), ("#no-id", "participant id missing"),
+                        ("#no-list", "participants not a list"), ("#broken", "malformed document"),
+                        ("#bad-frames", "malformed timeline")))
+register("ingest_quarantine", R(_REASONS))(
+    lambda s, sf: flat(s, sf, defects=True)["quarantine"].select("doc_key", "reason"))
+register("ingest_orphans", R("SELECT match_id || '#orphan' AS doc_key FROM sessions"))(
+    lambda s, sf: flat(s, sf, defects=True)["orphans"].select("doc_key"))
+register("own_participant", R("SELECT match_id, puuid, champion_name, win FROM sessions"))(
+    lambda s, sf: flat(s, sf)["usable"].select("match_id", F.col("own.puuid").alias("puuid"),
+                                               F.col("own.championName").alias("champion_name"), F.col("own.win").alias("win")))
+
+
+@register("rival_of", R(
+    "SELECT match_id, CASE WHEN CAST(puuid AS BIGINT) % 3 = 0 THEN NULL ELSE opp_champion_name END AS rival, "
+    "CASE WHEN CAST(puuid AS BIGINT) % 3 = 0 OR opp_champion_name IS NULL THEN 0 ELSE 2 END AS candidates FROM sessions"))
+def _rival(s, sf):
+    """A third of the sessions land without a rival (0 candidates), the others with two: the first counts."""
+    t = _tables(s, sf)
+    gone = F.col("puuid").cast("long") % 3 == 0
+    t["sessions"] = t["sessions"].withColumn("opp_champion_name", F.when(~gone, F.col("opp_champion_name")))
+    path = LD.write_landing(t, shared_path(s, "landing"), CFG.tick_ms)
+    rows = D.pair_documents(D.read_documents(s, path, "lines"), player())["usable"]
+    rivals = D.parsed_each(F.col("people"), D.PARTICIPANT)
+    people = D.read_documents(s, path, "lines").where("kind = 'detail'").select(
+        F.col("metadata.matchId").alias("match_id"), F.col("info.participants").alias("people"))
+    own_team = F.element_at(rivals, -1)["teamId"]
+    n = F.size(F.filter(rivals, lambda p: (p.teamId != own_team) & (
+        F.coalesce(p.individualPosition, p.teamPosition) == D.RIVAL_POSITION)))
+    return (rows.select("match_id", F.col("_rival.championName").alias("rival"))
+            .join(people.select("match_id", n.alias("candidates")), "match_id"))
 
 
 # ---------------------------------------------------------------- S5, K1, K2, K8
 @register("ingest_summary", R(
-    f"SELECT count(*) FILTER (WHERE {KEEP}) AS processed, "
-    f"count(*) FILTER (WHERE {K} % 17 <> 0 AND ({K} % 19 = 0 OR {K} % 13 = 0)) AS skipped, "
-    f"count(*) FILTER (WHERE {KEEP}) AS total_rows FROM sessions"))
+    "SELECT count(*) AS processed, 7 * count(*) AS skipped, count(*) AS total_rows FROM sessions"))
 def _summary(s, sf):
     store = TableStore(s, shared_path(s, "store"))
-    return ingest(s, land(s, sf), store, None, CFG.tick_ms)["summary"]
+    return ingest(s, land(s, sf, defects=True), store, player(), CFG.tick_ms)["summary"]
 
 
-@register("upsert_ignore", R(
-    "SELECT t.* FROM ticks t JOIN kept USING (match_id)", extra=KEPT))
+@register("stored_quarantine", R(_REASONS))
+def _stored(s, sf):
+    store = TableStore(s, shared_path(s, "store"))
+    ingest(s, land(s, sf, defects=True), store, player(), CFG.tick_ms)
+    return store.read("quarantine").select("doc_key", "reason")
+
+
+@register("upsert_ignore", R("SELECT * FROM ticks"))
 def _twice(s, sf):
-    """Ingesting the same landing twice equals ingesting it once (first write wins)."""
-    store, path = TableStore(s, shared_path(s, "store")), land(s, sf)
-    ingest(s, path, store, None, CFG.tick_ms)
-    ingest(s, path, store, None, CFG.tick_ms)
+    """A landing, then one whose documents all differ for stored sessions: the first write wins."""
+    store = TableStore(s, shared_path(s, "store"))
+    ingest(s, land(s, sf), store, player(), CFG.tick_ms)
+    t = _tables(s, sf)
+    later = t | {"ticks": t["ticks"].withColumn("gold", F.lit(-5).cast("long"))}
+    ingest(s, LD.write_landing(later, shared_path(s, "landing"), CFG.tick_ms), store, player(), CFG.tick_ms)
     return store.read("ticks")
 
 
-@register("refresh_full", R(
-    "SELECT d.* FROM incidents d JOIN kept USING (match_id)", extra=KEPT))
+@register("refresh_full", R("SELECT * FROM incidents"))
 def _full(s, sf):
     """Incremental load followed by a full rebuild from raw gives the same table."""
     store, path = TableStore(s, shared_path(s, "store")), land(s, sf)
-    ingest(s, path, store, None, CFG.tick_ms, mode="incremental")
-    ingest(s, path, store, None, CFG.tick_ms, mode="full")
+    ingest(s, path, store, player(), CFG.tick_ms, mode="incremental")
+    ingest(s, path, store, player(), CFG.tick_ms, mode="full")
     return store.read("incidents")
 
 
+# ---------------------------------------------------------------- K6 -------
+@register("schema_diff", R(
+    "SELECT * FROM (VALUES ('sessions', 'absent', 'opp_assists'), ('sessions', 'not declared', 'mood'), "
+    "('ticks', 'absent', 'xp'), ('incidents', 'not declared', 'place')) v(table_name, problem, column_name) "
+    "WHERE (SELECT count(*) FROM sessions) > 0"))
+def _diff(s, sf):
+    """Tables read back from a store whose columns drifted from their contract."""
+    t = _tables(s, sf)
+    drifted = {"sessions": t["sessions"].drop("opp_assists").withColumn("mood", F.lit(1)), "ticks": t["ticks"].drop("xp"),
+               "incidents": t["incidents"].withColumn("place", F.lit("x"))}
+    store = TableStore(s, shared_path(s, "store"))
+    store.commit(drifted)
+    rows = [(n, problem, c) for n in drifted
+            for problem, cols in zip(("absent", "not declared"), schema_diff(store.read(n).columns, DECLARED[n].fieldNames()))
+            for c in cols]
+    return s.createDataFrame(rows, "table_name string, problem string, column_name string")
+
+
 # ---------------------------------------------------------------- K7 -------
 def _contract_sql() -> str:
     parts = []
@@ -98,6 +182,19 @@ def _contract_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
+@register("contract_violations_found", R(
+    "SELECT rule, CAST(v AS BIGINT) AS violations FROM (SELECT 'not_null:gold' AS rule, count(*) FILTER (WHERE xp % 2 = 0) AS v "
+    "FROM ticks UNION ALL SELECT 'pk:match_id,timestamp_min', count(*) FILTER (WHERE cs % 3 = 0) FROM ticks "
+    "UNION ALL SELECT 'not_null:' || unnest(['match_id', 'timestamp_min', 'cs', 'xp', 'kills']), 0)"))
+def _found(s, sf):
+    """Ticks with values blanked out and rows repeated."""
+    t = T3(s, sf)[1]
+    blank = F.when(F.col("xp") % 2 != 0, F.col("gold")).alias("gold")
+    bad = t.select(*[blank if c == "gold" else F.col(c) for c in t.columns])
+    again = t.where("cs % 3 = 0").select(*[F.lit(1).cast("long").alias("gold") if c == "gold" else F.col(c) for c in t.columns])
+    return contract_violations(bad.unionByName(again), DECLARED["ticks"], PRIMARY_KEYS["ticks"])
+
+
 @register("contract_violations", R(_contract_sql()))
 def _contract(s, sf):
     out = None
@@ -109,13 +206,22 @@ def _contract(s, sf):
 
 
 # ---------------------------------------------------------------- S6-S9 ----
-def _inventory(s, path):
-    return D.read_documents(s, path, "lines").select(F.col("doc_key").alias("match_id"), "kind")
+def _inventory(s, sf):
+    """Landed documents (match_id, kind) of a landing with defects, read back."""
+    return D.read_documents(s, land(s, sf, defects=True), "lines").where("doc_key IS NOT NULL").select(
+        F.col("doc_key").alias("match_id"), "kind")
+
+
+def _asked(s, sf, *tags):
+    """Keys to collect: every session, and each of them under the given tags."""
+    m = T2(s, sf)[0].select("match_id")
+    return m.select(F.explode(F.array(F.col("match_id"), *[F.concat(F.col("match_id"), F.lit(t)) for t in tags])).alias("match_id"))
 
 
-register("new_keys", R(f"SELECT match_id FROM sessions WHERE {K} % 17 = 0"))(
-    lambda s, sf: L.new_keys(T2(s, sf)[0].select("match_id"),
-                             _inventory(s, land(s, sf)).where(F.col("kind") == "detail")))
+register("new_keys", R(
+    "SELECT match_id || tag AS match_id FROM sessions, (VALUES ('#orphan'), ('#never')) v(tag)"))(
+    lambda s, sf: L.new_keys(_asked(s, sf, "#orphan", "#never", "#absent"),
+                             _inventory(s, sf).where(F.col("kind") == "detail")))
 
 register("first_n_distinct", R(
     "SELECT match_id, min(event_id) AS pos FROM ev2 GROUP BY match_id ORDER BY pos, match_id LIMIT 100"))(
@@ -131,33 +237,30 @@ register("candidate_filter", R(
 
 
 @register("landing_status", R(
-    f"SELECT match_id, CASE WHEN {K} % 17 <> 0 AND {K} % 13 <> 0 THEN "
-    f"(CASE WHEN {K} % 2 = 0 THEN 'skipped' ELSE 'saved' END) "
-    f"WHEN {K} % 17 <> 0 THEN 'timeline missing' WHEN {K} % 13 <> 0 THEN 'detail missing' "
-    f"ELSE 'missing' END AS status FROM sessions"))
+    "SELECT match_id || tag AS match_id, CASE WHEN tag = '' THEN (CASE WHEN CAST(split_part(match_id, '-', 1) AS BIGINT) % 2 = 0 "
+    "THEN 'skipped' ELSE 'saved' END) ELSE status END AS status FROM sessions, (VALUES ('', ''), "
+    "('#no-timeline', 'timeline missing'), ('#orphan', 'detail missing'), ('#never', 'missing')) v(tag, status)"))
 def _status(s, sf):
-    inv = _inventory(s, land(s, sf))
-    parts = F.split("match_id", "-")
-    before = inv.where((F.get(parts, 0).cast("long") + F.get(parts, 1).cast("long")) % 2 == 0)
-    return L.landing_status(T2(s, sf)[0].select("match_id"), before, inv)
+    inv = _inventory(s, sf)
+    before = inv.where(F.split("match_id", "-")[0].cast("long") % 2 == 0)
+    keys = _asked(s, sf, "#no-timeline", "#orphan", "#never")
+    return L.landing_status(keys, before, inv)
 
 
 # ---------------------------------------------------------------- ST1 ------
-@register("ingest_increment", R(
-    "SELECT t.* FROM ticks t JOIN kept USING (match_id)", extra=KEPT))
+@register("ingest_increment", R("SELECT * FROM ticks"))
 def _increment(s, sf):
     """Two landings processed by two availableNow runs of the stream: half of
     the timelines arrive only in the second landing, after their details."""
     from playline.streaming.ingest_stream import ingest_stream
-    tables = dict(zip(("sessions", "ticks", "incidents"), T3(s, sf)))
+    tables = _tables(s, sf)
     raw, store = shared_path(s, "landing"), TableStore(s, shared_path(s, "store"))
     ckpt = shared_path(s, "stream-ckpt")
     keys = tables["sessions"].select("match_id")
-    parts = F.split("match_id", "-")
-    even = keys.where((F.get(parts, 0).cast("long") + F.get(parts, 1).cast("long")) % 2 == 0)
+    even = keys.where(F.split("match_id", "-")[0].cast("long") % 2 == 0)
     odd = keys.join(even, "match_id", "left_anti")
-    L.write_landing(tables, raw, CFG.tick_ms, part="p1", timeline_keys=even)
-    ingest_stream(s, raw, store, ckpt, None, CFG.tick_ms)
-    L.write_landing(tables, raw, CFG.tick_ms, part="p2", detail_keys=keys.limit(0), timeline_keys=odd)
-    ingest_stream(s, raw, store, ckpt, None, CFG.tick_ms)
+    LD.write_landing(tables, raw, CFG.tick_ms, part="p1", timeline_keys=even)
+    ingest_stream(s, raw, store, ckpt, player(), CFG.tick_ms)
+    LD.write_landing(tables, raw, CFG.tick_ms, part="p2", details=False, timeline_keys=odd)
+    ingest_stream(s, raw, store, ckpt, player(), CFG.tick_ms)
     return store.read("ticks")

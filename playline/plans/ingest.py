@@ -3,45 +3,51 @@
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from playline.plans.tables import TableStore, append_if_absent, ensure_tables
-from playline.schemas import PRIMARY_KEYS
+from playline.plans.tables import TableStore, ensure_tables
 from playline.sources.documents import flatten_joined, pair_documents, read_documents, with_snapshots
 
 TABLES = ("sessions", "ticks", "incidents")
+QUARANTINE = "quarantine"
 
 
-def ingest(spark: SparkSession, raw_path: str, store: TableStore, player=None, tick_ms: int = 60_000,
+def new_sessions(frames: dict[str, DataFrame], store: TableStore) -> dict[str, DataFrame]:
+    """K1: the rows of sessions that the store does not hold yet, in all three tables.
+
+    The stored ids are first narrowed to those of this batch by a semi join with
+    the (small) batch, so the large table is scanned for its key column only."""
+    existing = store.read("sessions")
+    if existing is None:
+        return {t: frames[t] for t in TABLES}
+    hits = existing.select("match_id").join(frames["sessions"].select("match_id"), "match_id", "left_semi")
+    return {t: frames[t].join(hits, "match_id", "left_anti") for t in TABLES}
+
+
+def ingest(spark: SparkSession, raw_path: str, store: TableStore, player: str | Column, tick_ms: int = 60_000,
            layout: str = "lines", mode: str = "incremental") -> dict:
-    """Read every landed document, flatten, and commit the three tables at once.
+    """Read every landed document, flatten, and commit the three tables and the
+    quarantine at once.
 
-    ``incremental``: rows whose key is already stored are ignored (first write
-    wins, re-running is a no-op). ``full``: rebuild all three tables from the
-    immutable raw documents into a new version.
+    ``incremental``: sessions already stored are ignored (first write wins,
+    re-running is a no-op). ``full``: rebuild all three tables from the
+    immutable raw documents into a new version. The quarantine holds the
+    rejected documents of the latest run, each with its reason.
     """
     if mode not in ("incremental", "full"):
         raise ValueError("mode must be 'incremental' or 'full'")
     ensure_tables(store)       # create-if-absent + column contracts, before any write
     p = pair_documents(read_documents(spark, raw_path, layout), player)
+    # the paired documents (only the fields of the tables) feed all writes and the summary: parse and pair once
     joined = with_snapshots(p["joined"], tick_ms).persist(StorageLevel.MEMORY_AND_DISK)
-    # the paired documents feed three writes, the quarantine and the summary: parse and pair once
-    fl = flatten_joined(joined, tick_ms) | {"orphans": p["orphans"]}
+    fl = flatten_joined(joined, tick_ms)
     try:
-        frames = {}
-        for t in TABLES:
-            existing = store.read(t) if mode == "incremental" else None
-            frames[t] = append_if_absent(fl[t], existing, PRIMARY_KEYS[t])
-        version = store.commit(frames, mode="append" if mode == "incremental" else "replace")
-        summary = ingest_counts(fl["pairs"], fl["quarantine"], store.read("sessions"))
-        return {"version": version, "summary": summary, "quarantine": fl["quarantine"], "orphans": fl["orphans"]}
+        frames = new_sessions(fl, store) if mode == "incremental" else {t: fl[t] for t in TABLES}
+        version = store.commit(frames | {QUARANTINE: fl["quarantine"]},
+                               mode="append" if mode == "incremental" else "replace", replace=(QUARANTINE,))
+        counts = joined.agg(F.count_if(F.col("_reason").isNull()), F.count_if(F.col("_reason").isNotNull())).first()
+        summary = spark.createDataFrame([(counts[0], counts[1], store.read("sessions").count())],
+                                        "processed long, skipped long, total_rows long")
+        return {"version": version, "summary": summary, "quarantine": store.read(QUARANTINE), "orphans": p["orphans"]}
     finally:
         joined.unpersist()
-
-
-def ingest_counts(pairs: DataFrame, quarantine: DataFrame, target: DataFrame) -> DataFrame:
-    """Processed documents, skipped documents, rows in the target table."""
-    return pairs.sparkSession.range(1).select(
-        pairs.agg(F.count(F.lit(1))).scalar().alias("processed"),
-        quarantine.agg(F.count(F.lit(1))).scalar().alias("skipped"),
-        target.agg(F.count(F.lit(1))).scalar().alias("total_rows"))

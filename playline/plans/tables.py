@@ -1,111 +1,90 @@
-"""Table maintenance on plain Parquet (K1-K4, K8).
-
-* ``append_if_absent``  - first-write-wins keyed append: rows whose key already
-  exists in the target are dropped (anti join), duplicates inside the batch
-  keep one deterministic row.
-* ``TableStore``        - several tables committed together: every commit
-  writes its data into new version folders, then one small manifest version
-  naming the folders of *all* tables; readers only follow complete manifest
-  versions, so a failed run leaves the previous version untouched (K2), and
-  nothing ever reads and overwrites the same path.
+"""Versioned tables on plain Parquet (K2-K4, K8).
+
+``TableStore`` commits several tables together: every commit writes its data
+into new folders, then one small manifest file that names the folders of *all*
+tables. Readers follow the newest complete manifest, so a failed run leaves the
+previous version untouched, and nothing ever reads and overwrites one path.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-
-MANIFEST_SCHEMA = T.StructType([T.StructField("version", T.LongType()), T.StructField("commit_id", T.StringType()),
-                                T.StructField("table", T.StringType()), T.StructField("path", T.StringType()),
-                                T.StructField("n_entries", T.LongType())])
-
-
-def dedup_first(df: DataFrame, keys) -> DataFrame:
-    """One row per key: the smallest row (deterministic), via a grouped
-    min over the row struct - partial aggregation, no sort of the group."""
-    keys = list(keys)
-    rest = [c for c in df.columns if c not in keys]
-    if not rest:
-        return df.dropDuplicates(keys)
-    best = F.min(F.struct(*rest)).alias("_r")
-    return df.groupBy(*keys).agg(best).select(*keys, *[F.col("_r")[c].alias(c) for c in rest]).select(df.columns)
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 
-def append_if_absent(new: DataFrame, existing: DataFrame | None, keys) -> DataFrame:
-    """K1: rows of ``new`` whose key is not yet in ``existing``.
-
-    The stored keys are first narrowed to the keys of this batch with a
-    left-semi join whose build side is the (small) batch - broadcast when AQE
-    sees it is small, so the large table is scanned for its key columns only
-    and never shuffled - and the anti join then runs on two small inputs."""
-    keys = list(keys)
-    batch = dedup_first(new, keys)
-    if existing is None or existing.isEmpty():
-        return batch
-    hits = existing.select(*keys).join(batch.select(*keys), keys, "left_semi")
-    return batch.join(hits, keys, "left_anti")
+class CommitConflict(RuntimeError):
+    """Another writer published a version since this writer last looked."""
 
 
 class TableStore:
-    """Versioned multi-table store under one root folder (shared storage)."""
+    """Versioned multi-table store under one root folder (shared storage).
+
+    A version is one small manifest file that names the data folders of all
+    tables. It is created exclusively, so of two writers of one version the
+    second fails; a manifest cut short by a crash does not parse and is skipped."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        self._cache = None      # (version, commit_id, entries) of the last manifest read by this writer
+        self._cache = None      # (version, entries) of the last manifest read by this writer
 
     # -- manifest -----------------------------------------------------------
-    def _manifest(self) -> DataFrame:
-        return (self.spark.read.schema(MANIFEST_SCHEMA).option("recursiveFileLookup", "true")
-                .json(f"{self.root}/_manifest"))
-
-    def _latest(self):
-        """(version, commit_id) of the newest complete manifest, or None.
-
-        A manifest is complete when all its rows are present; a crashed
-        attempt (partial data folders, partial or missing manifest) is never
-        visible and never blocks a retry, which uses a fresh commit id."""
+    def _fs(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def _versions(self) -> list[int]:
+        """Numbers of all manifest files, complete or not; a missing folder is an empty store."""
+        fs, p = self._fs(f"{self.root}/_manifest")
+        if not fs.exists(p):
+            return []
+        return sorted(int(f.getPath().getName()[1:9]) for f in fs.listStatus(p)
+                      if f.getPath().getName().startswith("m") and f.getPath().getName().endswith(".json"))
+
+    def _load(self, version: int):
+        """Entries of a manifest, or None if it is not complete. Read errors are raised."""
+        fs, p = self._fs(f"{self.root}/_manifest/m{version:08d}.json")
+        stream = fs.open(p)
+        try:
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
         try:
-            m = self._manifest()
-            best = (m.groupBy("version", "commit_id")
-                    .agg(F.count(F.lit(1)).alias("n"), F.max("n_entries").alias("want"))
-                    .where(F.col("n") == F.col("want"))
-                    .orderBy(F.desc("version"), F.desc("commit_id")).first())   # manifest metadata only
-        except Exception:  # noqa: BLE001 - no manifest yet
+            return [(t, q) for t, q in json.loads(text)["entries"]]
+        except ValueError:
             return None
-        return (best["version"], best["commit_id"]) if best else None
+
+    def _latest(self):
+        for v in reversed(self._versions()):
+            entries = self._load(v)
+            if entries is not None:
+                return v, entries
+        return 0, []
 
     def _state(self):
         if self._cache is None:
-            latest = self._latest()
-            if latest is None:
-                self._cache = (0, None, [])
-            else:
-                rows = (self._manifest().where((F.col("version") == latest[0]) & (F.col("commit_id") == latest[1]))
-                        .select("table", "path").collect())
-                self._cache = (int(latest[0]), latest[1], [(r["table"], r["path"]) for r in rows])
+            self._cache = self._latest()
         return self._cache
 
     def refresh(self) -> None:
         """Forget the cached manifest (another writer may have committed)."""
         self._cache = None
 
-    def _entries(self) -> list:
-        return [{"table": t, "path": p} for t, p in self._state()[2]]
-
     def version(self) -> int:
         return self._state()[0]
 
     def paths(self) -> dict[str, list[str]]:
         out: dict[str, list[str]] = {}
-        for r in self._entries():
-            out.setdefault(r["table"], []).append(r["path"])
+        for t, p in self._state()[1]:
+            out.setdefault(t, []).append(p)
         return out
 
     def tables(self) -> list[str]:
         return sorted(self.paths())
 
     def read(self, table: str, schema: T.StructType | None = None) -> DataFrame | None:
+        """The table with its declared (or the given) schema, None if there is none."""
         ps = self.paths().get(table)
         if not ps:
             return None
@@ -117,29 +96,47 @@ class TableStore:
     # -- commit -------------------------------------------------------------
     def commit(self, frames: dict[str, DataFrame], mode: str = "append", replace=()) -> int:
         """Write every frame to a new version folder, then publish one manifest
-        version naming the folders of all tables (append keeps older folders,
-        replace names only the new ones for the tables written; ``replace``
-        lists tables replaced even in append mode)."""
+        naming the folders of all tables (append keeps older folders, replace
+        names only the new ones for the tables written; ``replace`` lists
+        tables replaced even in append mode). Raises CommitConflict, and
+        publishes nothing, if the version moved since this writer read it."""
         if mode not in ("append", "replace"):
             raise ValueError("mode must be 'append' or 'replace'")
+        base, _ = self._state()
         current = self.paths()
-        v = self.version() + 1
         cid = uuid.uuid4().hex[:12]
         entries = []
         for name, df in frames.items():
-            p = f"{self.root}/data/{name}/v{v:06d}-{cid}"
+            p = f"{self.root}/data/{name}/{base + 1:08d}-{cid}"
             df.write.mode("error").parquet(p)
             keep = current.get(name, []) if mode == "append" and name not in replace else []
             entries += [(name, q) for q in keep] + [(name, p)]
         for name, ps in current.items():
             if name not in frames:
                 entries += [(name, q) for q in ps]
-        rows = [(v, cid, t, p, len(entries)) for t, p in entries]
-        (self.spark.createDataFrame(rows, MANIFEST_SCHEMA).coalesce(1)
-         .write.mode("error").json(f"{self.root}/_manifest/m{v:06d}-{cid}"))
-        self._cache = (v, cid, entries)
+        if self._latest()[0] != base:
+            raise CommitConflict(f"version {base} is no longer the latest of {self.root}")
+        # an incomplete manifest keeps its number, so a crash never blocks the next writer
+        v = max(self._versions(), default=0) + 1
+        fs, p = self._fs(f"{self.root}/_manifest/m{v:08d}.json")
+        try:
+            out = fs.create(p, False)
+        except Exception as e:  # noqa: BLE001 - the Java exception type is only known by name
+            if "AlreadyExists" in str(e) or "already exists" in str(e):
+                raise CommitConflict(f"version {v} of {self.root} was taken by another writer") from e
+            raise
+        try:
+            out.write(bytearray(json.dumps({"version": v, "commit": cid, "entries": entries}).encode()))
+        finally:
+            out.close()
+        self._cache = (v, entries)
         return v
 
+    def compact(self, most_folders: int = 16) -> int:
+        """Rewrite every table that lies in more than ``most_folders`` folders into one."""
+        wide = [t for t, ps in self.paths().items() if len(ps) > most_folders]
+        return self.commit({t: self.read(t) for t in wide}, replace=tuple(wide)) if wide else self.version()
+
 
 def ensure_tables(store: TableStore, schemas: dict | None = None) -> int:
     """Create-if-absent plus a column-contract check of existing tables
@@ -147,11 +144,12 @@ def ensure_tables(store: TableStore, schemas: dict | None = None) -> int:
     empty with their declared schema in one version; an existing table whose
     column set differs raises ``SchemaContractError`` with sorted missing and
     unexpected names. Returns the store version."""
-    from playline.schemas import DECLARED, assert_columns
+    from playline.schemas import DECLARED, assert_columns, assert_types
     schemas = schemas or {t: DECLARED[t] for t in ("sessions", "ticks", "incidents")}
     present = store.paths()
     for name, schema in schemas.items():
         if name in present:
             assert_columns(store.read(name), name, schema.fieldNames())
+            assert_types(store.read(name), name, schema)
     missing = {n: store.spark.createDataFrame([], sch) for n, sch in schemas.items() if n not in present}
     return store.commit(missing) if missing else store.version()

@@ -31,7 +31,7 @@ def _struct(fields):
     return T.StructType([T.StructField(n, t, nullable) for n, t, nullable in fields])
 
 
-def sessions_schema(ts_type: T.DataType = T.TimestampType()) -> T.StructType:
+def sessions_schema(ts_type: T.DataType = T.TimestampNTZType()) -> T.StructType:
     return _struct([
         ("match_id", _S, False), ("puuid", _S, False), ("game_datetime", ts_type, False),
         ("game_version", _S, False), ("queue_id", _I, False), ("game_duration_sec", _I, False),
@@ -87,6 +87,15 @@ def schema_diff(actual, expected) -> tuple[list[str], list[str]]:
     return sorted(e - a), sorted(a - e)
 
 
+def assert_types(df: DataFrame, name: str, schema: T.StructType) -> None:
+    """Every declared column has its declared type."""
+    have = {f.name: f.dataType for f in df.schema.fields}
+    wrong = [f"{f.name}: {have[f.name].simpleString()}, declared {f.dataType.simpleString()}"
+             for f in schema.fields if f.name in have and have[f.name] != f.dataType]
+    if wrong:
+        raise SchemaContractError(f"{name} breaks its type contract ({'; '.join(wrong)})")
+
+
 def assert_columns(df: DataFrame, name: str, expected) -> None:
     missing, unexpected = schema_diff(df.columns, expected)
     if missing or unexpected:

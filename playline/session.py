@@ -27,6 +27,7 @@ def get_spark(master: str | None = None, app: str = "playline",
          .config("spark.sql.session.timeZone", os.environ.get("PLAYLINE_TZ", "UTC"))
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          .config("spark.driver.memory", os.environ.get("PLAYLINE_DRIVER_MEM", "12g"))
+         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
          .config("spark.sql.files.maxPartitionBytes", str(128 * 1024 * 1024)))
     for k, v in (extra or {}).items():
         b = b.config(k, v)
@@ -39,14 +40,17 @@ def get_spark(master: str | None = None, app: str = "playline",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    Only when the cluster names none (local tests) is a fresh scratch folder
-    created; a cluster job must configure a shared (HDFS/object store) path.
+    Only a local master gets a fresh scratch folder when none is named; on a
+    cluster a machine-local folder would be lost to the other machines, so the
+    job must name a shared (HDFS/object store) path.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not conf_dir and not sc.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     if not conf_dir:
         conf_dir = tempfile.mkdtemp(prefix="playline-ckpt-", dir=os.environ.get("PLAYLINE_SCRATCH", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", conf_dir)

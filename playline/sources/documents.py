@@ -10,16 +10,20 @@ per-participant snapshots and events). Two landing layouts are read:
 * ``lines`` - JSON Lines under ``detail/`` and ``timeline/`` sub-folders, key
   from ``metadata.matchId`` (the layout a bulk landing job writes).
 
+Nested elements are tolerated one by one: participants, frames, events and
+snapshots are read as text and parsed each on its own, so a stray element is
+skipped and the session stays; numbers may come as ``12`` or ``12.0``.
+
 Flattening never explodes a document into rows before it has to: the player's
 participant, rival, running kill count, last-frame-per-tick rule and incident
 numbering are all array higher-order functions evaluated inside the document
-row, so parsing needs no shuffle at all; the only exchange is the
-detail<->timeline pairing join.
+row. Documents meet in the pairing join; of several documents with one session
+id the first to arrive wins, for all three tables.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from playline.functions.scalars import first_present, from_epoch_ms, major_minor, per_minute
 from playline.schemas import INCIDENTS_SCHEMA, TICKS_SCHEMA, conform, sessions_schema
@@ -44,62 +48,105 @@ FRAME = T.StructType([
     T.StructField("timestamp", _L),
     T.StructField("participantFrames", T.MapType(_S, PARTICIPANT_FRAME)),   # keyed by participant id text
     T.StructField("events", T.ArrayType(EVENT))])
+# As read: elements as text, a frame's parts as text.
+TEXTS = T.ArrayType(_S)
+RAW_FRAME = T.StructType([T.StructField("timestamp", T.DoubleType()),
+                          T.StructField("participantFrames", T.MapType(_S, _S)), T.StructField("events", TEXTS)])
+_D = T.DoubleType()
 DOC_SCHEMA = T.StructType([
-    T.StructField("metadata", T.StructType([T.StructField("matchId", _S),
-                                            T.StructField("participants", T.ArrayType(_S))])),
+    T.StructField("metadata", T.StructType([T.StructField("matchId", _S)])),
     T.StructField("info", T.StructType([
-        T.StructField("gameCreation", _L), T.StructField("gameVersion", _S), T.StructField("gameDuration", _I),
-        T.StructField("queueId", _I), T.StructField("participants", T.ArrayType(PARTICIPANT)),
-        T.StructField("frames", T.ArrayType(FRAME))])),
+        T.StructField("gameCreation", _D), T.StructField("gameVersion", _S), T.StructField("gameDuration", _D),
+        T.StructField("queueId", _D), T.StructField("participants", TEXTS), T.StructField("frames", TEXTS)])),
     T.StructField("_corrupt_record", _S)])
 
 
+def _loose(t: T.DataType) -> T.DataType:
+    """The same type with every whole number read as a double."""
+    if isinstance(t, T.StructType):
+        return T.StructType([T.StructField(f.name, _loose(f.dataType)) for f in t.fields])
+    return T.DoubleType() if isinstance(t, (T.IntegerType, T.LongType)) else t
+
+
+def parsed(text: Column, schema: T.StructType) -> Column:
+    """One nested object; anything that is not an object is NULL."""
+    return F.when(F.ltrim(text).startswith("{"), F.from_json(text, _loose(schema)).cast(schema))
+
+
+def parsed_each(texts: Column, schema: T.StructType) -> Column:
+    return F.filter(F.transform(F.coalesce(texts, F.array().cast(TEXTS)), lambda x: parsed(x, schema)),
+                    lambda x: x.isNotNull())
+
+
 # ---------------------------------------------------------------- S1/S2 ----
-def read_documents(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
-    """All documents under ``path`` as rows: doc_key, kind ('detail'|'timeline'),
-    file_name, metadata, info, _corrupt_record. One scan with the union schema."""
-    reader = (spark.read.schema(DOC_SCHEMA).option("mode", "PERMISSIVE")
-              .option("columnNameOfCorruptRecord", "_corrupt_record"))
+def document_columns(raw: DataFrame, layout: str) -> list[Column]:
+    """doc_key, kind, file_name and path of documents read with DOC_SCHEMA."""
+    name, path = F.col("_metadata.file_name"), F.col("_metadata.file_path")
     if layout == "files":
-        raw = reader.option("multiLine", True).option("pathGlobFilter", "*.json").json(path)
-        name = F.col("_metadata.file_name")
         kind = F.when(name.endswith("_timeline.json"), F.lit("timeline")).otherwise(F.lit("detail"))
         key = F.regexp_extract(name, r"^(.*?)(_timeline)?\.json$", 1)
     elif layout == "lines":
-        raw = reader.json([f"{path.rstrip('/')}/detail", f"{path.rstrip('/')}/timeline"])
-        name = F.col("_metadata.file_name")
-        kind = F.when(F.col("_metadata.file_path").contains("/timeline/"), F.lit("timeline")).otherwise(F.lit("detail"))
+        kind = F.when(path.contains("/timeline/"), F.lit("timeline")).otherwise(F.lit("detail"))
         key = F.col("metadata.matchId")
     else:
         raise ValueError("layout must be 'files' or 'lines'")
-    return raw.select(key.alias("doc_key"), kind.alias("kind"), name.alias("file_name"),
-                      "metadata", "info", "_corrupt_record")
+    return [key.alias("doc_key"), kind.alias("kind"), name.alias("file_name"), path.alias("path"),
+            F.col("_metadata.file_block_start").alias("block")]
+
+
+def with_arrival(docs: DataFrame, run: int = 0) -> DataFrame:
+    """Order of arrival: run, then file path, then place in the file."""
+    place = F.struct(F.lit(run).cast("long").alias("run"), "path", "block",
+                     F.monotonically_increasing_id().alias("row")).alias("arrival")
+    return docs.select("doc_key", "kind", "file_name", place, "metadata", "info", "_corrupt_record")
+
+
+def read_documents(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
+    """All documents under ``path`` as rows: doc_key, kind ('detail'|'timeline'),
+    file_name, arrival, metadata, info, _corrupt_record. One scan with the union schema."""
+    reader = (spark.read.schema(DOC_SCHEMA).option("mode", "PERMISSIVE")
+              .option("columnNameOfCorruptRecord", "_corrupt_record"))
+    if layout == "files":
+        raw = reader.option("multiLine", True).option("pathGlobFilter", "*.json").json(path)
+    else:
+        raw = reader.option("recursiveFileLookup", True).json([f"{path.rstrip('/')}/detail", f"{path.rstrip('/')}/timeline"])
+    return with_arrival(raw.select(*document_columns(raw, layout), "metadata", "info", "_corrupt_record"))
 
 
 # ---------------------------------------------------------------- S3/S4 ----
-def pair_documents(docs: DataFrame, player: str | Column | None = None) -> dict[str, DataFrame]:
-    """Split into paired (detail, timeline) rows and a quarantine table.
+def _first(df: DataFrame, key: str) -> DataFrame:
+    """The first arrival of each key (``row_number() = 1`` is cut down before the shuffle)."""
+    w = Window.partitionBy(key).orderBy("arrival")
+    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def pair_documents(docs: DataFrame, player: str | Column, rival_position: str = RIVAL_POSITION) -> dict[str, DataFrame]:
+    """Paired (detail, timeline) rows with the reason why a document can't be used.
+
+    ``player``: the tracked player's id, or a column that gives it for each
+    document (several tracked players); a document that does not list it is
+    rejected, never read for somebody else.
 
     * malformed JSON, missing required fields, player absent, participant id
       absent, frames not a list  -> quarantine with a reason;
     * detail without timeline -> quarantine 'timeline missing' (retried later);
     * timeline without detail -> ignored (``orphans`` for inspection).
     """
-    perspective = (F.lit(player) if isinstance(player, str)
-                   else player if player is not None else F.element_at(F.col("metadata.participants"), 1))
+    if player is None:
+        raise ValueError("name the tracked player")
     details = docs.where(F.col("kind") == "detail")
     # The malformed test also reads ``info.frames`` (a size can never be < 0):
     # Spark refuses scans whose only parsed column is the corrupt-record column,
     # because the parser would then skip the records it is asked to judge.
-    no_frames = F.array().cast(T.ArrayType(FRAME))
+    no_frames = F.array().cast(TEXTS)
     t_bad = F.col("_corrupt_record").isNotNull() | (F.size(F.coalesce(F.col("info.frames"), no_frames)) < 0)
-    timelines = docs.where(F.col("kind") == "timeline").select(
-        "doc_key", F.col("info.frames").alias("frames"), t_bad.alias("_t_corrupt"),
-        F.col("file_name").alias("timeline_file"))
+    timelines = _first(docs.where(F.col("kind") == "timeline").select(
+        "doc_key", "arrival", F.col("info.frames").alias("frames"), t_bad.alias("_t_corrupt"),
+        F.col("file_name").alias("timeline_file")), "doc_key")
     d = (details
-         .withColumn("player", perspective)
-         .withColumn("own", F.try_element_at(F.filter("info.participants", lambda p: p.puuid == F.col("player")),
-                                             F.lit(1))))
+         .withColumn("player", F.lit(player) if isinstance(player, str) else player)
+         .withColumn("_people", parsed_each(F.col("info.participants"), PARTICIPANT))
+         .withColumn("own", F.try_element_at(F.filter("_people", lambda p: p.puuid == F.col("player")), F.lit(1))))
     reason = (F.when(F.col("_corrupt_record").isNotNull(), F.lit("malformed document"))
               .when(F.col("metadata.matchId").isNull() | F.col("info.gameCreation").isNull()
                     | F.col("info.gameVersion").isNull(), F.lit("missing required field"))
@@ -107,8 +154,17 @@ def pair_documents(docs: DataFrame, player: str | Column | None = None) -> dict[
               .when(F.col("own").isNull(), F.lit("player not found"))
               .when(F.col("own.participantId").isNull(), F.lit("participant id missing"))
               .when(F.col("own.championName").isNull() | F.col("own.win").isNull(), F.lit("missing required field")))
-    d = d.withColumn("_reason", reason)
-    joined = d.join(timelines, "doc_key", "left")
+    rival = F.try_element_at(F.filter(
+        "_people",
+        lambda p: (F.coalesce(p.teamId, F.lit(0)) != F.coalesce(F.col("own.teamId"), F.lit(0)))
+        & (F.coalesce(F.nullif(p.individualPosition, F.lit("")), p.teamPosition) == rival_position)), F.lit(1))
+    d = d.withColumn("_reason", reason).withColumn("_rival", rival)
+    # only what the three tables need goes on
+    d = d.select("doc_key", "file_name", "arrival", "player", "own", "_rival", "_reason",
+                 F.col("metadata.matchId").alias("match_id"), F.col("info.gameCreation").cast("long").alias("created"),
+                 F.col("info.gameVersion").alias("version"), F.col("info.gameDuration").cast("int").alias("duration"),
+                 F.col("info.queueId").cast("int").alias("queue"))
+    joined = d.join(timelines.drop("arrival"), "doc_key", "left")
     t_reason = (F.when(F.col("timeline_file").isNull(), F.lit("timeline missing"))
                 .when(F.col("_t_corrupt"), F.lit("malformed timeline")))
     joined = joined.withColumn("_reason", F.coalesce(F.col("_reason"), t_reason))
@@ -117,8 +173,10 @@ def pair_documents(docs: DataFrame, player: str | Column | None = None) -> dict[
 
 
 def split_pairs(joined: DataFrame) -> dict[str, DataFrame]:
-    """Paired documents (no reason) and the quarantine (doc_key, file_name, reason)."""
-    return {"pairs": joined.where(F.col("_reason").isNull()).drop("_reason", "_t_corrupt"),
+    """The first usable document of each session (``pairs``), all usable ones
+    (``usable``) and the quarantine (doc_key, file_name, reason)."""
+    usable = joined.where(F.col("_reason").isNull()).drop("_reason", "_t_corrupt")
+    return {"pairs": _first(usable, "match_id"), "usable": usable,
             "quarantine": joined.where(F.col("_reason").isNotNull()).select(
                 "doc_key", "file_name", F.col("_reason").alias("reason"))}
 
@@ -127,20 +185,16 @@ def split_pairs(joined: DataFrame) -> dict[str, DataFrame]:
 def session_facts(pairs: DataFrame) -> DataFrame:
     """27-column session row from the detail document (one ``select``)."""
     own = F.col("own")
-    rival = F.try_element_at(F.filter(
-        "info.participants",
-        lambda p: (F.coalesce(p.teamId, F.lit(0)) != F.coalesce(own.teamId, F.lit(0)))
-        & (F.coalesce(F.nullif(p.individualPosition, F.lit("")), p.teamPosition) == RIVAL_POSITION)), F.lit(1))
     k, d, a = (F.coalesce(own[c], F.lit(0)) for c in ("kills", "deaths", "assists"))
     cs = F.coalesce(own.totalMinionsKilled, F.lit(0)) + F.coalesce(own.neutralMinionsKilled, F.lit(0))
-    dur = F.coalesce(F.col("info.gameDuration"), F.lit(0))
+    dur = F.coalesce(F.col("duration"), F.lit(0))
     r = F.col("_rival")
     has_r = r.isNotNull()
-    out = pairs.withColumn("_rival", rival).select(
-        F.col("metadata.matchId").alias("match_id"), F.col("player").alias("puuid"),
-        from_epoch_ms(F.col("info.gameCreation")).alias("game_datetime"),
-        major_minor(F.col("info.gameVersion")).alias("game_version"),
-        F.coalesce(F.col("info.queueId"), F.lit(0)).alias("queue_id"), dur.alias("game_duration_sec"),
+    out = pairs.select(
+        "match_id", F.col("player").alias("puuid"),
+        from_epoch_ms(F.col("created")).alias("game_datetime"),
+        major_minor(F.col("version")).alias("game_version"),
+        F.coalesce(F.col("queue"), F.lit(0)).alias("queue_id"), dur.alias("game_duration_sec"),
         F.coalesce(own.championId, F.lit(0)).alias("champion_id"), own.championName.alias("champion_name"),
         F.coalesce(own.teamId, F.lit(0)).alias("team_id"),
         first_present(own.teamPosition, own.individualPosition).alias("team_position"),
@@ -158,7 +212,7 @@ def session_facts(pairs: DataFrame) -> DataFrame:
         F.when(has_r, F.coalesce(r.kills, F.lit(0))).alias("opp_kills"),
         F.when(has_r, F.coalesce(r.deaths, F.lit(0))).alias("opp_deaths"),
         F.when(has_r, F.coalesce(r.assists, F.lit(0))).alias("opp_assists"))
-    return conform(out, sessions_schema(T.TimestampNTZType()))
+    return conform(out, sessions_schema())
 
 
 def with_snapshots(pairs: DataFrame, tick_ms: int = 60_000) -> DataFrame:
@@ -169,13 +223,16 @@ def with_snapshots(pairs: DataFrame, tick_ms: int = 60_000) -> DataFrame:
 
     Every array is consumed only as the *input* of a higher-order function,
     never referenced inside a lambda (Spark would re-evaluate it per element),
-    so each step is linear or quadratic in the frame count per document."""
+    so each step is linear in the frames, and the last-per-tick rule quadratic in
+    the ticks of one document (some tens)."""
     pid = F.col("own.participantId")
     key = pid.cast("string")
-    no_events = F.array().cast(T.ArrayType(EVENT))
-    frames = F.coalesce(F.col("frames"), F.array().cast(T.ArrayType(FRAME)))
-    kills = F.transform(frames, lambda f: F.size(F.filter(
-        F.coalesce(f.events, no_events), lambda e: e.isNotNull() & (e.type == KILL_EVENT) & (e.killerId == pid))))
+    frames = F.col("_fr")
+    # the player's part in a frame: kills, deaths and snapshot
+    seen = F.transform("frames", lambda x: F.when(F.ltrim(x).startswith("{"), F.from_json(x, RAW_FRAME)))
+    events = F.transform(frames, lambda f: parsed_each(f.events, EVENT))
+    kills = F.transform("_ev", lambda es: F.size(F.filter(
+        es, lambda e: (e.type == KILL_EVENT) & (e.killerId == pid))))
     start = F.named_struct(F.lit("s"), F.lit(0), F.lit("out"), F.array().cast("array<int>"))
     running = F.aggregate(F.col("_kpf"), start,
                           lambda acc, x: F.named_struct(F.lit("s"), acc.s + x,
@@ -184,23 +241,25 @@ def with_snapshots(pairs: DataFrame, tick_ms: int = 60_000) -> DataFrame:
     zipped = F.arrays_zip(frames.alias("f"), F.col("_run").alias("k"))
     snaps = F.filter(F.transform(zipped, lambda z, i: F.named_struct(
         F.lit("pos"), i,
-        F.lit("tick"), F.floor(F.coalesce(z.f.timestamp, F.lit(0)) / F.lit(tick_ms)).cast("int"),
-        F.lit("pf"), F.try_element_at(z.f.participantFrames, key),
+        F.lit("tick"), F.floor(F.coalesce(z.f.timestamp.cast("long"), F.lit(0)) / F.lit(tick_ms)).cast("int"),
+        F.lit("pf"), parsed(F.try_element_at(z.f.participantFrames, key), PARTICIPANT_FRAME),
         F.lit("kills"), z.k)), lambda s: s.pf.isNotNull())
     snap_type = "array<struct<pos:int,tick:int,pf:{},kills:int>>".format(PARTICIPANT_FRAME.simpleString())
     last = F.aggregate(F.col("_present"), F.array().cast(snap_type),
                        lambda acc, s: F.concat(F.filter(acc, lambda a: a.tick != s.tick), F.array(s)))
-    deaths = F.flatten(F.transform(frames, lambda f: F.filter(
-        F.coalesce(f.events, no_events), lambda e: e.isNotNull() & (e.type == KILL_EVENT) & (e.victimId == pid))))
-    return (pairs.withColumn("_kpf", kills).withColumn("_run", running).withColumn("_present", snaps)
-            .withColumn("_snaps", last).withColumn("_deaths", deaths).drop("_kpf", "_run", "_present"))
+    deaths = F.flatten(F.transform("_ev", lambda es: F.filter(
+        es, lambda e: (e.type == KILL_EVENT) & (e.victimId == pid))))
+    return (pairs.withColumn("_fr", F.filter(seen, lambda f: f.isNotNull())).withColumn("_ev", events)
+            .withColumn("_kpf", kills).withColumn("_run", running).withColumn("_present", snaps)
+            .withColumn("_snaps", last).withColumn("_deaths", deaths)
+            .drop("frames", "_fr", "_ev", "_kpf", "_run", "_present"))
 
 
 def tick_rows(pairs: DataFrame, tick_ms: int = 60_000) -> DataFrame:
     """One row per (session, tick): the last snapshot inside the tick."""
     if "_snaps" not in pairs.columns:
         pairs = with_snapshots(pairs, tick_ms)
-    rows = pairs.select(F.col("metadata.matchId").alias("match_id"), F.explode("_snaps").alias("s"))
+    rows = pairs.select("match_id", F.explode("_snaps").alias("s"))
     pf = F.col("s.pf")
     out = rows.select(
         "match_id", F.col("s.tick").alias("timestamp_min"), F.coalesce(pf.totalGold, F.lit(0)).alias("gold"),
@@ -215,7 +274,7 @@ def incident_rows(pairs: DataFrame, tick_ms: int = 60_000) -> DataFrame:
     numbered from 1, with the snapshot of the incident's own tick (J6)."""
     if "_snaps" not in pairs.columns:
         pairs = with_snapshots(pairs, tick_ms)
-    rows = pairs.select(F.col("metadata.matchId").alias("match_id"), "_snaps",
+    rows = pairs.select("match_id", "_snaps",
                         F.posexplode("_deaths").alias("n", "e"))
     ms = F.coalesce(F.col("e.timestamp"), F.lit(0))
     tick = F.floor(ms / F.lit(tick_ms)).cast("int")
@@ -231,16 +290,7 @@ def incident_rows(pairs: DataFrame, tick_ms: int = 60_000) -> DataFrame:
     return conform(out, INCIDENTS_SCHEMA)
 
 
-# ---------------------------------------------------------------- S5 -------
-def ingest_summary(pairs: DataFrame, quarantine: DataFrame, target_sessions: DataFrame) -> DataFrame:
-    """processed / skipped counts of this run and total rows in the target."""
-    one = pairs.sparkSession.range(1)
-    return one.select(pairs.agg(F.count(F.lit(1))).scalar().alias("processed"),
-                      quarantine.agg(F.count(F.lit(1))).scalar().alias("skipped"),
-                      target_sessions.agg(F.count(F.lit(1))).scalar().alias("total_rows"))
-
-
-def flatten(docs: DataFrame, player=None, tick_ms: int = 60_000) -> dict[str, DataFrame]:
+def flatten(docs: DataFrame, player: str | Column, tick_ms: int = 60_000) -> dict[str, DataFrame]:
     p = pair_documents(docs, player)
     return flatten_joined(with_snapshots(p["joined"], tick_ms), tick_ms) | {"orphans": p["orphans"]}
 
@@ -252,4 +302,4 @@ def flatten_joined(joined: DataFrame, tick_ms: int = 60_000) -> dict[str, DataFr
     pairs = sp["pairs"]
     return {"sessions": session_facts(pairs), "ticks": tick_rows(pairs, tick_ms),
             "incidents": incident_rows(pairs, tick_ms), "quarantine": sp["quarantine"],
-            "pairs": pairs, "joined": joined}
+            "pairs": pairs, "usable": sp["usable"], "joined": joined}

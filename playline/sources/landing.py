@@ -1,131 +1,10 @@
-"""Landing-side operators: synthesising documents from tables (test/bench
-fixtures), skip-already-landed, ordered key de-duplication, candidate filter and
-completeness status (S6-S9).
-
-``write_landing`` builds detail and timeline documents from the session tables
-with the inverse of the flattening rules, so ingesting them must give the
-tables back. It deliberately lands imperfect data: some timelines are
-missing, some timelines have no detail, some details do not list the tracked
-player, and every third tick carries an earlier stale frame.
-"""
+"""Landing-side operators: skip-already-landed, ordered key de-duplication,
+candidate filter and completeness status (S6-S9)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F, types as T
-
-from playline.functions.scalars import to_epoch_ms
-from playline.sources.documents import EVENT, KILL_EVENT, PARTICIPANT, PARTICIPANT_FRAME
-
-# Which synthetic sessions land imperfectly (k = user + block).
-NO_TIMELINE_MOD = 13
-NO_DETAIL_MOD = 17
-WRONG_PLAYER_MOD = 19
-VERSION_SUFFIX = ".123.4567"
-STALE_EVERY = 3
-
-
-def _k(match_id: str = "match_id"):
-    parts = F.split(F.col(match_id), "-")
-    return F.get(parts, 0).cast("long") + F.get(parts, 1).cast("long")
-
-
-def detail_documents(sessions: DataFrame) -> DataFrame:
-    own = F.struct(
-        F.col("puuid").alias("puuid"), F.lit(1).alias("participantId"), F.col("team_id").alias("teamId"),
-        F.col("team_position").alias("teamPosition"), F.col("team_position").alias("individualPosition"),
-        F.col("lane").alias("lane"), F.col("champion_id").alias("championId"),
-        F.col("champion_name").alias("championName"), F.col("win").alias("win"), F.col("kills").alias("kills"),
-        F.col("deaths").alias("deaths"), F.col("assists").alias("assists"),
-        F.col("cs_total").alias("totalMinionsKilled"), F.lit(0).alias("neutralMinionsKilled"),
-        F.col("gold_earned").alias("goldEarned"),
-        F.col("damage_dealt_to_champions").alias("totalDamageDealtToChampions"),
-        F.col("vision_score").alias("visionScore"))
-    none = F.lit(None)
-    rival = F.when(F.col("opp_champion_name").isNotNull(), F.struct(
-        F.concat(F.lit("R"), F.col("puuid")).alias("puuid"), F.lit(2).alias("participantId"),
-        (F.lit(300) - F.col("team_id")).alias("teamId"), F.lit("").alias("teamPosition"),
-        F.lit("MIDDLE").alias("individualPosition"), none.alias("lane"), none.alias("championId"),
-        F.col("opp_champion_name").alias("championName"), (~F.col("win")).alias("win"),
-        F.col("opp_kills").alias("kills"), F.col("opp_deaths").alias("deaths"),
-        F.col("opp_assists").alias("assists"), F.col("opp_cs_total").alias("totalMinionsKilled"),
-        F.lit(0).alias("neutralMinionsKilled"), F.col("opp_gold_earned").alias("goldEarned"),
-        none.alias("totalDamageDealtToChampions"), none.alias("visionScore")).cast(PARTICIPANT))
-    k = _k()
-    listed = F.when(k % WRONG_PLAYER_MOD == 0, F.concat(F.lit("X"), F.col("puuid"))).otherwise(F.col("puuid"))
-    doc = F.struct(
-        F.struct(F.col("match_id").alias("matchId"),
-                 F.array(listed, F.concat(F.lit("R"), F.col("puuid"))).alias("participants")).alias("metadata"),
-        F.struct(to_epoch_ms("game_datetime").alias("gameCreation"),
-                 F.concat(F.col("game_version"), F.lit(VERSION_SUFFIX)).alias("gameVersion"),
-                 F.col("game_duration_sec").alias("gameDuration"), F.col("queue_id").alias("queueId"),
-                 F.array_compact(F.array(own, rival)).alias("participants")).alias("info"))
-    return sessions.where(k % NO_DETAIL_MOD != 0).select(F.to_json(doc).alias("value"))
-
-
-def timeline_documents(sessions: DataFrame, ticks: DataFrame, incidents: DataFrame, tick_ms: int) -> DataFrame:
-    """Frames per session: one per tick row (snapshot + kill events for the
-    kill-count delta), a stale earlier frame every third tick, and
-    snapshot-less frames for ticks that only hold incidents."""
-    w = Window.partitionBy("match_id").orderBy("timestamp_min")
-    pf = F.struct(F.col("gold").alias("totalGold"), F.col("cs").alias("minionsKilled"),
-                  F.lit(0).alias("jungleMinionsKilled"), F.col("xp").alias("xp"),
-                  F.when(F.col("position_x").isNotNull(),
-                         F.struct(F.col("position_x").alias("x"), F.col("position_y").alias("y"))).alias("position"))
-    kill_delta = F.col("kills") - F.coalesce(F.lag("kills").over(w), F.lit(0))
-    t = ticks.select("match_id", "timestamp_min", pf.alias("pf"), kill_delta.alias("kd"), "gold")
-    deaths = (incidents.groupBy("match_id", "timestamp_min")
-              .agg(F.sort_array(F.collect_list(F.struct("death_number", "timestamp_ms"))).alias("d")))
-    f = t.join(deaths, ["match_id", "timestamp_min"], "full")
-    ts = F.col("timestamp_min").cast("long") * F.lit(tick_ms) + F.lit(1000)
-    kill_events = F.transform(F.sequence(F.lit(1), F.greatest(F.coalesce("kd", F.lit(0)), F.lit(0)) + 1),
-                              lambda i: F.named_struct(F.lit("type"), F.lit(KILL_EVENT), F.lit("killerId"), F.lit(1),
-                                                       F.lit("victimId"), F.lit(2), F.lit("timestamp"), ts))
-    kill_events = F.slice(kill_events, 1, F.greatest(F.coalesce("kd", F.lit(0)), F.lit(0)))
-    death_events = F.transform(F.coalesce("d", F.array().cast("array<struct<death_number:int,timestamp_ms:bigint>>")),
-                               lambda e: F.named_struct(F.lit("type"), F.lit(KILL_EVENT), F.lit("killerId"), F.lit(2),
-                                                        F.lit("victimId"), F.lit(1), F.lit("timestamp"), e.timestamp_ms))
-    empty_map = F.create_map().cast(T.MapType(T.StringType(), PARTICIPANT_FRAME))
-    real = f.select("match_id", F.struct(
-        ts.alias("timestamp"),
-        F.when(F.col("pf").isNotNull(), F.create_map(F.lit("1"), F.col("pf"))).otherwise(empty_map)
-        .alias("participantFrames"),
-        F.concat(kill_events, death_events).cast(T.ArrayType(EVENT)).alias("events")).alias("frame"))
-    stale_pf = F.struct((F.col("gold") - 7).alias("totalGold"), F.lit(0).alias("minionsKilled"),
-                        F.lit(0).alias("jungleMinionsKilled"), F.lit(0).alias("xp"),
-                        F.lit(None).cast("struct<x:int,y:int>").alias("position"))
-    stale = (t.where(F.col("timestamp_min") % STALE_EVERY == 0)
-             .select("match_id", F.struct(
-                 (F.col("timestamp_min").cast("long") * F.lit(tick_ms)).alias("timestamp"),
-                 F.create_map(F.lit("1"), stale_pf).alias("participantFrames"),
-                 F.array().cast(T.ArrayType(EVENT)).alias("events")).alias("frame")))
-    frames = (real.unionByName(stale).groupBy("match_id")
-              .agg(F.array_sort(F.collect_list("frame"),
-                                lambda a, b: F.when(a.timestamp < b.timestamp, -1)
-                                .when(a.timestamp > b.timestamp, 1).otherwise(0)).alias("frames")))
-    keep = sessions.select("match_id").where(_k() % NO_TIMELINE_MOD != 0)
-    doc = F.struct(F.struct(F.col("match_id").alias("matchId")).alias("metadata"),
-                   F.struct(F.col("frames").alias("frames")).alias("info"))
-    return frames.join(keep, "match_id", "left_semi").select(F.to_json(doc).alias("value"))
-
-
-def write_landing(tables: dict[str, DataFrame], path: str, tick_ms: int, part: str = "",
-                  detail_keys: DataFrame | None = None, timeline_keys: DataFrame | None = None) -> str:
-    """Write JSON Lines documents under ``path``/detail[/part] and
-    ``path``/timeline[/part]; ``*_keys`` (match_id frames) restrict what lands
-    in this call, so a landing can arrive over several runs."""
-    suffix = f"/{part}" if part else ""
-    sessions = tables["sessions"]
-    d_sess = sessions if detail_keys is None else sessions.join(detail_keys, "match_id", "left_semi")
-    t_sess = sessions if timeline_keys is None else sessions.join(timeline_keys, "match_id", "left_semi")
-    if detail_keys is None or not detail_keys.isEmpty():
-        detail_documents(d_sess).write.mode("error").text(f"{path}/detail{suffix}")
-    if timeline_keys is None or not timeline_keys.isEmpty():
-        timeline_documents(t_sess, tables["ticks"], tables["incidents"], tick_ms) \
-            .write.mode("error").text(f"{path}/timeline{suffix}")
-    return path
-
+from pyspark.sql import DataFrame, functions as F
 
-# ---------------------------------------------------------------- S6-S9 ----
 def new_keys(candidates: DataFrame, landed: DataFrame, key: str = "match_id") -> DataFrame:
     """Skip-already-landed: candidate keys whose document is not landed yet."""
     return candidates.join(landed.select(key), key, "left_anti")

@@ -2,63 +2,78 @@
 
 The file source picks up only files it has not seen (its checkpoint records
 them), ``foreachBatch`` pairs the new documents with those still pending from
-earlier batches, flattens them and commits the three tables plus the new
-pending set in one store version. A detail and its timeline may land in
+earlier batches, flattens them and commits the three tables, the quarantine and
+the new pending set in one store version. A detail and its timeline may land in
 different batches: unpaired documents wait in ``pending_docs`` and are retried
-on every batch, never dropped. ``foreachBatch`` may replay a batch after a
-failure; the first-write-wins append makes the replay a no-op.
+on every batch, never dropped; rejected documents are added to the quarantine
+with their reason. ``foreachBatch`` may replay a batch after a failure: stored
+sessions are skipped, and waiting and rejected documents are kept once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from playline.plans.tables import TableStore, append_if_absent
-from playline.schemas import PRIMARY_KEYS
-from playline.sources.documents import DOC_SCHEMA, flatten
+from playline.plans.ingest import QUARANTINE, TABLES, new_sessions
+from playline.plans.tables import TableStore
+from playline.sources.documents import DOC_SCHEMA, document_columns, flatten_joined, pair_documents, with_arrival, with_snapshots
 
-TABLES = ("sessions", "ticks", "incidents")
 PENDING = "pending_docs"
+COMPACT_FOLDERS = 64      # a table in more folders than this is rewritten into one
 
 
-def document_stream(spark: SparkSession, raw_path: str) -> DataFrame:
-    """Streaming rows of JSON Lines documents under raw/{detail,timeline}/<part>/."""
-    raw = (spark.readStream.schema(DOC_SCHEMA).option("mode", "PERMISSIVE")
-           .option("columnNameOfCorruptRecord", "_corrupt_record")
-           .option("maxFilesPerTrigger", 1000)
-           .json(f"{raw_path.rstrip('/')}/*/*"))
-    kind = F.when(F.col("_metadata.file_path").contains("/timeline/"), F.lit("timeline")).otherwise(F.lit("detail"))
-    return raw.select(F.col("metadata.matchId").alias("doc_key"), kind.alias("kind"),
-                      F.col("_metadata.file_name").alias("file_name"), "metadata", "info", "_corrupt_record")
+def document_stream(spark: SparkSession, raw_path: str, layout: str = "lines", files_per_trigger: int = 1000) -> DataFrame:
+    """Streaming rows of documents: JSON Lines under raw/{detail,timeline}/<part>/
+    (``lines``), or one object per file in raw/ (``files``)."""
+    r = (spark.readStream.schema(DOC_SCHEMA).option("mode", "PERMISSIVE")
+         .option("columnNameOfCorruptRecord", "_corrupt_record")
+         .option("maxFilesPerTrigger", files_per_trigger))
+    raw = (r.option("multiLine", True).option("pathGlobFilter", "*.json").json(raw_path) if layout == "files"
+           else r.json(f"{raw_path.rstrip('/')}/*/*"))
+    return raw.select(*document_columns(raw, layout), "metadata", "info", "_corrupt_record")
 
 
-def process_batch(store: TableStore, batch: DataFrame, player=None, tick_ms: int = 60_000) -> None:
-    batch = batch.persist()        # one micro-batch feeds four writes
+def process_batch(store: TableStore, batch: DataFrame, player: str | Column, tick_ms: int = 60_000) -> None:
+    """Pair, flatten and commit one micro-batch together with what was pending."""
+    store.refresh()      # another command may have committed since the last batch
+    docs = with_arrival(batch, store.version() + 1)
+    pending = store.read(PENDING)
+    if pending is not None:
+        docs = pending.unionByName(docs)
+    docs = docs.persist(StorageLevel.MEMORY_AND_DISK)        # the texts of this batch and of the waiting documents
+    p = pair_documents(docs, player)
+    joined = with_snapshots(p["joined"], tick_ms).persist(StorageLevel.MEMORY_AND_DISK)   # five writes read it
     try:
-        _process(store, batch, player, tick_ms)
+        fl = flatten_joined(joined, tick_ms)
+        frames = new_sessions(fl, store)
+        late = fl["quarantine"].where(F.col("reason") == "timeline missing").select("doc_key")
+        waiting = (docs.where(F.col("kind") == "detail").join(late, "doc_key", "left_semi")
+                   .unionByName(docs.where(F.col("kind") == "timeline")
+                                .join(p["orphans"].select("doc_key"), "doc_key", "left_semi")))
+        # a replayed batch brings the same documents again
+        frames[PENDING] = waiting.dropDuplicates(["doc_key", "kind", "file_name"])
+        # a malformed timeline without a key can wait for nothing: it is rejected here
+        broken = docs.where((F.col("kind") == "timeline") & F.col("doc_key").isNull()).select(
+            "doc_key", "file_name", F.lit("malformed timeline").alias("reason"))
+        rejected = fl["quarantine"].where(F.col("reason") != "timeline missing").unionByName(broken)
+        before = store.read(QUARANTINE)
+        frames[QUARANTINE] = (rejected if before is None else before.unionByName(rejected)).distinct()
+        store.commit(frames, mode="append", replace=(PENDING, QUARANTINE))
+        store.compact(COMPACT_FOLDERS)
     finally:
-        batch.unpersist()
-
-
-def _process(store: TableStore, batch: DataFrame, player, tick_ms: int) -> None:
-    pending = store.read(PENDING)
-    docs = batch if pending is None else batch.unionByName(pending)
-    fl = flatten(docs, player, tick_ms)
-    frames = {t: append_if_absent(fl[t], store.read(t), PRIMARY_KEYS[t]) for t in TABLES}
-    waiting_details = fl["quarantine"].where(F.col("reason") == "timeline missing").select("doc_key")
-    still = (docs.where(F.col("kind") == "detail").join(waiting_details, "doc_key", "left_semi")
-             .unionByName(docs.where(F.col("kind") == "timeline")
-                          .join(fl["orphans"].select("doc_key"), "doc_key", "left_semi")))
-    frames[PENDING] = still
-    store.commit(frames, mode="append", replace=(PENDING,))
+        joined.unpersist()
+        docs.unpersist()
 
 
-def ingest_stream(spark: SparkSession, raw_path: str, store: TableStore, checkpoint: str, player=None,
-                  tick_ms: int = 60_000, every: str | None = None):
+def ingest_stream(spark: SparkSession, raw_path: str, store: TableStore, checkpoint: str, player: str | Column,
+                  tick_ms: int = 60_000, every: str | None = None, layout: str = "lines", files_per_trigger: int = 1000):
     """By default process everything landed so far (``availableNow``) and
     stop; with ``every`` (e.g. '5 minutes') keep running on a processing-time
     trigger and return the running query."""
-    w = (document_stream(spark, raw_path).writeStream
+    if player is None:
+        raise ValueError("name the tracked player")
+    w = (document_stream(spark, raw_path, layout, files_per_trigger).writeStream
          .foreachBatch(lambda df, epoch: process_batch(store, df, player, tick_ms))
          .option("checkpointLocation", checkpoint))
     if every:

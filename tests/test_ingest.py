@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from playline.plans.ingest import ingest
-from playline.plans.tables import TableStore
+from playline.plans.tables import CommitConflict, TableStore
 from playline.schemas import SchemaContractError, assert_columns, SESSION_COLUMNS
 from playline.sources import documents as D
 
@@ -151,15 +151,107 @@ def test_store_survives_a_crashed_commit(spark, tmp_path):
     store = TableStore(spark, str(tmp_path / "s"))
     a = spark.range(3).withColumnRenamed("id", "k")
     assert store.commit({"t": a}) == 1
-    # a crashed attempt at version 2: data written, manifest never completed
-    a.write.parquet(str(tmp_path / "s" / "data" / "t" / "v000002-deadbeef"))
-    spark.createDataFrame([(2, "deadbeef", "t", "x", 5)], "version long, commit_id string, table string, "
-                          "path string, n_entries long").write.json(str(tmp_path / "s" / "_manifest" / "m000002-deadbeef"))
+    # a crashed attempt at version 2: data written, manifest cut short
+    a.write.parquet(str(tmp_path / "s" / "data" / "t" / "00000002-deadbeef"))
+    (tmp_path / "s" / "_manifest" / "m00000002.json").write_text('{"version": 2, "entries": [["t", "x')
     store.refresh()                                        # re-read the manifest from storage
     assert store.version() == 1 and store.read("t").count() == 3
-    assert store.commit({"t": a}) == 2 and store.read("t").count() == 6
+    assert store.commit({"t": a}) == 3 and store.read("t").count() == 6
     fresh = TableStore(spark, str(tmp_path / "s"))        # another reader sees the same state
-    assert fresh.version() == 2 and fresh.read("t").count() == 6
+    assert fresh.version() == 3 and fresh.read("t").count() == 6
+
+
+def test_two_writers_of_one_version(spark, tmp_path):
+    one, two = TableStore(spark, str(tmp_path / "s")), TableStore(spark, str(tmp_path / "s"))
+    a = spark.range(3).withColumnRenamed("id", "k")
+    assert one.version() == two.version() == 0
+    assert one.commit({"t": a}) == 1
+    with pytest.raises(CommitConflict):
+        two.commit({"u": a})
+    assert TableStore(spark, str(tmp_path / "s")).tables() == ["t"]
+    two.refresh()
+    assert two.commit({"u": a}) == 2 and TableStore(spark, str(tmp_path / "s")).tables() == ["t", "u"]
+
+
+def test_a_failing_read_is_not_an_empty_store(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "s")
+    TableStore(spark, root).commit({"t": spark.range(1)})
+    broken = TableStore(spark, root)
+    monkeypatch.setattr(broken, "_load", lambda v: (_ for _ in ()).throw(OSError("storage is away")))
+    with pytest.raises(OSError):
+        broken.version()
+    assert TableStore(spark, str(tmp_path / "none")).version() == 0
+
+
+def test_compaction_keeps_the_rows(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "s"))
+    for k in range(4):
+        store.commit({"t": spark.range(k, k + 1), "u": spark.range(1)}, replace=("u",))
+    assert len(store.paths()["t"]) == 4
+    store.compact(2)
+    assert len(store.paths()["t"]) == 1 and {r.id for r in store.read("t").collect()} == {0, 1, 2, 3}
+
+
+def test_time_columns_do_not_depend_on_the_session_zone(spark, landed):
+    from playline.operators.features import temporal
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    store = TableStore(spark, tempfile.mkdtemp(prefix="store-", dir="/tmp"))
+    ingest(spark, landed, store, PLAYER, layout="files")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        assert store.read("sessions").schema["game_datetime"].dataType.simpleString() == "timestamp_ntz"
+        assert temporal(store.read("sessions")).first().hour_of_day == 12
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    wrong = store.read("sessions").withColumn("kills", F.col("kills").cast("long"))
+    store.commit({"sessions": wrong}, replace=("sessions",))
+    with pytest.raises(SchemaContractError, match="kills: bigint, declared int"):
+        ingest(spark, landed, store, PLAYER, layout="files")
+
+
+def test_first_document_wins_in_all_tables(spark, tmp_path):
+    """Two files carry one session id; the one that sorts first gives every row."""
+    late = timeline()
+    late["info"]["frames"] = [frame(t * 60_000, snap(9000, 1, 1)) for t in range(9)]
+    for name, d, t in (("A", detail("S"), timeline()), ("B", detail("S", deaths=1), late)):
+        d["info"]["gameVersion"] = {"A": "16.9.1", "B": "15.1.1"}[name]
+        (tmp_path / f"{name}.json").write_text(json.dumps(d))
+        (tmp_path / f"{name}_timeline.json").write_text(json.dumps(t))
+    store = TableStore(spark, tempfile.mkdtemp(prefix="store-", dir="/tmp"))
+    out = ingest(spark, str(tmp_path), store, PLAYER, layout="files")
+    assert store.read("sessions").first().game_version == "16.9"
+    assert sorted(r.gold for r in store.read("ticks").collect()) == [500, 800, 1200, 1500]
+    assert tuple(out["summary"].first()) == (2, 0, 1)
+
+
+def test_stray_elements_are_skipped(spark, tmp_path):
+    d, t = detail("M1"), timeline()
+    d["info"]["participants"][1:1] = ["stray", 5, None]
+    d["info"]["participants"][-1]["kills"] = 5.0
+    t["info"]["frames"][1:1] = ["stray", None, 7]
+    t["info"]["frames"][0]["events"] = "none"
+    t["info"]["frames"][-1]["events"] = ["stray", None]
+    t["info"]["frames"][-2]["participantFrames"]["9"] = "stray"
+    (tmp_path / "M1.json").write_text(json.dumps(d))
+    (tmp_path / "M1_timeline.json").write_text(json.dumps(t))
+    out = D.flatten(D.read_documents(spark, str(tmp_path), "files"), PLAYER)
+    assert out["quarantine"].count() == 0 and out["sessions"].first().kills == 5
+    assert [r.timestamp_min for r in out["ticks"].orderBy("timestamp_min").collect()] == [0, 1, 3, 5]
+
+
+def test_a_document_without_participants_is_only_quarantined(spark, tmp_path):
+    d = detail("E")
+    d["metadata"]["participants"], d["info"]["participants"] = [], []
+    (tmp_path / "E.json").write_text(json.dumps(d))
+    (tmp_path / "E_timeline.json").write_text(json.dumps(timeline()))
+    (tmp_path / "M1.json").write_text(json.dumps(detail("M1")))
+    (tmp_path / "M1_timeline.json").write_text(json.dumps(timeline()))
+    store = TableStore(spark, tempfile.mkdtemp(prefix="store-", dir="/tmp"))
+    ingest(spark, str(tmp_path), store, PLAYER, layout="files")
+    assert [(r.doc_key, r.reason) for r in store.read("quarantine").collect()] == [("E", "player not found")]
+    assert store.read("sessions").count() == 1
+    with pytest.raises(ValueError):
+        ingest(spark, str(tmp_path), store, None, layout="files")
 
 
 def test_ensure_tables_creates_then_checks(spark, tmp_path):

@@ -17,8 +17,8 @@ def test_feature_matrix_has_no_python_udf(spark, tmp_path):
     for name, df in (("sessions", se), ("ticks", ti), ("incidents", de)):
         df.write.parquet(str(tmp_path / name))
     se, ti, de = (spark.read.parquet(str(tmp_path / n)) for n in ("sessions", "ticks", "incidents"))
-    p = plan(FT.feature_matrix(se, ti, de, CFG).drop("tilt_index"))
-    assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p
+    p = plan(FT.feature_matrix(se, ti, de, CFG))
+    assert "Python" not in p and "Pandas" not in p and "Arrow" not in p
     scope_plan = plan(FT.scope(se, CFG))
     assert "PushedFilters: [IsNotNull(game_datetime), IsNotNull(team_position)" in scope_plan
     ex = plan(FT.excursions(se, ti, CFG))

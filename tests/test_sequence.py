@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from playline.operators.sequence import bool_islands, max_true_run, nearest_anchor, number_rows, rolling_prior_mean
+from playline.operators.sequence import bool_islands, gap_flags, max_true_run, nearest_anchor, number_rows, rolling_prior_mean
 
 
 def skewed(spark, n=3000):
@@ -90,3 +90,34 @@ def test_offset_lookup_exact_offsets(spark):
     # tick 6 has no tick 5: the adjacent row (tick 4) is not a hit
     assert got == {("a", 3): (None, 40, 0), ("a", 4): (30, None, 0), ("a", 6): (None, 70, 30),
                    ("a", 7): (60, None, 40), ("b", 5): (None, None, 0)}
+
+
+def test_numbering_null_groups_and_wide_values(spark):
+    rows = [(None, k, 9007199254740993 + k if k % 2 else None) for k in range(5)] + [("a", k, k) for k in range(3)]
+    df = spark.createDataFrame(rows, "grp string, id int, big long")
+    got = number_rows(df, ["grp"], ["id"], out="n", num_partitions=3).collect()
+    assert [(r.id, r.n) for r in sorted(got, key=lambda r: r.id) if r.grp is None] == [(k, k + 1) for k in range(5)]
+    assert {r.big for r in got if r.grp is None and r.big is not None} == {9007199254740994, 9007199254740996}
+    plan = number_rows(df, ["grp"], ["id"], out="n")._jdf.queryExecution().toString()
+    assert "InPandas" not in plan and "Python" not in plan
+
+
+def test_hot_session_is_dealt_into_buckets(spark):
+    """One session holds nine tenths of all incidents; results equal the plain windows."""
+    import random
+    rng = random.Random(9)
+    rows, t = [], 0
+    for n in range(1, 901):
+        t += rng.choice([1, 2, 3, 4, 9])
+        rows.append(("hot", n, t, rng.random() < 0.8))
+    rows += [(f"s{k}", n, 3 * n, bool((n + k) % 3)) for k in range(20) for n in range(1, 6)]
+    df = spark.createDataFrame(rows, "k string, i int, v int, f boolean")
+    plain = gap_flags(df, "k", "i", "v", 3)
+    dealt = gap_flags(df, "k", "i", "v", 3, seq="i", bucket_rows=16)
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, dealt.collect()))
+    a, b = bool_islands(df, "k", "i", "f"), bool_islands(df, "k", "i", "f", seq="i", bucket_rows=16)
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    a, b = max_true_run(df, "k", "i", "f"), max_true_run(df, "k", "i", "f", seq="i", bucket_rows=16)
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    from playline.operators.sequence import _with_halo
+    assert _with_halo(df, "i", 16).groupBy("k", "_bucket").count().agg({"count": "max"}).first()[0] == 17

@@ -39,3 +39,46 @@ def test_pending_documents_are_paired_later(spark):
 
     ingest_stream(spark, raw, store, ckpt, PLAYER)       # nothing new: no change
     assert store.read("sessions").count() == 2
+
+
+def test_rejected_documents_are_kept_with_their_reason(spark):
+    base = tempfile.mkdtemp(prefix="stream-", dir="/tmp")
+    raw, store, ckpt = f"{base}/raw", TableStore(spark, f"{base}/store"), f"{base}/ckpt"
+    put(raw, "detail", "p1", "a.json", detail("M1", player="someone-else"))
+    put(raw, "timeline", "p1", "a.json", timeline())
+    put(raw, "detail", "p1", "b.json", detail("M2"))
+    ingest_stream(spark, raw, store, ckpt, PLAYER)
+    assert [(r.doc_key, r.reason) for r in store.read("quarantine").collect()] == [("M1", "player not found")]
+    assert [r.doc_key for r in store.read(PENDING).collect()] == ["M2"]
+    put(raw, "detail", "p2", "c.json", detail("M1"))      # the right player, after the rejected one
+    put(raw, "timeline", "p2", "c.json", timeline())
+    ingest_stream(spark, raw, store, ckpt, PLAYER)
+    assert store.read("sessions").count() == 1 and store.read("quarantine").count() == 1
+
+
+def test_files_layout(spark):
+    base = tempfile.mkdtemp(prefix="stream-", dir="/tmp")
+    raw, store = f"{base}/raw", TableStore(spark, f"{base}/store")
+    os.makedirs(raw)
+    for name, obj in (("M1.json", detail("M1")), ("M1_timeline.json", timeline()), ("M2.json", detail("M2"))):
+        with open(f"{raw}/{name}", "w") as fh:
+            json.dump(obj, fh, indent=1)
+    ingest_stream(spark, raw, store, f"{base}/ckpt", PLAYER, layout="files")
+    assert {r.match_id for r in store.read("sessions").collect()} == {"M1"}
+    assert [r.doc_key for r in store.read(PENDING).collect()] == ["M2"]
+
+
+def test_replay_changes_nothing(spark):
+    from playline.sources.documents import DOC_SCHEMA, document_columns
+    from playline.streaming.ingest_stream import process_batch
+    base = tempfile.mkdtemp(prefix="stream-", dir="/tmp")
+    raw, store = f"{base}/raw", TableStore(spark, f"{base}/store")
+    put(raw, "detail", "p1", "a.json", detail("M1"))
+    put(raw, "timeline", "p1", "a.json", timeline())
+    put(raw, "detail", "p1", "b.json", detail("M2"))
+    docs = spark.read.schema(DOC_SCHEMA).json(f"{raw}/*/*")
+    batch = docs.select(*document_columns(docs, "lines"), "metadata", "info", "_corrupt_record")
+    for _ in range(2):
+        process_batch(store, batch, PLAYER)
+        assert store.read("sessions").count() == 1 and store.read("ticks").count() == 4
+        assert store.read(PENDING).count() == 1
