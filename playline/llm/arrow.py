@@ -5,9 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 CHUNK_CHARS = 1_000_000
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows of whole documents are large: tasks get BATCH_ROWS of them at a time, unless the session set a number."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, BATCH_ROWS)
 
 
 def chunks(texts: list[str], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
@@ -30,6 +38,7 @@ def map_texts(df: DataFrame, text: str, make: Callable[[], Callable[[list[str]],
     from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    small_batches(df.sparkSession)
     keep = [f for f in df.schema.fields if f.name != text]
     out_schema = to_arrow_schema(type(df.schema)([*keep, *_parse_datatype_string(schema).fields]))
     new = out_schema.names[len(keep):]

@@ -25,7 +25,7 @@ from playline.llm.arrow import map_texts
 from playline.llm.common import documents
 
 TOKENIZER = "byte_bpe_50k.json"
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 NO_RANK = np.int32(2**31 - 1)
 # Fixed value: the split pattern of byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""

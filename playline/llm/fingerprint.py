@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from playline.llm.arrow import CHUNK_CHARS
+from playline.llm.arrow import CHUNK_CHARS, small_batches
 from playline.llm.common import documents
 
 SAMPLES = 64
@@ -113,6 +113,7 @@ def with_next(docs: DataFrame, tasks: int) -> DataFrame:
 
     Every range ends with the first rows of the following range (own = false;
     the first range follows the last)."""
+    small_batches(docs.sparkSession)
     ranges = tasks * RANGES_PER_TASK
     d = docs.select(F.coalesce("doc_id", F.lit(LOWEST)).cast("long").alias("place"), F.col("doc_id").cast("long").alias("doc_id"),
                     F.coalesce("text", F.lit("")).alias("text"))

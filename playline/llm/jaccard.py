@@ -28,13 +28,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from playline.llm.arrow import chunks
+from playline.llm.arrow import chunks, small_batches
 from playline.llm.common import documents, stored
 from playline.llm.components import components
 from playline.llm.substring import _FACTORS, _mix
 
 SHINGLE, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
-BANDS, ROWS, BLOCK = 40, 5, 1024
+BANDS, ROWS, BLOCK = 40, 5, 512
 STEPS = (16, 32, 64, 128, BANDS * ROWS)
 NO_ID = -(1 << 63)  # stands for a null id
 
@@ -202,6 +202,7 @@ def describe(docs: DataFrame) -> DataFrame:
 
 
 def _plain(docs: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession)
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"),
                        F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
 
@@ -268,7 +269,7 @@ def links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, tasks: int) -> D
                         "hashes": pa.array([s.tobytes()] * len(ps), pa.binary())})
 
     schema = "root long, p int, q int, own int, node long, copies long, hashes binary"
-    found = (_plain(docs).join(stored(places, "jaccard-places").withColumnRenamed("rep", "id"), "id")
+    found = (_plain(docs).join(stored(places, "jaccard-places").withColumnRenamed("rep", "id").hint("merge"), "id")
              .select("node", "copies", "root", "places", "text").mapInArrow(sets, schema))
 
     need = least_matches()

@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from playline.llm.arrow import chunks
+from playline.llm.arrow import chunks, small_batches
 from playline.llm.common import documents, stored
 
 WINDOW, DEPTH = 13, 2
@@ -110,6 +110,7 @@ def _slices(batches):
 
 
 def _binary(docs: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
 

@@ -49,7 +49,7 @@ def corpus(spark):
     return awkward(spark, rows)
 
 
-@pytest.mark.parametrize("block", [3, 1024])
+@pytest.mark.parametrize("block", [3, 512])
 def test_classes_and_links_match_all_pairs(spark, monkeypatch, block):
     monkeypatch.setattr(J, "BLOCK", block)
     docs = corpus(spark)
