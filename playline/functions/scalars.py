@@ -146,10 +146,6 @@ def round_half_even(x, digits: int) -> Column:
     return F.bround(_c(x), digits)
 
 
-def round_half_up(x, digits: int = 0) -> Column:
-    return F.round(_c(x), digits)
-
-
 # F17
 def padded_id(prefix: str, n, width: int = 4) -> Column:
     """'GAME_0001'; grows past ``width`` digits instead of truncating."""

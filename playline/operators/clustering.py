@@ -47,11 +47,8 @@ def validation_report(fm: DataFrame, features) -> DataFrame:
     return fm.agg(*aggs).select(F.inline(rows))
 
 
-def validate(fm: DataFrame, cfg: AnalysisConfig = DEFAULT) -> None:
-    missing = [c for c in cfg.features if c not in fm.columns]
-    if missing:
-        raise FeatureValidationError(f"the feature table lacks {', '.join(missing)}")
-    rep = validation_report(fm, cfg.features).collect()   # one row per feature (metadata-sized)
+def check_report(rep, cfg: AnalysisConfig) -> None:
+    """Raise unless the per-feature counts allow a fit."""
     n = rep[0]["rows"] if rep else 0
     if n <= cfg.k:
         raise FeatureValidationError(f"{cfg.k} clusters need at least {cfg.k + 1} rows, got {n}")
@@ -62,6 +59,17 @@ def validate(fm: DataFrame, cfg: AnalysisConfig = DEFAULT) -> None:
         raise FeatureValidationError("a feature is NaN or infinite")
 
 
+def check_columns(fm: DataFrame, cfg: AnalysisConfig) -> None:
+    missing = [c for c in cfg.features if c not in fm.columns]
+    if missing:
+        raise FeatureValidationError(f"the feature table lacks {', '.join(missing)}")
+
+
+def validate(fm: DataFrame, cfg: AnalysisConfig = DEFAULT) -> None:
+    check_columns(fm, cfg)
+    check_report(validation_report(fm, cfg.features).collect(), cfg)   # one row per feature (metadata-sized)
+
+
 # ---------------------------------------------------------------- M2 -------
 def scaler_stats(fm: DataFrame, features) -> DataFrame:
     """One row: population mean and std of every feature."""
@@ -122,28 +130,29 @@ class ClusteringModel:
                                {int(k): v for k, v in meta["mapping"].items()}, float(meta["cost"]))
 
 
-def stats_rows(fm: DataFrame) -> int:
-    return int(fm.agg(F.count(F.lit(1))).first()[0])
-
-
 def fit_clusters(fm: DataFrame, cfg: AnalysisConfig = DEFAULT, restarts: int | None = None,
                  max_iter: int = 300, tol: float = 1e-4, parallelism: int = 8,
-                 rows_per_partition: int = 200_000) -> ClusteringModel:
-    """K-Means with ``restarts`` seeds (seed, seed+1, ...), lowest cost wins."""
-    validate(fm, cfg)
+                 partitions: int | None = None) -> ClusteringModel:
+    """K-Means with ``restarts`` seeds (seed, seed+1, ...), lowest cost wins.
+
+    One pass over the persisted features validates them and gives the scaler.
+    The fit input is dealt by session id over ``partitions`` (the session's
+    shuffle partitions by default), whatever its size."""
+    check_columns(fm, cfg)
     restarts = cfg.restarts if restarts is None else restarts
     feats = tuple(cfg.features)
-    stats = scaler_stats(fm, feats)
-    stats = fm.sparkSession.createDataFrame([stats.first()], stats.schema)   # freeze: one row of metadata
+    n = partitions or int(fm.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    base = fm.select("match_id", *feats).repartition(n, "match_id").persist(StorageLevel.MEMORY_AND_DISK)
+    rows, moments = validation_report(base, feats), scaler_stats(base, feats)
+    one_pass = base.sparkSession.range(1).select(
+        rows.select(F.collect_list(F.struct("*"))).scalar().alias("rep"),
+        moments.select(F.struct("*")).scalar().alias("stats")).first()
+    check_report(one_pass["rep"], cfg)
+    stats = fm.sparkSession.createDataFrame([tuple(one_pass["stats"])], moments.schema)   # freeze: one row of metadata
     assembler = VectorAssembler(inputCols=list(feats), outputCol="features")
-    vec = assembler.transform(standardize(fm, feats, stats)).select("match_id", "features")
-    # size the fit input by its row count: every Lloyd iteration is one job,
-    # so tiny inputs should not fan out into many near-empty tasks
-    n_rows = stats_rows(fm)
-    parts = max(1, -(-n_rows // rows_per_partition))
-    vec = vec.repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
+    vec = assembler.transform(standardize(base, feats, stats)).select("match_id", "features")
+    vec = vec.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        vec.count()
 
         def one(i):
             km = KMeans(k=cfg.k, seed=cfg.seed + i, maxIter=max_iter, tol=tol, featuresCol="features")
@@ -154,6 +163,7 @@ def fit_clusters(fm: DataFrame, cfg: AnalysisConfig = DEFAULT, restarts: int | N
             results = list(pool.map(one, range(restarts)))
     finally:
         vec.unpersist()
+        base.unpersist()
     cost, _, best = min(results, key=lambda r: (r[0], r[1]))
     centers = [tuple(map(float, c)) for c in best.clusterCenters()]
     order = sorted(range(len(centers)), key=lambda j: centers[j])
@@ -176,6 +186,55 @@ def scaled_centroids(spark: SparkSession, model: ClusteringModel) -> DataFrame:
     return spark.createDataFrame(rows, "cluster_id int, feature string, value double")
 
 
+# ------------------------------------------- M3-M5 with given centroids ----
+def group_centroids(scaled: DataFrame, labels: DataFrame, features) -> DataFrame:
+    """(cluster_id, x: array of the mean of every feature), one row per cluster."""
+    return (labels.join(scaled, "match_id").groupBy("cluster_id")
+            .agg(F.array(*[F.avg(c) for c in features]).alias("x")))
+
+
+def nearest_centroid(scaled: DataFrame, centroids: DataFrame, features) -> DataFrame:
+    """(match_id, cluster_id, distance): the centroid with the least squared distance, ties to the lower id.
+
+    The k centroids travel as one scalar."""
+    every = centroids.select(F.sort_array(F.collect_list(F.struct("cluster_id", "x")))).scalar()
+    here = F.array(*[F.col(c) for c in features])
+    d = scaled.select("match_id", here.alias("_p"), every.alias("_c"))
+    best = F.array_min(F.transform("_c", lambda c: F.struct(
+        F.aggregate(F.zip_with("_p", c["x"], lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v).alias("distance"),
+        c["cluster_id"].alias("cluster_id"))))
+    return d.select("match_id", best.alias("_b")).select("match_id", "_b.cluster_id", "_b.distance")
+
+
+def silhouette_squared(scaled: DataFrame, labels: DataFrame, features) -> DataFrame:
+    """One row: the mean silhouette with squared Euclidean distances, from the size, sum
+    and square sum of every cluster (k rows); a cluster of one scores 0."""
+    rows = labels.join(scaled, "match_id").select(
+        "cluster_id", F.array(*[F.col(c) for c in features]).alias("_p"))
+    rows = rows.withColumn("_sq", F.aggregate("_p", F.lit(0.0), lambda s, v: s + v * v))
+    sums = labels.join(scaled, "match_id").groupBy("cluster_id").agg(
+        F.count(F.lit(1)).alias("n"), F.array(*[F.sum(c) for c in features]).alias("sum"),
+        F.sum(sum((F.col(c) * F.col(c) for c in features), F.lit(0.0))).alias("sq"))
+    every = sums.select(F.collect_list(F.struct("cluster_id", "n", "sum", "sq"))).scalar()
+    far = F.transform("_c", lambda c: F.struct(
+        c["cluster_id"].alias("id"), c["n"].alias("n"),
+        (c["n"] * F.col("_sq") - 2 * F.aggregate(F.zip_with("_p", c["sum"], lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+         + c["sq"]).alias("t")))
+    d = rows.withColumn("_c", every).withColumn("_t", far)
+    own = F.element_at(F.filter("_t", lambda t: t["id"] == F.col("cluster_id")), 1)
+    others = F.array_min(F.transform(F.filter("_t", lambda t: t["id"] != F.col("cluster_id")), lambda t: t["t"] / t["n"]))
+    d = d.select(own["n"].alias("n"), (own["t"] / F.greatest(own["n"] - 1, F.lit(1))).alias("a"), others.alias("b"))
+    top = F.greatest("a", "b")
+    return d.agg(F.avg(F.when((F.col("n") > 1) & (top > 0), (F.col("b") - F.col("a")) / top).otherwise(F.lit(0.0))).alias("silhouette"))
+
+
+def long_centroids(centroids: DataFrame, features) -> DataFrame:
+    """(cluster_id, feature, value) from (cluster_id, x)."""
+    names = F.array(*[F.lit(c) for c in features])
+    return centroids.select("cluster_id", F.explode(F.arrays_zip(names.alias("feature"), F.col("x").alias("value"))).alias("_z")) \
+        .select("cluster_id", "_z.feature", "_z.value")
+
+
 def train_and_save(spark: SparkSession, fm: DataFrame, path: str, cfg: AnalysisConfig = DEFAULT,
                    restarts: int | None = None, store=None) -> tuple[ClusteringModel, DataFrame]:
     """Fit, persist the model, and return (model, labels). With a ``TableStore``

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from playline.config import DEFAULT, AnalysisConfig
 from playline.functions.scalars import cut, first_label, local_hour
@@ -114,7 +114,7 @@ def quartiles(df: DataFrame, col: str, by=None, exact: bool = True, tiebreak=Non
 
 def profile(df: DataFrame, cols=None) -> DataFrame:
     """Per column: non-null count, NULL count; mean, min and max of numbers and
-    booleans (as 0/1); the least and greatest value of any column as text.
+    booleans (as 0/1); least and greatest value of the others as text.
 
     One aggregate pass over ``df`` produces a single wide row; ``inline`` of
     an array of per-column structs turns it into one row per column."""
@@ -125,7 +125,8 @@ def profile(df: DataFrame, cols=None) -> DataFrame:
         v = x.cast("double") if numeric else F.lit(None).cast("double")
         aggs += [F.count(x).alias(f"{c}|n"), F.count_if(x.isNull()).alias(f"{c}|nulls"),
                  F.avg(v).alias(f"{c}|mean"), F.min(v).alias(f"{c}|min"), F.max(v).alias(f"{c}|max"),
-                 F.min(x).cast("string").alias(f"{c}|low"), F.max(x).cast("string").alias(f"{c}|high")]
+                 (F.min(x).cast("string") if not numeric else F.lit(None).cast("string")).alias(f"{c}|low"),
+                 (F.max(x).cast("string") if not numeric else F.lit(None).cast("string")).alias(f"{c}|high")]
     rows = F.array(*[F.struct(F.lit(c).alias("column_name"), *[F.col(f"`{c}|{k}`").alias(a) for k, a in (
         ("n", "n"), ("nulls", "nulls"), ("mean", "mean"), ("min", "min"), ("max", "max"), ("low", "low"),
         ("high", "high"))]) for c in cols or df.columns])
@@ -201,6 +202,15 @@ def spiral_sessions(ctx: DataFrame) -> DataFrame:
             .withColumn("had_tilt_spiral", F.col("tilt_spirals") > 0))
 
 
+def spiral_histogram(ctx: DataFrame, edges: int = 20) -> DataFrame:
+    """Sessions per number of incidents, stacked by whether they hold a spiral:
+    unit bins from 0, the last one closed (``edges`` edges); more incidents fall outside."""
+    top = edges - 2
+    return (spiral_sessions(ctx).where(F.col("deaths") <= edges - 1)
+            .groupBy(F.least("deaths", F.lit(top)).cast("int").alias("bin"), "had_tilt_spiral")
+            .agg(F.count(F.lit(1)).alias("games")))
+
+
 # E8, E9
 def hist_delta_by_win(swing: DataFrame, nbins: int = 30) -> DataFrame:
     return equal_width_histogram(swing, "gold_delta", nbins, by="win")

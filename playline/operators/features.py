@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from playline.config import DEFAULT, AnalysisConfig
-from playline.functions.scalars import time_bucket, ts_literal
+from playline.functions.scalars import below_band, off_corridor, time_bucket, ts_literal
 from playline.operators.sequence import gap_flags, nearest_anchor, rolling_prior_mean, run_by_bucket
 
 KEY, TICK = "match_id", "timestamp_min"
@@ -106,7 +106,7 @@ def incident_context(sessions: DataFrame, ticks: DataFrame, incidents: DataFrame
     else:
         raise ValueError("missing must be 'zero' or 'unknown'")
     thr, t = cfg.swing_threshold, F.col(TICK)
-    df = (si.join(F.broadcast(base), TICK, "left")
+    df = (si.join(base, TICK, "left")
           .join(a.select(KEY, "anchor_gold"), KEY, "left")
           .withColumn("gold_lead_approx", lead.cast("double"))
           .transform(lambda d: gap_flags(d, KEY, "death_number", TICK, cfg.spiral_gap, out="_spiral",
@@ -150,11 +150,9 @@ def excursions(sessions: DataFrame, ticks: DataFrame, cfg: AnalysisConfig = DEFA
           .withColumn("_n_tick", F.lead(TICK).over(w)).withColumn("_n_cs", F.lead("cs").over(w))
           .where(t.between(cfg.phase_start, cfg.phase_end)))
     pos_mode = F.max(F.col("position_x").isNotNull()).over(Window.partitionBy(KEY))
-    corridor = (F.col("position_x").isNotNull() & F.col("position_y").isNotNull()
-                & (F.abs(F.col("position_x") - F.col("position_y")) >= cfg.corridor_width))
-    drop = F.coalesce(F.col("cs") < F.col("avg_cs") - F.lit(std_mult) * F.coalesce(F.col("std_cs"), F.lit(0.0)),
-                      F.lit(False))
-    flagged = (nb.join(F.broadcast(base), TICK, "left")
+    corridor = off_corridor("position_x", "position_y", cfg.corridor_width)
+    drop = below_band("cs", "avg_cs", "std_cs", std_mult)
+    flagged = (nb.join(base, TICK, "left")
                .withColumn("_roam", F.when(pos_mode, corridor).otherwise(drop)))
     prev_flag = F.lag("_roam").over(w)
     opens = F.when(prev_flag.isNull() | (prev_flag != F.col("_roam")), 1).otherwise(0)

@@ -20,13 +20,6 @@ INCIDENT_CATEGORIES = (
     ("Tilt Spiral", "is_tilt_spiral"),
     ("Post-Laning Throw (proxy)", "is_post_laning_throw"),
 )
-# Dashboard cluster names by canonical cluster id.
-CLUSTER_NAMES = {
-    0: "Behind & Spiraling",
-    1: "Ahead but Overextending",
-    2: "Clean Games",
-    3: "Cluster 3 (insufficient data)",
-}
 
 
 def _win_rate():
@@ -80,6 +73,12 @@ def matchup_table(matchups: DataFrame, champion: str | None = None) -> DataFrame
                     (F.col("cs_diff") >= 0).alias("cs_ahead"))
 
 
+def signed_order(matchups: DataFrame) -> DataFrame:
+    """Pairs in order of the signed difference (1 = most behind); one row per pair."""
+    w = Window.partitionBy(F.lit(0)).orderBy("cs_diff", "champion_name", "opp_champion_name")
+    return matchups.withColumn("diff_order", F.row_number().over(w))
+
+
 # R6
 def cluster_summary(fm: DataFrame, labels: DataFrame, features=FEATURE_COLUMNS) -> DataFrame:
     return (labels.join(fm, "match_id").groupBy("cluster_id")
@@ -107,7 +106,7 @@ def pace_curves(ticks: DataFrame, labels: DataFrame, min_count: int = 3, min_sha
     per = (labels.join(ticks, "match_id").groupBy("cluster_id", "timestamp_min")
            .agg(F.count(F.lit(1)).alias("match_count"), F.avg(F.col("gold").cast("double")).alias("avg_gold")))
     need = F.greatest(F.lit(min_count).cast("double"), F.round(F.col("cluster_size") * F.lit(min_share)))
-    return (per.join(F.broadcast(sizes), "cluster_id")
+    return (per.join(sizes, "cluster_id")
             .where(F.col("match_count") >= need)
             .select("cluster_id", "timestamp_min", "avg_gold"))
 
@@ -117,8 +116,21 @@ def missing_members(curves: DataFrame, members: DataFrame, key: str = "cluster_i
     return members.select(key).distinct().join(curves.select(key), key, "left_anti")
 
 
-def cluster_name_dim(spark) -> DataFrame:
-    return spark.createDataFrame([(k, v) for k, v in CLUSTER_NAMES.items()], "cluster_id int, cluster_name string")
+def named(df: DataFrame, names: dict[int, str], key: str = "cluster_id", out: str = "cluster_name") -> DataFrame:
+    """Display names by cluster id; ids without a name get NULL.
+
+    Names belong to one fitted model, so they are an input, never a constant here."""
+    table = F.create_map(*[F.lit(x) for kv in sorted(names.items()) for x in kv]) if names else None
+    return df.withColumn(out, table[F.col(key)] if names else F.lit(None).cast("string"))
+
+
+def profile_names(summary: DataFrame, features=FEATURE_COLUMNS) -> DataFrame:
+    """A name for each cluster from its own profile: the feature that lies farthest
+    from the other clusters (z-score over the k rows) and its direction."""
+    z = centroid_z(summary, features)
+    far = F.array_max(F.array(*[F.struct(F.abs(F.col(c)).alias("d"), F.lit(c).alias("f"), F.col(c).alias("z")) for c in features]))
+    return z.select("cluster_id", F.concat(F.when(far["z"] >= 0, F.lit("high ")).otherwise(F.lit("low ")),
+                                           far["f"]).alias("cluster_name"))
 
 
 # R8 / O4

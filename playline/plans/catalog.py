@@ -62,11 +62,11 @@ def T3(spark: SparkSession, sf: str):
     root = _MATERIALISED.get(key)
     if root is None:
         ev = adapter.load_events(spark, sf)
-        ticks = adapter.ticks(ev)
         root = shared_path(spark, "adapter")
-        for name, df in (("sessions", adapter.sessions(ev)), ("ticks", ticks),
-                         ("incidents", adapter.incidents(ev, ticks))):
-            df.write.parquet(f"{root}/{name}")
+        adapter.sessions(ev).write.parquet(f"{root}/sessions")
+        adapter.ticks(ev).write.parquet(f"{root}/ticks")
+        # incidents read the written ticks back: they are computed once
+        adapter.incidents(ev, spark.read.parquet(f"{root}/ticks")).write.parquet(f"{root}/incidents")
         _MATERIALISED[key] = root
     return tuple(spark.read.parquet(f"{root}/{n}") for n in ("sessions", "ticks", "incidents"))
 

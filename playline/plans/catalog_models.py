@@ -70,7 +70,59 @@ register("standardize", R(f"SELECT match_id, {_SCALED} FROM fm, (SELECT {_STATS}
     lambda s, sf: CL.standardize(FT.feature_matrix(*T3(s, sf), CFG), CFG.features))
 
 
-# ---------------------------------------------------------------- M3-M7 (rows-only: no SQL K-Means)
+# ------------------------------- M3-M5, M7 with given centroids: plain SQL -------
+_N = len(FEATURE_COLUMNS)
+FIXED = FEAT + "," + f"""
+st AS (SELECT {_STATS} FROM fm),
+z AS (SELECT match_id, [{", ".join(f"CASE WHEN s_{c} = 0 THEN 0.0 ELSE (CAST({c} AS DOUBLE) - m_{c}) / s_{c} END" for c in FEATURE_COLUMNS)}] AS x
+  FROM fm, st),
+cen AS (SELECT cluster_id, [{", ".join(f"avg(x[{i + 1}])" for i in range(_N))}] AS c
+  FROM labels_fixed JOIN z USING (match_id) GROUP BY cluster_id),
+dis AS (SELECT match_id, x, cluster_id, list_sum(list_transform(range(1, {_N + 1}), lambda i: (x[i] - c[i]) * (x[i] - c[i]))) AS d
+  FROM z, cen),
+lab AS (SELECT match_id, x, cluster_id, d FROM dis QUALIFY row_number() OVER (PARTITION BY match_id ORDER BY d, cluster_id) = 1),
+pairs AS (SELECT a.match_id, a.cluster_id AS own, b.cluster_id AS other, count(*) AS n, sum(list_sum(list_transform(
+  range(1, {_N + 1}), lambda i: (a.x[i] - b.x[i]) * (a.x[i] - b.x[i])))) AS t FROM lab a, lab b GROUP BY ALL),
+sil AS (SELECT match_id, max(n) FILTER (own = other) AS n, max(t / greatest(n - 1, 1)) FILTER (own = other) AS a,
+  min(t / n) FILTER (own <> other) AS b FROM pairs GROUP BY match_id)"""
+
+
+def _fixed(s, sf):
+    """Standardised features and the centroids of the fixed labels, which stand in for a fitted model."""
+    se, ti, inc = T3(s, sf)
+    z = CL.standardize(FT.feature_matrix(se, ti, inc, CFG), CFG.features).checkpoint(eager=True)
+    return z, CL.group_centroids(z, adapter.fixed_labels(FT.scope(se, CFG)), CFG.features)
+
+
+def _assigned(s, sf):
+    z, cen = _fixed(s, sf)
+    return z, CL.nearest_centroid(z, cen, CFG.features)
+
+
+register("assign_clusters", R("SELECT match_id, cluster_id, d AS distance FROM lab", "distance", extra=FIXED))(
+    lambda s, sf: _assigned(s, sf)[1])
+register("fixed_centroids", R(
+    f"SELECT cluster_id, unnest([{', '.join(repr(c) for c in FEATURE_COLUMNS)}]) AS feature, unnest(c) AS value FROM cen",
+    "value", extra=FIXED))(lambda s, sf: CL.long_centroids(_fixed(s, sf)[1], CFG.features))
+
+
+@register("assigned_silhouette", R(
+    "SELECT avg(CASE WHEN n > 1 AND greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END) AS silhouette FROM sil",
+    "silhouette", extra=FIXED))
+def _assigned_silhouette(s, sf):
+    z, lab = _assigned(s, sf)
+    return CL.silhouette_squared(z, lab.select("match_id", "cluster_id"), CFG.features)
+
+
+@register("assigned_profile", R(
+    "SELECT l.cluster_id, CAST(count(*) AS INTEGER) AS size, " + ", ".join(f"avg(CAST(f.{c} AS DOUBLE)) AS {c}" for c in FEATURE_COLUMNS)
+    + " FROM lab l JOIN fm f USING (match_id) GROUP BY l.cluster_id", *FEATURE_COLUMNS, extra=FIXED))
+def _assigned_profile(s, sf):
+    from playline.operators.reports import cluster_summary
+    return cluster_summary(FT.feature_matrix(*T3(s, sf), CFG), _assigned(s, sf)[1].select("match_id", "cluster_id"))
+
+
+# ------------------------------------ M3-M7 of a fitted model (rows only: no SQL K-Means)
 def _model(s, sf):
     fm = FT.feature_matrix(*T3(s, sf), CFG)
     fm = fm.checkpoint(eager=True)   # one materialised input for all restarts

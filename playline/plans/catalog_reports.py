@@ -98,6 +98,34 @@ register("matchup_table", R(
     "cs_diff >= 0 AS cs_ahead FROM rm", "our_winrate_pct", "cs_diff", "our_avg_kda", "opp_avg_kda", extra=EXTRA))(
     lambda s, sf: RP.matchup_table(FT.rival_matchups(T2(s, sf)[0], CFG)))
 
+register("matchup_table_one", R(
+    "SELECT champion_name, opp_champion_name, games, round(our_winrate * 100, 2) AS our_winrate_pct, "
+    "round(cs_diff, 2) AS cs_diff, round(our_avg_kda, 2) AS our_avg_kda, round(opp_avg_kda, 2) AS opp_avg_kda, "
+    "cs_diff >= 0 AS cs_ahead FROM rm WHERE champion_name = 'C3'",
+    "our_winrate_pct", "cs_diff", "our_avg_kda", "opp_avg_kda", extra=EXTRA))(
+    lambda s, sf: RP.matchup_table(FT.rival_matchups(T2(s, sf)[0], CFG), "C3"))
+register("matchup_order", R(
+    "SELECT champion_name, opp_champion_name, games, cs_diff, CAST(row_number() OVER (ORDER BY cs_diff, champion_name, "
+    "opp_champion_name) AS INTEGER) AS diff_order FROM rm", "cs_diff", extra=EXTRA))(
+    lambda s, sf: RP.signed_order(FT.rival_matchups(T2(s, sf)[0], CFG)).select(
+        "champion_name", "opp_champion_name", "games", "cs_diff", "diff_order"))
+
+
+@register("rival_matchups_some", R(
+    "SELECT champion_name, opp_champion_name, count(*) AS games, avg(cs_total) AS our_avg_cs, avg(opp_cs_total) AS opp_avg_cs, "
+    "avg(cs_total) - avg(opp_cs_total) AS cs_diff, avg(CASE WHEN win THEN 1.0 ELSE 0.0 END) AS our_winrate, avg(kda) AS our_avg_kda, "
+    "avg(CASE WHEN opp_deaths IS NULL OR CAST(puuid AS BIGINT) % 5 = 1 THEN NULL ELSE (opp_kills + opp_assists) / "
+    "greatest(opp_deaths, 1) END) AS opp_avg_kda FROM scoped WHERE CAST(puuid AS BIGINT) % 3 <> 0 "
+    "GROUP BY champion_name, opp_champion_name HAVING count(*) >= 2",
+    "our_avg_cs", "opp_avg_cs", "cs_diff", "our_winrate", "our_avg_kda", "opp_avg_kda"))
+def _some_rivals(s, sf):
+    """Rivals missing for a third of the players, their incident counts for a fifth."""
+    p = F.col("puuid").cast("long")
+    se = T2(s, sf)[0]
+    se = se.withColumns({c: F.when(p % 3 != 0, F.col(c)) for c in se.columns if c.startswith("opp_")})
+    return FT.rival_matchups(se.withColumn("opp_deaths", F.when(p % 5 != 1, F.col("opp_deaths"))), CFG)
+
+
 register("dimension_members", R(
     "SELECT DISTINCT champion_name FROM rm WHERE champion_name IS NOT NULL", extra=EXTRA))(
     lambda s, sf: RP.dimension_members(FT.rival_matchups(T2(s, sf)[0], CFG), "champion_name"))
@@ -119,7 +147,7 @@ def _pace(s, sf):
     return RP.pace_curves(ti, _labels(se), CFG.curve_min_count, CFG.curve_min_share)
 
 
-_NAMES = " ".join(f"WHEN {k} THEN '{v}'" for k, v in RP.CLUSTER_NAMES.items())
+NAMES = {0: "zero", 1: "one", 3: "three"}      # cluster 2 has no name
 PC_LOW = """
 pc_low AS (
   SELECT p.cluster_id, p.timestamp_min, p.avg_gold FROM (
@@ -132,16 +160,34 @@ pc_low AS (
 
 
 @register("pace_curves_named", R(
-    f"SELECT cluster_id, timestamp_min, avg_gold, CASE cluster_id {_NAMES} END AS cluster_name FROM pc_low",
+    "SELECT cluster_id, timestamp_min, avg_gold, CASE cluster_id WHEN 0 THEN 'zero' WHEN 1 THEN 'one' WHEN 3 THEN 'three' "
+    "END AS cluster_name FROM pc_low",
     "avg_gold", extra=PC_LOW))
 def _pace_named(s, sf):
-    """J17 (cluster id -> display name, a broadcast of the k-row name dimension)
-    on pace curves with a 10 % support share, so that at the check scale both
+    """J17 (cluster id -> display name, one cluster without a name) on pace curves with a 10 % support share, so that at the check scale both
     retained and dropped (cluster, tick) cells occur."""
-    from pyspark.sql import functions as F2
     se, ti = T2(s, sf)
     curves = RP.pace_curves(ti, _labels(se), CFG.curve_min_count, 0.1)
-    return curves.join(F2.broadcast(RP.cluster_name_dim(s)), "cluster_id", "left")
+    return RP.named(curves, NAMES)
+
+
+@register("missing_members_some", R(
+    "SELECT DISTINCT cluster_id FROM labels_fixed WHERE cluster_id NOT IN (SELECT cluster_id FROM pc_low WHERE cluster_id <> 2)",
+    extra=PC_LOW))
+def _missing_some(s, sf):
+    """Curves of some clusters: exactly the others are missing."""
+    se, ti = T2(s, sf)
+    curves = RP.pace_curves(ti, _labels(se), CFG.curve_min_count, 0.1)
+    return RP.missing_members(curves.where("cluster_id <> 2"), _labels(se))
+
+
+register("cluster_names", R(
+    "SELECT cluster_id, CASE WHEN z >= 0 THEN 'high ' ELSE 'low ' END || f AS cluster_name FROM (SELECT cluster_id, f, z, "
+    "row_number() OVER (PARTITION BY cluster_id ORDER BY round(abs(z), 9) DESC, f DESC) AS n FROM ("
+    + " UNION ALL ".join(f"SELECT cluster_id, '{c}' AS f, ({c} - avg({c}) OVER ()) / CASE WHEN stddev_pop({c}) OVER () = 0 "
+                         f"THEN 1.0 ELSE stddev_pop({c}) OVER () END AS z FROM cs_sum" for c in FEATURE_COLUMNS)
+    + ")) WHERE n = 1", extra=EXTRA))(
+    lambda s, sf: RP.profile_names(RP.cluster_summary(feature_matrix_df(s, sf), _labels(T2(s, sf)[0]))))
 
 
 @register("missing_members", R(
@@ -160,11 +206,12 @@ register("incident_breakdown", R(BREAKDOWN, extra=FEAT))(lambda s, sf: RP.incide
     "SELECT 'sessions' AS table_name, CAST(count(*) AS BIGINT) AS row_count FROM sessions UNION ALL "
     "SELECT 'ticks', CAST(count(*) AS BIGINT) FROM ticks UNION ALL "
     "SELECT 'incidents', CAST(count(*) AS BIGINT) FROM incidents UNION ALL "
-    "SELECT 'feature_matrix', CAST(count(*) AS BIGINT) FROM fm", extra=FEAT))
+    "SELECT 'feature_matrix', CAST(count(*) AS BIGINT) FROM fm UNION ALL "
+    "SELECT 'cluster_labels', CAST(count(*) AS BIGINT) FROM labels_fixed", extra=FEAT))
 def _counts(s, sf):
     se, ti, inc = T3(s, sf)
     return RP.table_counts({"sessions": se, "ticks": ti, "incidents": inc,
-                            "feature_matrix": FT.feature_matrix(se, ti, inc, CFG)})
+                            "feature_matrix": FT.feature_matrix(se, ti, inc, CFG), "cluster_labels": _labels(se)})
 
 
 # ---------------------------------------------------------------- E1, A12 --
@@ -266,6 +313,21 @@ register("top_matchups", R(
     "our_avg_cs", "opp_avg_cs", "cs_diff", "our_winrate", "our_avg_kda", "opp_avg_kda", extra=EXTRA))(
     lambda s, sf: X.top_matchups(FT.rival_matchups(T2(s, sf)[0], CFG)))
 
+register("spiral_histogram", R(
+    "SELECT CAST(least(n, 18) AS INTEGER) AS bin, had AS had_tilt_spiral, count(*) AS games FROM (SELECT match_id, count(*) AS n, "
+    "bool_or(is_tilt_spiral) AS had FROM ic GROUP BY match_id) WHERE n <= 19 GROUP BY ALL", extra=FEAT))(
+    lambda s, sf: X.spiral_histogram(_ctx(s, sf)))
+register("spiral_flags", R(
+    "SELECT match_id, death_number, coalesce(timestamp_min - lag(timestamp_min) OVER (PARTITION BY match_id ORDER BY death_number) "
+    "<= 3, false) AS near FROM incidents"))(lambda s, sf: _gap(T3(s, sf)[2]))
+
+
+def _gap(inc):
+    from playline.operators.sequence import gap_flags
+    return gap_flags(inc, "match_id", "death_number", "timestamp_min", CFG.spiral_gap, out="near",
+                     seq="death_number").select("match_id", "death_number", "near")
+
+
 # ---------------------------------------------------------------- E19-E24 --
 _CUT = " ".join(f"WHEN tilt_index >= {lo} AND tilt_index < {hi} THEN '{lab}'"
                 for lo, hi, lab in zip(X.FORM_EDGES[:-1], X.FORM_EDGES[1:], X.FORM_LABELS))
@@ -293,11 +355,24 @@ NUMERIC_FM = ("tilt_index", "hour_of_day", "day_of_week", "gold_delta", "total_d
               "tilt_spiral_ratio", "max_death_streak", "total_roams", "avg_cs_sacrifice", "roam_impact_rate")
 _PROF = " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, count({c}) AS n, CAST(count(*) - count({c}) AS BIGINT) AS nulls, "
-    f"avg(CAST({c} AS DOUBLE)) AS mean, min(CAST({c} AS DOUBLE)) AS min, max(CAST({c} AS DOUBLE)) AS max FROM fm"
-    for c in NUMERIC_FM)
+    f"avg(CAST({c} AS DOUBLE)) AS mean, min(CAST({c} AS DOUBLE)) AS min, max(CAST({c} AS DOUBLE)) AS max, "
+    "CAST(NULL AS VARCHAR) AS low, CAST(NULL AS VARCHAR) AS high FROM fm" for c in NUMERIC_FM)
 register("column_profile", R(_PROF, "mean", "min", "max", extra=FEAT))(
     lambda s, sf: X.profile(feature_matrix_df(s, sf), NUMERIC_FM))
 
+INCIDENT_NUMBERS = ("death_number", "timestamp_ms", "timestamp_min", "gold_at_death", "cs_at_death")
+register("incident_profile", R(" UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count({c}) AS n, CAST(count(*) - count({c}) AS BIGINT) AS nulls, "
+    + (f"avg(CAST({c} AS DOUBLE)) AS mean, min(CAST({c} AS DOUBLE)) AS min, max(CAST({c} AS DOUBLE)) AS max, "
+       "CAST(NULL AS VARCHAR) AS low, CAST(NULL AS VARCHAR) AS high" if c != "match_id" else
+       "CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE) AS min, CAST(NULL AS DOUBLE) AS max, "
+       "min(match_id) AS low, max(match_id) AS high") + " FROM incidents"
+    for c in ("match_id", *INCIDENT_NUMBERS)), "mean", "min", "max"))(lambda s, sf: X.profile(T3(s, sf)[2]))
+register("incident_corr", R(" UNION ALL ".join(
+    f"SELECT '{b}' AS col_a, '{a}' AS col_b, corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) AS corr FROM incidents"
+    for a, b in combinations(INCIDENT_NUMBERS, 2)), "corr"))(
+    lambda s, sf: X.pairwise_corr(T3(s, sf)[2], INCIDENT_NUMBERS))
+
 _CORR = " UNION ALL ".join(
     f"SELECT '{b}' AS col_a, '{a}' AS col_b, CASE WHEN stddev_pop(CAST({a} AS DOUBLE)) > 0 AND "
     f"stddev_pop(CAST({b} AS DOUBLE)) > 0 THEN corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) END AS corr FROM fm"
