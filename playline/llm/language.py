@@ -129,9 +129,11 @@ def train(docs: DataFrame) -> dict | None:
         x = _counts(texts)
         return {"x": [v.astype(np.float16).tobytes() if ok(t) else None for v, t in zip(x, texts)]}
 
-    sample = map_texts(rows.filter(F.col("doc_id").isin(chosen)) if len(chosen) <= 5000 else
-                       rows.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long")), "doc_id"),
-                       "text", lambda: vectors, "x binary").filter("x IS NOT NULL").orderBy("doc_id", "lang", "x").collect()
+    ids = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long"))
+    # an id may repeat without bound: one text of each id and language
+    texts = rows.join(ids, "doc_id").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    sample = (map_texts(texts, "text", lambda: vectors, "x binary").filter("x IS NOT NULL").collect())
+    sample.sort(key=lambda r: (r["doc_id"], r["lang"]))
     if not sample:
         return None
     langs = sorted({r["lang"] for r in sample})

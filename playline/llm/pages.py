@@ -312,9 +312,9 @@ def train(pages: DataFrame) -> dict | None:
         return work
 
     schema = "got array<struct<y:array<int>,x:array<array<int>>>>"
-    got = map_texts(rows.filter(F.col("page_id").isin(ids)), "html", make, schema).collect()
-    got = sorted(((r["page_id"], c["x"], c["y"]) for r in got for c in r["got"]), key=lambda r: (r[0], r[2], r[1]))
-    got = [(x, y) for _, x, y in got[:2 * SAMPLE_PAGES * (COPIES + 1)]]
+    sample = rows.filter(F.col("page_id").isin(ids)).groupBy("page_id").agg(F.min("html").alias("html"))  # an id may repeat
+    got = sorted(map_texts(sample, "html", make, schema).collect(), key=lambda r: r["page_id"])
+    got = [(c["x"], c["y"]) for r in got for c in r["got"]]
     return fit(got) if got else None
 
 
