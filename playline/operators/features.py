@@ -63,42 +63,44 @@ def anchors(scoped_ticks: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame
 
 
 # ---------------------------------------------------------------- D2 -------
-def swing_games(sessions: DataFrame, ticks: DataFrame, cfg: AnalysisConfig = DEFAULT,
-                anchor_rows: DataFrame | None = None) -> DataFrame:
+def mean_anchor(anchor_rows: DataFrame):
+    """Mean anchor gold as a scalar subquery, evaluated once."""
+    return anchor_rows.agg(F.avg("anchor_gold")).scalar()
+
+
+def swing_columns(mean, cfg: AnalysisConfig):
+    """(gold_delta, is_throw, is_comeback) of a row with win and anchor_gold; thresholds are inclusive."""
+    d, thr = F.col("anchor_gold") - mean, cfg.swing_threshold
+    return (d.alias("gold_delta"), ((d >= thr) & ~F.col("win")).alias("is_throw"),
+            ((d <= -thr) & F.col("win")).alias("is_comeback"))
+
+
+def swing_games(sessions: DataFrame, ticks: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
     """Throw / comeback classification from the anchor-tick gold delta.
 
     Columns: match_id, gold_at_14, gold_delta, is_throw, is_comeback (+ win).
-    Thresholds are inclusive; sessions without an anchor tick drop out.
-    ``anchor_rows`` lets a caller share one anchor computation.
-    """
+    Sessions without an anchor tick drop out."""
     sc = scope(sessions, cfg)
-    a = anchor_rows if anchor_rows is not None else anchors(in_scope(ticks, sc), cfg)
-    both = sc.select(KEY, "win").join(a, KEY)
-    mean = both.agg(F.avg("anchor_gold")).scalar()     # scalar subquery, evaluated once
-    d = F.col("anchor_gold") - mean
-    thr = cfg.swing_threshold
-    return (both
-            .select(KEY, "win", F.col("anchor_gold").alias("gold_at_14"), d.alias("gold_delta"),
-                    ((d >= thr) & ~F.col("win")).alias("is_throw"),
-                    ((d <= -thr) & F.col("win")).alias("is_comeback")))
+    both = sc.select(KEY, "win").join(anchors(in_scope(ticks, sc), cfg), KEY)
+    return both.select(KEY, "win", F.col("anchor_gold").alias("gold_at_14"), *swing_columns(mean_anchor(both), cfg))
 
 
 # ---------------------------------------------------------------- D1 -------
 def incident_context(sessions: DataFrame, ticks: DataFrame, incidents: DataFrame,
                      cfg: AnalysisConfig = DEFAULT, missing: str = "zero",
-                     baselines: DataFrame | None = None, anchor_rows: DataFrame | None = None) -> DataFrame:
+                     baselines: DataFrame | None = None, anchor_rows: DataFrame | None = None, mean=None) -> DataFrame:
     """Per-incident context flags.
 
     ``missing="zero"`` treats an unknown snapshot as 0 gold (parity with the
     analysed application); ``"unknown"`` keeps the lead and its two lead flags NULL.
-    ``baselines`` / ``anchor_rows`` let a caller share those computations.
+    ``baselines`` / ``anchor_rows`` / ``mean`` let a caller share those computations.
     """
     sc = scope(sessions, cfg)
     st = in_scope(ticks, sc)
     si = in_scope(incidents, sc)
     base = (baselines if baselines is not None else baseline_by_tick(st, "gold")).select(TICK, "avg_gold")
     a = anchor_rows if anchor_rows is not None else anchors(st, cfg)
-    mean_anchor = a.agg(F.avg("anchor_gold")).scalar()
+    mean = mean_anchor(a) if mean is None else mean
     if missing == "zero":
         lead = F.coalesce(F.col("gold_at_death"), F.lit(0)) - F.coalesce(F.col("avg_gold"), F.lit(0.0))
     elif missing == "unknown":
@@ -117,7 +119,7 @@ def incident_context(sessions: DataFrame, ticks: DataFrame, incidents: DataFrame
         ((F.col("gold_lead_approx") < -thr) & (t <= cfg.laning_end)).alias("is_deficit_fight"),
         (t < cfg.early_tick).alias("is_early_death"),
         F.col("_spiral").alias("is_tilt_spiral"),
-        F.coalesce((t > cfg.laning_end) & (F.col("anchor_gold") > mean_anchor + thr),
+        F.coalesce((t > cfg.laning_end) & (F.col("anchor_gold") > mean + thr),
                    F.lit(False)).alias("is_post_laning_throw"))
 
 
@@ -236,11 +238,15 @@ def excursion_agg(ex: DataFrame) -> DataFrame:
         F.avg((F.col("roam_result") == "impact").cast("double")).alias("roam_impact_rate"))
 
 
+def temporal_columns(ts: str):
+    t = F.col(ts)
+    dow = F.weekday(t)
+    return (F.hour(t).alias("hour_of_day"), dow.alias("day_of_week"), dow.isin(5, 6).alias("is_weekend"),
+            time_bucket(F.hour(t)).alias("time_bucket"))
+
+
 def temporal(scoped: DataFrame) -> DataFrame:
-    ts = F.col("game_datetime")
-    dow = F.weekday(ts)
-    return scoped.select(KEY, F.hour(ts).alias("hour_of_day"), dow.alias("day_of_week"),
-                         dow.isin(5, 6).alias("is_weekend"), time_bucket(F.hour(ts)).alias("time_bucket"))
+    return scoped.select(KEY, *temporal_columns("game_datetime"))
 
 
 # ---------------------------------------------------------------- D6 -------
@@ -250,13 +256,16 @@ def feature_matrix(sessions: DataFrame, ticks: DataFrame, incidents: DataFrame,
     sc = scope(sessions, cfg)
     st = in_scope(ticks, sc)
     base = tick_baselines(st, cfg)        # one aggregate for both baselines
-    a = anchors(st, cfg)                  # one anchor pass for swing games and incident context
-    form = rolling_form(sessions, cfg).select(KEY, "tilt_index")
-    swing = swing_games(sessions, ticks, cfg, anchor_rows=a).select(KEY, "is_throw", "is_comeback", "gold_delta")
-    inc = incident_agg(incident_context(sessions, ticks, incidents, cfg, baselines=base, anchor_rows=a))
+    a = anchors(st, cfg)                  # one anchor pass and one mean for swings and incident context
+    mean = mean_anchor(a)
+    inc = incident_agg(incident_context(sessions, ticks, incidents, cfg, baselines=base, anchor_rows=a, mean=mean))
     exc = excursion_agg(excursions(sessions, ticks, cfg, baselines=base))
-    fm = (sc.select(KEY, "win", "game_datetime", "champion_name")
-          .join(form, KEY, "left").join(temporal(sc), KEY, "left").join(swing, KEY, "left")
+    # the session's own columns ride along with its form, so the scope is not read again
+    form = rolling_prior_mean(sc.select(KEY, "puuid", "game_datetime", "win", "champion_name"), ["puuid"],
+                              ["game_datetime", KEY], "win", n=cfg.rolling_window, neutral=cfg.neutral_form, out="tilt_index")
+    fm = (form.select(KEY, "win", "game_datetime", "champion_name", "tilt_index", *temporal_columns("game_datetime"))
+          .join(a.select(KEY, "anchor_gold"), KEY, "left").withColumns(
+              {c: x for c, x in zip(("gold_delta", "is_throw", "is_comeback"), swing_columns(mean, cfg))})
           .join(inc, KEY, "left").join(exc, KEY, "left"))
     return fm.select(
         KEY, "win", "game_datetime", "champion_name", "tilt_index",

@@ -33,22 +33,29 @@ def summarize(plan: str) -> list[str]:
 def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     from playline.config import ADAPTER as CFG
+    from playline.checks import landing_docs
     from playline.operators import features as FT, reports as RP
+    from playline.plans.catalog_ingest import player
     from playline.plans.publish import surrogate_ids
     from playline.session import get_spark, shared_path
-    from playline.sources import adapter
+    from playline.sources import adapter, documents
     spark = get_spark()
     root = shared_path(spark, "plans")
     ev = adapter.load_events(spark, sf)
-    t = adapter.ticks(ev)
-    for k, v in {"sessions": adapter.sessions(ev), "ticks": t, "incidents": adapter.incidents(ev, t)}.items():
-        v.write.parquet(f"{root}/{k}")
+    adapter.sessions(ev).write.parquet(f"{root}/sessions")
+    adapter.ticks(ev).write.parquet(f"{root}/ticks")
+    adapter.incidents(ev, spark.read.parquet(f"{root}/ticks")).write.parquet(f"{root}/incidents")
+    raw = landing_docs.write_landing({k: spark.read.parquet(f"{root}/{k}") for k in ("sessions", "ticks", "incidents")},
+                                     f"{root}/landing", CFG.tick_ms)
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     se, ti, inc = (spark.read.parquet(f"{root}/{k}") for k in ("sessions", "ticks", "incidents"))
     queries = {
         "excursions": FT.excursions(se, ti, CFG),
         "incident_context": FT.incident_context(se, ti, inc, CFG),
+        "incident_agg": FT.incident_agg(FT.incident_context(se, ti, inc, CFG)),
+        "feature_matrix (after the numbering checkpoints)": FT.feature_matrix(se, ti, inc, CFG),
+        "ingest: paired documents": documents.flatten(documents.read_documents(spark, raw), player(), CFG.tick_ms)["sessions"],
         "swing_games": FT.swing_games(se, ti, CFG),
         "rival_matchups": FT.rival_matchups(se, CFG),
         "pace_curves": RP.pace_curves(ti, adapter.fixed_labels(FT.scope(se, CFG))),
@@ -61,7 +68,7 @@ def main():
         plan = df._jdf.queryExecution().executedPlan().toString()
         lines = summarize(plan)
         n_ex = sum(1 for x in lines if re.search(r"\bExchange hashpartitioning|\bExchange rangepartitioning", x))
-        print(f"## {name}\n\nshuffle exchanges: {n_ex}; broadcast exchanges: "
+        print(f"## {name}\n\nscans: {sum('FileScan' in x for x in lines)}; shuffle exchanges: {n_ex}; broadcast exchanges: "
               f"{sum('BroadcastExchange' in x for x in lines)}; reused: {sum('ReusedExchange' in x for x in lines)}\n")
         print("```")
         print("\n".join(lines))
