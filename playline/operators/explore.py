@@ -63,43 +63,52 @@ def equal_width_histogram(df: DataFrame, col: str, nbins: int, by=None) -> DataF
                     (mn + (F.col("bin") + 1) * width).alias("bin_hi"), "count"))
 
 
-def exact_quantiles(df: DataFrame, col: str, probs, by=None, tiebreak=None) -> DataFrame:
-    """Exact linearly interpolated quantiles per group, without buffering a group.
-
-    Values are numbered inside their group by ``number_rows`` (range
-    partitioning splits a hot group over many tasks); the handful of rank
-    positions each quantile needs (floor and ceil of q*(n-1)) form a table of
-    at most 2*len(probs) rows per group, which is joined back on (group, rank).
-    Same result as ``quantile_cont`` / numpy's default interpolation."""
-    from playline.operators.sequence import number_rows
+def exact_quantiles(df: DataFrame, col: str, probs, by=None, accuracy: int = 10_000) -> DataFrame:
+    """Exact linearly interpolated quantiles per group, without sorting or buffering a group.
+
+    ``percentile_approx`` brackets every wanted rank (its rank error is at most
+    n / accuracy; groups of up to ``accuracy`` rows take their whole range). One
+    more pass counts the values below each bracket and the occurrences of each
+    value inside it, combined map-side, so ties cost one row; the running count
+    over those few values gives the value at each rank. Same result as
+    ``quantile_cont`` / numpy's default interpolation."""
     g = _by(by)
-    vals = df.where(F.col(col).isNotNull()).select(*g, F.col(col).cast("double").alias("_v"),
-                                                   *( [F.col(tiebreak).alias("_t")] if tiebreak else []))
-    order = ["_v", "_t"] if tiebreak else ["_v"]
-    ranked = number_rows(vals, g, order, out="_r")
-    counts = vals.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
-    wanted = counts.select(*g, "_n", F.explode(F.array(*[F.lit(float(q)) for q in probs])).alias("_q"))
-    pos = F.col("_q") * (F.col("_n") - 1)
-    wanted = wanted.select(*g, "_q", pos.alias("_pos"),
-                           (F.floor(pos) + 1).cast("long").alias("_lo"), (F.ceil(pos) + 1).cast("long").alias("_hi"))
-    need = (wanted.select(*g, F.col("_lo").alias("_r")).unionByName(wanted.select(*g, F.col("_hi").alias("_r")))
-            .distinct())
-    hit = ranked.join(need, g + ["_r"], "left_semi").select(*g, "_r", "_v")
-    lo = hit.select(*g, F.col("_r").alias("_lo"), F.col("_v").alias("_vlo"))
-    hi = hit.select(*g, F.col("_r").alias("_hi"), F.col("_v").alias("_vhi"))
-    frac = F.col("_pos") - F.floor(F.col("_pos"))
-    return (wanted.join(lo, g + ["_lo"]).join(hi, g + ["_hi"])
-            .select(*g, F.col("_q").alias("q"),
-                    (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * frac).alias("value")))
-
-
-def quartiles(df: DataFrame, col: str, by=None, exact: bool = True, tiebreak=None) -> DataFrame:
+    vals = df.where(F.col(col).isNotNull()).select(*(g or [F.lit(0).alias("_all")]), F.col(col).cast("double").alias("_v"))
+    g = g or ["_all"]
+    edge = 3.0 / accuracy
+    around = [min(1.0, max(0.0, q + d)) for q in probs for d in (-edge, edge)]
+    b = vals.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+                             F.percentile_approx("_v", around, accuracy).alias("_p"))
+    small = F.col("_n") <= accuracy
+    b = b.select(*[F.col(c).alias(f"_g_{c}") for c in g], "_n", F.array(*[F.struct(
+        F.lit(i).alias("i"), F.lit(float(q)).alias("q"), F.when(small, F.col("_min")).otherwise(F.col("_p")[2 * i]).alias("lo"),
+        F.when(small, F.col("_max")).otherwise(F.col("_p")[2 * i + 1]).alias("hi")) for i, q in enumerate(probs)]).alias("_b"))
+    same = None
+    for c in g:
+        e = F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+        same = e if same is None else same & e
+    # a value below a bracket counts as one NULL entry of it
+    near = F.filter("_b", lambda x: F.col("_v") <= x["hi"])
+    hit = vals.join(b, same).select(*g, "_n", "_v", F.explode(near).alias("_x"))
+    inside = F.when(F.col("_v") >= F.col("_x.lo"), F.col("_v"))
+    counts = (hit.groupBy(*g, F.col("_x.q").alias("q"), inside.alias("_v"))
+              .agg(F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_n")))
+    upto = Window.partitionBy(*g, "q").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    pos = F.col("q") * (F.col("_n") - 1)
+    ranked = counts.withColumn("_cum", F.sum("_c").over(upto)).withColumn("_pos", pos)
+    at = lambda r: F.min(F.when(F.col("_cum") >= r, F.col("_v")))
+    out = ranked.groupBy(*g, "q").agg(at(F.floor("_pos") + 1).alias("_lo"), at(F.ceil("_pos") + 1).alias("_hi"),
+                                      F.max(F.col("_pos") - F.floor("_pos")).alias("_frac"))
+    return out.select(*_by(by), "q", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac")).alias("value"))
+
+
+def quartiles(df: DataFrame, col: str, by=None, exact: bool = True) -> DataFrame:
     """Box-plot statistics per group: q1, median, q3 (exact and distributed by
     default, ``percentile_approx`` sketches when ``exact`` is off), min, max, n."""
     g = _by(by)
     stats = df.groupBy(*g).agg(F.min(col).alias("min"), F.max(col).alias("max"), F.count(col).alias("n"))
     if exact:
-        q = exact_quantiles(df, col, (0.25, 0.5, 0.75), by, tiebreak)
+        q = exact_quantiles(df, col, (0.25, 0.5, 0.75), by)
         wide = q.groupBy(*g).agg(*[F.max(F.when(F.col("q") == p, F.col("value"))).alias(name)
                                    for p, name in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
     else:

@@ -62,7 +62,7 @@ def test_exact_quantiles_match_numpy_under_skew(spark):
     import numpy as np
     from playline.operators.explore import quartiles
     df = skewed(spark, 3000).withColumn("x", (F.col("id") * 37 % 1013).cast("double"))
-    got = {r.grp: r for r in quartiles(df, "x", by="grp", tiebreak="id").collect()}
+    got = {r.grp: r for r in quartiles(df, "x", by="grp").collect()}
     data = {}
     for r in df.select("grp", "x").collect():
         data.setdefault(r.grp, []).append(r.x)
@@ -121,3 +121,23 @@ def test_hot_session_is_dealt_into_buckets(spark):
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
     from playline.operators.sequence import _with_halo
     assert _with_halo(df, "i", 16).groupBy("k", "_bucket").count().agg({"count": "max"}).first()[0] == 17
+
+
+def test_quantiles_bracketed_with_ties(spark):
+    """Groups far larger than the accuracy, a third of a group one value, a NULL group and NULL values."""
+    import random
+
+    import numpy as np
+
+    from playline.operators.explore import exact_quantiles
+    rng = random.Random(5)
+    rows = [("a", float(rng.choice([7, rng.randrange(1000), rng.random()]))) for _ in range(3000)]
+    rows += [(None, float(k * k % 101)) for k in range(500)] + [("b", 4.0), ("b", 2.0), ("c", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    probs = (0.0, 0.1, 0.25, 0.5, 0.9, 1.0)
+    got = {(r.g, r.q): r.value for r in exact_quantiles(df, "x", probs, "g", accuracy=50).collect()}
+    for g in ("a", "b", None):
+        xs = [x for k, x in rows if k == g and x is not None]
+        for q in probs:
+            assert abs(got[(g, q)] - np.quantile(xs, q)) < 1e-9, (g, q)
+    assert len(got) == 18
