@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from tests.llm.helpers import awkward, empty, prose, row
 
 
 def shingles(text):
-    w = (text or "").split()
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     return frozenset(tuple(w[i:i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
