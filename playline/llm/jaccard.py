@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from playline.llm.arrow import chunks, small_batches
 from playline.llm.common import documents, stored
 from playline.llm.components import components
-from playline.llm.substring import _FACTORS, _mix
+from playline.llm.words import FACTORS, mix, windows, word_hashes
 
 SHINGLE, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 BANDS, ROWS, BLOCK = 40, 5, 512
@@ -45,25 +45,14 @@ _MUL = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 
 def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of every text."""
-    import xxhash
-
-    words = [t.split() for t in texts]  # exactly the six ASCII white-space bytes
-    n = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    if not n.sum():
-        return [np.empty(0, np.uint64) for _ in texts]
-    coded = pa.array([w for ws in words for w in ws], type=pa.large_binary()).dictionary_encode()
-    seen = np.fromiter(map(xxhash.xxh64_intdigest, coded.dictionary.to_pylist()), dtype=np.uint64, count=len(coded.dictionary))
-    a = seen[coded.indices.to_numpy()]
-    h = np.zeros(max(0, len(a) - size + 1), dtype=np.uint64)
-    for k in range(size):
-        h += a[k:k + len(h)] * _FACTORS[k]
-    h = _mix(h)
+    a, n = word_hashes(texts)
+    h = windows(a, size)
     out, at = [], 0
     for c in n.tolist():
         if c >= size:
             out.append(np.unique(h[at:at + c - size + 1]))
         elif c:
-            out.append(_mix((a[at:at + c] * _FACTORS[:c]).sum(keepdims=True) + np.uint64(c)))
+            out.append(mix((a[at:at + c] * FACTORS[:c]).sum(keepdims=True) + np.uint64(c)))
         else:
             out.append(np.empty(0, np.uint64))
         at += c
@@ -215,7 +204,7 @@ def _bands(nodes: DataFrame) -> DataFrame:
             for k in range(BANDS):
                 h = np.full(len(ids), k + 1, dtype=np.uint64)
                 for c in range(k * ROWS, (k + 1) * ROWS):
-                    h = _mix(h * _FACTORS[0] + sig[:, c])
+                    h = mix(h * FACTORS[0] + sig[:, c])
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids)], names=["band", "node"])
 
     return nodes.filter("n > 0").select("node", "sig").mapInArrow(run, "band long, node long")

@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from playline.llm.arrow import chunks, small_batches
 from playline.llm.common import documents, stored
+from playline.llm.words import mix, windows, word_hashes
 
 WINDOW, DEPTH = 13, 2
 MOST_CELLS_BITS, LEAST_CELLS_BITS, BLOCK_SHARE = 30, 16, 8   # cells a row; a row has 2 ** BLOCK_SHARE blocks
@@ -46,40 +47,19 @@ FLUSH = 4_000_000       # windows that a task holds before it emits partial coun
 BYTES_PER_WORD = 6
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """64-bit finaliser: a bijection that spreads every input bit."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-_FACTORS = _mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-
-
 def window_hashes(texts: list[bytes], width: int = WINDOW):
-    """(words of each text, hashes of all windows, text number and first word of each window)."""
-    import xxhash
-
-    words = [t.split() for t in texts]  # exactly the six ASCII white-space bytes
-    n = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    total = int(n.sum())
-    if total < width:
-        return words, np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    coded = pa.array([w for ws in words for w in ws], type=pa.large_binary()).dictionary_encode()
-    seen = np.fromiter(map(xxhash.xxh64_intdigest, coded.dictionary.to_pylist()), dtype=np.uint64, count=len(coded.dictionary))
-    a = seen[coded.indices.to_numpy()]
-    h = np.zeros(total - width + 1, dtype=np.uint64)
-    for k in range(width):
-        h += a[k:k + len(h)] * _FACTORS[k]
+    """(number of words of each text, hashes of all windows, text number and first word of each window)."""
+    a, n = word_hashes(texts)
+    h = windows(a, width)
     begin = np.cumsum(n) - n
     doc = np.repeat(np.arange(len(texts)), n)[:len(h)]
     inside = np.arange(len(h)) + width <= (begin + n)[doc]
     doc = doc[inside]
-    return words, _mix(h[inside]), doc, np.flatnonzero(inside) - begin[doc]
+    return n, h[inside], doc, np.flatnonzero(inside) - begin[doc]
 
 
 def _cells(h: np.ndarray, bits: int) -> list[np.ndarray]:
-    return [(_mix(h ^ np.uint64(0x5851F42D4C957F2D * d & (1 << 64) - 1)) >> np.uint64(64 - bits)).astype(np.uint32)
+    return [(mix(h ^ np.uint64(0x5851F42D4C957F2D * d & (1 << 64) - 1)) >> np.uint64(64 - bits)).astype(np.uint32)
             for d in range(1, DEPTH + 1)]
 
 
@@ -282,7 +262,7 @@ def repeats(docs: DataFrame, max_bits: int = MOST_CELLS_BITS) -> DataFrame:
             hot = hot_h[spot] == h if len(hot_h) else np.zeros(len(h), dtype=bool)
             # a hot window is settled here; a lane by document keeps its rows from meeting
             keep = ~hot | (i > hot_first[spot] if len(hot_h) else False)
-            lane = np.where(hot, 1 + (_mix(i.view(np.uint64)) & np.uint64(0xFFFF)).astype(np.int64), 0)
+            lane = np.where(hot, 1 + (mix(i.view(np.uint64)) & np.uint64(0xFFFF)).astype(np.int64), 0)
             yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(i[keep]),
                                               pa.array(lane[keep].astype(np.int32))], names=["h", "doc_id", "lane"])
 
@@ -299,30 +279,28 @@ def cut(docs: DataFrame, max_bits: int = MOST_CELLS_BITS) -> DataFrame:
 
     def rewrite(batches):
         for b in batches:
-            ids, texts, gones = (b.column(i).to_pylist() if i < 2 else b.column(i) for i in range(3))
+            ids, texts, gones = b.column(0), b.column(1).to_pylist(), b.column(2)
+            has = gones.is_valid().to_numpy(zero_copy_only=False)
             for i, j in chunks(texts):
-                words, h, doc, at = window_hashes(texts[i:j])
-                out_n, out_r, out_k = [], [], []
-                edge = np.searchsorted(doc, np.arange(j - i + 1))
-                for k, ws in enumerate(words):
-                    known = gones[i + k]
-                    removed = 0
-                    if known.is_valid:
-                        hs = h[edge[k]:edge[k + 1]]
-                        hit = at[edge[k]:edge[k + 1]][np.isin(hs, known.values.to_numpy().view(np.uint64))]
-                        step = np.zeros(len(ws) + 1, dtype=np.int64)
+                words = [t.split() for t in texts[i:j]]  # exactly the six ASCII white-space bytes
+                n, removed = list(map(len, words)), [0] * (j - i)
+                some = np.flatnonzero(has[i:j])  # other texts keep every word
+                if len(some):
+                    _, h, doc, at = window_hashes([texts[i + k] for k in some])
+                    edge = np.searchsorted(doc, np.arange(len(some) + 1))
+                    for x, k in enumerate(some.tolist()):
+                        known = gones[i + k].values.to_numpy().view(np.uint64)
+                        hit = at[edge[x]:edge[x + 1]][np.isin(h[edge[x]:edge[x + 1]], known)]
+                        step = np.zeros(n[k] + 1, dtype=np.int64)
                         np.add.at(step, hit, 1)
                         np.add.at(step, hit + WINDOW, -1)
                         stay = np.cumsum(step)[:-1] == 0
-                        removed = len(ws) - int(stay.sum())
-                        if removed:
-                            ws = [w for w, s in zip(ws, stay.tolist()) if s]
-                    out_n.append(len(words[k]))
-                    out_r.append(removed)
-                    out_k.append(b" ".join(ws))
+                        removed[k] = n[k] - int(stay.sum())
+                        words[k] = [w for w, s in zip(words[k], stay.tolist()) if s]
+                kept = [b" ".join(ws) for ws in words]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[i:j], pa.int64()), pa.array(out_n, pa.int64()), pa.array(out_r, pa.int64()),
-                     pa.array([hashlib.sha256(x).hexdigest() for x in out_k]), pa.array(out_k, pa.binary())],
+                    [ids.slice(i, j - i).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()),
+                     pa.array([hashlib.sha256(x).hexdigest() for x in kept]), pa.array(kept, pa.binary())],
                     names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary"
