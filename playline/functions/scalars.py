@@ -154,13 +154,15 @@ def padded_id(prefix: str, n, width: int = 4) -> Column:
 
 # F18
 def split_handle(handle, tag=None) -> Column:
-    """'name#tag' -> struct(name, tag): first '#' only, trimmed, explicit tag wins,
-    NULL name/tag when empty."""
+    """'name#tag' -> struct(name, tag, valid): first '#' only, trimmed, explicit tag
+    wins, NULL name/tag when empty; a handle without a name or a tag is not valid
+    (callers reject it)."""
     parts = F.split(_c(handle), "#", 2)
     name = F.nullif(F.trim(F.get(parts, 0)), F.lit(""))
     tag_in = F.nullif(F.trim(F.get(parts, 1)), F.lit(""))
     explicit = F.nullif(F.trim(_c(tag)), F.lit("")) if tag is not None else F.lit(None).cast("string")
-    return F.struct(name.alias("name"), F.coalesce(explicit, tag_in).alias("tag"))
+    tag_out = F.coalesce(explicit, tag_in)
+    return F.struct(name.alias("name"), tag_out.alias("tag"), (name.isNotNull() & tag_out.isNotNull()).alias("valid"))
 
 
 # F19

@@ -464,17 +464,21 @@ def _sr(s, sf):
     "nullif(trim(split_part(handle, '#', 1)), '') AS handle_name, "
     "coalesce(nullif(trim(CASE WHEN kills % 2 = 0 THEN 'XY' END), ''), "
     "nullif(trim(CASE WHEN instr(handle, '#') > 0 THEN substr(handle, instr(handle, '#') + 1) END), '')) "
-    "AS handle_tag FROM (SELECT *, ' ' || champion_name || ' #' || puuid || '#x' AS handle FROM sessions) s"))
+    "AS handle_tag, (kills % 5 <> 0 AND (kills % 2 = 0 OR kills % 7 <> 0)) AS handle_ok FROM (SELECT *, CASE WHEN kills % 5 = 0 "
+    "THEN ' ' ELSE ' ' || champion_name END || CASE WHEN kills % 7 = 0 THEN ' #' ELSE ' #' || puuid || '#x' END AS handle "
+    "FROM sessions) s"))
 def _stx(s, sf):
     se = T2(s, sf)[0].withColumn(
-        "handle", F.concat(F.lit(" "), "champion_name", F.lit(" #"), "puuid", F.lit("#x")))
+        "handle", F.concat(F.lit(" "), F.when(F.col("kills") % 5 != 0, F.col("champion_name")).otherwise(F.lit("")), F.lit(" #"),
+                           F.when(F.col("kills") % 7 != 0, F.concat("puuid", F.lit("#x"))).otherwise(F.lit(""))))
     h = S.split_handle("handle", F.when(F.col("kills") % 2 == 0, F.lit("XY")))
     return se.select("match_id",
                      S.first_present(F.when(F.col("kills") % 3 == 0, F.lit("")).otherwise(F.col("lane")),
                                      "team_position").alias("position"),
                      S.padded_id("GAME_", "vision_score").alias("short_id"),
                      S.padded_id("GAME_", F.col("vision_score") * 1000).alias("long_id"),
-                     h["name"].alias("handle_name"), h["tag"].alias("handle_tag"))
+                     h["name"].alias("handle_name"), h["tag"].alias("handle_tag"),
+                     h["valid"].alias("handle_ok"))
 
 
 @register("scalar_cut", R(
