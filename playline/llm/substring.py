@@ -43,7 +43,7 @@ from playline.llm.words import mix, windows, word_hashes
 WINDOW, DEPTH = 13, 2
 MOST_CELLS_BITS, LEAST_CELLS_BITS, BLOCK_SHARE = 30, 16, 8   # cells a row; a row has 2 ** BLOCK_SHARE blocks
 HOT_SHARE = 4096
-FLUSH = 4_000_000       # windows that a task holds before it emits partial counts
+FLUSH = 2_000_000       # windows that a task holds before it emits partial counts
 BYTES_PER_WORD = 6
 
 
@@ -194,7 +194,7 @@ def estimate(docs: DataFrame, max_bits: int = MOST_CELLS_BITS) -> Estimate | Non
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     windows = max(1, size // BYTES_PER_WORD)
-    bits = max(LEAST_CELLS_BITS, min(max_bits, math.ceil(math.log2(3 * windows))))
+    bits = max(LEAST_CELLS_BITS, min(max_bits, math.ceil(math.log2(1.5 * windows))))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     done = stored(merged(sketch(docs, bits), bits, max(64, windows // HOT_SHARE), tasks), "sketch")
     twice = [bytearray((1 << bits) // 8) for _ in range(DEPTH)]
