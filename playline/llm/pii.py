@@ -1,8 +1,8 @@
 """Personal data: boosted candidate spans on top of base rules.
 
 Base rules give fixed spans. High-recall generators propose further, overlapping
-spans (any address around an at sign, spelt-out addresses, any digit chain and
-its parts); gradient-boosted trees score each from its format and its context,
+spans (any address around an at sign, spelt-out addresses, any digit chain, its
+white-space pieces and every run of its digit groups with RUN digits); gradient-boosted trees score each from its format and its context,
 Platt scaling calibrates the scores on held-out candidates, and per kind the
 least threshold (LEAST or more) with PRECISION on those held-out candidates selects
 redactions.
@@ -10,10 +10,11 @@ Selected spans never displace base spans: what overlaps a base span or a better
 selected one is left out.
 
 Training candidates come from at most SAMPLE_DOCS documents (least id hash) and
-PER_DOC candidates of each: base spans and respelt copies of them are positive
-(addresses spelt out, telephone numbers without country code), candidates that
-the base rules turned down and inserted dates, versions, prices and references
-are negative.
+PER_DOC candidates of each, evenly spaced: base spans and respelt copies of them
+are positive (addresses spelt out, telephone numbers without country code, also
+after another number and in lists), candidates that the base rules turned down,
+parts and joins of the numbers set side by side, and inserted dates, versions,
+prices and references are negative.
 
 Defined cases: null or empty text has no spans; equal texts get equal spans;
 null and repeated ids keep their rows; an empty table, or a sample without both
@@ -25,6 +26,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -35,6 +38,8 @@ from playline.llm.common import documents, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS, PER_DOC, PRECISION, LEAST = 2000, 40, 0.98, 0.5
+RUN = range(7, 20)  # digits of a telephone or card number
+BLOCK = 8192  # candidates scored at a time
 
 # The base patterns. A run that fails at its first character
 # fails at the others too, so looking behind keeps the matches and saves time.
@@ -49,6 +54,7 @@ _SPELT = re.compile(r"[A-Za-z0-9._%+-]{1,64}\s?[\[({<]\s?at\s?[\])}>]\s?[A-Za-z0
                     r"(?:\s?(?:\.|[\[({<]\s?dot\s?[\])}>])\s?[A-Za-z0-9-]{1,63}){1,5}", re.I)
 _CHAIN = re.compile(r"[+(]{0,2}[0-9](?:[\x20().\-/]{0,2}[0-9])+")
 _PART = re.compile(r"\S+")
+_GROUP = re.compile(r"[0-9]+")
 _DIGITS = re.compile(r"[0-9]")
 _NONDIGIT = re.compile(r"[^0-9]")
 
@@ -91,8 +97,44 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def candidates(text: str) -> list[tuple[int, int, int]]:
-    """Overlapping proposals (start, kind index, end), each once, in order."""
+def _number(text: str, s: int, e: int, n: int) -> tuple[int, int, int]:
+    """Candidate of ``n`` digits with its kind."""
+    if text[s] == "+" and n <= 15:
+        return s, 3, e
+    return s, 1 if n <= 12 and text.count(".", s, e) == 3 else 2 if n >= 12 else 3, e
+
+
+def _numbers(text: str) -> Iterator[tuple[int, int, int]]:
+    """Digit chains, their white-space pieces and their runs of groups; linear in the text."""
+    for m in _CHAIN.finditer(text):
+        start, end = m.span()
+        if end - start < 7:
+            continue
+        spans = [(start, end)]
+        if " " in m.group():
+            spans += [p.span() for p in _PART.finditer(text, start, end)]
+        own = set()
+        for s, e in spans:
+            if e - s <= 60:
+                n = len(_NONDIGIT.sub("", text[s:e]))
+                if 4 <= n <= 40 and (s, e) not in own:
+                    own.add((s, e))
+                    yield _number(text, s, e, n)
+        groups = [g.span() for g in _GROUP.finditer(text, start, end)]
+        for i, (s, _) in enumerate(groups):
+            while s > start and text[s - 1] in "+(":
+                s -= 1
+            n = 0
+            for gs, ge in groups[i:i + RUN.stop]:
+                n += ge - gs
+                if n >= RUN.stop:
+                    break
+                if n in RUN and (s, ge) not in own:
+                    yield _number(text, s, ge, n)
+
+
+def proposals(text: str) -> Iterator[tuple[int, int, int]]:
+    """Overlapping proposals (start, kind index, end), each once."""
     out = set()
     at = text.find("@")
     while at >= 0:
@@ -106,28 +148,25 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
     if "at" in text or "AT" in text:
         if any(c in text for c in "[({<"):
             out.update((m.start(), 0, m.end()) for m in _SPELT.finditer(text))
+    yield from sorted(out)
     if _DIGITS.search(text):
-        for m in _CHAIN.finditer(text):
-            if m.end() - m.start() < 7:
-                continue
-            spans = [(m.start(), m.end())]
-            if " " in m.group():
-                spans += [(m.start() + p.start(), m.start() + p.end()) for p in _PART.finditer(m.group())]
-            for s, e in spans:
-                piece = text[s:e]
-                n = len(_NONDIGIT.sub("", piece))
-                if n < 4 or n > 40 or e - s > 60:
-                    continue
-                out.add((s, 1 if piece.count(".") == 3 and n <= 12 else 2 if n >= 12 else 3, e))
-    return sorted(out)
+        yield from _numbers(text)
 
 
-FEATURES = 22
+def candidates(text: str) -> list[tuple[int, int, int]]:
+    """The proposals in order."""
+    return sorted(proposals(text))
+
+
+FEATURES = 24
 _CONTEXT = (re.compile(r"mail|contact|write|@", re.I), re.compile(r"tel|phone|call|fax|mobil|cell", re.I),
             re.compile(r"card|visa|pay|account|credit", re.I), re.compile(r"\bip\b|host|address|server", re.I),
             re.compile(r"version|date|isbn|order|price|ref|no\.|#|\$|€|v\Z", re.I))
 
 
+_BEFORE, _AFTER = re.compile(r"([0-9]{1,20})[\x20().\-/+]{1,3}\Z"), re.compile(r"[\x20().\-/+]{1,3}([0-9]{1,20})")
+
+
 def features(text: str, span: tuple[int, int, int]) -> list[float]:
     """Format of the span and what stands around it."""
     s, k, e = span
@@ -135,20 +174,17 @@ def features(text: str, span: tuple[int, int, int]) -> list[float]:
     digits = _NONDIGIT.sub("", piece)
     groups = re.findall(r"[0-9]+", piece)
     short = [len(g) for g in groups] or [0]
+    before, after = _BEFORE.search(left), _AFTER.match(right)  # another number beside the span
     octets = len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups)
     return [k, len(piece), len(digits), sum(c.isalpha() for c in piece), piece.count("."), piece.count("-"),
             piece.count(" "), piece.count("(") + piece.count("/"), piece.startswith("+"), "@" in piece,
             "at" in piece.lower() and "@" not in piece, luhn(digits) if len(digits) >= 12 else False, octets,
             len(groups), min(short), max(short), short[0], short[-1],
             left[-1:].isalnum() or left[-1:] in ("-", ".", "/", "_"), right[:1].isalnum() or right[:1] in ("-", "/", "_"),
+            len(before[1]) if before else 0, len(after[1]) if after else 0,
             len(digits) / len(piece), sum(b << i for i, b in enumerate(bool(c.search(left)) for c in _CONTEXT))]
 
 
-def matrix(texts: list[str], spans: list[list[tuple]]) -> np.ndarray:
-    rows = [features(t, s) for t, ss in zip(texts, spans) for s in ss]
-    return np.array(rows, dtype=np.float64).reshape(-1, FEATURES)
-
-
 def _respelt(piece: str, kind: int, n: int) -> str | None:
     """Another spelling of a base span, by turn ``n``."""
     if kind == 0:
@@ -157,7 +193,8 @@ def _respelt(piece: str, kind: int, n: int) -> str | None:
         return user + at + host.replace(".", dot)
     if kind == 3:
         d = _NONDIGIT.sub("", piece)[-10:]
-        return (f"({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}-{d[3:6]}-{d[6:]}", f"{d[:3]}.{d[3:6]}.{d[6:]}")[n % 3]
+        return (f"({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}-{d[3:6]}-{d[6:]}", f"{d[:3]}.{d[3:6]}.{d[6:]}",
+                f"{d[:3]} {d[3:6]} {d[6:]}")[n % 4]
     return None
 
 
@@ -170,12 +207,26 @@ def _decoy(n: int) -> str:
             f"{n % 9}.{m}.{d}.{n % 3000 + 256}", f"{n * 104729 % 10 ** 13 + 10 ** 13}")[n % 10]
 
 
+def _beside(piece: str, n: int) -> tuple[str, list[tuple[int, int]]]:
+    """A telephone number after another number and in a list, by turn ``n``: text and the spans in it."""
+    lead = ("", f"{2 + n % 8} ", f"{10 + n * 7 % 90} ", f"{100 + n * 31 % 900} ")[n // 4 % 4]
+    digits = _NONDIGIT.sub("", piece)[:-4]
+    numbers = [_respelt(digits + f"{(n * 7919 + 2711 * j) % 10000:04d}", 3, n) for j in range(1 + n // 2 % 3)]
+    out, spans = lead, []
+    for x in numbers:
+        out += (" " if n % 5 else "/") if spans else ""
+        spans.append((len(out), len(out) + len(x)))
+        out += x
+    return out, spans
+
+
 def examples(text: str, turn: int) -> list[tuple[list[float], int]]:
     """Labelled candidates of one document, its respelt copy and its decoys."""
     base = base_spans(text)
     known = {(s, e) for s, _, e in base}
     out = []
-    for c in candidates(text)[:PER_DOC]:
+    total = sum(1 for _ in proposals(text))
+    for c in islice(proposals(text), 0, None, max(1, -(-total // PER_DOC))):
         inside = any(s < c[2] and c[0] < e for s, _, e in base)
         if (c[0], c[2]) in known or not inside:  # parts of base spans say nothing
             out.append((features(text, c), int((c[0], c[2]) in known)))
@@ -185,6 +236,13 @@ def examples(text: str, turn: int) -> list[tuple[list[float], int]]:
             t = text[max(0, s - 80):s] + new + text[e:e + 40]
             at = min(s, 80)
             out += [(features(t, c), 1) for c in candidates(t) if (c[0], c[2]) == (at, at + len(new))]
+        if k == 3:
+            new, spans = _beside(text[s:e], turn + n)
+            left = text[max(0, s - 80):s]
+            t, at = left + new + text[e:e + 40], len(left)
+            right = {(at + a, at + b) for a, b in spans}
+            out += [(features(t, c), int((c[0], c[2]) in right)) for c in candidates(t)
+                    if c[0] < at + len(new) and c[2] > at]
     words = text[:4000].split(" ")
     if len(words) > 4:
         for n in range(3):
@@ -244,25 +302,34 @@ def find(texts: list[str], model: dict | None) -> list[tuple[list, list]]:
     base = [base_spans(t) for t in texts]
     if model is None:
         return [(b, b) for b in base]
-    prop = []
-    for t, b in zip(texts, base):
-        taken = {(s, e) for s, _, e in b}
-        prop.append([c for c in candidates(t) if (c[0], c[2]) not in taken])
-    x = matrix(texts, prop)
+    good: list[list[tuple]] = [[] for _ in texts]
+    taken = [_cover(t, b) for t, b in zip(texts, base)]
+    free = ((i, c) for i, t in enumerate(texts) for c in proposals(t) if taken[i].find(1, c[0], c[2]) < 0)
+    while block := list(islice(free, BLOCK)):
+        x = np.array([features(texts[i], c) for i, c in block], dtype=np.float64)
+        p = 1 / (1 + np.exp(-np.clip(model["a"] * boost.margin(model["trees"], x) + model["b"], -30, 30)))
+        for (i, c), v in zip(block, p.tolist()):
+            if v >= model["cut"][c[1]]:
+                good[i].append((-v, c[0] - c[2], c))  # the longer of equally good ones
     out = []
-    p = 1 / (1 + np.exp(-np.clip(model["a"] * boost.margin(model["trees"], x) + model["b"], -30, 30))) if len(x) else []
-    i = 0
-    for b, cs in zip(base, prop):
-        good = sorted(((-p[i + k], c) for k, c in enumerate(cs) if p[i + k] >= model["cut"][c[1]]))
-        i += len(cs)
-        spans = sorted(b)
-        for _, c in good:
-            if not any(s < c[2] and c[0] < e for s, _, e in spans):
+    for b, cs, mask in zip(base, good, taken):
+        spans = list(b)
+        for _, _, c in sorted(cs):
+            if mask.find(1, c[0], c[2]) < 0:
+                mask[c[0]:c[2]] = b"\1" * (c[2] - c[0])
                 spans.append(c)
         out.append((b, sorted(spans)))
     return out
 
 
+def _cover(text: str, spans: list[tuple[int, int, int]]) -> bytearray:
+    """One byte a character, 1 inside the spans."""
+    out = bytearray(len(text))
+    for s, _, e in spans:
+        out[s:e] = b"\1" * (e - s)
+    return out
+
+
 def digest(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 

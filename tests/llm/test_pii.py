@@ -73,6 +73,42 @@ def test_redaction(spark):
     assert P.train(empty(spark)) is None
 
 
+def test_every_run_of_digit_groups_is_proposed():
+    def proposed(t):
+        return {t[s:e] for s, _, e in P.candidates(t)}
+
+    assert "(212) 555-0199" in proposed("Room 12 (212) 555-0199")
+    assert {"(212) 555-0199", "(212) 555-0198"} <= proposed("tel (212) 555-0199 (212) 555-0198")
+    assert "212 555 0199" in proposed("Page 7 212 555 0199")
+    numbers = [f"({200 + i}) 555-{i:04d}" for i in range(300)]
+    assert set(numbers) <= proposed(" ".join(numbers))
+    for seed in range(300):
+        rng = random.Random(seed)
+        t = "".join(rng.choice(["1", "22", "333", "4444", " ", "-", " (", ") ", ".", "x", "+"]) for _ in range(40))
+        cs = list(P.proposals(t))
+        assert len(cs) == len(set(cs))
+        groups = [m.span() for m in re.finditer("[0-9]+", t)]
+        for i, (s, _) in enumerate(groups):
+            for j, (_, e) in enumerate(groups[i:], i):
+                gaps = [t[a[1]:b[0]] for a, b in zip(groups[i:j], groups[i + 1:j + 1])]
+                if 7 <= sum(b - a for a, b in groups[i:j + 1]) <= 19 and all(re.fullmatch(r"[ ().\-/]{1,2}", g) for g in gaps):
+                    assert e - s < 7 or any(x[2] == e and x[0] <= s and not re.search("[0-9]", t[x[0]:s]) for x in cs), (t, t[s:e])
+
+
+def test_numbers_beside_numbers_are_redacted(spark):
+    model = P.train(awkward(spark, people(400)))
+
+    def found(t):
+        return [t[s:e] for s, k, e in P.find([t], model)[0][1]]
+
+    assert found("Room 12 (212) 555-0199") == ["(212) 555-0199"]
+    assert found("tel (212) 555-0199 (212) 555-0198") == ["(212) 555-0199", "(212) 555-0198"]
+    assert found("Page 7 212 555 0199 and so on") == ["212 555 0199"]
+    numbers = [f"({200 + i}) 555-{1000 + 7 * i}" for i in range(50)]
+    assert found("call " + " ".join(numbers) + " today") == numbers
+    assert len(P.find(["1 " * 20_000], model)) == 1
+
+
 def test_hostile_texts_are_linear():
     for t in ("a" * 200_000, "1" * 200_000, "+1" * 50_000, "@" * 100_000, "1." * 50_000, "(" * 100_000):
         assert P.base_spans(t) == P.find([t], None)[0][1]
