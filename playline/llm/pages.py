@@ -17,7 +17,8 @@ all features instead of the marking tag alone.
 Defined cases: null or empty html gives empty text; a page without main blocks
 gives empty text; null or repeated ids keep their rows; without any labelled
 page the marking rule itself decides; unclosed or stray tags, comments and
-unknown references never fail; extra columns are ignored; whole pages of any length.
+unknown references never fail; only the content of RAW elements is dropped unseen, and
+an unclosed one ends with its container; extra columns are ignored; whole pages of any length.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("""address article aside blockquote body button caption center dd details dialog div dl dt fieldset
 figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav noscript ol optgroup
 option p pre section select summary table tbody td template textarea tfoot th thead title tr ul""".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object select".split())
+RAW = frozenset("script style textarea title".split())  # never text of the page; all else is labelled
 CLOSES_P = BLOCK - frozenset("button caption legend option optgroup".split())
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
         "th": ("td", "th"), "option": ("option",), "p": ("p",)}
@@ -50,6 +51,7 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
                     r"|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>|[^<]+|<", re.S)
 _MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
+_END = re.compile(r"</([A-Za-z][A-Za-z0-9:-]*)")
 
 
 def blocks(page: str) -> list[tuple[str, tuple[str, ...], bool]]:
@@ -76,6 +78,18 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], bool]]:
             in_link -= tag == "a"
         del stack[k:]
 
+    open_ended: set[str] = set()  # raw elements without a further end tag
+
+    def after_raw(tag: str, at: int) -> int:
+        """Where a raw element ends: behind its end tag, or without one at the end of its container."""
+        if tag not in open_ended:
+            close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+            if close:
+                return close.end()
+            open_ended.add(tag)
+        tags = {x for x, _ in stack}
+        return next((m.start() for m in _END.finditer(page, at) if m.group(1).lower() in tags), len(page))
+
     at, end = 0, len(page)
     while at < end:
         m = _TOKEN.match(page, at)
@@ -107,8 +121,7 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], bool]]:
         if tag in RAW and not attrs.rstrip().endswith("/"):
             if tag in BLOCK:
                 flush()  # a script inside a paragraph doesn't divide it
-            close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else end
+            at = after_raw(tag, at)
             continue
         if tag == "br" or tag == "wbr":
             if tag == "br" and buffer:

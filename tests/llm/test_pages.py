@@ -48,6 +48,22 @@ def test_blocks_of_broken_pages():
     assert text("<style>p</style" + "<" * 1000) == []
 
 
+def test_only_raw_elements_are_dropped(spark):
+    text = lambda page: [b[0] for b in P.blocks(page)]
+    assert text("<p>so <math><mi>a</mi><mo>=</mo><mi>b</mi></math> holds</p>") == ["so a=b holds"]
+    assert text("<div><object data=x><p>in place of it</p></object><svg><text>label</text><path d='z'/></svg></div>") == ["in place of it", "label"]
+    assert text("<noscript><p>n</p></noscript><template><p>t</p></template><iframe src=x>f</iframe>") == ["n", "t", "f"]
+    assert text("<select><option>one<option>two</select><textarea><p>no</textarea><p>yes") == ["one", "two", "yes"]
+    for tag in ("svg", "object", "select", "math", "noscript", "template", "iframe"):
+        assert text(f"<article><div><{tag}></div><p>kept</p></article>") == ["kept"], tag
+    for tag in ("script", "style", "textarea", "title"):
+        assert text(f"<article><div><{tag}>lost</div><p>kept</p></article>") == ["kept"], tag
+    assert len(text("<div><script>x</div><div><style>y</div><p>z</p>" * 20_000)) == 20_000
+    docs = pages(spark)
+    page = MARKED.format(i=7).replace("of some length", "of <svg><object>some length")
+    assert P.main_texts([page], P.train(docs)) == P.main_texts([MARKED.format(i=7)], P.train(docs))
+
+
 def test_without_labelled_pages_the_rule_decides():
     assert P.main_texts([FREE, MARKED.format(i=1)], None)[0] == ""
     assert P.main_texts([MARKED.format(i=1)], None)[0].startswith("Title number 1")
