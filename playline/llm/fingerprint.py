@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from playline.llm.arrow import CHUNK_CHARS, small_batches
 from playline.llm.common import documents
 
-SAMPLES = 64
+SAMPLES = 128  # standard error sqrt(J (1 - J) / SAMPLES): 0.044 at most, 0.035 at 0.8
 RANGES_PER_TASK = 8
 LOWEST = -(1 << 63)  # the place of a null id in the order
 

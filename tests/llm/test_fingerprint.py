@@ -23,6 +23,19 @@ def test_collision_rate_is_generalised_jaccard():
     assert abs(P.likeness(sig[:1], twice)[0] - 0.5) < 0.04
 
 
+def test_production_samples_estimate_the_similarity():
+    rng, texts, want = np.random.default_rng(4), [], []
+    for i in range(400):  # words of its own for every pair
+        words = [f"p{i}x{j}" for j in range(60)]
+        a = [str(w) for w in rng.choice(words, 150)]
+        b = a[:int(rng.integers(60, 140))] + [str(w) for w in rng.choice(words, 40)]
+        texts += [" ".join(a), " ".join(b)]
+        want.append(jaccard(*texts[-2:]))
+    sig = P.Sampler().signatures([t.encode() for t in texts])
+    error = P.likeness(sig[::2], sig[1::2]) - np.array(want)
+    assert abs(error.mean()) < 0.01 and np.sqrt((error ** 2).mean()) < 0.05
+
+
 def test_next_document_and_edited_text(spark):
     texts = {i: prose(i, 20 + i) for i in range(11, 90)}
     docs = awkward(spark, [row(i, t) for i, t in texts.items()])
