@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from playline.llm import bpe, fingerprint, jaccard, language, mixing, pages, pii, quality, secrets, substring
+from playline.llm import (alignment, bpe, conversations, decontaminate, fingerprint, jaccard, language, mixing, pages, pii,
+                          quality, secrets, substring)
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
@@ -15,10 +16,15 @@ QUERIES = {
     "op8_jaccard_join": jaccard.op8_jaccard_join,
     "op9_bpe": bpe.op9_bpe,
     "op10_substring_dedup": substring.op10_substring_dedup,
+    "op11_decontaminate": decontaminate.op11_decontaminate,
+    "op12_alignment": alignment.op12_alignment,
+    "op13_conversations": conversations.op13_conversations,
 }
 ORACLES = {
     "op1_secret_scans": secrets.ORACLE,
     "op6_quality_rules": quality.ORACLE,
     "op8_jaccard_join": jaccard.ORACLE,
     "op10_substring_dedup": substring.ORACLE,
+    "op11_decontaminate": decontaminate.ORACLE,
+    "op13_conversations": conversations.ORACLE,
 }

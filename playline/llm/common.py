@@ -29,10 +29,10 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write to the cluster's shared folder and read back: cuts lineage, survives
-    a lost executor, and lets two consumers share one computation."""
+    a lost executor, and lets two consumers share one computation. ``options``: of the Parquet writer."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
