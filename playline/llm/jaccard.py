@@ -1,7 +1,9 @@
 """N-gram Jaccard join with Bayesian candidate pruning.
 
-Documents are sets of five-word shingles (64-bit hashes). Documents with equal
-sets are one node. Nodes that share a band of MinHash values are compared value
+Documents are sets of five-word shingles. Documents with equal sets are one
+node: a set is named by two 64-bit digests over two independent hashes of its
+shingles, both must agree, and nodes whose first names clash get others.
+Similarities are counted on 64-bit hashes of shingles. Nodes that share a band of MinHash values are compared value
 by value: after every step the posterior probability that the similarity
 reaches THRESHOLD (uniform prior) is looked up from the matches so far, and the
 pair is dropped below TOLERANCE. What survives joins candidate groups; inside a
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from playline.llm.arrow import chunks, small_batches
 from playline.llm.common import documents, stored
 from playline.llm.components import components
-from playline.llm.words import FACTORS, mix, windows, word_hashes
+from playline.llm.words import FACTORS, few, mix, windows, word_hashes
 
 SHINGLE, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 BANDS, ROWS, BLOCK = 40, 5, 512
@@ -43,27 +45,33 @@ _XOR = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 _MUL = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 
 
-def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of every text."""
-    a, n = word_hashes(texts)
-    h = windows(a, size)
+def shingle_sets(texts: list[bytes], size: int = SHINGLE, half: int = 0) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of every text (one half of 128 bits)."""
+    return _sets(*word_hashes(texts), size, half)
+
+
+def _sets(words: np.ndarray, n: np.ndarray, size: int, half: int) -> list[np.ndarray]:
+    a = words[half]
+    h = windows(a, size, half)
     out, at = [], 0
     for c in n.tolist():
         if c >= size:
             out.append(np.unique(h[at:at + c - size + 1]))
         elif c:
-            out.append(mix((a[at:at + c] * FACTORS[:c]).sum(keepdims=True) + np.uint64(c)))
+            out.append(few(a[at:at + c], half))
         else:
             out.append(np.empty(0, np.uint64))
         at += c
     return out
 
 
-def node_of(s: np.ndarray) -> int:
-    """64-bit name of a shingle set."""
+def named_sets(texts: list[bytes]) -> list[tuple[np.ndarray, tuple[int, int]]]:
+    """(shingle set, both names of it) of every text."""
     import xxhash
 
-    return xxhash.xxh64_intdigest(s.tobytes(), 5) - (1 << 63)
+    words, n = word_hashes(texts)
+    name = lambda s: xxhash.xxh64_intdigest(s.tobytes(), 5) - (1 << 63)
+    return [(a, (name(a), name(b))) for a, b in zip(_sets(words, n, SHINGLE, 0), _sets(words, n, SHINGLE, 1))]
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -176,18 +184,18 @@ def _sized(df: DataFrame, key: str, name: str) -> DataFrame:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """(id, node, n, sig) of every row."""
+    """(id, name, twin, n, sig) of every row."""
     def run(batches):
         for b in batches:
             ids, texts = b.column(0), b.column(1).to_pylist()
             for i, j in chunks(texts):
-                sets = shingle_sets(texts[i:j])
+                sets, names = zip(*named_sets(texts[i:j]))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i), pa.array([node_of(s) for s in sets], pa.int64()),
+                    [ids.slice(i, j - i), *(pa.array(x, pa.int64()) for x in zip(*names)),
                      pa.array([len(s) for s in sets], pa.int64()), pa.array([x.tobytes() for x in signatures(sets)], pa.binary())],
-                    names=["id", "node", "n", "sig"])
+                    names=["id", "name", "twin", "n", "sig"])
 
-    return _plain(docs).mapInArrow(run, "id long, node long, n long, sig binary")
+    return _plain(docs).mapInArrow(run, "id long, name long, twin long, n long, sig binary")
 
 
 def _plain(docs: DataFrame) -> DataFrame:
@@ -237,18 +245,17 @@ def candidate_groups(nodes: DataFrame, tasks: int) -> DataFrame:
 
 def links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, tasks: int) -> DataFrame:
     """Exact step: (node, texts, docs, to) partial link counts and star edges of every candidate group."""
-    member = _sized(groups, "root", "jaccard-groups").join(nodes.select("node", "rep", "copies"), "node")
-    places = _dealt(member, "size").groupBy("rep", "node", "copies", "root").agg(
+    member = _sized(groups, "root", "jaccard-groups").join(nodes.select("node", "name", "twin", "rep", "copies"), "node")
+    places = _dealt(member, "size").groupBy("rep", "node", "name", "twin", "copies", "root").agg(
         F.collect_list(F.struct("p", "q", "own")).alias("places"))
 
     def sets(batches):
-        # a row of documents is the named node if its set has that name (ids may repeat)
+        # a row of documents is the named node if its set has both names (ids may repeat)
         for b in batches:
-            node, copies, root, places = (b.column(k).to_pylist() for k in range(4))
-            texts = b.column(4).to_pylist()
+            node, copies, root, places, name, twin, texts = (c.to_pylist() for c in b.columns)
             for i, j in chunks(texts):
-                for k, s in zip(range(i, j), shingle_sets(texts[i:j])):
-                    if node_of(s) != node[k]:
+                for k, (s, names) in zip(range(i, j), named_sets(texts[i:j])):
+                    if names != (name[k], twin[k]):
                         continue
                     ps = places[k]
                     yield pa.RecordBatch.from_pydict({
@@ -259,7 +266,7 @@ def links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, tasks: int) -> D
 
     schema = "root long, p int, q int, own int, node long, copies long, hashes binary"
     found = (_plain(docs).join(stored(places, "jaccard-places").withColumnRenamed("rep", "id").hint("merge"), "id")
-             .select("node", "copies", "root", "places", "text").mapInArrow(sets, schema))
+             .select("node", "copies", "root", "places", "name", "twin", "text").mapInArrow(sets, schema))
 
     need = least_matches()
 
@@ -313,21 +320,32 @@ def exact_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | No
     return i[ok], j[ok]
 
 
-def _nodes(described: DataFrame) -> DataFrame:
-    return stored(described.groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("copies"),
-                                                F.first("n").alias("n"), F.first("sig").alias("sig")), "jaccard-nodes")
+def nodes_of(described: DataFrame, attempts: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Described rows with their node, and one row per node. A node is the first
+    name of its set; where sets with different second names share it, another number made of both."""
+    described = described.withColumn("node", F.col("name"))
+    for k in range(attempts):
+        nodes = stored(described.groupBy("node").agg(
+            F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"),
+            F.first("name").alias("name"), F.min("twin").alias("twin"), (F.min("twin") != F.max("twin")).alias("clash"),
+            (F.min("name") != F.max("name")).alias("met")), "jaccard-nodes")
+        clash = nodes.filter("clash OR met").select("node", F.lit(True).alias("again"))
+        if clash.isEmpty():
+            return described, nodes.drop("clash", "met")
+        described = stored(described.join(clash, "node", "left").withColumn("node", F.when(
+            F.col("again"), F.xxhash64(F.lit(k), "name", "twin")).otherwise(F.col("node"))).drop("again"), "jaccard-rows")
+    raise RuntimeError("names of shingle sets clash again and again")
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """(id, node, class_id, copy_id, n_links, n_text_links) of every row.
+    """(id, name, twin, node, class_id, copy_id, n_links, n_text_links, root) of every row.
 
     class_id: least id of the rows connected by links; copy_id: least id with an
     equal set; n_links: other rows at the threshold or above, equal sets
     included; n_text_links: other sets at the threshold or above."""
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    described = stored(describe(docs), "jaccard-rows")
-    nodes = _nodes(described)
+    described, nodes = nodes_of(stored(describe(docs), "jaccard-rows"))
     found = stored(links(docs, nodes, candidate_groups(nodes, tasks), tasks), "jaccard-links")
     count = found.groupBy("node").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     roots = components(found.select(F.col("node").alias("u"), F.col("to").alias("v")))
@@ -338,7 +356,7 @@ def classes(docs: DataFrame) -> DataFrame:
         "node", "class_id", F.col("rep").alias("copy_id"),
         (F.col("copies") - 1 + F.coalesce("docs", F.lit(0))).alias("n_links"),
         F.coalesce("texts", F.lit(0)).cast("long").alias("n_text_links"), "root"), "jaccard-table")
-    return described.select("id", "node").join(table, "node")
+    return described.select("id", "name", "twin", "node").join(table, "node")
 
 
 def _shown(c: str):
@@ -352,23 +370,23 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One row of each class: the least id (of equal ids the least node), with its own columns."""
-    pick = (classes(docs).groupBy("root").agg(F.min(F.struct("id", "node")).alias("x"))
-            .select(F.col("x.id").alias("_id"), F.col("x.node").alias("_node")))
+    pick = (classes(docs).groupBy("root").agg(F.min(F.struct("id", "node", "name", "twin")).alias("x"))
+            .select(F.col("x.id").alias("_id"), F.col("x.name").alias("_name"), F.col("x.twin").alias("_twin")))
     pick = stored(pick, "jaccard-kept")
     d = docs.select(F.struct("*").alias("_doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"),
                     F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("_text"))
     # rows that share the kept id: only those whose text has the kept set, and one of them
-    some = d.join(pick, "_id").select("_doc", "_id", "_node", "_text")
+    some = d.join(pick, "_id").select("_doc", "_id", "_name", "_twin", "_text")
 
     def same(batches):
         for b in batches:
-            texts, nodes = b.column(3).to_pylist(), b.column(2).to_pylist()
+            names, texts = list(zip(b.column(2).to_pylist(), b.column(3).to_pylist())), b.column(4).to_pylist()
             keep = []
             for i, j in chunks(texts):
-                keep += [node_of(s) == n for s, n in zip(shingle_sets(texts[i:j]), nodes[i:j])]
+                keep += [own == want for (_, own), want in zip(named_sets(texts[i:j]), names[i:j])]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return some.mapInArrow(same, some.schema).dropDuplicates(["_id", "_node"]).select("_doc.*")
+    return some.mapInArrow(same, some.schema).dropDuplicates(["_id", "_name", "_twin"]).select("_doc.*")
 
 
 ORACLE = rf"""

@@ -8,17 +8,18 @@ that covers it also starts in a document with a smaller id.
    counts at least what its windows count, so a window whose cells do not all
    reach 2 occurs once and is left out for good; none that repeats is lost.
 2. What is kept of the sketch is one bit per cell (2 or more) and the list of hot
-   cells (more than 1 / HOT_SHARE of all windows, so at most HOT_SHARE a row). Its
+   cells (more than 1 / HOT_SHARE of all windows, or a quarter of a task's share, so
+   at most that number a row). Its
    width follows the corpus up to MOST_CELLS_BITS; beyond that it lets more
    single windows through, which costs time and never changes the result.
-3. Windows estimated repeated are grouped exactly by their 64-bit hash, which
+3. Windows estimated repeated are grouped exactly by their 128-bit hash, which
    gives the least id of each. Hot windows never meet in one group: their
    least ids (a bounded number) are found with map-side minima and sent to the
    tasks.
 4. The (id, window) pairs to remove return to their documents, which drop the words.
 
-Windows are told apart by a 64-bit hash; 130 million windows collide with
-probability below 0.001 in total.
+Windows are told apart by two independent 64-bit hashes; only inside one
+document, where removals find their places again, one of them decides.
 
 Defined cases: null or empty text has no words; fewer than WINDOW words make no
 window; windows repeated inside one document only are kept; rows with the same
@@ -47,15 +48,16 @@ FLUSH = 2_000_000       # windows that a task holds before it emits partial coun
 BYTES_PER_WORD = 6
 
 
-def window_hashes(texts: list[bytes], width: int = WINDOW):
-    """(number of words of each text, hashes of all windows, text number and first word of each window)."""
+def window_hashes(texts: list[bytes], width: int = WINDOW, halves: int = 1):
+    """(number of words of each text, hashes of all windows, text number and first word of each window);
+    with two halves the hashes are a pair of arrays."""
     a, n = word_hashes(texts)
-    h = windows(a, width)
     begin = np.cumsum(n) - n
-    doc = np.repeat(np.arange(len(texts)), n)[:len(h)]
-    inside = np.arange(len(h)) + width <= (begin + n)[doc]
+    doc = np.repeat(np.arange(len(texts)), n)[:max(0, a.shape[1] - width + 1)]
+    inside = np.arange(len(doc)) + width <= (begin + n)[doc]
     doc = doc[inside]
-    return n, h[inside], doc, np.flatnonzero(inside) - begin[doc]
+    h = [windows(a[k], width, k)[inside] for k in range(halves)]
+    return n, h[0] if halves == 1 else h, doc, np.flatnonzero(inside) - begin[doc]
 
 
 def _cells(h: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -196,7 +198,7 @@ def estimate(docs: DataFrame, max_bits: int = MOST_CELLS_BITS) -> Estimate | Non
     windows = max(1, size // BYTES_PER_WORD)
     bits = max(LEAST_CELLS_BITS, min(max_bits, math.ceil(math.log2(1.5 * windows))))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    done = stored(merged(sketch(docs, bits), bits, max(64, windows // HOT_SHARE), tasks), "sketch")
+    done = stored(merged(sketch(docs, bits), bits, max(64, windows // max(HOT_SHARE, 4 * tasks)), tasks), "sketch")
     twice = [bytearray((1 << bits) // 8) for _ in range(DEPTH)]
     hot: list[list[np.ndarray]] = [[np.empty(0, dtype=np.uint32)] for _ in range(DEPTH)]
     step = (1 << (bits - BLOCK_SHARE)) // 8
@@ -208,33 +210,30 @@ def estimate(docs: DataFrame, max_bits: int = MOST_CELLS_BITS) -> Estimate | Non
     return Estimate(bits, [bytes(t) for t in twice], [np.concatenate(x) for x in hot]) if some else None
 
 
-def hot_firsts(docs: DataFrame, shared) -> tuple[np.ndarray, np.ndarray]:
+def _firsts(h: np.ndarray, g: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes (h, g) in order, and the least id of each."""
+    o = np.lexsort((i, g, h))
+    h, g, i = h[o], g[o], i[o]
+    f = np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])][:len(h)]
+    return h[f], g[f], i[f]
+
+
+def hot_firsts(docs: DataFrame, shared) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the hot windows, in order, and the least id of each (a bounded number)."""
     def least(batches):
         est = Estimate(*shared.value)
-        hs, ids = [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.int64)]
-
-        def combine():
-            h, i = np.concatenate(hs), np.concatenate(ids)
-            o = np.lexsort((i, h))
-            h, i = h[o], i[o]
-            f = np.r_[True, h[1:] != h[:-1]][:len(h)]
-            hs[:], ids[:] = [h[f]], [i[f]]
-
+        held = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
         for own, texts in _slices(batches):
-            _, h, doc, _ = window_hashes(texts)
+            _, (h, g), doc, _ = window_hashes(texts, halves=2)
             at = np.flatnonzero(est.is_hot(h))
             if len(at):
-                hs.append(h[at])
-                ids.append(own[doc[at]])
-                combine()
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(ids))],
-                                         names=["h", "first"])
+                held = _firsts(*(np.concatenate(x) for x in zip(held, (h[at], g[at], own[doc[at]]))))
+        yield pa.RecordBatch.from_arrays([pa.array(held[0].view(np.int64)), pa.array(held[1].view(np.int64)), pa.array(held[2])],
+                                         names=["h", "g", "first"])
 
-    rows = docs.mapInArrow(least, "h long, first long").groupBy("h").agg(F.min("first").alias("first")).collect()
-    h = np.array([r["h"] for r in rows], dtype=np.int64).view(np.uint64)
-    o = np.argsort(h)
-    return h[o], np.array([r["first"] for r in rows], dtype=np.int64)[o]
+    rows = (docs.mapInArrow(least, "h long, g long, first long").groupBy("h", "g").agg(F.min("first").alias("first"))).collect()
+    h, g, first = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(3))
+    return _firsts(h.view(np.uint64), g.view(np.uint64), first)
 
 
 def repeats(docs: DataFrame, max_bits: int = MOST_CELLS_BITS) -> DataFrame:
@@ -244,30 +243,30 @@ def repeats(docs: DataFrame, max_bits: int = MOST_CELLS_BITS) -> DataFrame:
     if est is None:
         return spark.createDataFrame([], "doc_id long, h long")
     shared = spark.sparkContext.broadcast(est.parts())
-    hot_h, hot_first = hot_firsts(docs, shared) if all(len(x) for x in est.hot) else (np.empty(0, np.uint64), np.empty(0, np.int64))
+    hot_h, hot_g, hot_first = hot_firsts(docs, shared) if all(len(x) for x in est.hot) else (np.empty(0, np.uint64),) * 3
 
     def emit(batches):
         e = Estimate(*shared.value)
         for own, texts in _slices(batches):
-            _, h, doc, _ = window_hashes(texts)
+            _, (h, g), doc, _ = window_hashes(texts, halves=2)
             at = np.flatnonzero(e.repeated(h))
             if not len(at):
                 continue
-            h, i = h[at], own[doc[at]]
-            o = np.lexsort((h, i))  # a window counts once a document
-            h, i = h[o], i[o]
-            f = np.r_[True, (h[1:] != h[:-1]) | (i[1:] != i[:-1])]
-            h, i = h[f], i[f]
+            h, g, i = h[at], g[at], own[doc[at]]
+            o = np.lexsort((g, h, i))  # a window counts once a document
+            h, g, i = h[o], g[o], i[o]
+            f = np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1]) | (i[1:] != i[:-1])]
+            h, g, i = h[f], g[f], i[f]
             spot = np.minimum(np.searchsorted(hot_h, h), max(len(hot_h) - 1, 0))
-            hot = hot_h[spot] == h if len(hot_h) else np.zeros(len(h), dtype=bool)
+            hot = (hot_h[spot] == h) & (hot_g[spot] == g) if len(hot_h) else np.zeros(len(h), dtype=bool)
             # a hot window is settled here; a lane by document keeps its rows from meeting
             keep = ~hot | (i > hot_first[spot] if len(hot_h) else False)
             lane = np.where(hot, 1 + (mix(i.view(np.uint64)) & np.uint64(0xFFFF)).astype(np.int64), 0)
-            yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(i[keep]),
-                                              pa.array(lane[keep].astype(np.int32))], names=["h", "doc_id", "lane"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(g[keep].view(np.int64)), pa.array(i[keep]),
+                                              pa.array(lane[keep].astype(np.int32))], names=["h", "g", "doc_id", "lane"])
 
-    rows = docs.mapInArrow(emit, "h long, doc_id long, lane int")
-    first = F.min("doc_id").over(Window.partitionBy("h", "lane"))
+    rows = docs.mapInArrow(emit, "h long, g long, doc_id long, lane int")
+    first = F.min("doc_id").over(Window.partitionBy("h", "g", "lane"))
     return (rows.withColumn("first", first).filter((F.col("lane") > 0) | (F.col("doc_id") > F.col("first")))
             .select("doc_id", "h"))
 

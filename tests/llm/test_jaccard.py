@@ -6,7 +6,7 @@ import pytest
 
 from playline.llm import jaccard as J
 from playline.llm.components import components
-from tests.llm.helpers import awkward, empty, prose, row
+from tests.llm.helpers import SCHEMA, awkward, empty, prose, row
 
 
 def shingles(text):
@@ -96,3 +96,23 @@ def test_components(spark):
         for a, b in edges:
             root[a] = root[b] = min(root[a], root[b])
     assert got == {n: r for n, r in root.items() if any(a != b and n in (a, b) for a, b in edges)}
+
+
+def test_thue_morse_texts_are_no_copies(spark):
+    from tests.llm.test_words import thue_morse
+
+    texts = [" ".join([thue_morse(n, a, b)] * 13) for n in (64, 1024, 8192) for a, b in ("ab", "ba")]
+    texts += [" ".join(thue_morse(1024, a, b)) for a, b in ("ab", "ba")] + [thue_morse(2048), thue_morse(2048, "b", "a")]
+    docs = spark.createDataFrame([row(k, t) for k, t in enumerate(texts)], SCHEMA)
+    got = sorted((r["id"], r["class_id"], r["copy_id"], r["n_links"], r["n_text_links"]) for r in J.classes(docs).collect())
+    assert got == brute(list(enumerate(texts)))
+    assert J.deduplicate(docs).count() == len({c for _, c, *_ in got}) > 6
+
+
+def test_clashing_names_are_parted(spark):
+    rows = [(1, 7, 1, 3, b"a"), (2, 7, 1, 3, b"a"), (3, 7, 2, 5, b"b"), (4, 8, 1, 9, b"c"), (5, 7, 3, 5, b"d")]
+    described, nodes = J.nodes_of(spark.createDataFrame(rows, "id long, name long, twin long, n long, sig binary"))
+    of = {r["id"]: r["node"] for r in described.collect()}
+    assert of[1] == of[2] and len(set(of.values())) == 4
+    assert sorted((r["rep"], r["copies"], r["n"], r["name"], r["twin"]) for r in nodes.collect()) == [
+        (1, 2, 3, 7, 1), (3, 1, 5, 7, 2), (4, 1, 9, 8, 1), (5, 1, 5, 7, 3)]

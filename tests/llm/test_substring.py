@@ -75,3 +75,13 @@ def test_packing():
 def test_empty(spark):
     assert S.cut(empty(spark)).count() == 0
     assert S.cut(spark.createDataFrame([(1, "a b")], "doc_id long, text string")).first()["n_removed"] == 0
+
+
+def test_thue_morse_windows_stay(spark):
+    from tests.llm.test_words import thue_morse
+
+    texts = [" ".join([thue_morse(n, a, b)] * 13) for n in (1024, 4096) for a, b in ("ab", "ba")]
+    texts += [" ".join(thue_morse(512, a, b)) for a, b in ("ab", "ba")] + [" ".join([thue_morse(64, "b", "a")] * 20)]
+    got = [(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in S.cut(
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == brute(list(enumerate(texts))) and sum(r[2] for r in got) < sum(r[1] for r in got) / 2
