@@ -27,6 +27,7 @@ import html as H
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -54,12 +55,46 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 _END = re.compile(r"</([A-Za-z][A-Za-z0-9:-]*)")
 
 
-def blocks(page: str) -> list[tuple[str, tuple[str, ...], bool]]:
+class Path:
+    """Open tags of a block, innermost last, as a chain that blocks share: deep
+    nesting costs nothing per block. ``marks``: the distinct tags with marks."""
+
+    __slots__ = ("outer", "mark", "depth", "marks", "seen", "inside", "aside", "names")
+
+    def __init__(self, outer: Path | None, mark: str):
+        self.outer, self.mark, self.names = outer, mark, None
+        self.depth = outer.depth + 1 if outer else 1
+        if outer and mark in outer.seen:
+            self.marks, self.seen, self.inside, self.aside = outer.marks, outer.seen, outer.inside, outer.aside
+            return
+        tag = mark.partition(" ")[0]
+        self.marks = (*outer.marks, mark) if outer else (mark,)
+        self.seen = frozenset(self.marks)
+        self.inside = tag in MAIN or bool(outer and outer.inside)
+        self.aside = tag in ASIDE_TAGS or not ASIDE_WORDS.isdisjoint(_words(mark)) or bool(outer and outer.aside)
+
+    @staticmethod
+    def of(marks) -> Path | None:
+        path = None
+        for m in marks:
+            path = Path(path, m)
+        return path
+
+    def all(self) -> tuple[str, ...]:
+        out, at = [], self
+        while at:
+            out.append(at.mark)
+            at = at.outer
+        return tuple(reversed(out))
+
+
+def blocks(page: str) -> list[tuple[str, Path | None, bool]]:
     """Leaf blocks of a page: (text, open tags with their marks, share of link text over a half)."""
-    out: list[tuple[str, tuple[str, ...], bool]] = []
-    stack: list[tuple[str, str]] = []  # (tag, tag with marks)
+    out: list[tuple[str, Path | None, bool]] = []
+    stack: list[tuple[str, Path]] = []
+    opened: Counter = Counter()  # tags on the stack
     buffer: list[str] = []
-    path: tuple[str, ...] = ()
+    path: Path | None = None
     linked = 0
     in_link = 0
 
@@ -76,6 +111,7 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], bool]]:
         nonlocal in_link
         for tag, _ in stack[k:]:
             in_link -= tag == "a"
+            opened[tag] -= 1
         del stack[k:]
 
     open_ended: set[str] = set()  # raw elements without a further end tag
@@ -87,8 +123,7 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], bool]]:
             if close:
                 return close.end()
             open_ended.add(tag)
-        tags = {x for x, _ in stack}
-        return next((m.start() for m in _END.finditer(page, at) if m.group(1).lower() in tags), len(page))
+        return next((m.start() for m in _END.finditer(page, at) if opened[m.group(1).lower()]), len(page))
 
     at, end = 0, len(page)
     while at < end:
@@ -99,7 +134,7 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], bool]]:
             s = m.group()
             if s[0] != "<" or s == "<":
                 if not buffer:
-                    path = tuple(x for _, x in stack)
+                    path = stack[-1][1] if stack else None
                 buffer.append(s)
                 if in_link:
                     linked += len(s)
@@ -110,7 +145,7 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], bool]]:
         if m.group(1) or m.group(4):
             if tag in BLOCK:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if opened[tag] else ():
                 if stack[k][0] == tag:
                     pop_to(k)
                     break
@@ -140,7 +175,8 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], bool]]:
         if tag in VOID or attrs.rstrip().endswith("/") and tag not in BLOCK:
             continue
         marks = " ".join(next(filter(None, g), "") for g in _MARK.findall(attrs)) if attrs else ""
-        stack.append((tag, f"{tag} {marks.lower()}" if marks else tag))
+        stack.append((tag, Path(stack[-1][1] if stack else None, f"{tag} {marks.lower()}" if marks else tag)))
+        opened[tag] += 1
         in_link += tag == "a"
     flush()
     return out
@@ -159,11 +195,7 @@ def _words(mark: str) -> list[str]:
 
 def marked(block) -> bool:
     """The labelling rule: inside the page's article and in nothing that is set aside."""
-    tags = [p.partition(" ")[0] for p in block[1]]
-    inner = max((k for k, t in enumerate(tags) if t in MAIN), default=-1)
-    if inner < 0:
-        return False
-    return not any(t in ASIDE_TAGS or not ASIDE_WORDS.isdisjoint(_words(p)) for t, p in zip(tags, block[1]))
+    return bool(block[1]) and block[1].inside and not block[1].aside
 
 
 _IDS: dict[str, int] = {}
@@ -178,21 +210,24 @@ def _id(name: str) -> int:
     return got
 
 
+def _names(path: Path | None) -> list[str]:
+    """Features of the open tags, made once for each path."""
+    if path is None:
+        return []
+    if path.names is None:
+        path.names = [x for p in path.marks for x in ("t:" + p.partition(" ")[0], *(f"c:{w}" for w in _words(p)))]
+    return path.names
+
+
 def _own(block) -> list[str]:
     text, path, link = block
     n = text.count(" ") + 1
     out = [f"n{min(n.bit_length(), 8)}", f"link{link}", f"end{text[-1] if text[-1] in '.!?:|…' else text[-1].isalnum()}",
            f"stop{min((text.count('. ') + text.count(', ')) * 20 // n, 4)}", f"digit{any(c.isdigit() for c in text[:200])}",
-           f"first{text[0] if text[0] in '©&|»›' else text[0].isupper()}", f"depth{min(len(path), 8)}",
-           f"top{path[-1].partition(' ')[0] if path else ''}"]
-    aside = False
-    for p in set(path):
-        tag = p.partition(" ")[0]
-        out.append("t:" + tag)
-        words = _words(p)
-        out += [f"c:{w}" for w in words]
-        aside = aside or tag in ASIDE_TAGS or not ASIDE_WORDS.isdisjoint(words)
-    return [*out, f"aside{aside}", f"{aside}:{out[7]}", f"{aside}:{out[0]}:{link}"]
+           f"first{text[0] if text[0] in '©&|»›' else text[0].isupper()}", f"depth{min(path.depth, 8) if path else 0}",
+           f"top{path.mark.partition(' ')[0] if path else ''}"]
+    aside = bool(path) and path.aside
+    return [*out, *_names(path), f"aside{aside}", f"{aside}:{out[7]}", f"{aside}:{out[0]}:{link}"]
 
 
 def features(bs: list[tuple]) -> list[list[int]]:
@@ -215,7 +250,7 @@ def altered(bs: list[tuple], labels: list[int], seed: int) -> tuple[list[tuple],
     swap = {"article": box, "main": box, "nav": rng.choice(["div menu", "div nav", "nav"]),
             "footer": rng.choice(["div footer", "div bottom", "footer"])}
     put = lambda path: tuple(swap.get(p.partition(" ")[0], p) if p.partition(" ")[0] in swap else p for p in path)
-    rows = [((t, put(p), link), y) for (t, p, link), y in zip(bs, labels)]
+    rows = [((t, put(p.all() if p else ()), link), y) for (t, p, link), y in zip(bs, labels)]
     texts = [t for t, _, _ in bs] or ["x"]
     root = ("html", "body")
     extra = {
@@ -240,7 +275,7 @@ def altered(bs: list[tuple], labels: list[int], seed: int) -> tuple[list[tuple],
             lo, hi = lo + len(new), hi + len(new)
         elif where < hi:
             hi += len(new)
-    return [b for b, _ in rows], [y for _, y in rows]
+    return [(t, Path.of(p), link) for (t, p, link), _ in rows], [y for _, y in rows]
 
 
 def fit(pages: list[tuple[list[list[int]], list[int]]]) -> dict:

@@ -79,3 +79,20 @@ def test_viterbi_is_the_best_path():
         e, t, s = rng.normal(size=(6, 2)), rng.normal(size=(2, 2)), rng.normal(size=2)
         score = lambda y: s[y[0]] + sum(e[k, v] for k, v in enumerate(y)) + sum(t[a, b] for a, b in zip(y, y[1:]))
         assert tuple(P.viterbi(e, t, s)) == max(itertools.product((0, 1), repeat=6), key=score)
+
+
+def test_nested_tags_take_time_in_proportion():
+    import time
+
+    for page in ("<div>x" * 170_000, "<div class='a b'>x</div></section>" * 30_000, "<ul><li>" * 60_000 + "x", "<p>x<i>" * 140_000):
+        a = time.process_time()
+        bs = P.blocks(page)
+        P.features(bs)
+        assert time.process_time() - a < 8 and bs
+
+
+def test_paths_are_shared_and_whole():
+    bs = P.blocks("<html><body><div class='Nav x'><p>a</p></div><article><p>b<p>c</article></body></html>")
+    assert [(t, p.all()) for t, p, _ in bs] == [
+        ("a", ("html", "body", "div nav x", "p")), ("b", ("html", "body", "article", "p")), ("c", ("html", "body", "article", "p"))]
+    assert [P.marked(b) for b in bs] == [False, True, True] and P.Path.of(bs[0][1].all()).marks == bs[0][1].marks
