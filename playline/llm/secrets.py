@@ -101,8 +101,9 @@ def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataF
     else:
         # stored kinds are names, so the ledger outlives a change of the rule list
         index = F.create_map(*[x for k, r in enumerate(rules) for x in (F.lit(r.key), F.lit(k))])
-        past = (past.groupBy("blob").agg(F.flatten(F.collect_list("keys")).alias("done"),
-                                         F.flatten(F.collect_list("findings")).alias("_f")))
+        # two runs at once may have written the same pairs: equal keys and findings count once
+        past = (past.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_set("keys"))).alias("done"),
+                                         F.array_distinct(F.flatten(F.collect_set("findings"))).alias("_f")))
         blobs = (blobs.join(past, "blob", "left")
                  .withColumn("missing", F.array_except(keys, F.coalesce("done", F.array().cast("array<string>"))))
                  .withColumn("old", F.coalesce(F.transform(
