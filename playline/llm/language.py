@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from playline.llm.arrow import map_texts
-from playline.llm.common import documents, text_of
+from playline.llm.common import documents, stored, text_of
 
 PER_LANGUAGE = 500      # bound of the training sample
-LANGUAGES = 256         # most frequent languages that can be learned
+LANGUAGES = 256         # bound of the model: the most frequent languages are learned, rarer ones never predicted
 BITS_PER_LANGUAGE, LEAST_BITS = 2, 15
 WIDTH = 1 << 13         # hashed features
 ROUNDS, RATE, DECAY = 300, 4.0, 1e-5
@@ -116,12 +116,15 @@ def train(docs: DataFrame) -> dict | None:
     rows = (docs.select("doc_id", "lang", text_of().alias("text"))
             .filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()
                     & (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2)))
-    ids = rows.select("doc_id", "lang").withColumn("h", F.xxhash64("doc_id"))
-    top = [r["lang"] for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    ids = stored(rows.select("doc_id", "lang").distinct().withColumn("h", F.xxhash64("doc_id")), "language-ids")
+    top = ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     if not top:
         return None
+    # the least hashes of a language lie below a bound that its count gives: no task ranks a whole language
+    bound = {r["lang"]: min(2 ** 63 - 1, int(-2 ** 63 + 2 ** 64 * 4 * PER_LANGUAGE / r["count"])) for r in top}
+    least = F.create_map(*[x for lang, b in bound.items() for x in (F.lit(lang), F.lit(b))])
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    pick = ids.filter(F.col("lang").isin(top)).withColumn("n", rank).filter(F.col("n") <= PER_LANGUAGE)
+    pick = ids.filter(F.col("h") <= least[F.col("lang")]).withColumn("n", rank).filter(F.col("n") <= PER_LANGUAGE)
     chosen = pick.agg(F.collect_set("doc_id")).first()[0]  # at most LANGUAGES * PER_LANGUAGE ids
 
     def vectors(texts):

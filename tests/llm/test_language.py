@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from playline.llm import language as L
 from tests.llm.helpers import awkward, empty, row
@@ -66,3 +67,14 @@ def test_decoding_survives_a_wrong_bit():
     m[0] = -m[0]
     best, score = L.decode(m[None, :], c)
     assert best[0] == 2 and score[0] > 0.5
+
+
+def test_a_repeated_id_takes_one_place_of_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(L, "PER_LANGUAGE", 20)
+    docs = corpus(spark)
+    want = L.train(docs)
+    least = docs.filter("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id")).limit(3)
+    for _ in range(6):
+        least = least.union(least)
+    got = L.train(docs.union(least))
+    assert got["langs"] == want["langs"] and np.allclose(got["w"], want["w"])
