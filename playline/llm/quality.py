@@ -154,11 +154,9 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def filter_docs(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the rules keep, with their own columns."""
-    m = measures(docs.select(F.struct("*").alias("_doc"), "doc_id", "lang", "text"))
-    cut = thresholds(m.drop("_doc", "text"), labels)
-    # the row number is not deterministic, which keeps the filter above the measures: they are computed once
-    m = m.withColumn("_row", F.monotonically_increasing_id())
-    return m.filter(verdict(cut) & (F.col("_row") >= 0)).select("_doc.*")
+    # measured once and written beside the documents: the cutoffs and the filter both read the result
+    m = stored(measures(docs.select(F.struct("*").alias("_doc"), "doc_id", "lang", "text")).drop("text"), "quality")
+    return m.filter(verdict(thresholds(m, labels))).select("_doc.*")
 
 
 def _sql() -> str:
