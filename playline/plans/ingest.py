@@ -5,23 +5,18 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from playline.plans.tables import TableStore, ensure_tables
+from playline.plans.tables import TableStore, absent_rows, ensure_tables
+from playline.schemas import PRIMARY_KEYS
 from playline.sources.documents import flatten_joined, pair_documents, read_documents, with_snapshots
 
 TABLES = ("sessions", "ticks", "incidents")
 QUARANTINE = "quarantine"
 
 
-def new_sessions(frames: dict[str, DataFrame], store: TableStore) -> dict[str, DataFrame]:
-    """K1: the rows of sessions that the store does not hold yet, in all three tables.
-
-    The stored ids are first narrowed to those of this batch by a semi join with
-    the (small) batch, so the large table is scanned for its key column only."""
-    existing = store.read("sessions")
-    if existing is None:
-        return {t: frames[t] for t in TABLES}
-    hits = existing.select("match_id").join(frames["sessions"].select("match_id"), "match_id", "left_semi")
-    return {t: frames[t].join(hits, "match_id", "left_anti") for t in TABLES}
+def new_rows(frames: dict[str, DataFrame], store: TableStore) -> dict[str, DataFrame]:
+    """K1: the rows that the three tables do not hold yet, table by table: a
+    longer re-parse of a stored session adds its new ticks and incidents."""
+    return absent_rows({t: frames[t] for t in TABLES}, store, PRIMARY_KEYS)
 
 
 def ingest(spark: SparkSession, raw_path: str, store: TableStore, player: str | Column, tick_ms: int = 60_000,
@@ -29,8 +24,8 @@ def ingest(spark: SparkSession, raw_path: str, store: TableStore, player: str |
     """Read every landed document, flatten, and commit the three tables and the
     quarantine at once.
 
-    ``incremental``: sessions already stored are ignored (first write wins,
-    re-running is a no-op). ``full``: rebuild all three tables from the
+    ``incremental``: rows already stored are ignored, table by table (first
+    write wins, re-running is a no-op). ``full``: rebuild all three tables from the
     immutable raw documents into a new version. The quarantine holds the
     rejected documents of the latest run, each with its reason.
     """
@@ -42,7 +37,7 @@ def ingest(spark: SparkSession, raw_path: str, store: TableStore, player: str |
     joined = with_snapshots(p["joined"], tick_ms).persist(StorageLevel.MEMORY_AND_DISK)
     fl = flatten_joined(joined, tick_ms)
     try:
-        frames = new_sessions(fl, store) if mode == "incremental" else {t: fl[t] for t in TABLES}
+        frames = new_rows(fl, store) if mode == "incremental" else {t: fl[t] for t in TABLES}
         version = store.commit(frames | {QUARANTINE: fl["quarantine"]},
                                mode="append" if mode == "incremental" else "replace", replace=(QUARANTINE,))
         counts = joined.agg(F.count_if(F.col("_reason").isNull()), F.count_if(F.col("_reason").isNotNull())).first()

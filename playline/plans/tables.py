@@ -1,9 +1,11 @@
-"""Versioned tables on plain Parquet (K2-K4, K8).
-
-``TableStore`` commits several tables together: every commit writes its data
-into new folders, then one small manifest file that names the folders of *all*
-tables. Readers follow the newest complete manifest, so a failed run leaves the
-previous version untouched, and nothing ever reads and overwrites one path.
+"""Tables as Parquet folders, versions as rows of one commit table (K1-K4, K8).
+
+Spark writes both. A commit writes the rows of each table into a folder of its
+own, dealt by BUCKET (a hash of the session key), then appends one row per table to
+the commit table, in one file: until then no reader sees the folders. A table
+is what its commits since the last replacement hold. One writer at a time; a
+commit with the name of an earlier one does nothing, so a replayed batch is no
+second one.
 """
 
 from __future__ import annotations
@@ -11,131 +13,117 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, types as T
-
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-class CommitConflict(RuntimeError):
-    """Another writer published a version since this writer last looked."""
+KEYS = ("match_id", "doc_key")      # a table is dealt by the first of these that it has
+BUCKET, COMMIT = "bucket", "commit"
+BUCKETS = 64
+COMMITS = "version long, commit string, table_name string, replaces boolean, buckets int, columns string"
 
 
-class TableStore:
-    """Versioned multi-table store under one root folder (shared storage).
-
-    A version is one small manifest file that names the data folders of all
-    tables. It is created exclusively, so of two writers of one version the
-    second fails; a manifest cut short by a crash does not parse and is skipped."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        self._cache = None      # (version, entries) of the last manifest read by this writer
-
-    # -- manifest -----------------------------------------------------------
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
-    def _versions(self) -> list[int]:
-        """Numbers of all manifest files, complete or not; a missing folder is an empty store."""
-        fs, p = self._fs(f"{self.root}/_manifest")
-        if not fs.exists(p):
-            return []
-        return sorted(int(f.getPath().getName()[1:9]) for f in fs.listStatus(p)
-                      if f.getPath().getName().startswith("m") and f.getPath().getName().endswith(".json"))
-
-    def _load(self, version: int):
-        """Entries of a manifest, or None if it is not complete. Read errors are raised."""
-        fs, p = self._fs(f"{self.root}/_manifest/m{version:08d}.json")
-        stream = fs.open(p)
-        try:
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        try:
-            return [(t, q) for t, q in json.loads(text)["entries"]]
-        except ValueError:
-            return None
+def dealt_by(columns) -> str | None:
+    return next((k for k in KEYS if k in columns), None)
 
-    def _latest(self):
-        for v in reversed(self._versions()):
-            entries = self._load(v)
-            if entries is not None:
-                return v, entries
-        return 0, []
 
-    def _state(self):
-        if self._cache is None:
-            self._cache = self._latest()
-        return self._cache
+class TableStore:
+    """Several tables under one root folder (shared storage). ``buckets`` is fixed by the first commit."""
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+        self.spark, self.root, self._buckets, self._rows = spark, root.rstrip("/"), buckets, None
+
+    def _commits(self) -> list:
+        """Rows of the commit table in order: metadata, one row per commit and table."""
+        if self._rows is None:
+            try:
+                self._rows = self.spark.read.schema(COMMITS).parquet(f"{self.root}/commits").orderBy("version").collect()
+            except AnalysisException as e:
+                if e.getCondition() != "PATH_NOT_FOUND":
+                    raise
+                self._rows = []
+        return self._rows
 
     def refresh(self) -> None:
-        """Forget the cached manifest (another writer may have committed)."""
-        self._cache = None
+        """Look at the commit table again (another command may have committed)."""
+        self._rows = None
 
     def version(self) -> int:
-        return self._state()[0]
+        return max((r["version"] for r in self._commits()), default=0)
 
-    def paths(self) -> dict[str, list[str]]:
-        out: dict[str, list[str]] = {}
-        for t, p in self._state()[1]:
-            out.setdefault(t, []).append(p)
+    def _live(self) -> dict[str, list]:
+        out: dict[str, list] = {}
+        for r in self._commits():
+            out[r["table_name"]] = [*([] if r["replaces"] else out.get(r["table_name"], [])), r]
         return out
 
     def tables(self) -> list[str]:
-        return sorted(self.paths())
+        return sorted(self._live())
+
+    @property
+    def buckets(self) -> int:
+        return self._commits()[0]["buckets"] if self._commits() else self._buckets
+
+    def bucket(self, key: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
 
-    def read(self, table: str, schema: T.StructType | None = None) -> DataFrame | None:
-        """The table with its declared (or the given) schema, None if there is none."""
-        ps = self.paths().get(table)
-        if not ps:
+    def read(self, table: str, buckets=None) -> DataFrame | None:
+        """The table, None if there is none; with ``buckets`` only the files of these."""
+        commits = self._live().get(table)
+        if not commits:
             return None
-        r = self.spark.read
-        if schema is not None:
-            r = r.schema(schema)
-        return r.parquet(*ps)
-
-    # -- commit -------------------------------------------------------------
-    def commit(self, frames: dict[str, DataFrame], mode: str = "append", replace=()) -> int:
-        """Write every frame to a new version folder, then publish one manifest
-        naming the folders of all tables (append keeps older folders, replace
-        names only the new ones for the tables written; ``replace`` lists
-        tables replaced even in append mode). Raises CommitConflict, and
-        publishes nothing, if the version moved since this writer read it."""
+        columns = T.StructType.fromJson(json.loads(commits[-1]["columns"]))
+        dealt = dealt_by(columns.fieldNames())
+        placed = T.StructType([*columns.fields, T.StructField(COMMIT, T.StringType()), *([T.StructField(BUCKET, T.IntegerType())] if dealt else [])])
+        top = f"{self.root}/data/{table}"
+        df = self.spark.read.schema(placed).option("basePath", top).parquet(*[f"{top}/{COMMIT}={r['commit']}" for r in commits])
+        if buckets is not None and dealt:
+            df = df.where(F.col(BUCKET).isin(sorted(buckets)))
+        return df.select(*columns.fieldNames())
+
+    def commit(self, frames: dict[str, DataFrame], mode: str = "append", replace=(), name: str | None = None) -> int:
+        """Write all frames, then publish them together as one version.
+
+        ``append`` adds rows to tables, ``replace`` makes the frames the whole
+        tables; ``replace=`` names tables replaced in append mode too."""
         if mode not in ("append", "replace"):
             raise ValueError("mode must be 'append' or 'replace'")
-        base, _ = self._state()
-        current = self.paths()
-        cid = uuid.uuid4().hex[:12]
-        entries = []
-        for name, df in frames.items():
-            p = f"{self.root}/data/{name}/{base + 1:08d}-{cid}"
-            df.write.mode("error").parquet(p)
-            keep = current.get(name, []) if mode == "append" and name not in replace else []
-            entries += [(name, q) for q in keep] + [(name, p)]
-        for name, ps in current.items():
-            if name not in frames:
-                entries += [(name, q) for q in ps]
-        if self._latest()[0] != base:
-            raise CommitConflict(f"version {base} is no longer the latest of {self.root}")
-        # an incomplete manifest keeps its number, so a crash never blocks the next writer
-        v = max(self._versions(), default=0) + 1
-        fs, p = self._fs(f"{self.root}/_manifest/m{v:08d}.json")
-        try:
-            out = fs.create(p, False)
-        except Exception as e:  # noqa: BLE001 - the Java exception type is only known by name
-            if "AlreadyExists" in str(e) or "already exists" in str(e):
-                raise CommitConflict(f"version {v} of {self.root} was taken by another writer") from e
-            raise
-        try:
-            out.write(bytearray(json.dumps({"version": v, "commit": cid, "entries": entries}).encode()))
-        finally:
-            out.close()
-        self._cache = (v, entries)
-        return v
-
-    def compact(self, most_folders: int = 16) -> int:
-        """Rewrite every table that lies in more than ``most_folders`` folders into one."""
-        wide = [t for t, ps in self.paths().items() if len(ps) > most_folders]
-        return self.commit({t: self.read(t) for t in wide}, replace=tuple(wide)) if wide else self.version()
+        name = f"c-{name or uuid.uuid4().hex[:12]}"
+        if any(r["commit"] == name for r in self._commits()):
+            return self.version()
+        n, version = self.buckets, self.version() + 1
+        for table, df in frames.items():
+            key = dealt_by(df.columns)
+            out = df.withColumn(BUCKET, self.bucket(key)).repartition(BUCKET).write.partitionBy(BUCKET) if key else df.write
+            out.mode("overwrite").parquet(f"{self.root}/data/{table}/{COMMIT}={name}")  # over what a failed try may have left
+        rows = [(version, name, t, mode == "replace" or t in replace, n, df.schema.json()) for t, df in frames.items()]
+        self.spark.createDataFrame(rows, COMMITS).coalesce(1).write.mode("append").parquet(f"{self.root}/commits")
+        self.refresh()
+        return version
+
+
+def absent_rows(frames: dict[str, DataFrame], store: TableStore, keys: dict[str, tuple]) -> dict[str, DataFrame]:
+    """K1: of each frame the rows whose key its table does not hold yet (the first write wins).
+
+    Only files of the buckets that the new rows fall into are read (at most
+    ``store.buckets`` numbers reach the driver), of them only the keys, and of
+    these only those of the sessions at hand are compared. ``keys``: the columns
+    of each table's key, the one it is dealt by first."""
+    parts = [f.select(keys[t][0]) for t, f in frames.items() if t in store.tables()]
+    if not parts:
+        return dict(frames)
+    at_hand = parts[0]
+    for p in parts[1:]:
+        at_hand = at_hand.unionByName(p)
+    at_hand, key = at_hand.distinct(), at_hand.columns[0]
+    at = [r[0] for r in at_hand.select(store.bucket(key)).distinct().collect()]
+    out = {}
+    for table, df in frames.items():
+        old = store.read(table, at)
+        if old is not None:
+            known = old.select(*keys[table]).join(at_hand, key, "left_semi")
+            df = df.join(known, list(keys[table]), "left_anti")
+        out[table] = df
+    return out
 
 
 def ensure_tables(store: TableStore, schemas: dict | None = None) -> int:
@@ -146,7 +134,7 @@ def ensure_tables(store: TableStore, schemas: dict | None = None) -> int:
     unexpected names. Returns the store version."""
     from playline.schemas import DECLARED, assert_columns, assert_types
     schemas = schemas or {t: DECLARED[t] for t in ("sessions", "ticks", "incidents")}
-    present = store.paths()
+    present = store.tables()
     for name, schema in schemas.items():
         if name in present:
             assert_columns(store.read(name), name, schema.fieldNames())

@@ -94,11 +94,11 @@ def document_columns(raw: DataFrame, layout: str) -> list[Column]:
             F.col("_metadata.file_block_start").alias("block")]
 
 
-def with_arrival(docs: DataFrame, run: int = 0) -> DataFrame:
-    """Order of arrival: run, then file path, then place in the file."""
+def with_arrival(docs: DataFrame, run: int | Column = 0, row: Column | None = None, *more: str) -> DataFrame:
+    """Order of arrival: run, then file path, then place in the file (or ``row``, where a stream has no places)."""
     place = F.struct(F.lit(run).cast("long").alias("run"), "path", "block",
-                     F.monotonically_increasing_id().alias("row")).alias("arrival")
-    return docs.select("doc_key", "kind", "file_name", place, "metadata", "info", "_corrupt_record")
+                     (F.monotonically_increasing_id() if row is None else row).alias("row")).alias("arrival")
+    return docs.select("doc_key", "kind", "file_name", place, "metadata", "info", "_corrupt_record", *more)
 
 
 def read_documents(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from playline.plans.ingest import ingest
-from playline.plans.tables import CommitConflict, TableStore
+from playline.plans.tables import TableStore
 from playline.schemas import SchemaContractError, assert_columns, SESSION_COLUMNS
 from playline.sources import documents as D
 
@@ -147,49 +147,82 @@ def test_zero_incident_kda(spark, tmp_path):
     assert out["sessions"].where(F.col("match_id") == "Z").count() == 1
 
 
-def test_store_survives_a_crashed_commit(spark, tmp_path):
+def test_folders_without_a_commit_are_never_seen(spark, tmp_path):
     store = TableStore(spark, str(tmp_path / "s"))
     a = spark.range(3).withColumnRenamed("id", "k")
     assert store.commit({"t": a}) == 1
-    # a crashed attempt at version 2: data written, manifest cut short
-    a.write.parquet(str(tmp_path / "s" / "data" / "t" / "00000002-deadbeef"))
-    (tmp_path / "s" / "_manifest" / "m00000002.json").write_text('{"version": 2, "entries": [["t", "x')
-    store.refresh()                                        # re-read the manifest from storage
-    assert store.version() == 1 and store.read("t").count() == 3
-    assert store.commit({"t": a}) == 3 and store.read("t").count() == 6
-    fresh = TableStore(spark, str(tmp_path / "s"))        # another reader sees the same state
-    assert fresh.version() == 3 and fresh.read("t").count() == 6
-
-
-def test_two_writers_of_one_version(spark, tmp_path):
-    one, two = TableStore(spark, str(tmp_path / "s")), TableStore(spark, str(tmp_path / "s"))
-    a = spark.range(3).withColumnRenamed("id", "k")
-    assert one.version() == two.version() == 0
-    assert one.commit({"t": a}) == 1
-    with pytest.raises(CommitConflict):
-        two.commit({"u": a})
-    assert TableStore(spark, str(tmp_path / "s")).tables() == ["t"]
-    two.refresh()
-    assert two.commit({"u": a}) == 2 and TableStore(spark, str(tmp_path / "s")).tables() == ["t", "u"]
-
-
-def test_a_failing_read_is_not_an_empty_store(spark, tmp_path, monkeypatch):
-    root = str(tmp_path / "s")
-    TableStore(spark, root).commit({"t": spark.range(1)})
-    broken = TableStore(spark, root)
-    monkeypatch.setattr(broken, "_load", lambda v: (_ for _ in ()).throw(OSError("storage is away")))
-    with pytest.raises(OSError):
-        broken.version()
-    assert TableStore(spark, str(tmp_path / "none")).version() == 0
-
-
-def test_compaction_keeps_the_rows(spark, tmp_path):
+    a.write.parquet(str(tmp_path / "s" / "data" / "t" / "commit=c-crashed"))      # data written, then the run ended
+    fresh = TableStore(spark, str(tmp_path / "s"))
+    assert fresh.version() == 1 and fresh.read("t").count() == 3
+    assert fresh.commit({"t": a}, name="crashed") == 2 and fresh.read("t").count() == 6
+    store.refresh()
+    assert store.version() == 2 and store.read("t").count() == 6
+
+
+def test_a_commit_of_one_name_counts_once(spark, tmp_path):
     store = TableStore(spark, str(tmp_path / "s"))
-    for k in range(4):
-        store.commit({"t": spark.range(k, k + 1), "u": spark.range(1)}, replace=("u",))
-    assert len(store.paths()["t"]) == 4
-    store.compact(2)
-    assert len(store.paths()["t"]) == 1 and {r.id for r in store.read("t").collect()} == {0, 1, 2, 3}
+    a = spark.range(3).withColumnRenamed("id", "k")
+    assert [store.commit({"t": a, "u": a}, name="batch-7") for _ in range(2)] == [1, 1]
+    assert store.read("t").count() == 3
+    assert store.commit({"u": a.limit(1)}, replace=("u",)) == 2
+    assert store.read("u").count() == 1 and store.read("t").count() == 3
+    store.commit({"t": a.limit(0)}, mode="replace")
+    assert store.read("t").count() == 0 and store.tables() == ["t", "u"]
+    assert TableStore(spark, str(tmp_path / "none")).version() == 0 and TableStore(spark, str(tmp_path / "none")).read("t") is None
+
+
+def test_an_unreadable_commit_table_is_not_an_empty_store(spark, tmp_path):
+    TableStore(spark, str(tmp_path / "s")).commit({"t": spark.range(1)})
+    for f in (tmp_path / "s" / "commits").glob("part-*"):
+        f.write_bytes(b"not parquet")
+    with pytest.raises(Exception, match="(?i)parquet|read"):
+        TableStore(spark, str(tmp_path / "s")).version()
+
+
+TICKS_ROW = "match_id string, timestamp_min int, gold long"
+
+
+def test_an_append_reads_the_buckets_of_its_keys(spark, tmp_path):
+    from playline.plans.tables import BUCKET, absent_rows
+    store = TableStore(spark, str(tmp_path / "s"), buckets=16)
+    rows = [(f"m{k}", t, 10 * t) for k in range(200) for t in range(3)]
+    store.commit({"ticks": spark.createDataFrame(rows, TICKS_ROW)})
+    longer = [("m7", t, -1) for t in range(6)]
+    fresh = absent_rows({"ticks": spark.createDataFrame(longer, TICKS_ROW)}, store, {"ticks": ("match_id", "timestamp_min")})
+    plan = fresh["ticks"]._jdf.queryExecution().executedPlan().toString()
+    bucket = spark.createDataFrame([("m7",)], "match_id string").select(store.bucket("match_id")).first()[0]
+    assert f"PartitionFilters: [isnotnull({BUCKET}" in plan and f"= {bucket})" in plan
+    read = [r[0] for r in store.read("ticks", [bucket]).select(F.input_file_name()).distinct().collect()]
+    assert read and all(f"/{BUCKET}={bucket}/" in f for f in read)
+    scanned = plan[plan.index("FileScan"):].split("ReadSchema:")[1].split("\n")[0]
+    assert "gold" not in scanned
+    assert sorted(tuple(r) for r in fresh["ticks"].collect()) == [("m7", t, -1) for t in (3, 4, 5)]
+    store.commit(fresh)
+    assert store.read("ticks").where("match_id = 'm7'").agg({"gold": "sum"}).first()[0] == 0 + 10 + 20 - 3
+    assert absent_rows({"ticks": spark.createDataFrame(longer, TICKS_ROW)}, store, {"ticks": ("match_id", "timestamp_min")})["ticks"].count() == 0
+    assert TableStore(spark, str(tmp_path / "s"), buckets=99).buckets == 16
+
+
+def test_a_longer_parse_adds_its_new_ticks(spark, tmp_path):
+    """Table by table, the first write wins: the session stays, stored minutes stay, new minutes and incidents are added."""
+    raw, store = tmp_path / "raw", TableStore(spark, str(tmp_path / "store"))
+    raw.mkdir()
+    t = timeline()
+    (raw / "M1.json").write_text(json.dumps(detail("M1")))
+    short = json.loads(json.dumps(t))
+    short["info"]["frames"] = short["info"]["frames"][:3]
+    (raw / "M1_timeline.json").write_text(json.dumps(short))
+    ingest(spark, str(raw), store, PLAYER, layout="files")
+    before = {r.timestamp_min: r.gold for r in store.read("ticks").collect()}
+    changed = detail("M1")
+    changed["info"]["gameVersion"] = "99.9.1"
+    (raw / "M1.json").write_text(json.dumps(changed))
+    (raw / "M1_timeline.json").write_text(json.dumps(t))
+    ingest(spark, str(raw), store, PLAYER, layout="files")
+    after = {r.timestamp_min: r.gold for r in store.read("ticks").collect()}
+    assert set(before) < set(after) == {0, 1, 3, 5} and all(after[k] == v for k, v in before.items())
+    assert store.read("sessions").count() == 1 and store.read("sessions").first().game_version != "99.9"
+    assert sorted(r.death_number for r in store.read("incidents").collect()) == [1, 2, 3]
 
 
 def test_time_columns_do_not_depend_on_the_session_zone(spark, landed):
