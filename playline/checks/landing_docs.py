@@ -11,15 +11,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from playline.functions.scalars import to_epoch_ms
+from playline.operators.sequence import number_rows
 from playline.sources.documents import EVENT, KILL_EVENT, PARTICIPANT, PARTICIPANT_FRAME, RIVAL_POSITION
 
 VERSION_SUFFIX = ".123.4567"
 STALE_EVERY = 3
 
 
-def detail_documents(sessions: DataFrame) -> DataFrame:
-    own = F.struct(
-        F.col("puuid").alias("puuid"), F.lit(1).alias("participantId"), F.col("team_id").alias("teamId"),
+def _own(puuid: str = "puuid", seat: str | None = None):
+    return F.struct(
+        F.col(puuid).alias("puuid"), (F.col(seat) if seat else F.lit(1)).alias("participantId"), F.col("team_id").alias("teamId"),
         F.col("team_position").alias("teamPosition"), F.col("team_position").alias("individualPosition"),
         F.col("lane").alias("lane"), F.col("champion_id").alias("championId"),
         F.col("champion_name").alias("championName"), F.col("win").alias("win"), F.col("kills").alias("kills"),
@@ -27,7 +28,10 @@ def detail_documents(sessions: DataFrame) -> DataFrame:
         F.col("cs_total").alias("totalMinionsKilled"), F.lit(0).alias("neutralMinionsKilled"),
         F.col("gold_earned").alias("goldEarned"),
         F.col("damage_dealt_to_champions").alias("totalDamageDealtToChampions"),
-        F.col("vision_score").alias("visionScore"))
+        F.col("vision_score").alias("visionScore")).cast(PARTICIPANT)
+
+
+def detail_documents(sessions: DataFrame) -> DataFrame:
     none = F.lit(None)
     rival = F.when(F.col("opp_champion_name").isNotNull(), F.struct(
         F.concat(F.lit("R"), F.col("puuid")).alias("puuid"), F.lit(2).alias("participantId"),
@@ -44,7 +48,7 @@ def detail_documents(sessions: DataFrame) -> DataFrame:
     second = F.when(rival.isNotNull(), F.struct(
         F.lit("second").alias("puuid"), F.lit(4).alias("participantId"), rival["teamId"].alias("teamId"),
         F.lit(RIVAL_POSITION).alias("teamPosition"), *[none.alias(n) for n in PARTICIPANT.fieldNames()[4:]]).cast(PARTICIPANT))
-    people = F.concat(F.array(bystander), F.array_compact(F.array(rival, second)), F.array(own.cast(PARTICIPANT)))
+    people = F.concat(F.array(bystander), F.array_compact(F.array(rival, second)), F.array(_own()))
     doc = F.struct(
         F.struct(F.col("match_id").alias("matchId"),
                  F.transform(people, lambda p: p["puuid"]).alias("participants")).alias("metadata"),
@@ -55,10 +59,47 @@ def detail_documents(sessions: DataFrame) -> DataFrame:
     return sessions.select("match_id", F.to_json(doc).alias("value"))
 
 
-def timeline_documents(sessions: DataFrame, ticks: DataFrame, incidents: DataFrame, tick_ms: int) -> DataFrame:
+SHARES = (1, 2, 10)     # players of successive documents
+
+
+def shared_seats(sessions: DataFrame) -> DataFrame:
+    """(match_id, doc, pid): sessions in the order of their ids sit in documents of 1, 2 and 10 players."""
+    n, at = (F.col("_n") - 1) % sum(SHARES), 0
+    part, pid = F.lit(None), F.lit(None)
+    for k, size in enumerate(SHARES):
+        inside = (n >= at) & (n < at + size)
+        part, pid = F.when(inside, k).otherwise(part), F.when(inside, n - at + 1).otherwise(pid)
+        at += size
+    doc = F.concat(F.lit("D"), F.floor((F.col("_n") - 1) / sum(SHARES)).cast("string"), F.lit("-"), part.cast("string"))
+    return number_rows(sessions.select("match_id"), [], ["match_id"], out="_n").select("match_id", doc.alias("doc"), pid.cast("int").alias("pid"))
+
+
+def write_shared(tables: dict[str, DataFrame], path: str, tick_ms: int) -> str:
+    """A landing whose documents list 1, 2 or 10 players; session ids serve as player ids,
+    and a document has the time, version, length and queue of its first player's session."""
+    seats = shared_seats(tables["sessions"]).checkpoint()
+    row = F.struct("pid", _own("match_id", "pid").alias("own"), to_epoch_ms("game_datetime").alias("created"),
+                   F.concat(F.col("game_version"), F.lit(VERSION_SUFFIX)).alias("version"),
+                   F.col("game_duration_sec").alias("duration"), F.col("queue_id").alias("queue"))
+    docs = tables["sessions"].join(seats, "match_id").groupBy("doc").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    first = F.col("rows")[0]
+    doc = F.struct(F.struct(F.col("doc").alias("matchId")).alias("metadata"),
+                   F.struct(first.created.alias("gameCreation"), first.version.alias("gameVersion"), first.duration.alias("gameDuration"),
+                            first.queue.alias("queueId"), F.transform("rows", lambda r: r.own).alias("participants")).alias("info"))
+    docs.select(F.to_json(doc).alias("value")).write.mode("error").text(f"{path}/detail")
+    timeline_documents(tables["sessions"], tables["ticks"], tables["incidents"], tick_ms, seats).select("value").write.mode("error").text(f"{path}/timeline")
+    return path
+
+
+def timeline_documents(sessions: DataFrame, ticks: DataFrame, incidents: DataFrame, tick_ms: int, seats: DataFrame | None = None) -> DataFrame:
     """Frames per session: one per tick row (snapshot + kill events for the
     kill-count delta), a stale earlier frame every third tick, and
-    snapshot-less frames for ticks that only hold incidents."""
+    snapshot-less frames for ticks that only hold incidents. With ``seats``
+    the frames of all players of a document are in one timeline."""
+    if seats is None:
+        seats, other = sessions.select("match_id", F.col("match_id").alias("doc"), F.lit(1).alias("pid")), 2
+    else:
+        other = 0
     w = Window.partitionBy("match_id").orderBy("timestamp_min")
     pf = F.struct(F.col("gold").alias("totalGold"), F.col("cs").alias("minionsKilled"),
                   F.lit(0).alias("jungleMinionsKilled"), F.col("xp").alias("xp"),
@@ -68,39 +109,40 @@ def timeline_documents(sessions: DataFrame, ticks: DataFrame, incidents: DataFra
     t = ticks.select("match_id", "timestamp_min", pf.alias("pf"), kill_delta.alias("kd"), "gold")
     deaths = (incidents.groupBy("match_id", "timestamp_min")
               .agg(F.sort_array(F.collect_list(F.struct("death_number", "timestamp_ms"))).alias("d")))
-    f = t.join(deaths, ["match_id", "timestamp_min"], "full")
+    f = t.join(deaths, ["match_id", "timestamp_min"], "full").join(seats, "match_id")
     ts = F.col("timestamp_min").cast("long") * F.lit(tick_ms) + F.lit(1000)
     kill_events = F.transform(F.sequence(F.lit(1), F.greatest(F.coalesce("kd", F.lit(0)), F.lit(0)) + 1),
-                              lambda i: F.named_struct(F.lit("type"), F.lit(KILL_EVENT), F.lit("killerId"), F.lit(1),
-                                                       F.lit("victimId"), F.lit(2), F.lit("timestamp"), ts))
+                              lambda i: F.named_struct(F.lit("type"), F.lit(KILL_EVENT), F.lit("killerId"), F.col("pid"),
+                                                       F.lit("victimId"), F.lit(other), F.lit("timestamp"), ts))
     kill_events = F.slice(kill_events, 1, F.greatest(F.coalesce("kd", F.lit(0)), F.lit(0)))
     death_events = F.transform(F.coalesce("d", F.array().cast("array<struct<death_number:int,timestamp_ms:bigint>>")),
-                               lambda e: F.named_struct(F.lit("type"), F.lit(KILL_EVENT), F.lit("killerId"), F.lit(2),
-                                                        F.lit("victimId"), F.lit(1), F.lit("timestamp"), e.timestamp_ms))
+                               lambda e: F.named_struct(F.lit("type"), F.lit(KILL_EVENT), F.lit("killerId"), F.lit(other),
+                                                        F.lit("victimId"), F.col("pid"), F.lit("timestamp"), e.timestamp_ms))
     empty_map = F.create_map().cast(T.MapType(T.StringType(), PARTICIPANT_FRAME))
-    real = f.select("match_id", F.struct(
+    key = F.col("pid").cast("string")
+    real = f.select("doc", F.struct(
         ts.alias("timestamp"),
-        F.when(F.col("pf").isNotNull(), F.create_map(F.lit("1"), F.col("pf"))).otherwise(empty_map)
+        F.when(F.col("pf").isNotNull(), F.create_map(key, F.col("pf"))).otherwise(empty_map)
         .alias("participantFrames"),
         F.concat(kill_events, death_events).cast(T.ArrayType(EVENT)).alias("events")).alias("frame"))
     stale_pf = F.struct((F.col("gold") - 7).alias("totalGold"), F.lit(0).alias("minionsKilled"),
                         F.lit(0).alias("jungleMinionsKilled"), F.lit(0).alias("xp"),
                         F.lit(None).cast("struct<x:int,y:int>").alias("position"))
-    stale = (t.where(F.col("timestamp_min") % STALE_EVERY == 0)
-             .select("match_id", F.struct(
+    stale = (t.where(F.col("timestamp_min") % STALE_EVERY == 0).join(seats, "match_id")
+             .select("doc", F.struct(
                  (F.col("timestamp_min").cast("long") * F.lit(tick_ms)).alias("timestamp"),
-                 F.create_map(F.lit("1"), stale_pf).alias("participantFrames"),
+                 F.create_map(key, stale_pf).alias("participantFrames"),
                  F.array().cast(T.ArrayType(EVENT)).alias("events")).alias("frame")))
-    frames = (real.unionByName(stale).groupBy("match_id")
+    frames = (real.unionByName(stale).groupBy("doc")
               .agg(F.array_sort(F.collect_list("frame"),
                                 lambda a, b: F.when(a.timestamp < b.timestamp, -1)
                                 .when(a.timestamp > b.timestamp, 1).otherwise(0)).alias("frames")))
-    doc = F.struct(F.struct(F.col("match_id").alias("matchId")).alias("metadata"),
+    doc = F.struct(F.struct(F.col("doc").alias("matchId")).alias("metadata"),
                    F.struct(F.col("frames").alias("frames")).alias("info"))
     # a session without ticks and incidents still lands a timeline, with no frames
-    every = sessions.select("match_id").join(frames, "match_id", "left").withColumn(
+    every = seats.select("doc").distinct().join(frames, "doc", "left").withColumn(
         "frames", F.coalesce("frames", F.array().cast(frames.schema["frames"].dataType)))
-    return every.select("match_id", F.to_json(doc).alias("value"))
+    return every.select(F.col("doc").alias("match_id"), F.to_json(doc).alias("value"))
 
 
 def write_landing(tables: dict[str, DataFrame], path: str, tick_ms: int, part: str = "",

@@ -1,29 +1,27 @@
-"""Session clustering on the feature matrix (M1-M7) with Spark ML.
+"""Session clustering on the feature matrix (M1-M7).
 
 * ``validate``     - one aggregate pass: NULL and non-finite counts per feature,
                      row count vs k (M1);
 * ``standardize``  - population mean/std per feature (the analysed
                      application's scaler), constant column -> 0 (M2);
-* ``fit_clusters`` - Spark ML ``KMeans`` run once per restart seed (the
-                     restarts run concurrently from a driver thread pool on one
-                     persisted input), best training cost wins (M3); cluster
-                     ids canonicalised by sorting centroids (M5);
-* ``silhouette``   - Spark's distributed silhouette (squared Euclidean), (M4);
+* ``fit_clusters`` - K-Means with all restarts in one job: every pass over the
+                     rows serves every restart that has not settled, and its
+                     aggregate is one row per restart and cluster. Starting
+                     points are drawn in proportion to the squared distance by
+                     a hash of restart, step and session, so a fit can be
+                     repeated anywhere; the lowest cost wins (M3); cluster ids
+                     canonicalised by sorting centroids (M5);
+* ``silhouette``   - mean silhouette with squared Euclidean distances (M4);
 * ``ClusteringModel`` save / load (M6), ``scaled_centroids`` (M7).
 """
 
 from __future__ import annotations
 
 import json
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.ml import PipelineModel
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from playline.config import DEFAULT, AnalysisConfig
 
@@ -93,49 +91,106 @@ def standardize(fm: DataFrame, features, stats: DataFrame | None = None, keep=("
 class ClusteringModel:
     features: tuple
     stats: DataFrame          # one row of means / stds
-    pipeline: PipelineModel   # VectorAssembler + KMeansModel
-    mapping: dict             # raw cluster id -> canonical id
+    centroids: list           # canonical order: centroid of cluster 0, 1, ... in scaled features
     cost: float
 
-    def transform(self, fm: DataFrame) -> DataFrame:
+    def labels(self, fm: DataFrame) -> DataFrame:
         scaled = standardize(fm, self.features, self.stats)
-        pred = self.pipeline.transform(scaled)
-        m = F.create_map(*[x for kv in sorted(self.mapping.items()) for x in (F.lit(kv[0]), F.lit(kv[1]))])
-        return pred.withColumn("cluster_id", m[F.col("prediction")].cast("int")).drop("prediction", "features")
+        return nearest_centroid(scaled, self.table(fm.sparkSession), self.features).select("match_id", "cluster_id")
 
-    def labels(self, fm: DataFrame) -> DataFrame:
-        return self.transform(fm).select("match_id", "cluster_id")
+    def table(self, spark: SparkSession) -> DataFrame:
+        """(cluster_id, x): one row per cluster."""
+        return spark.createDataFrame(list(enumerate(self.centroids)), "cluster_id int, x array<double>")
 
     def centers(self) -> list:
-        km: KMeansModel = self.pipeline.stages[-1]
-        raw = [list(map(float, c)) for c in km.clusterCenters()]
-        out = [None] * len(raw)
-        for old, new in self.mapping.items():
-            out[new] = raw[old]
-        return out
+        return self.centroids
 
     def save(self, spark: SparkSession, path: str) -> None:
-        self.pipeline.write().overwrite().save(f"{path}/pipeline")
+        self.table(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
         self.stats.write.mode("overwrite").parquet(f"{path}/scaler")
-        meta = {"features": list(self.features), "mapping": {str(k): v for k, v in self.mapping.items()},
-                "cost": self.cost}
+        meta = {"features": list(self.features), "cost": self.cost}
         spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(
             f"{path}/meta")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "ClusteringModel":
         meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
+        rows = spark.read.parquet(f"{path}/centroids").orderBy("cluster_id").collect()      # one row per cluster
         return ClusteringModel(tuple(meta["features"]), spark.read.parquet(f"{path}/scaler"),
-                               PipelineModel.load(f"{path}/pipeline"),
-                               {int(k): v for k, v in meta["mapping"].items()}, float(meta["cost"]))
+                               [list(r["x"]) for r in rows], float(meta["cost"]))
+
+
+def _per_restart(points: DataFrame, centers: dict[int, list]) -> DataFrame:
+    """Rows (match_id, p) once for each restart, with the index ``c`` of the nearest of
+    its centroids and the squared distance ``d``; ties to the lower index.
+    ``centers``: restart -> centroids, a few numbers that travel as a literal."""
+    every = F.array(*[F.struct(F.lit(r).alias("r"), F.array(*[F.array(*map(F.lit, c)) for c in cs]).alias("cs"))
+                      for r, cs in sorted(centers.items())])
+    k, n = len(next(iter(centers.values()))), len(next(iter(centers.values()))[0])
+    far = [sum(((F.col("p")[i] - F.col("x.cs")[j][i]) * (F.col("p")[i] - F.col("x.cs")[j][i]) for i in range(n)), F.lit(0.0))
+           for j in range(k)]
+    least = F.array_min(F.array(*[F.struct(d.alias("d"), F.lit(j).alias("c")) for j, d in enumerate(far)]))
+    return points.select("match_id", "p", F.explode(every).alias("x")).select("match_id", "p", "x.r", least.alias("m")).select(
+        "match_id", "p", "r", "m.d", "m.c")
+
+
+def hash_uniform(seed: int, restart, step: int, key: str = "match_id") -> Column:
+    """A number in (0, 1) that every engine with MD5 gives alike."""
+    text = F.concat_ws(":", F.lit(str(seed)), F.lit(restart).cast("string"), F.lit(str(step)), F.col(key))
+    return (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") + 0.5) / F.lit(2.0 ** 32)
+
+
+def starting_points(points: DataFrame, k: int, restarts: int, seed: int) -> dict[int, list]:
+    """k starting centroids for each restart, one pass for each of the k.
+
+    The first is any row, the next are drawn with a chance proportional to the squared
+    distance to those drawn so far: the row with the least -ln(u) / distance.
+    Rows at distance 0 come last, by u."""
+    chosen: dict[int, list] = {}
+    for step in range(k):
+        if step:
+            rows = _per_restart(points, chosen)
+        else:
+            rows = points.select("match_id", "p", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))).alias("r"), F.lit(1.0).alias("d"))
+        u = hash_uniform(seed, F.col("r"), step)
+        rank = F.struct((F.col("d") <= 0).alias("again"), F.when(F.col("d") > 0, -F.log(u) / F.col("d")).otherwise(u).alias("key"), "match_id")
+        for x in rows.groupBy("r").agg(F.min_by("p", rank).alias("p")).collect():          # one row per restart
+            chosen.setdefault(x["r"], []).append(list(x["p"]))
+    return chosen
+
+
+def lloyd(points: DataFrame, centers: dict[int, list], max_iter: int = 300, tol: float = 1e-4) -> dict[int, list]:
+    """Centroids of every restart once none of its centroids moves further than
+    ``tol``. A pass aggregates to one row per restart and cluster; restarts that have settled
+    take part in no further pass; an empty cluster stays where it is."""
+    settled: dict[int, list] = {}
+    live = dict(centers)
+    for _ in range(max_iter):
+        if not live:
+            break
+        n = len(live[min(live)][0])
+        means = _per_restart(points, live).groupBy("r", "c").agg(F.array(*[F.avg(F.col("p")[i]) for i in range(n)]).alias("m")).collect()
+        now = {r: [list(c) for c in cs] for r, cs in live.items()}
+        for x in means:
+            now[x["r"]][x["c"]] = list(x["m"])
+        for r, cs in now.items():
+            moved = max(sum((a - b) ** 2 for a, b in zip(new, old)) for new, old in zip(cs, live[r]))
+            if moved <= tol * tol:
+                settled[r] = cs
+        live = {r: cs for r, cs in now.items() if r not in settled}
+    return settled | live
+
+
+def restart_costs(points: DataFrame, centers: dict[int, list]) -> dict[int, float]:
+    return {x["r"]: x["cost"] for x in _per_restart(points, centers).groupBy("r").agg(F.sum("d").alias("cost")).collect()}
 
 
 def fit_clusters(fm: DataFrame, cfg: AnalysisConfig = DEFAULT, restarts: int | None = None,
-                 max_iter: int = 300, tol: float = 1e-4, parallelism: int = 8,
-                 partitions: int | None = None) -> ClusteringModel:
-    """K-Means with ``restarts`` seeds (seed, seed+1, ...), lowest cost wins.
+                 max_iter: int = 300, tol: float = 1e-4, partitions: int | None = None) -> ClusteringModel:
+    """K-Means with ``restarts`` starts, lowest cost wins (ties to the earlier start).
 
-    One pass over the persisted features validates them and gives the scaler.
+    One pass over the persisted features validates them and gives the scaler; k passes
+    draw the starting points of all restarts, then one pass an iteration moves all of them.
     The fit input is dealt by session id over ``partitions`` (the session's
     shuffle partitions by default), whatever its size."""
     check_columns(fm, cfg)
@@ -143,47 +198,35 @@ def fit_clusters(fm: DataFrame, cfg: AnalysisConfig = DEFAULT, restarts: int | N
     feats = tuple(cfg.features)
     n = partitions or int(fm.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     base = fm.select("match_id", *feats).repartition(n, "match_id").persist(StorageLevel.MEMORY_AND_DISK)
-    rows, moments = validation_report(base, feats), scaler_stats(base, feats)
-    one_pass = base.sparkSession.range(1).select(
-        rows.select(F.collect_list(F.struct("*"))).scalar().alias("rep"),
-        moments.select(F.struct("*")).scalar().alias("stats")).first()
-    check_report(one_pass["rep"], cfg)
-    stats = fm.sparkSession.createDataFrame([tuple(one_pass["stats"])], moments.schema)   # freeze: one row of metadata
-    assembler = VectorAssembler(inputCols=list(feats), outputCol="features")
-    vec = assembler.transform(standardize(base, feats, stats)).select("match_id", "features")
-    vec = vec.persist(StorageLevel.MEMORY_AND_DISK)
+    points = None
     try:
-
-        def one(i):
-            km = KMeans(k=cfg.k, seed=cfg.seed + i, maxIter=max_iter, tol=tol, featuresCol="features")
-            m = km.fit(vec)
-            return m.summary.trainingCost, i, m
-
-        with ThreadPoolExecutor(max_workers=max(1, min(parallelism, restarts))) as pool:
-            results = list(pool.map(one, range(restarts)))
+        rows, moments = validation_report(base, feats), scaler_stats(base, feats)
+        one_pass = base.sparkSession.range(1).select(
+            rows.select(F.collect_list(F.struct("*"))).scalar().alias("rep"),
+            moments.select(F.struct("*")).scalar().alias("stats")).first()
+        check_report(one_pass["rep"], cfg)
+        stats = fm.sparkSession.createDataFrame([tuple(one_pass["stats"])], moments.schema)   # freeze: one row of metadata
+        points = standardize(base, feats, stats).select("match_id", F.array(*feats).alias("p")).persist(StorageLevel.MEMORY_AND_DISK)
+        centers = lloyd(points, starting_points(points, cfg.k, restarts, cfg.seed), max_iter, tol)
+        costs = restart_costs(points, centers)
     finally:
-        vec.unpersist()
         base.unpersist()
-    cost, _, best = min(results, key=lambda r: (r[0], r[1]))
-    centers = [tuple(map(float, c)) for c in best.clusterCenters()]
-    order = sorted(range(len(centers)), key=lambda j: centers[j])
-    mapping = {old: new for new, old in enumerate(order)}
-    return ClusteringModel(feats, stats, PipelineModel(stages=[assembler, best]), mapping, float(cost))
+        if points is not None:
+            points.unpersist()
+    best = min(costs, key=lambda r: (round(costs[r], 9), r))     # equal ends found from two starts differ in the last bits
+    return ClusteringModel(feats, stats, sorted(centers[best]), float(costs[best]))
 
 
 # ---------------------------------------------------------------- M4 -------
 def silhouette(model: ClusteringModel, fm: DataFrame) -> float:
-    """Distributed silhouette (squared Euclidean, Spark's evaluator)."""
-    pred = model.pipeline.transform(standardize(fm, model.features, model.stats))
-    return float(ClusteringEvaluator(featuresCol="features", predictionCol="prediction",
-                                     distanceMeasure="squaredEuclidean").evaluate(pred))
+    """Mean silhouette of the model's labels (squared Euclidean distances)."""
+    return float(silhouette_squared(standardize(fm, model.features, model.stats), model.labels(fm), model.features).first()[0])
 
 
 # ---------------------------------------------------------------- M7 -------
 def scaled_centroids(spark: SparkSession, model: ClusteringModel) -> DataFrame:
     """Long form (cluster_id, feature, value) of the canonical centroids."""
-    rows = [(cid, f, float(v)) for cid, c in enumerate(model.centers()) for f, v in zip(model.features, c)]
-    return spark.createDataFrame(rows, "cluster_id int, feature string, value double")
+    return long_centroids(model.table(spark), model.features)
 
 
 # ------------------------------------------- M3-M5 with given centroids ----

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from playline.operators.sequence import number_rows
 from pyspark.sql import DataFrame, Window, functions as F
 
 from playline.config import DEFAULT, FEATURE_COLUMNS, AnalysisConfig
@@ -74,9 +75,9 @@ def matchup_table(matchups: DataFrame, champion: str | None = None) -> DataFrame
 
 
 def signed_order(matchups: DataFrame) -> DataFrame:
-    """Pairs in order of the signed difference (1 = most behind); one row per pair."""
-    w = Window.partitionBy(F.lit(0)).orderBy("cs_diff", "champion_name", "opp_champion_name")
-    return matchups.withColumn("diff_order", F.row_number().over(w))
+    """Pairs in order of the signed difference (1 = most behind); one row per pair, numbered over all tasks."""
+    return number_rows(matchups, [], ["cs_diff", "champion_name", "opp_champion_name"], out="diff_order").withColumn(
+        "diff_order", F.col("diff_order").cast("int"))
 
 
 # R6

@@ -113,6 +113,33 @@ def _rival(s, sf):
             .join(people.select("match_id", n.alias("candidates")), "match_id"))
 
 
+# ---------------------------------------------------------------- P2, every player of a document
+_SEATED = """n AS (SELECT *, row_number() OVER (ORDER BY match_id) - 1 AS n FROM sessions),
+seated AS (SELECT *, 'D' || n // 13 || '-' || CASE WHEN n % 13 = 0 THEN 0 WHEN n % 13 < 3 THEN 1 ELSE 2 END AS doc,
+  CASE WHEN n % 13 = 0 THEN 1 WHEN n % 13 < 3 THEN n % 13 ELSE n % 13 - 2 END AS pid FROM n),
+facing AS (SELECT a.match_id AS own, b.* FROM seated a JOIN seated b ON b.doc = a.doc AND b.team_id <> a.team_id
+  AND b.team_position = 'MIDDLE' QUALIFY row_number() OVER (PARTITION BY a.match_id ORDER BY b.pid) = 1)"""
+_ALL = f"""SELECT s.doc || '/' || s.match_id AS match_id, s.match_id AS puuid, {MS.replace('game_datetime', 'h.game_datetime')} AS game_datetime,
+  h.game_version, h.queue_id, h.game_duration_sec, s.champion_id, s.champion_name, s.team_id, s.team_position, s.lane, s.win,
+  s.kills, s.deaths, s.assists, s.kda, s.cs_total,
+  CASE WHEN h.game_duration_sec > 0 THEN s.cs_total / (h.game_duration_sec / 60.0) ELSE 0 END AS cs_per_min,
+  s.gold_earned, s.damage_dealt_to_champions, s.vision_score, r.champion_name AS opp_champion_name, r.cs_total AS opp_cs_total,
+  r.gold_earned AS opp_gold_earned, r.kills AS opp_kills, r.deaths AS opp_deaths, r.assists AS opp_assists
+FROM seated s JOIN seated h ON h.doc = s.doc AND h.pid = 1 LEFT JOIN facing r ON r.own = s.match_id"""
+
+
+def _everyone(s, sf):
+    path = LD.write_shared(_tables(s, sf), shared_path(s, "landing"), CFG.tick_ms)
+    return D.flatten(D.read_documents(s, path, "lines"), D.EVERY, CFG.tick_ms)
+
+
+register("ingest_all_players", R(_ALL, "kda", "cs_per_min", extra=_SEATED))(lambda s, sf: _everyone(s, sf)["sessions"])
+for _table in ("ticks", "incidents"):
+    register(f"ingest_all_players_{_table}", R(
+        f"SELECT t.* REPLACE (s.doc || '/' || t.match_id AS match_id) FROM {_table} t JOIN seated s USING (match_id)", extra=_SEATED))(
+        lambda s, sf, table=_table: _everyone(s, sf)[table])
+
+
 # ---------------------------------------------------------------- S5, K1, K2, K8
 @register("ingest_summary", R(
     "SELECT count(*) AS processed, 7 * count(*) AS skipped, count(*) AS total_rows FROM sessions"))
@@ -139,6 +166,21 @@ def _twice(s, sf):
     return store.read("ticks")
 
 
+_EARLY = 8
+
+
+@register("upsert_longer_timeline", R(
+    f"SELECT * REPLACE (CASE WHEN timestamp_min < {_EARLY} THEN gold ELSE -5 END AS gold) FROM ticks"))
+def _longer(s, sf):
+    """Sessions landed with their early minutes, then whole with other values: stored minutes stay, new ones are added."""
+    store, t = TableStore(s, shared_path(s, "store")), _tables(s, sf)
+    early = t | {n: t[n].where(F.col("timestamp_min") < _EARLY) for n in ("ticks", "incidents")}
+    ingest(s, LD.write_landing(early, shared_path(s, "landing"), CFG.tick_ms), store, player(), CFG.tick_ms)
+    later = t | {"ticks": t["ticks"].withColumn("gold", F.lit(-5).cast("long"))}
+    ingest(s, LD.write_landing(later, shared_path(s, "landing"), CFG.tick_ms), store, player(), CFG.tick_ms)
+    return store.read("ticks")
+
+
 @register("refresh_full", R("SELECT * FROM incidents"))
 def _full(s, sf):
     """Incremental load followed by a full rebuild from raw gives the same table."""

@@ -122,32 +122,84 @@ def _assigned_profile(s, sf):
     return cluster_summary(FT.feature_matrix(*T3(s, sf), CFG), _assigned(s, sf)[1].select("match_id", "cluster_id"))
 
 
-# ------------------------------------ M3-M7 of a fitted model (rows only: no SQL K-Means)
+# ------------------------------------ M3-M7 of a fitted model: the same starts and passes in SQL
+_K, _RESTARTS, _SEED, _TOL = CFG.k, CFG.restarts, CFG.seed, 1e-4
+
+
+def _sq(p: str, c: str) -> str:
+    return " + ".join(f"({p}[{i + 1}] - {c}[{i + 1}]) * ({p}[{i + 1}] - {c}[{i + 1}])" for i in range(_N))
+
+
+def _drawn(step: int) -> str:
+    """Centroids of every restart after one more draw."""
+    u = f"(('0x' || substr(md5('{_SEED}:' || r || ':{step}:' || match_id), 1, 8))::BIGINT + 0.5) / 4294967296.0"
+    if step == 0:
+        src = f"SELECT match_id, x, r, [] AS cs, 1.0 AS d FROM z, range({_RESTARTS}) t(r)"
+    else:
+        src = (f"SELECT match_id, x, r, cs, least({', '.join(_sq('x', f'cs[{j + 1}]') for j in range(step))}) AS d "
+               f"FROM z, d{step - 1}")
+    key = f"CASE WHEN d > 0 THEN -ln({u}) / d ELSE {u} END"
+    return (f"d{step} AS MATERIALIZED (SELECT r, list_append(cs, x) AS cs FROM ({src}) "
+            f"QUALIFY row_number() OVER (PARTITION BY r ORDER BY d <= 0, {key}, match_id) = 1)")
+
+
+_NEAR = ", ".join("{" + f"'d': {_sq('x', f'cs[{j + 1}]')}, 'c': {j + 1}" + "}" for j in range(_K))
+_MEANS = ", ".join(f"avg(x[{i + 1}])" for i in range(_N))
+FITTED = FIXED + "," + ",\n".join(_drawn(k) for k in range(_K)) + f""",
+moves AS (SELECT 0 AS it, r, cs, 1e300::DOUBLE AS moved FROM d{_K - 1}
+  UNION ALL SELECT it + 1, r, new, list_max(list_transform(range(1, {_K + 1}), lambda j: list_sum(list_transform(range(1, {_N + 1}),
+      lambda i: (new[j][i] - cs[j][i]) * (new[j][i] - cs[j][i])))))
+  FROM (SELECT it, r, any_value(cs) AS cs, list_transform(range(1, {_K + 1}), lambda j: coalesce(
+      list_filter(list({{'c': c, 'm': m}}), lambda y: y.c = j)[1].m, any_value(cs)[j])) AS new
+    FROM (SELECT it, r, c, any_value(cs) AS cs, [{_MEANS}] AS m
+      FROM (SELECT it, r, cs, x, list_min([{_NEAR}]).c AS c FROM moves, z WHERE moved > {_TOL * _TOL} AND it < 300)
+      GROUP BY it, r, c) GROUP BY it, r)),
+ends AS (SELECT r, max_by(cs, it) AS cs FROM moves GROUP BY r),
+fit AS (SELECT list_sort(cs) AS cs FROM (SELECT r, any_value(cs) AS cs, round(sum(list_min([{_NEAR}]).d), 9) AS cost
+  FROM ends, z GROUP BY r) ORDER BY cost, r LIMIT 1),
+fcen AS (SELECT unnest(range({_K}))::INTEGER AS cluster_id, unnest(cs) AS c FROM fit),
+flab AS (SELECT match_id, x, (list_min([{_NEAR}]).c - 1)::INTEGER AS cluster_id FROM z, fit),
+fpairs AS (SELECT a.match_id, a.cluster_id AS own, b.cluster_id AS other, count(*) AS n, sum({_sq('a.x', 'b.x')}) AS t
+  FROM flab a, flab b GROUP BY ALL),
+fsil AS (SELECT match_id, max(n) FILTER (own = other) AS n, max(t / greatest(n - 1, 1)) FILTER (own = other) AS a,
+  min(t / n) FILTER (own <> other) AS b FROM fpairs GROUP BY match_id)"""
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def _model(s, sf):
     fm = FT.feature_matrix(*T3(s, sf), CFG)
-    fm = fm.checkpoint(eager=True)   # one materialised input for all restarts
+    fm = fm.checkpoint(eager=True)   # one materialised input for all passes
     return fm, CL.fit_clusters(fm, CFG)
 
 
-@register("cluster_sessions")
+@register("cluster_sessions", _recursive(R("SELECT match_id, cluster_id FROM flab", extra=FITTED)))
 def _clusters(s, sf):
     fm, model = _model(s, sf)
     return model.labels(fm)
 
 
-@register("scaled_centroids")
+@register("scaled_centroids", _recursive(R(
+    f"SELECT cluster_id, unnest([{', '.join(repr(c) for c in FEATURE_COLUMNS)}]) AS feature, unnest(c) AS value FROM fcen",
+    "value", extra=FITTED)))
 def _centroids(s, sf):
     _, model = _model(s, sf)
     return CL.scaled_centroids(s, model)
 
 
-@register("silhouette_sq")
+@register("silhouette_sq", _recursive(R(
+    "SELECT avg(CASE WHEN n > 1 AND greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END) AS silhouette FROM fsil",
+    "silhouette", extra=FITTED)))
 def _silhouette(s, sf):
     fm, model = _model(s, sf)
     return s.range(1).select(F.lit(CL.silhouette(model, fm)).alias("silhouette"))
 
 
-@register("cluster_profile")
+@register("cluster_profile", _recursive(R(
+    "SELECT l.cluster_id, CAST(count(*) AS INTEGER) AS size, " + ", ".join(f"avg(CAST(f.{c} AS DOUBLE)) AS {c}" for c in FEATURE_COLUMNS)
+    + " FROM flab l JOIN fm f USING (match_id) GROUP BY l.cluster_id", *FEATURE_COLUMNS, extra=FITTED)))
 def _profile(s, sf):
     from playline.operators.reports import cluster_summary
     fm, model = _model(s, sf)

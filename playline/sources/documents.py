@@ -31,6 +31,9 @@ from playline.schemas import INCIDENTS_SCHEMA, TICKS_SCHEMA, conform, sessions_s
 # Document vocabulary.
 KILL_EVENT = "CHAMPION_KILL"
 RIVAL_POSITION = "MIDDLE"
+#: In place of a player's id: a session for every player that a document lists.
+EVERY = "*"
+SEAT = "/"          # between document id and player id in the session ids that EVERY gives
 
 _I, _L, _S, _B = T.IntegerType(), T.LongType(), T.StringType(), T.BooleanType()
 
@@ -120,12 +123,21 @@ def _first(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def seats(people: Column) -> Column:
+    """Participants with an id, the first of each."""
+    ids = F.transform(people, lambda p: p.puuid)
+    return F.filter(people, lambda p, i: p.puuid.isNotNull() & (F.array_position(ids, p.puuid) == i + 1))
+
+
 def pair_documents(docs: DataFrame, player: str | Column, rival_position: str = RIVAL_POSITION) -> dict[str, DataFrame]:
     """Paired (detail, timeline) rows with the reason why a document can't be used.
 
     ``player``: the tracked player's id, or a column that gives it for each
     document (several tracked players); a document that does not list it is
-    rejected, never read for somebody else.
+    rejected, never read for somebody else. EVERY makes a row for each player of
+    a document; its session id is then the document's with the player's behind it,
+    so that every table, window and join keeps its one key. Frames and events of a
+    timeline are parsed once, before its players are told apart.
 
     * malformed JSON, missing required fields, player absent, participant id
       absent, frames not a list  -> quarantine with a reason;
@@ -134,6 +146,7 @@ def pair_documents(docs: DataFrame, player: str | Column, rival_position: str =
     """
     if player is None:
         raise ValueError("name the tracked player")
+    every = isinstance(player, str) and player == EVERY
     details = docs.where(F.col("kind") == "detail")
     # The malformed test also reads ``info.frames`` (a size can never be < 0):
     # Spark refuses scans whose only parsed column is the corrupt-record column,
@@ -143,10 +156,15 @@ def pair_documents(docs: DataFrame, player: str | Column, rival_position: str =
     timelines = _first(docs.where(F.col("kind") == "timeline").select(
         "doc_key", "arrival", F.col("info.frames").alias("frames"), t_bad.alias("_t_corrupt"),
         F.col("file_name").alias("timeline_file")), "doc_key")
-    d = (details
-         .withColumn("player", F.lit(player) if isinstance(player, str) else player)
-         .withColumn("_people", parsed_each(F.col("info.participants"), PARTICIPANT))
-         .withColumn("own", F.try_element_at(F.filter("_people", lambda p: p.puuid == F.col("player")), F.lit(1))))
+    timelines = parse_frames(timelines)
+    d = details.withColumn("_people", parsed_each(F.col("info.participants"), PARTICIPANT))
+    match_id = F.col("metadata.matchId")
+    if every:
+        d = d.withColumn("own", F.explode_outer(seats(F.col("_people")))).withColumn("player", F.col("own.puuid"))
+        match_id = F.concat(match_id, F.lit(SEAT), "player")
+    else:
+        d = (d.withColumn("player", F.lit(player) if isinstance(player, str) else player)
+             .withColumn("own", F.try_element_at(F.filter("_people", lambda p: p.puuid == F.col("player")), F.lit(1))))
     reason = (F.when(F.col("_corrupt_record").isNotNull(), F.lit("malformed document"))
               .when(F.col("metadata.matchId").isNull() | F.col("info.gameCreation").isNull()
                     | F.col("info.gameVersion").isNull(), F.lit("missing required field"))
@@ -161,7 +179,7 @@ def pair_documents(docs: DataFrame, player: str | Column, rival_position: str =
     d = d.withColumn("_reason", reason).withColumn("_rival", rival)
     # only what the three tables need goes on
     d = d.select("doc_key", "file_name", "arrival", "player", "own", "_rival", "_reason",
-                 F.col("metadata.matchId").alias("match_id"), F.col("info.gameCreation").cast("long").alias("created"),
+                 match_id.alias("match_id"), F.col("info.gameCreation").cast("long").alias("created"),
                  F.col("info.gameVersion").alias("version"), F.col("info.gameDuration").cast("int").alias("duration"),
                  F.col("info.queueId").cast("int").alias("queue"))
     joined = d.join(timelines.drop("arrival"), "doc_key", "left")
@@ -215,6 +233,15 @@ def session_facts(pairs: DataFrame) -> DataFrame:
     return conform(out, sessions_schema())
 
 
+def parse_frames(timelines: DataFrame) -> DataFrame:
+    """``frames`` (texts) as ``_fr`` (time and snapshots by participant id) and ``_ev`` (events of each frame)."""
+    seen = F.transform("frames", lambda x: F.when(F.ltrim(x).startswith("{"), F.from_json(x, RAW_FRAME)))
+    events = F.transform("_fr", lambda f: parsed_each(f.events, EVENT))
+    kept = F.transform("_fr", lambda f: F.struct(f.timestamp.alias("timestamp"), f.participantFrames.alias("participantFrames")))
+    return (timelines.withColumn("_fr", F.filter(seen, lambda f: f.isNotNull())).withColumn("_ev", events)
+            .withColumn("_fr", kept).drop("frames"))
+
+
 def with_snapshots(pairs: DataFrame, tick_ms: int = 60_000) -> DataFrame:
     """Add ``_snaps``: per tick, the player's last snapshot with the running
     kill count (W1: frames lacking the player's snapshot still add their kills;
@@ -229,8 +256,6 @@ def with_snapshots(pairs: DataFrame, tick_ms: int = 60_000) -> DataFrame:
     key = pid.cast("string")
     frames = F.col("_fr")
     # the player's part in a frame: kills, deaths and snapshot
-    seen = F.transform("frames", lambda x: F.when(F.ltrim(x).startswith("{"), F.from_json(x, RAW_FRAME)))
-    events = F.transform(frames, lambda f: parsed_each(f.events, EVENT))
     kills = F.transform("_ev", lambda es: F.size(F.filter(
         es, lambda e: (e.type == KILL_EVENT) & (e.killerId == pid))))
     start = F.named_struct(F.lit("s"), F.lit(0), F.lit("out"), F.array().cast("array<int>"))
@@ -249,10 +274,9 @@ def with_snapshots(pairs: DataFrame, tick_ms: int = 60_000) -> DataFrame:
                        lambda acc, s: F.concat(F.filter(acc, lambda a: a.tick != s.tick), F.array(s)))
     deaths = F.flatten(F.transform("_ev", lambda es: F.filter(
         es, lambda e: (e.type == KILL_EVENT) & (e.victimId == pid))))
-    return (pairs.withColumn("_fr", F.filter(seen, lambda f: f.isNotNull())).withColumn("_ev", events)
-            .withColumn("_kpf", kills).withColumn("_run", running).withColumn("_present", snaps)
+    return (pairs.withColumn("_kpf", kills).withColumn("_run", running).withColumn("_present", snaps)
             .withColumn("_snaps", last).withColumn("_deaths", deaths)
-            .drop("frames", "_fr", "_ev", "_kpf", "_run", "_present"))
+            .drop("_fr", "_ev", "_kpf", "_run", "_present"))
 
 
 def tick_rows(pairs: DataFrame, tick_ms: int = 60_000) -> DataFrame:

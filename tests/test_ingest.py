@@ -329,3 +329,43 @@ def test_quarantine_reasons_lines_layout(spark, tmp_path):
     assert q == {"P1": "participant id missing", "P2": "missing required field", "P3": "missing required field"}
     assert [r.match_id for r in out["sessions"].collect()] == ["P4"]
     assert out["ticks"].count() == 4 and out["incidents"].count() == 3
+
+
+def test_every_player_of_a_document(spark, tmp_path):
+    """A session for each listed player, under the document's id and the player's."""
+    from playline.config import AnalysisConfig
+    from playline.plans.publish import publish
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    d = detail("M1")
+    d["info"]["participants"].append(participant(9, "ally", 200, "MIDDLE", "Again", True, 9, 9, 9, 9, 9, 9))   # listed twice: the first counts
+    d["info"]["participants"].append({"puuid": None, "participantId": 10, "championName": "X", "win": True})     # no id: nobody
+    no_pid = participant(0, "late", 100, "TOP", "Hotel", False, 0, 0, 0, 0, 0, 0) | {"participantId": None}
+    d["info"]["participants"].append(no_pid)
+    (raw / "M1.json").write_text(json.dumps(d))
+    (raw / "M1_timeline.json").write_text(json.dumps(timeline()))
+    (raw / "M2.json").write_text(json.dumps(detail("M2", player="solo")))
+    (raw / "M2_timeline.json").write_text(json.dumps({"metadata": {"matchId": "M2"}, "info": {"frames": []}}))
+    store = TableStore(spark, str(tmp_path / "store"))
+    ingest(spark, str(raw), store, D.EVERY, layout="files")
+    rows = {r.match_id: r for r in store.read("sessions").collect()}
+    assert set(rows) == {"M1/ally", "M1/enemy-top", "M1/enemy-mid", f"M1/{PLAYER}", "M2/ally", "M2/enemy-top", "M2/enemy-mid", "M2/solo"}
+    assert all(r.match_id.endswith("/" + r.puuid) for r in rows.values()) and rows["M1/ally"].champion_name == "Foxtrot"
+    assert rows[f"M1/{PLAYER}"].opp_champion_name == "Echo" and rows["M1/enemy-mid"].opp_champion_name == "Delta"
+    ticks = {(r.match_id, r.timestamp_min): r for r in store.read("ticks").collect()}
+    assert {t for m, t in ticks if m == f"M1/{PLAYER}"} == {0, 1, 3, 5} and {t for m, t in ticks if m == "M1/enemy-mid"} == {0, 1, 2, 3, 5}
+    assert ticks[("M1/enemy-mid", 5)].kills == 2 and ticks[(f"M1/{PLAYER}", 5)].kills == 2
+    assert not any(m.startswith("M1/ally") for m, _ in ticks)
+    deaths = [(r.match_id, r.death_number) for r in store.read("incidents").collect()]
+    assert sorted(deaths) == sorted([(f"M1/{PLAYER}", k) for k in (1, 2, 3)] + [("M1/enemy-mid", 1), ("M1/ally", 1)])
+    assert [(r.doc_key, r.reason) for r in store.read("quarantine").collect()] == [("M1", "participant id missing")]
+    ingest(spark, str(raw), store, D.EVERY, layout="files")          # a second run adds nothing
+    assert store.read("sessions").count() == 8 and store.read("ticks").count() == len(ticks)
+    from playline.operators import features as FT
+    cfg = AnalysisConfig(season_start="2020-01-01 00:00:00")
+    tables = {t: store.read(t) for t in ("sessions", "ticks", "incidents")}
+    fm = FT.feature_matrix(tables["sessions"], tables["ticks"], tables["incidents"], cfg)
+    labels = tables["sessions"].select("match_id", F.lit(0).alias("cluster_id"))
+    pub = publish(spark, tables | {"feature_matrix": fm, "cluster_labels": labels}, str(tmp_path / "pub"), cfg)
+    shown = [r.match_id for r in pub.read("sessions").collect()]
+    assert shown and all(m.startswith("GAME_") for m in shown) and len(set(shown)) == len(shown)

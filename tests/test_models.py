@@ -74,3 +74,61 @@ def test_pace_curves_drop_thin_ticks(spark):
     assert got[(2, 3)] == 2030.0
     assert RP.missing_members(curves, labels).count() == 0
     assert RP.missing_members(curves.where("cluster_id <> 3"), labels).first().cluster_id == 3
+
+
+def cloud(spark, n=400):
+    import random
+    rng = random.Random(8)
+    rows = [(f"s{k}", *[rng.gauss((k % 5) * (1 if i % 2 else -1), 1.3) for i in range(len(FEATURE_COLUMNS))]) for k in range(n)]
+    return spark.createDataFrame(rows, ["match_id", *FEATURE_COLUMNS])
+
+
+def test_all_restarts_match_plain_k_means(spark):
+    """Starts, passes and costs against numpy, restart by restart."""
+    import hashlib
+
+    import numpy as np
+    fm = cloud(spark)
+    rows = [(r["match_id"], r["p"]) for r in CL.standardize(fm, FEATURE_COLUMNS).select("match_id", F.array(*FEATURE_COLUMNS).alias("p")).collect()]
+    ids, x = [i for i, _ in rows], np.array([p for _, p in rows])
+    points = spark.createDataFrame(rows, "match_id string, p array<double>")
+    starts = CL.starting_points(points, 4, 5, 42)
+    ends = CL.lloyd(points, starts)
+    costs = CL.restart_costs(points, ends)
+    for r in range(5):
+        chosen = []
+        for step in range(4):
+            u = np.array([(int(hashlib.md5(f"42:{r}:{step}:{i}".encode()).hexdigest()[:8], 16) + 0.5) / 2 ** 32 for i in ids])
+            d = np.min([((x - c) ** 2).sum(1) for c in chosen], axis=0) if chosen else np.ones(len(x))
+            chosen.append(x[np.argmin(np.where(d > 0, -np.log(u) / np.where(d > 0, d, 1), np.inf))])
+        assert np.allclose(starts[r], chosen)
+        c = np.array(chosen)
+        for _ in range(300):
+            own = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+            new = np.array([x[own == j].mean(0) if (own == j).any() else c[j] for j in range(4)])
+            done, c = ((new - c) ** 2).sum(1).max() <= 1e-8, new
+            if done:
+                break
+        assert np.allclose(ends[r], c) and costs[r] == pytest.approx(((x[:, None] - c[None]) ** 2).sum(2).min(1).sum())
+
+
+def test_cost_is_no_higher_than_of_separate_fits(spark):
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+    fm = cloud(spark)
+    model = CL.fit_clusters(fm, AnalysisConfig(restarts=20))
+    vec = VectorAssembler(inputCols=list(FEATURE_COLUMNS), outputCol="features").transform(CL.standardize(fm, FEATURE_COLUMNS)).cache()
+    other = min(KMeans(k=4, seed=42 + i, maxIter=300, tol=1e-4).fit(vec).summary.trainingCost for i in range(4))
+    assert model.cost <= other * (1 + 1e-3)
+    assert model.centers() == sorted(model.centers())
+
+
+def test_one_pass_serves_all_restarts(spark):
+    points = spark.createDataFrame([("a", [0.0]), ("b", [1.0])], "match_id string, p array<double>")
+    rows = CL._per_restart(points, {r: [[0.0], [1.0]] for r in range(20)})
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert rows.count() == 40 and plan.count("LogicalRDD") + plan.count("LocalRelation") <= 1
+    # fewer distinct rows than clusters: a start is repeated, an empty cluster stays
+    same = spark.createDataFrame([(f"k{i}", [float(i % 2)]) for i in range(6)], "match_id string, p array<double>")
+    ends = CL.lloyd(same, CL.starting_points(same, 3, 2, 1))
+    assert all({c[0] for c in cs} == {0.0, 1.0} and len(cs) == 3 for cs in ends.values())
