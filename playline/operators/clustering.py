@@ -124,12 +124,11 @@ def _per_restart(points: DataFrame, centers: dict[int, list]) -> DataFrame:
     """Rows (match_id, p) once for each restart, with the index ``c`` of the nearest of
     its centroids and the squared distance ``d``; ties to the lower index.
     ``centers``: restart -> centroids, a few numbers that travel as a literal."""
-    every = F.array(*[F.struct(F.lit(r).alias("r"), F.array(*[F.array(*map(F.lit, c)) for c in cs]).alias("cs"))
-                      for r, cs in sorted(centers.items())])
-    k, n = len(next(iter(centers.values()))), len(next(iter(centers.values()))[0])
-    far = [sum(((F.col("p")[i] - F.col("x.cs")[j][i]) * (F.col("p")[i] - F.col("x.cs")[j][i]) for i in range(n)), F.lit(0.0))
-           for j in range(k)]
-    least = F.array_min(F.array(*[F.struct(d.alias("d"), F.lit(j).alias("c")) for j, d in enumerate(far)]))
+    every = F.from_json(F.lit(json.dumps([{"r": r, "cs": cs} for r, cs in sorted(centers.items())])),
+                        "array<struct<r:int,cs:array<array<double>>>>")
+    # a small lambda, not k times n terms: generated code of that length is no longer compiled by the JVM
+    least = F.expr("array_min(transform(x.cs, (q, j) -> named_struct('d', "
+                   "aggregate(zip_with(p, q, (a, b) -> (a - b) * (a - b)), 0D, (s, v) -> s + v), 'c', j)))")
     return points.select("match_id", "p", F.explode(every).alias("x")).select("match_id", "p", "x.r", least.alias("m")).select(
         "match_id", "p", "r", "m.d", "m.c")
 
