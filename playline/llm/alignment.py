@@ -25,6 +25,8 @@ texts of any length.
 from __future__ import annotations
 
 import hashlib
+import re
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -38,6 +40,7 @@ from playline.llm.common import documents, stored
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 PAIRS = 2_000_000        # pairs of a broadcast slice: 17 bytes each
 HELD_PAIRS = 400_000     # distinct pairs that a task holds before it emits partial counts
+CACHE_PARTS = 500_000    # parts of texts whose ids a task keeps at most (with 10 times as many ids)
 CHUNK_TOKENS = 500_000
 
 
@@ -56,22 +59,64 @@ class Sides:
         self.a = bpe.Encoder(a_tables | {"added": {}})  # strings of special tokens are plain text
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_model)
         self.a_raw, self.b_raw = a_tables["raw"], piece_bytes(self.b)
+        # no token of A goes on beyond a space that follows another kind of character, and none of B does
+        # unless a piece holds one: then parts of a text have the ids that they have in the text
+        apart = not any("▁" in self.b.id_to_piece(i).lstrip("▁") for i in range(self.b.get_piece_size()))
+        self.cut = re.compile(r"(?<=\S) (?=.)", re.DOTALL).split if apart else (lambda t: [t])
+        self._forget()
         self.a_len, self.b_len = (np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) for raw in (self.a_raw, self.b_raw))
         # decimal ids followed by a comma, or by what ends their side of a group
         self.shown = [b"%d%c" % (i, c) for n, end in ((len(self.a_raw), 124), (len(self.b_raw), 59)) for c in (44, end) for i in range(n)]
 
-    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Ids of both sides; none for texts that a side does not reproduce."""
-        none = np.empty(0, dtype=np.int64)
-        a_out, b_out = [], []
-        for t, a, b in zip(texts, self.a.encode([" " + t for t in texts]), self.b.encode(texts, num_threads=1)):
-            a = np.frombuffer(a, dtype="<u4").astype(np.int64)
-            whole = (" " + t).encode()
-            same = (t and b"".join(map(self.a_raw.__getitem__, a.tolist())) == whole
-                    and b"".join(map(self.b_raw.__getitem__, b)) == whole)
-            a_out.append(a if same else none)
-            b_out.append(np.array(b, dtype=np.int64) if same else none)
-        return a_out, b_out
+    def _forget(self) -> None:
+        """Known parts of texts: their numbers, and for each side all their ids end to end with the first and the number of each."""
+        empty = np.empty(0, dtype=np.int64)
+        self.known, self.odd = {}, set()
+        self.ids, self.first, self.n = [empty, empty], [empty, empty], [empty, empty]
+
+    def _learn(self, parts: list[str]) -> None:
+        a, b = self.a.encode([" " + p for p in parts]), self.b.encode(parts, num_threads=1)
+        n = [np.fromiter(map(len, x), dtype=np.int64, count=len(parts)) for x in (a, b)]
+        n[0] //= 4
+        ids = [np.frombuffer(b"".join(a), dtype="<u4").astype(np.int64),
+               np.fromiter(chain.from_iterable(b), dtype=np.int64, count=int(n[1].sum()))]
+        want = [b" " + p.encode() for p in parts]
+        size = np.fromiter(map(len, want), dtype=np.int64, count=len(parts))
+        for side, length in enumerate((self.a_len, self.b_len)):
+            begin = np.cumsum(n[side]) - n[side]
+            end = np.concatenate([[0], np.cumsum(length[ids[side]])])
+            if not (end[begin + n[side]] == np.cumsum(size)).all() or self._bytes(side, ids[side]) != b"".join(want):
+                self.odd.update(p for p, w, i, k in zip(parts, want, begin.tolist(), n[side].tolist()) if self._bytes(side, ids[side][i:i + k]) != w)
+            self.first[side] = np.concatenate([self.first[side], len(self.ids[side]) + begin])
+            self.n[side] = np.concatenate([self.n[side], n[side]])
+            self.ids[side] = np.concatenate([self.ids[side], ids[side]])
+        self.known.update(zip(parts, range(len(self.known), len(self.known) + len(parts))))
+
+    def _bytes(self, side: int, ids: np.ndarray) -> bytes:
+        return b"".join(map((self.a_raw, self.b_raw)[side].__getitem__, ids.tolist()))
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each side the ids of all texts end to end and the number of each text's; none for texts that a side does not reproduce."""
+        if len(self.known) > CACHE_PARTS or len(self.ids[0]) > 10 * CACHE_PARTS:
+            self._forget()
+        cut = [self.cut(t) for t in texts]
+        self._learn(list(set().union(*cut).difference(self.known)))
+        keep = [bool(t) and (self.odd.isdisjoint(c) or self._same(t, c)) for t, c in zip(texts, cut)]
+        sizes = np.array([len(c) if k else 0 for c, k in zip(cut, keep)], dtype=np.int64)
+        parts = np.fromiter((self.known[p] for c, k in zip(cut, keep) if k for p in c), dtype=np.int64, count=int(sizes.sum()))
+        edge = np.cumsum(sizes)
+        return [self._laid(side, parts, edge) for side in (0, 1)]
+
+    def _laid(self, side: int, parts: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = self.n[side][parts]
+        total = np.concatenate([[0], np.cumsum(n)])
+        ids = self.ids[side][np.repeat(self.first[side][parts] - total[:-1], n) + np.arange(total[-1])]
+        return ids, np.diff(total[edge], prepend=0)
+
+    def _same(self, text: str, parts: list[str]) -> bool:
+        """Whether both sides give the bytes of the whole text."""
+        at = np.array([self.known[p] for p in parts])
+        return all(self._bytes(side, self._laid(side, at, np.array([len(at)]))[0]) == (" " + text).encode() for side in (0, 1))
 
 
 def links(a_doc: np.ndarray, a_at: np.ndarray, b_doc: np.ndarray, b_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,14 +130,12 @@ def links(a_doc: np.ndarray, a_at: np.ndarray, b_doc: np.ndarray, b_at: np.ndarr
     return np.concatenate([down["a"].to_numpy(), i[new]]), np.concatenate([down["b"].to_numpy(), j[new]])
 
 
-def batch_links(a: list[np.ndarray], b: list[np.ndarray], a_len: np.ndarray, b_len: np.ndarray) -> dict:
-    """Tokens of a batch of documents end to end, and their links."""
+def batch_links(sides, lengths) -> dict:
+    """Tokens of a batch of documents end to end, and their links. ``sides``: (ids, number of each document's)."""
     out = {}
-    for side, ids, length in (("a", a, a_len), ("b", b, b_len)):
-        flat = np.concatenate([np.empty(0, dtype=np.int64), *ids])
-        n = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        end = np.cumsum(length[flat])
-        out |= {side: flat, f"{side}_n": n, f"{side}_doc": np.repeat(np.arange(len(ids)), n), f"{side}_end": end, f"{side}_at": end - length[flat]}
+    for side, (ids, n), length in zip("ab", sides, lengths):
+        end = np.cumsum(length[ids])
+        out |= {side: ids, f"{side}_n": n, f"{side}_doc": np.repeat(np.arange(len(n)), n), f"{side}_end": end, f"{side}_at": end - length[ids]}
     i, j = links(out["a_doc"], out["a_at"], out["b_doc"], out["b_at"]) if len(out["a"]) else (out["a"], out["b"])
     return out | {"i": i, "j": j, "link_doc": out["a_doc"][i]}
 
@@ -118,14 +161,17 @@ def figures(x: dict, shown: list[bytes], n_a: int, n_b: int) -> tuple[np.ndarray
     return np.bincount(x["a_doc"][a_cut], minlength=docs), digests
 
 
-def _small(ids: list[np.ndarray], size: int) -> list[bytes]:
-    kind = "<u2" if size <= 65536 else "<u4"
-    return [x.astype(kind).tobytes() for x in ids]
+def _kind(size: int) -> str:
+    return "<u2" if size <= 65536 else "<u4"
 
 
-def _large(data: list[bytes], size: int) -> list[np.ndarray]:
-    kind = "<u2" if size <= 65536 else "<u4"
-    return [np.frombuffer(x, dtype=kind).astype(np.int64) for x in data]
+def _small(ids: np.ndarray, n: np.ndarray, size: int) -> list[bytes]:
+    """Ids of each document as little-endian integers."""
+    return [x.tobytes() for x in np.split(ids.astype(_kind(size)), np.cumsum(n)[:-1])]
+
+
+def _large(data: list[bytes], n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(data), dtype=_kind(size)).astype(np.int64), n
 
 
 ROW = "doc_id {id}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, a_ids binary, b_ids binary"
@@ -152,13 +198,13 @@ def encoded(docs: DataFrame, a_tables: dict, b_model: bytes) -> DataFrame:
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for i, j in chunks(texts):
-                a, b = s.encode(texts[i:j])
-                x = batch_links(a, b, s.a_len, s.b_len)
+                sides = s.encode(texts[i:j])
+                x = batch_links(sides, (s.a_len, s.b_len))
                 n_groups, digest = figures(x, s.shown, len(s.a_raw), len(s.b_raw))
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(i, j - i), pa.array(x["a_n"]), pa.array(x["b_n"]), pa.array(n_groups, pa.int64()),
                     pa.array(np.bincount(x["link_doc"], minlength=j - i), pa.int64()), pa.array(digest, pa.string()),
-                    pa.array(_small(a, len(s.a_raw)), pa.binary()), pa.array(_small(b, len(s.b_raw)), pa.binary())]
+                    *(pa.array(_small(*side, len(raw)), pa.binary()) for side, raw in zip(sides, (s.a_raw, s.b_raw)))]
                     + [pa.nulls(j - i, f.type) for f in arrow][8:], schema=arrow)
                 new, n = np.unique(x["a"][x["i"]] << 32 | x["b"][x["j"]], return_counts=True)
                 codes, back = np.unique(np.concatenate([codes, new]), return_inverse=True)
@@ -190,12 +236,12 @@ def _summed(rows: DataFrame, part: DataFrame, sizes: tuple[int, int], lengths) -
         code, n, best = shared.value
         for batch in batches:
             cols = dict(zip(batch.schema.names, batch.columns))
-            size = (pa.compute.add(cols["n_a"], cols["n_b"])).to_numpy()
+            n_a, n_b = cols["n_a"].to_numpy(), cols["n_b"].to_numpy()
             raw_a, raw_b = cols["a_ids"].to_pylist(), cols["b_ids"].to_pylist()
             best_sum, count_sum = [], []
-            edge = np.flatnonzero(np.diff(np.cumsum(size) // CHUNK_TOKENS)) + 1
-            for i, j in zip([0, *edge.tolist()], [*edge.tolist(), len(size)]):
-                x = batch_links(_large(raw_a[i:j], sizes[0]), _large(raw_b[i:j], sizes[1]), *lengths)
+            edge = np.flatnonzero(np.diff(np.cumsum(n_a + n_b) // CHUNK_TOKENS)) + 1
+            for i, j in zip([0, *edge.tolist()], [*edge.tolist(), len(n_a)]):
+                x = batch_links((_large(raw_a[i:j], n_a[i:j], sizes[0]), _large(raw_b[i:j], n_b[i:j], sizes[1])), lengths)
                 key = x["a"][x["i"]] << 32 | x["b"][x["j"]]
                 at = np.minimum(np.searchsorted(code, key), len(code) - 1)
                 hit = code[at] == key
