@@ -2,7 +2,7 @@
 
     python -m playline.cli ingest   --raw RAW --store STORE --player ID [--layout files|lines] [--full]
     python -m playline.cli stream   --raw RAW --store STORE --checkpoint CKPT --player ID [--layout files|lines]
-    python -m playline.cli features --store STORE
+    python -m playline.cli features --store STORE [--incremental]
     python -m playline.cli train    --store STORE --models DIR [--restarts N]
     python -m playline.cli publish  --store STORE --out OUT [--coarsen day]
 
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from playline.config import DEFAULT, AnalysisConfig
 from playline.operators import clustering as CL, features as FT
+from playline.plans.increment import refresh_features
 from playline.plans.ingest import ingest
 from playline.plans.publish import publish, publish_counts
 from playline.plans.tables import TableStore
@@ -66,6 +67,8 @@ def main(argv=None) -> None:
             s.add_argument("--layout", default="files", choices=("files", "lines"))
         if name == "ingest":
             s.add_argument("--full", action="store_true")
+        if name == "features":
+            s.add_argument("--incremental", action="store_true")
         if name == "stream":
             s.add_argument("--checkpoint", required=True)
         if name == "train":
@@ -86,7 +89,8 @@ def main(argv=None) -> None:
         from playline.streaming.ingest_stream import ingest_stream
         ingest_stream(spark, a.raw, store, a.checkpoint, a.player, a.tick_ms, layout=a.layout)
     elif a.cmd == "features":
-        print(json.dumps(feature_summary(build_features(store)).first().asDict()))
+        fm = refresh_features(store) if a.incremental else build_features(store)
+        print(json.dumps(feature_summary(fm).first().asDict()))
     elif a.cmd == "train":
         model, _ = train(spark, store, a.models, restarts=a.restarts)
         print(json.dumps({"cost": model.cost, "centroids": model.centers()}))

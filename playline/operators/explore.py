@@ -21,6 +21,7 @@ LOCAL_NIGHT = "night (23-5)"
 LOCAL_OFFSET_HOURS = 7
 FORM_EDGES = (0.0, 0.2, 0.4, 0.6, 0.8, 1.01)
 FORM_LABELS = ("0-20%", "20-40%", "40-60%", "60-80%", "80-100%")
+HEX_WIDTH = 375.0     # a 40th of the map
 GRID_CELL = 375          # square cells over a 15000-unit map, 40 per side
 WEEKDAY_NAMES = ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")
 
@@ -262,6 +263,30 @@ def position_grid(ticks: DataFrame, cfg: AnalysisConfig = DEFAULT, cell: int = G
             .groupBy("cell_x", "cell_y").agg(F.count(F.lit(1)).alias("n")))
 
 
+def hexagon(x, y, width: float):
+    """(q, r) of the hexagon that holds a point, and its centre: pointy-top
+    hexagons ``width`` wide, r counts rows upwards, q along a row. Rows of even
+    and of odd r are two rectangular lattices; the nearer centre wins, the even one at a tie."""
+    high = width * 3 ** 0.5
+    x, y = F.col(x).cast("double"), F.col(y).cast("double")
+    i, j = F.floor(x / width + 0.5), F.floor(y / high + 0.5)        # nearest centre (i, j) of even rows
+    k, m = F.floor(x / width), F.floor(y / high)                    # nearest centre (k + 1/2, m + 1/2) of odd rows
+    even, odd = (i * width, j * high), ((k + 0.5) * width, (m + 0.5) * high)
+    dist = lambda c: (x - c[0]) * (x - c[0]) + (y - c[1]) * (y - c[1])
+    second = dist(odd) < dist(even)
+    q, r = F.when(second, k - m).otherwise(i - j), F.when(second, 2 * m + 1).otherwise(2 * j)
+    return (q.cast("int"), r.cast("int"), F.when(second, odd[0]).otherwise(even[0]), F.when(second, odd[1]).otherwise(even[1]))
+
+
+def position_hex(ticks: DataFrame, cfg: AnalysisConfig = DEFAULT, width: float = HEX_WIDTH) -> DataFrame:
+    """Density of the phase positions in hexagons; rows without a position don't count."""
+    t = ticks.where(F.col("timestamp_min").between(cfg.phase_start, cfg.phase_end)
+                    & F.col("position_x").isNotNull() & F.col("position_y").isNotNull())
+    q, r, cx, cy = hexagon("position_x", "position_y", width)
+    return (t.groupBy(q.alias("hex_q"), r.alias("hex_r"))
+            .agg(F.count(F.lit(1)).alias("n"), F.first(cx).alias("center_x"), F.first(cy).alias("center_y")))
+
+
 # E13, E14, E15
 def excursion_duration(ex: DataFrame) -> DataFrame:
     d = ex.select((F.col("roam_end_min") - F.col("roam_start_min") + 1).alias("duration"))

@@ -136,14 +136,24 @@ def excursions(sessions: DataFrame, ticks: DataFrame, cfg: AnalysisConfig = DEFA
     end+1 are read with lag/lead over the loaded ticks and only used when the
     neighbour is exactly one tick away.
     """
-    std_mult = cfg.std_mult if std_mult is None else std_mult
-    min_rows = cfg.min_excursion_rows if min_rows is None else min_rows
     sc = scope(sessions, cfg)
     loaded = in_scope(ticks.where(F.col(TICK).between(cfg.load_start, cfg.load_end)), sc)
     base = (baselines.select(TICK, "avg_cs", "std_cs") if baselines is not None
             else baseline_by_tick(loaded, "cs", cfg.phase_start, cfg.phase_end, with_std=True))
-    rate = sc.agg(F.coalesce(F.avg("cs_per_min"), F.lit(0.0))).scalar()
+    return excursion_costs(excursion_runs(loaded, base, cfg, std_mult, min_rows), mean_rate(sc))
+
 
+def mean_rate(scoped: DataFrame):
+    """Mean cs per minute of the scope as a scalar subquery, 0 without sessions."""
+    return scoped.agg(F.coalesce(F.avg("cs_per_min"), F.lit(0.0))).scalar()
+
+
+def excursion_runs(loaded: DataFrame, base: DataFrame, cfg: AnalysisConfig = DEFAULT,
+                   std_mult: float | None = None, min_rows: int | None = None) -> DataFrame:
+    """The excursions among loaded ticks, before costs. ``base``: avg_cs and
+    std_cs per tick, which only sessions in CS-drop mode look at."""
+    std_mult = cfg.std_mult if std_mult is None else std_mult
+    min_rows = cfg.min_excursion_rows if min_rows is None else min_rows
     w = Window.partitionBy(KEY).orderBy(TICK)
     t = F.col(TICK)
     nb = (loaded
@@ -163,12 +173,16 @@ def excursions(sessions: DataFrame, ticks: DataFrame, cfg: AnalysisConfig = DEFA
     before_cs = F.when(F.col("_p_tick") == t - 1, F.col("_p_cs")).otherwise(F.lit(0))
     before_k = F.when(F.col("_p_tick") == t - 1, F.col("_p_kills")).otherwise(F.lit(0))
     after_cs = F.when(F.col("_n_tick") == t + 1, F.col("_n_cs")).otherwise(F.col("cs"))
-    runs = (blocks.where("_roam").groupBy(KEY, "_blk").agg(
+    return (blocks.where("_roam").groupBy(KEY, "_blk").agg(
         F.min(TICK).alias("roam_start_min"), F.max(TICK).alias("roam_end_min"),
         F.count(F.lit(1)).alias("_rows"),
         F.min_by(before_cs, t).alias("cs_before"), F.min_by(before_k, t).alias("_k_pre"),
         F.max_by(after_cs, t).alias("cs_after"), F.max_by(F.col("kills"), t).alias("_k_end"))
         .where(F.col("_rows") >= min_rows))
+
+
+def excursion_costs(runs: DataFrame, rate) -> DataFrame:
+    """Costs and result of excursions at ``rate`` expected cs per tick."""
     dur = F.col("roam_end_min") - F.col("roam_start_min") + 1
     kills = F.greatest(F.col("_k_end") - F.col("_k_pre"), F.lit(0))
     return (runs
@@ -267,6 +281,11 @@ def feature_matrix(sessions: DataFrame, ticks: DataFrame, incidents: DataFrame,
           .join(a.select(KEY, "anchor_gold"), KEY, "left").withColumns(
               {c: x for c, x in zip(("gold_delta", "is_throw", "is_comeback"), swing_columns(mean, cfg))})
           .join(inc, KEY, "left").join(exc, KEY, "left"))
+    return matrix_columns(fm)
+
+
+def matrix_columns(fm: DataFrame) -> DataFrame:
+    """F16: the fill policy and the contract's column order."""
     return fm.select(
         KEY, "win", "game_datetime", "champion_name", "tilt_index",
         "hour_of_day", "day_of_week", "is_weekend", "time_bucket",

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from playline.checks import landing_docs as LD
 from playline.config import ADAPTER as CFG
-from playline.plans.catalog import R, T2, T3, register
+from playline.plans.catalog import FEAT, R, T2, T3, register
+from playline.plans.increment import refresh_features
 from playline.plans.ingest import ingest
 from playline.plans.tables import TableStore
 from playline.schemas import DECLARED, PRIMARY_KEYS, contract_violations, schema_diff
@@ -181,6 +182,21 @@ def _longer(s, sf):
     return store.read("ticks")
 
 
+@register("features_increment", R(f"SELECT * REPLACE ({MS} AS game_datetime) FROM fm", "tilt_index", "gold_delta",
+                                  "tilt_spiral_ratio", "avg_cs_sacrifice", "roam_impact_rate", extra=FEAT))
+def _features_increment(s, sf):
+    """K8: half of the sessions land with their early minutes, then all with all minutes;
+    after each landing the matrix advances by the delta rule."""
+    store, t = TableStore(s, shared_path(s, "store")), _tables(s, sf)
+    half = t | {"sessions": t["sessions"].where(F.crc32("match_id") % 2 == 0)}
+    early = half | {n: t[n].where(F.col("timestamp_min") < _EARLY).join(half["sessions"], "match_id", "left_semi")
+                    for n in ("ticks", "incidents")}
+    for landing in (early, t):
+        ingest(s, LD.write_landing(landing, shared_path(s, "landing"), CFG.tick_ms), store, player(), CFG.tick_ms)
+        out = refresh_features(store, CFG)
+    return out
+
+
 @register("refresh_full", R("SELECT * FROM incidents"))
 def _full(s, sf):
     """Incremental load followed by a full rebuild from raw gives the same table."""

@@ -297,6 +297,19 @@ def _gtc(s, sf):
 
 
 # ---------------------------------------------------------------- E12-E16 --
+_H = f"{X.HEX_WIDTH} * sqrt(3.0)"
+register("position_hex", R(
+    "SELECT CAST(q AS INTEGER) AS hex_q, CAST(r AS INTEGER) AS hex_r, count(*) AS n, "
+    f"(q + r / 2.0) * {X.HEX_WIDTH} AS center_x, r / 2.0 * {_H} AS center_y FROM ("
+    "SELECT CASE WHEN odd < even THEN floor(fx) - floor(fy) ELSE floor(fx + 0.5) - floor(fy + 0.5) END AS q, "
+    "CASE WHEN odd < even THEN 2 * floor(fy) + 1 ELSE 2 * floor(fy + 0.5) END AS r FROM ("
+    f"SELECT *, pow(fx - floor(fx) - 0.5, 2) + 3 * pow(fy - floor(fy) - 0.5, 2) AS odd, "
+    "pow(fx - floor(fx + 0.5), 2) + 3 * pow(fy - floor(fy + 0.5), 2) AS even FROM ("
+    f"SELECT CAST(position_x AS DOUBLE) / {X.HEX_WIDTH} AS fx, CAST(position_y AS DOUBLE) / ({_H}) AS fy FROM ticks "
+    "WHERE timestamp_min BETWEEN 4 AND 14 AND position_x IS NOT NULL AND position_y IS NOT NULL))) GROUP BY q, r",
+    "center_x", "center_y"))(lambda s, sf: X.position_hex(T3(s, sf)[1], CFG))
+
+
 register("position_grid", R(
     "SELECT CAST(floor(position_x / 375) AS INTEGER) AS cell_x, CAST(floor(position_y / 375) AS INTEGER) AS cell_y, "
     "count(*) AS n FROM ticks WHERE timestamp_min BETWEEN 4 AND 14 AND position_x IS NOT NULL "

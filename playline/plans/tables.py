@@ -16,7 +16,7 @@ import uuid
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-KEYS = ("match_id", "doc_key")      # a table is dealt by the first of these that it has
+KEYS = ("entity", "match_id", "doc_key")      # a table is dealt by the first of these that it has
 BUCKET, COMMIT = "bucket", "commit"
 BUCKETS = 64
 COMMITS = "version long, commit string, table_name string, replaces boolean, buckets int, columns string"
@@ -50,9 +50,11 @@ class TableStore:
     def version(self) -> int:
         return max((r["version"] for r in self._commits()), default=0)
 
-    def _live(self) -> dict[str, list]:
+    def _live(self, upto: int | None = None) -> dict[str, list]:
         out: dict[str, list] = {}
         for r in self._commits():
+            if upto is not None and r["version"] > upto:
+                break
             out[r["table_name"]] = [*([] if r["replaces"] else out.get(r["table_name"], [])), r]
         return out
 
@@ -66,9 +68,17 @@ class TableStore:
     def bucket(self, key: str) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
 
-    def read(self, table: str, buckets=None) -> DataFrame | None:
-        """The table, None if there is none; with ``buckets`` only the files of these."""
-        commits = self._live().get(table)
+    def last_commit(self, table: str):
+        """The row of the commit table that last touched a table, None if there is none."""
+        return next((r for r in reversed(self._commits()) if r["table_name"] == table), None)
+
+    def replaced_after(self, table: str, version: int) -> bool:
+        return any(r["table_name"] == table and r["replaces"] and r["version"] > version for r in self._commits())
+
+    def read(self, table: str, buckets=None, after: int = 0, upto: int | None = None) -> DataFrame | None:
+        """The table, None if there is none; with ``buckets`` only the files of these,
+        with ``after`` / ``upto`` only what versions after / up to that one added."""
+        commits = [r for r in self._live(upto).get(table, ()) if r["version"] > after]
         if not commits:
             return None
         columns = T.StructType.fromJson(json.loads(commits[-1]["columns"]))
