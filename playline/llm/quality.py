@@ -5,14 +5,22 @@ cutoffs come from labelled documents: per stratum (language) and rule, the
 false-rejection count ``k`` among ``n`` good documents is tested against the
 exact binomial law; a cutoff is certified when the Clopper-Pearson upper bound
 of its false-rejection rate stays within ``alpha`` at level
-``delta / (strata * rules)``. ``k`` falls as the cutoff rises, so each (stratum,
-rule) pair is one fixed-sequence test and Bonferroni over the pairs bounds the
-family-wise error by ``delta``. Among the certified cutoffs the one with the
-best (bad rejected - cost * good rejected) is used; ties take the laxest.
+``delta / ((languages + 1) * rules)``. ``k`` falls as the cutoff rises, so each
+(stratum, rule) pair is one fixed-sequence test and Bonferroni over the pairs
+bounds the family-wise error by ``delta``. Among the certified cutoffs the one
+with the best (bad rejected - cost * good rejected) is used; ties take the laxest.
+
+Languages with so few good labels that not even 0 false rejections would certify
+anything form one pooled stratum with its own share of ``delta``: its cutoffs hold
+for all of them, and the bound for their documents taken together. If the pool is
+too small for ``alpha`` it is tested at the least of ``pool_risks`` that its size
+can support. Pool and risk follow from counts of good labels alone, never from
+what the rules reject.
 
 Defined cases: null or empty text has no words (all counts 0, base rule
-rejects it); null lang is a stratum of its own; a stratum with too few good
-labels certifies nothing, so only the base rule applies; repeated documents
+rejects it); null lang is a language of its own; a pool too small for every
+risk certifies nothing, so only the base rule applies; so it does in languages
+without labels; repeated documents
 each count; several labels for one id count once, good if any says good; null
 ids match no label. Extra columns of ``docs`` are left alone by ``filter_docs``.
 Repeated three-word windows are found by their 64-bit hash within a document.
@@ -27,6 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from playline.llm.common import documents, stored, text_of, words_of
 
 ALPHA, DELTA, COST = 0.005, 0.05, 20
+POOL_RISKS = (0.005, 0.01, 0.02)    # risks the pool of small languages may be tested at, never below alpha
 RULES: dict[str, list[float]] = {
     "symbol_rate": [0.1, 0.2, 0.3, 0.5, 0.75, 1.0, 1.5, 2.0],
     "dup_line_share": [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.75, 0.9],
@@ -99,8 +108,8 @@ def certified(k: int, n: int, alpha: float, level: float) -> bool:
 
 
 def thresholds(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA,
-               cost: float = COST) -> dict[tuple[str | None, str], float]:
-    """Certified cutoff per (stratum, rule).
+               cost: float = COST, pool_risks=POOL_RISKS) -> dict[tuple[str | None, str], float]:
+    """Certified cutoff per (language, rule).
 
     One aggregate over all labelled documents; what reaches the driver is one
     row of counts per language."""
@@ -115,20 +124,27 @@ def thresholds(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, del
             sums += [F.count_if(hit & F.col("_good")).alias(f"g_{rule}_{j}"),
                      F.count_if(hit & ~F.col("_good")).alias(f"b_{rule}_{j}")]
     counts = [r for r in rows.groupBy("lang").agg(*sums).collect() if r["judged"]]
-    level = delta / max(1, len(counts) * len(RULES))
+    level = delta / ((len(counts) + 1) * len(RULES))
+    able = lambda n, a: certified(0, n, a, level)
+    strata = [([r["lang"]], alpha, [r]) for r in counts if able(r["n"], alpha)]
+    pool = [r for r in counts if not able(r["n"], alpha)]
+    risk = next((a for a in sorted({alpha, *pool_risks}) if a >= alpha and able(sum(r["n"] for r in pool), a)), None)
+    if risk is not None:
+        strata.append(([r["lang"] for r in pool], risk, pool))
     chosen = {}
-    for r in counts:
+    for langs, a, members in strata:
+        total = lambda name: sum(r[name] for r in members)  # noqa: E731,B023
         for rule, grid in RULES.items():
             best = None
             for j in reversed(range(len(grid))):  # laxest first
-                good, bad = r[f"g_{rule}_{j}"], r[f"b_{rule}_{j}"]
-                if not certified(good, r["n"], alpha, level):
+                good, bad = total(f"g_{rule}_{j}"), total(f"b_{rule}_{j}")
+                if not certified(good, total("n"), a, level):
                     break
                 score = bad - cost * good
                 if score > 0 and (best is None or score > best[0]):
                     best = (score, grid[j])
             if best:
-                chosen[(r["lang"], rule)] = best[1]
+                chosen.update({(lang, rule): best[1] for lang in langs})
     return chosen
 
 
@@ -187,15 +203,22 @@ cut(rule, c) AS (VALUES {cut}),
 lab AS (SELECT doc_id, max(quality) > 0 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
 lv AS (SELECT v.*, good FROM v JOIN lab USING (doc_id) WHERE NOT base_failed),
 strata AS (SELECT lang, count(DISTINCT rid) FILTER (good) AS n FROM lv GROUP BY lang),
-k AS (SELECT lv.lang, rule, c, count(*) FILTER (good AND x >= c) AS g, count(*) FILTER (NOT good AND x >= c) AS b
-  FROM lv JOIN cut USING (rule) GROUP BY ALL),
+lev AS (SELECT {DELTA} / ((count(*) + 1) * {len(RULES)}) AS level FROM strata),
+own AS (SELECT lang, n, pow(1 - {ALPHA}, n) <= level AS alone FROM strata, lev),
+part AS (SELECT lang, alone, CASE WHEN alone THEN lang END AS stratum FROM own),
+size AS (SELECT alone, CASE WHEN alone THEN lang END AS stratum, sum(n)::BIGINT AS n FROM own GROUP BY ALL),
+risk AS (SELECT alone, stratum, n, level, min(r) AS a FROM size, lev, (VALUES {", ".join(f"({a})" for a in POOL_RISKS)}) AS t(r)
+  WHERE pow(1 - r, n) <= level GROUP BY ALL),
+k AS (SELECT alone, stratum, rule, c, count(*) FILTER (good AND x >= c) AS g, count(*) FILTER (NOT good AND x >= c) AS b
+  FROM lv JOIN cut USING (rule) JOIN part ON part.lang IS NOT DISTINCT FROM lv.lang GROUP BY ALL),
 ok AS (SELECT k.*, n > 0 AND list_sum(list_transform(range(0, g + 1), lambda i: CASE WHEN i > n THEN 0 ELSE
-    exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA}) + (n - i) * ln(1 - {ALPHA})) END))
-    <= {DELTA} / ((SELECT count(*) FROM strata) * {len(RULES)}) AS good_enough
-  FROM k JOIN strata ON k.lang IS NOT DISTINCT FROM strata.lang),
-pick AS (SELECT lang, rule, c FROM ok WHERE good_enough AND b - {COST} * g > 0
-  QUALIFY row_number() OVER (PARTITION BY lang, rule ORDER BY b - {COST} * g DESC, c DESC) = 1),
-bad AS (SELECT DISTINCT rid FROM v JOIN pick p ON p.rule = v.rule AND p.lang IS NOT DISTINCT FROM v.lang WHERE x >= c)
+    exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(a) + (n - i) * ln(1 - a)) END))
+    <= level AS good_enough
+  FROM k JOIN risk ON k.alone = risk.alone AND k.stratum IS NOT DISTINCT FROM risk.stratum),
+pick AS (SELECT alone, stratum, rule, c FROM ok WHERE good_enough AND b - {COST} * g > 0
+  QUALIFY row_number() OVER (PARTITION BY alone, stratum, rule ORDER BY b - {COST} * g DESC, c DESC) = 1),
+bad AS (SELECT DISTINCT rid FROM v JOIN part ON part.lang IS NOT DISTINCT FROM v.lang
+  JOIN pick p ON p.rule = v.rule AND p.alone = part.alone AND p.stratum IS NOT DISTINCT FROM part.stratum WHERE x >= c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND bad.rid IS NULL AS kept FROM f LEFT JOIN bad USING (rid)"""
 

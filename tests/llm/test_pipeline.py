@@ -38,21 +38,27 @@ def plain_kept(rows, labels, alpha=0.005, delta=0.05, cost=20):
                                  "shout_rate": shouts / n, "word_length": chars / n}
     judged = [(lang, good[d], v) for d, (lang, failed, v) in seen.items() if d in good and not failed]
     langs = {x[0] for x in judged}
+    level = delta / ((len(langs) + 1) * 5)
+    count = {x: sum(g for lang, g, _ in judged if lang == x) for x in langs}
+    small = {x for x in langs if (1 - alpha) ** count[x] > level}
+    together = sum(count[x] for x in small)
+    risks = [a for a in (0.005, 0.01, 0.02) if (1 - a) ** together <= level]
+    strata = [({x}, alpha) for x in langs - small] + ([(small, risks[0])] if risks else [])
     cutoffs = []
-    for lang in langs:
-        mine = [(g, v) for x, g, v in judged if x == lang]
+    for members, a in strata:
+        mine = [(g, v) for x, g, v in judged if x in members]
         n = sum(g for g, _ in mine)
         for rule, grid in quality.RULES.items():
             best = None
             for c in reversed(grid):
                 lost = sum(g and v[rule] >= c for g, v in mine)
-                if not n or sum(math.comb(n, i) * alpha ** i * (1 - alpha) ** (n - i) for i in range(lost + 1)) > delta / (len(langs) * 5):
+                if sum(math.comb(n, i) * a ** i * (1 - a) ** (n - i) for i in range(lost + 1)) > level:
                     break
                 score = sum(not g and v[rule] >= c for g, v in mine) - cost * lost
                 if score > 0 and (best is None or score > best[0]):
                     best = score, c
             if best:
-                cutoffs.append((lang, rule, best[1]))
+                cutoffs += [(x, rule, best[1]) for x in members]
     return cutoffs, {d for d, (lang, failed, v) in seen.items()
                      if not failed and not any(x == lang and v[rule] >= c for x, rule, c in cutoffs)}
 

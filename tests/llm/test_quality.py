@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 
 from playline.llm import quality as Q
-from tests.llm.helpers import awkward, empty, prose, row
+from tests.llm.helpers import SCHEMA, awkward, empty, prose, row
 
 
 def brute(text):
@@ -53,6 +53,42 @@ def test_cutoffs_keep_their_promise(spark):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, k in out.items() if k}
 
 
+def test_small_languages_share_a_pool(spark):
+    """Three languages that certify nothing alone: 240, 230 and 0 good labels. Together 470 support a risk of 2 %."""
+    langs = ("de", "fr", None)
+    good = [row(1000 * (i % 2) + i, prose(i, 80), langs[i % 2]) for i in range(470)]
+    bad = [row(5000 + i, " ".join(f"w{i}x{j}!!" for j in range(80)), langs[i % 3]) for i in range(60)]
+    docs = spark.createDataFrame(good + bad + [row(7000, bad[0][1], "unlabelled")], SCHEMA)
+    labels = spark.createDataFrame([(r[0], int(r[0] < 5000), 0) for r in good + bad], "doc_id long, quality int, toxic int")
+    m = Q.measures(docs.select("doc_id", "lang", "text")).drop("text")
+    cutoffs = Q.thresholds(m, labels)
+    assert {lang for lang, _ in cutoffs} == set(langs) and len({(r, c) for (_, r), c in cutoffs.items()}) == len(cutoffs) / 3
+    level = Q.DELTA / (4 * len(Q.RULES))
+    assert Q.certified(0, 470, 0.02, level) and not Q.certified(0, 470, 0.01, level) and not Q.certified(0, 240, 0.02, level)
+    assert not Q.thresholds(m, labels, pool_risks=(0.005, 0.01))
+    out = {r["doc_id"]: r["kept"] for r in Q.judge(docs, labels).collect()}
+    assert {i for i, k in out.items() if k} == {r[0] for r in good} | {7000}
+
+
+def test_pooled_matches_sql(spark, tmp_path):
+    """One language on its own, two in the pool, against the DuckDB statement."""
+    import duckdb
+    rows = [row(i, prose(i, 60 + i % 9) + " !" * (i % 7), ("en", "en", "en", "de", "fr")[i % 5]) for i in range(2400)]
+    rows += [row(5000 + i, prose(i, 60) + " #" * (20 + i), ("en", "de", None)[i % 3]) for i in range(60)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(r[0], int(r[0] < 5000 or i % 20 == 0), 0) for i, r in enumerate(rows)], "doc_id long, quality int, toxic int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    want = {r[0]: r[-1] for r in con.execute(Q.ORACLE).fetchall()}
+    got = {r["doc_id"]: r["kept"] for r in Q.op6_quality_rules(spark, str(tmp_path)).collect()}
+    assert got == want
+    lost = {d for d, k in got.items() if not k}
+    assert {"en", "de", None} <= {r[2] for r in rows if r[0] in lost}
+
+
 def test_awkward_rows(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = awkward(spark)
