@@ -211,6 +211,33 @@ def write_strays(tables: dict[str, DataFrame], path: str, tick_ms: int) -> str:
     return path
 
 
+def write_null_counters(tables: dict[str, DataFrame], path: str, tick_ms: int) -> str:
+    """A landing whose documents, by their player's number, keep their kills, lack them or have them as null."""
+    kind = F.split("match_id", "-")[0].cast("long") % 3
+    text = (F.when(kind == 1, F.regexp_replace("value", '"kills":[0-9]+,', ""))
+            .when(kind == 2, F.regexp_replace("value", '"kills":[0-9]+,', '"kills":null,')).otherwise(F.col("value")))
+    detail_documents(tables["sessions"]).select(text.alias("value")).write.mode("error").text(f"{path}/detail")
+    return write_landing(tables, path, tick_ms, details=False)
+
+
+def write_files(tables: dict[str, DataFrame], path: str, tick_ms: int) -> str:
+    """The ``files`` layout: one document per file, all in one folder, named after its session.
+
+    Tasks write the files themselves (Spark's writers name no files); a task that
+    runs twice writes the same bytes again."""
+    def write_each(rows):
+        from pyarrow import fs
+        where, root = fs.FileSystem.from_uri(path)
+        where.create_dir(root, recursive=True)
+        for stem, value in rows:
+            with where.open_output_stream(f"{root}/{stem}.json") as out:
+                out.write(value.encode())
+    for kind, docs in (("", detail_documents(tables["sessions"])),
+                       ("_timeline", timeline_documents(tables["sessions"], tables["ticks"], tables["incidents"], tick_ms))):
+        docs.select(F.concat("match_id", F.lit(kind)), "value").foreachPartition(write_each)
+    return path
+
+
 def write_duplicates(tables: dict[str, DataFrame], path: str, tick_ms: int) -> str:
     """A second pair of documents for every session, later in file order and
     smaller in every counter: it must lose."""

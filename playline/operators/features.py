@@ -265,11 +265,13 @@ def temporal(scoped: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- D6 -------
 def feature_matrix(sessions: DataFrame, ticks: DataFrame, incidents: DataFrame,
-                   cfg: AnalysisConfig = DEFAULT) -> DataFrame:
-    """One NULL-free row per scoped session (19 columns, contract order)."""
+                   cfg: AnalysisConfig = DEFAULT, baselines: DataFrame | None = None) -> DataFrame:
+    """One NULL-free row per scoped session (19 columns, contract order).
+
+    ``baselines``: the result of ``tick_baselines`` where it is stored already."""
     sc = scope(sessions, cfg)
     st = in_scope(ticks, sc)
-    base = tick_baselines(st, cfg)        # one aggregate for both baselines
+    base = tick_baselines(st, cfg) if baselines is None else baselines        # one aggregate for both baselines
     a = anchors(st, cfg)                  # one anchor pass and one mean for swings and incident context
     mean = mean_anchor(a)
     inc = incident_agg(incident_context(sessions, ticks, incidents, cfg, baselines=base, anchor_rows=a, mean=mean))

@@ -259,3 +259,4 @@ def _surrogates(s, sf):
 from playline.plans import catalog_reports  # noqa: E402,F401
 from playline.plans import catalog_ingest  # noqa: E402,F401
 from playline.plans import catalog_models  # noqa: E402,F401
+from playline.plans import catalog_stored  # noqa: E402,F401

@@ -60,23 +60,9 @@ register("ingest_duplicates_ticks", R("SELECT * FROM ticks"))(
 
 @register("ingest_files", R(SESSIONS, "kda", "cs_per_min"))
 def _files(s, sf):
-    """The landing of the analysed application: the player's documents, one object per file.
-
-    Spark writes the files (one document a line per file is the same as one
-    object per file for a multi-line reader, so each session gets a partition of its own)."""
-    path, t = shared_path(s, "landing"), _tables(s, sf)
-    for kind, docs in (("", LD.detail_documents(t["sessions"])),
-                       ("_timeline", LD.timeline_documents(t["sessions"], t["ticks"], t["incidents"], CFG.tick_ms))):
-        docs.select("value", F.concat(F.col("match_id"), F.lit(kind)).alias("stem")).write.partitionBy("stem").text(
-            f"{path}/parts{kind}")
-    docs = (s.read.schema(D.DOC_SCHEMA).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt_record")
-            .option("recursiveFileLookup", True).json([f"{path}/parts", f"{path}/parts_timeline"]))
-    stem = F.regexp_extract("_metadata.file_path", r"stem=([^/]+)/", 1)
-    rows = docs.select(F.regexp_replace(stem, "_timeline$", "").alias("doc_key"),
-                       F.when(stem.endswith("_timeline"), F.lit("timeline")).otherwise(F.lit("detail")).alias("kind"),
-                       F.concat(stem, F.lit(".json")).alias("file_name"), F.col("_metadata.file_path").alias("path"),
-                       F.col("_metadata.file_block_start").alias("block"), "metadata", "info", "_corrupt_record")
-    return D.flatten(D.with_arrival(rows), player(), CFG.tick_ms)["sessions"]
+    """The landing of the analysed application: the player's documents, one object per file."""
+    path = LD.write_files(_tables(s, sf), shared_path(s, "landing"), CFG.tick_ms)
+    return D.flatten(D.read_documents(s, path, "files"), player(), CFG.tick_ms)["sessions"]
 
 
 _REASONS = " UNION ALL ".join(

@@ -31,6 +31,8 @@ from playline.schemas import INCIDENTS_SCHEMA, TICKS_SCHEMA, conform, sessions_s
 # Document vocabulary.
 KILL_EVENT = "CHAMPION_KILL"
 RIVAL_POSITION = "MIDDLE"
+COUNTERS = ("kills", "deaths", "assists", "totalMinionsKilled", "neutralMinionsKilled", "goldEarned",
+            "totalDamageDealtToChampions", "visionScore")
 #: In place of a player's id: a session for every player that a document lists.
 EVERY = "*"
 SEAT = "/"          # between document id and player id in the session ids that EVERY gives
@@ -129,7 +131,18 @@ def seats(people: Column) -> Column:
     return F.filter(people, lambda p, i: p.puuid.isNotNull() & (F.array_position(ids, p.puuid) == i + 1))
 
 
-def pair_documents(docs: DataFrame, player: str | Column, rival_position: str = RIVAL_POSITION) -> dict[str, DataFrame]:
+def null_counter(texts: Column, player: Column) -> Column:
+    """True if the player's participant has a counter that is there and null (a missing one is not)."""
+    own = F.try_element_at(F.filter(F.coalesce(texts, F.array().cast(TEXTS)), lambda x: F.ltrim(x).startswith("{") & (
+        F.get_json_object(x, "$.puuid") == player)), F.lit(1))
+    value, found = F.try_parse_json(own), F.lit(False)
+    for name in COUNTERS:
+        found = found | F.coalesce(F.is_variant_null(F.try_variant_get(value, f"$.{name}", "variant")), F.lit(False))
+    return found
+
+
+def pair_documents(docs: DataFrame, player: str | Column, rival_position: str = RIVAL_POSITION,
+                   strict: bool = False) -> dict[str, DataFrame]:
     """Paired (detail, timeline) rows with the reason why a document can't be used.
 
     ``player``: the tracked player's id, or a column that gives it for each
@@ -141,6 +154,8 @@ def pair_documents(docs: DataFrame, player: str | Column, rival_position: str =
 
     * malformed JSON, missing required fields, player absent, participant id
       absent, frames not a list  -> quarantine with a reason;
+    * a counter of the player that is null: 0 like a missing one; with ``strict``
+      -> quarantine 'null counter', as in the analysed application;
     * detail without timeline -> quarantine 'timeline missing' (retried later);
     * timeline without detail -> ignored (``orphans`` for inspection).
     """
@@ -172,6 +187,8 @@ def pair_documents(docs: DataFrame, player: str | Column, rival_position: str =
               .when(F.col("own").isNull(), F.lit("player not found"))
               .when(F.col("own.participantId").isNull(), F.lit("participant id missing"))
               .when(F.col("own.championName").isNull() | F.col("own.win").isNull(), F.lit("missing required field")))
+    if strict:
+        reason = reason.when(null_counter(F.col("info.participants"), F.col("player")), F.lit("null counter"))
     rival = F.try_element_at(F.filter(
         "_people",
         lambda p: (F.coalesce(p.teamId, F.lit(0)) != F.coalesce(F.col("own.teamId"), F.lit(0)))
