@@ -52,27 +52,34 @@ def R(sql_body: str, *double_cols: str, extra: str = "") -> str:
 _MATERIALISED: dict = {}
 
 
-def T3(spark: SparkSession, sf: str):
-    """The adapter's (sessions, ticks, incidents) for ``sf``.
+def derived(spark: SparkSession, sf: str, *names: str) -> tuple[DataFrame, ...]:
+    """Tables of the adapter for ``sf``.
 
-    Derived from ``events`` once per Spark application and scale folder and
-    written as Parquet under the shared checkpoint folder; every query then
-    reads that Spark-derived copy (a query still scans whole tables)."""
+    Each is derived from ``events`` once per Spark application and scale folder,
+    when a query first asks for it, and written as Parquet under the shared
+    checkpoint folder; every query then reads that Spark-derived copy (a query
+    still scans whole tables)."""
     key = (spark.sparkContext.applicationId, os.path.abspath(sf))
-    root = _MATERIALISED.get(key)
-    if root is None:
-        ev = adapter.load_events(spark, sf)
-        root = shared_path(spark, "adapter")
-        adapter.sessions(ev).write.parquet(f"{root}/sessions")
-        adapter.ticks(ev).write.parquet(f"{root}/ticks")
-        # incidents read the written ticks back: they are computed once
-        adapter.incidents(ev, spark.read.parquet(f"{root}/ticks")).write.parquet(f"{root}/incidents")
-        _MATERIALISED[key] = root
-    return tuple(spark.read.parquet(f"{root}/{n}") for n in ("sessions", "ticks", "incidents"))
+    at = _MATERIALISED.setdefault(key, {})
+    root = at.setdefault("", shared_path(spark, "adapter"))
+    for name in names:
+        if name not in at:
+            ev = adapter.load_events(spark, sf)
+            # incidents read the written ticks back: they are computed once
+            rows = (adapter.incidents(ev, *derived(spark, sf, "ticks")) if name == "incidents"
+                    else getattr(adapter, name)(ev))
+            rows.write.mode("overwrite").parquet(f"{root}/{name}")   # over what a failed try may have left
+            at[name] = f"{root}/{name}"
+    return tuple(spark.read.parquet(at[name]) for name in names)
+
+
+def T3(spark: SparkSession, sf: str):
+    """The adapter's (sessions, ticks, incidents) for ``sf``."""
+    return derived(spark, sf, "sessions", "ticks", "incidents")
 
 
 def T2(spark: SparkSession, sf: str):
-    return T3(spark, sf)[:2]
+    return derived(spark, sf, "sessions", "ticks")
 
 
 FEAT = feature_ctes(1.5)
@@ -90,7 +97,7 @@ def _incidents_table(s, sf):
 
 # ---------------------------------------------------------------- P1 -------
 register("scope_sessions", R("SELECT * FROM scoped", "kda", "cs_per_min"))(
-    lambda s, sf: FT.scope(T2(s, sf)[0], CFG))
+    lambda s, sf: FT.scope(*derived(s, sf, "sessions"), CFG))
 
 
 @register("scope_ticks", R("SELECT * FROM scoped_ticks"))

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from playline.functions.scalars import micros_since
 from playline.operators.sequence import number_rows
 from playline.schemas import INCIDENTS_SCHEMA, TICKS_SCHEMA, conform, sessions_schema
+from playline.session import cut_lineage
 
 # Adapter geometry.
 EPOCH = "2024-01-01 00:00:00"
@@ -86,12 +87,11 @@ def sessions(events: DataFrame) -> DataFrame:
         "gold_earned",
         F.col("damage").alias("damage_dealt_to_champions"),
         F.col("n_events").alias("vision_score"))
-    rival = base.select(
-        F.col("user_id").bitwiseXOR(F.lit(1)).alias("_ru"), F.col("blk").alias("_rb"),
-        F.col("champion_name").alias("opp_champion_name"), F.col("cs_total").alias("opp_cs_total"),
-        F.col("gold_earned").alias("opp_gold_earned"), F.col("kills").alias("opp_kills"),
-        F.col("deaths").alias("opp_deaths"), F.col("assists").alias("opp_assists"))
-    joined = base.join(rival, (base.user_id == rival._ru) & (base.blk == rival._rb), "left")
+    # users 2n and 2n + 1 of a block are each other's rival: two neighbours in one window of at most two rows
+    w = Window.partitionBy(F.shiftright("user_id", 1), "blk").orderBy("user_id")
+    facing = F.struct("champion_name", "cs_total", "gold_earned", "kills", "deaths", "assists")
+    met = base.withColumn("_r", F.when(F.col("blk").isNotNull(), F.coalesce(F.lag(facing).over(w), F.lead(facing).over(w))))
+    joined = met.select("*", *[F.col(f"_r.{c}").alias(f"opp_{c}") for c in ("champion_name", "cs_total", "gold_earned", "kills", "deaths", "assists")])
     return conform(joined, sessions_schema(events.schema["ts"].dataType))
 
 
@@ -118,7 +118,7 @@ def ticks(events: DataFrame) -> DataFrame:
     carry no cs or kills).
     """
     ev = event_frame(events)
-    parts = _tick_parts(ev)
+    parts = cut_lineage(_tick_parts(ev))      # read twice, aggregated once
     trailing = (ev.where("is_err").select("match_id", "tick", "ts", "event_id", "cents")
                 .join(parts.select("match_id", "tick", "last_ne"), ["match_id", "tick"])
                 .where(F.col("last_ne").isNotNull()
