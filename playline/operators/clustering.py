@@ -20,6 +20,8 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -133,6 +135,31 @@ def _per_restart(points: DataFrame, centers: dict[int, list]) -> DataFrame:
         "match_id", "p", "r", "m.d", "m.c")
 
 
+def _cluster_sums(points: DataFrame, centers: dict[int, list]) -> list:
+    """One row per restart and cluster: (r, c, n, s: sum of its points), each point with its nearest
+    centroid, ties to the lower index. Tasks add up their rows in numpy; what is shuffled is a
+    row per task, restart and cluster."""
+    held = {r: np.array(cs, dtype=float) for r, cs in sorted(centers.items())}
+
+    def run(batches):
+        n = {r: np.zeros(len(c), dtype=np.int64) for r, c in held.items()}
+        total = {r: np.zeros(c.shape) for r, c in held.items()}
+        for batch in batches:
+            p = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            for r, cs in held.items():
+                near = np.argmin(np.stack([((p - c) ** 2).sum(axis=1) for c in cs]), axis=0) if batch.num_rows else np.empty(0, dtype=np.int64)
+                n[r] += np.bincount(near, minlength=len(cs))
+                for i in range(p.shape[1] if batch.num_rows else 0):
+                    total[r][:, i] += np.bincount(near, p[:, i], len(cs))
+        rows = [(r, c, int(n[r][c]), total[r][c].tolist()) for r in held for c in np.flatnonzero(n[r]).tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(col), t) for col, t in zip(zip(*rows) if rows else [()] * 4, (
+            pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float64())))], names=["r", "c", "n", "s"])
+
+    width = len(next(iter(centers.values()))[0])
+    return (points.select("p").mapInArrow(run, "r int, c int, n long, s array<double>").groupBy("r", "c")
+            .agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("s")[i]) for i in range(width)]).alias("s")).collect())
+
+
 def hash_uniform(seed: int, restart, step: int, key: str = "match_id") -> Column:
     """A number in (0, 1) that every engine with MD5 gives alike."""
     text = F.concat_ws(":", F.lit(str(seed)), F.lit(restart).cast("string"), F.lit(str(step)), F.col(key))
@@ -167,11 +194,9 @@ def lloyd(points: DataFrame, centers: dict[int, list], max_iter: int = 300, tol:
     for _ in range(max_iter):
         if not live:
             break
-        n = len(live[min(live)][0])
-        means = _per_restart(points, live).groupBy("r", "c").agg(F.array(*[F.avg(F.col("p")[i]) for i in range(n)]).alias("m")).collect()
         now = {r: [list(c) for c in cs] for r, cs in live.items()}
-        for x in means:
-            now[x["r"]][x["c"]] = list(x["m"])
+        for x in _cluster_sums(points, live):
+            now[x["r"]][x["c"]] = [v / x["n"] for v in x["s"]]
         for r, cs in now.items():
             moved = max(sum((a - b) ** 2 for a, b in zip(new, old)) for new, old in zip(cs, live[r]))
             if moved <= tol * tol:
