@@ -8,7 +8,7 @@ alone; a session with a rival lists a second candidate after it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from playline.functions.scalars import to_epoch_ms
 from playline.operators.sequence import number_rows
@@ -86,8 +86,8 @@ def write_shared(tables: dict[str, DataFrame], path: str, tick_ms: int) -> str:
     doc = F.struct(F.struct(F.col("doc").alias("matchId")).alias("metadata"),
                    F.struct(first.created.alias("gameCreation"), first.version.alias("gameVersion"), first.duration.alias("gameDuration"),
                             first.queue.alias("queueId"), F.transform("rows", lambda r: r.own).alias("participants")).alias("info"))
-    docs.select(F.to_json(doc).alias("value")).write.mode("error").text(f"{path}/detail")
-    timeline_documents(tables["sessions"], tables["ticks"], tables["incidents"], tick_ms, seats).select("value").write.mode("error").text(f"{path}/timeline")
+    write_documents(docs.select(F.to_json(doc).alias("value")), f"{path}/detail")
+    write_documents(timeline_documents(tables["sessions"], tables["ticks"], tables["incidents"], tick_ms, seats), f"{path}/timeline")
     return path
 
 
@@ -95,54 +95,71 @@ def timeline_documents(sessions: DataFrame, ticks: DataFrame, incidents: DataFra
     """Frames per session: one per tick row (snapshot + kill events for the
     kill-count delta), a stale earlier frame every third tick, and
     snapshot-less frames for ticks that only hold incidents. With ``seats``
-    the frames of all players of a document are in one timeline."""
+    the frames of all players of a document are in one timeline.
+
+    Ticks and incidents are shuffled once each, by session; frames are made inside its row."""
     if seats is None:
-        seats, other = sessions.select("match_id", F.col("match_id").alias("doc"), F.lit(1).alias("pid")), 2
+        at, other = sessions.groupBy("match_id").agg(F.count(F.lit(1)).cast("int").alias("copies")).withColumn("pid", F.lit(1)), 2
     else:
-        other = 0
-    w = Window.partitionBy("match_id").orderBy("timestamp_min")
-    pf = F.struct(F.col("gold").alias("totalGold"), F.col("cs").alias("minionsKilled"),
-                  F.lit(0).alias("jungleMinionsKilled"), F.col("xp").alias("xp"),
-                  F.when(F.col("position_x").isNotNull(),
-                         F.struct(F.col("position_x").alias("x"), F.col("position_y").alias("y"))).alias("position"))
-    kill_delta = F.col("kills") - F.coalesce(F.lag("kills").over(w), F.lit(0))
-    t = ticks.select("match_id", "timestamp_min", pf.alias("pf"), kill_delta.alias("kd"), "gold")
-    deaths = (incidents.groupBy("match_id", "timestamp_min")
-              .agg(F.sort_array(F.collect_list(F.struct("death_number", "timestamp_ms"))).alias("d")))
-    f = t.join(deaths, ["match_id", "timestamp_min"], "full").join(seats, "match_id")
-    ts = F.col("timestamp_min").cast("long") * F.lit(tick_ms) + F.lit(1000)
-    kill_events = F.transform(F.sequence(F.lit(1), F.greatest(F.coalesce("kd", F.lit(0)), F.lit(0)) + 1),
-                              lambda i: F.named_struct(F.lit("type"), F.lit(KILL_EVENT), F.lit("killerId"), F.col("pid"),
-                                                       F.lit("victimId"), F.lit(other), F.lit("timestamp"), ts))
-    kill_events = F.slice(kill_events, 1, F.greatest(F.coalesce("kd", F.lit(0)), F.lit(0)))
-    death_events = F.transform(F.coalesce("d", F.array().cast("array<struct<death_number:int,timestamp_ms:bigint>>")),
-                               lambda e: F.named_struct(F.lit("type"), F.lit(KILL_EVENT), F.lit("killerId"), F.lit(other),
-                                                        F.lit("victimId"), F.col("pid"), F.lit("timestamp"), e.timestamp_ms))
-    empty_map = F.create_map().cast(T.MapType(T.StringType(), PARTICIPANT_FRAME))
-    key = F.col("pid").cast("string")
-    real = f.select("doc", F.struct(
-        ts.alias("timestamp"),
-        F.when(F.col("pf").isNotNull(), F.create_map(key, F.col("pf"))).otherwise(empty_map)
-        .alias("participantFrames"),
-        F.concat(kill_events, death_events).cast(T.ArrayType(EVENT)).alias("events")).alias("frame"))
-    stale_pf = F.struct((F.col("gold") - 7).alias("totalGold"), F.lit(0).alias("minionsKilled"),
-                        F.lit(0).alias("jungleMinionsKilled"), F.lit(0).alias("xp"),
-                        F.lit(None).cast("struct<x:int,y:int>").alias("position"))
-    stale = (t.where(F.col("timestamp_min") % STALE_EVERY == 0).join(seats, "match_id")
-             .select("doc", F.struct(
-                 (F.col("timestamp_min").cast("long") * F.lit(tick_ms)).alias("timestamp"),
-                 F.create_map(key, stale_pf).alias("participantFrames"),
-                 F.array().cast(T.ArrayType(EVENT)).alias("events")).alias("frame")))
-    frames = (real.unionByName(stale).groupBy("doc")
-              .agg(F.array_sort(F.collect_list("frame"),
-                                lambda a, b: F.when(a.timestamp < b.timestamp, -1)
-                                .when(a.timestamp > b.timestamp, 1).otherwise(0)).alias("frames")))
-    doc = F.struct(F.struct(F.col("doc").alias("matchId")).alias("metadata"),
-                   F.struct(F.col("frames").alias("frames")).alias("info"))
+        at, other = seats, 0
+    t = ticks.groupBy("match_id").agg(F.sort_array(F.collect_list(F.struct(
+        "timestamp_min", "kills", "gold", "cs", "xp", "position_x", "position_y"))).alias("t"))
+    d = incidents.groupBy("match_id").agg(F.sort_array(F.collect_list(F.struct("death_number", "timestamp_ms", "timestamp_min"))).alias("d"))
+    rows = at.join(t, "match_id", "left").join(d, "match_id", "left")
+    # plain columns from here on: what a lambda reads of its row is not worked out again for every element
+    rows = rows.withColumns({c: F.coalesce(c, F.array().cast(rows.schema[c].dataType)) for c in ("t", "d")})
+    key, events, snaps = F.col("pid").cast("string"), T.ArrayType(EVENT), T.MapType(T.StringType(), PARTICIPANT_FRAME)
+    frame = "struct<timestamp:bigint,participantFrames:{},events:{}>".format(snaps.simpleString(), events.simpleString())
+
+    def snapshot(x):
+        return F.struct(x.gold.alias("totalGold"), x.cs.alias("minionsKilled"), F.lit(0).alias("jungleMinionsKilled"), x.xp.alias("xp"),
+                        F.when(x.position_x.isNotNull(), F.struct(x.position_x.alias("x"), x.position_y.alias("y"))).alias("position"))
+
+    def kill(killer, victim, at_ms):
+        return F.named_struct(F.lit("type"), F.lit(KILL_EVENT), F.lit("killerId"), killer, F.lit("victimId"), victim, F.lit("timestamp"), at_ms)
+
+    def deaths(tick):
+        return F.transform(F.filter("d", lambda e: e.timestamp_min.eqNullSafe(tick)), lambda e: kill(F.lit(other), F.col("pid"), e.timestamp_ms))
+
+    def begin(tick):
+        return tick.cast("long") * F.lit(tick_ms)
+
+    def real(x, i):
+        ts = begin(x.timestamp_min) + F.lit(1000)
+        n = F.greatest(F.coalesce(x.kills - F.coalesce(F.get(F.col("t"), i - 1)["kills"], F.lit(0)), F.lit(0)), F.lit(0))
+        kills = F.transform(F.array_repeat(F.lit(0), n), lambda _: kill(F.col("pid"), F.lit(other), ts))
+        own = F.when(x.timestamp_min.isNotNull(), deaths(x.timestamp_min))
+        return F.struct(ts.alias("timestamp"), F.create_map(key, snapshot(x)).alias("participantFrames"),
+                        F.concat(kills, F.coalesce(own, F.array().cast(events))).alias("events")).cast(frame)
+
+    def bare(tick):
+        return F.struct((begin(tick) + F.lit(1000)).alias("timestamp"), F.create_map().cast(snaps).alias("participantFrames"),
+                        deaths(tick).alias("events")).cast(frame)
+
+    def stale(x):
+        before = F.struct((x.gold - 7).alias("totalGold"), F.lit(0).alias("minionsKilled"), F.lit(0).alias("jungleMinionsKilled"),
+                          F.lit(0).alias("xp"), F.lit(None).cast("struct<x:int,y:int>").alias("position"))
+        return F.struct(begin(x.timestamp_min).alias("timestamp"), F.create_map(key, before).alias("participantFrames"),
+                        F.array().cast(events).alias("events")).cast(frame)
+
+    rows = rows.withColumn("_held", F.transform("t", lambda x: x.timestamp_min))
+    alone = F.filter(F.array_distinct(F.transform("d", lambda e: e.timestamp_min)),
+                     lambda k: ~F.coalesce(F.array_contains("_held", k), F.lit(False)))
+    frames = F.concat(F.transform("t", real), F.transform(alone, bare),
+                      F.transform(F.filter("t", lambda x: x.timestamp_min % STALE_EVERY == 0), stale))
+    if seats is None:
+        docs = rows.select(F.col("match_id").alias("doc"), F.flatten(F.array_repeat(frames, F.col("copies"))).alias("frames"))
+    else:
+        docs = rows.select("doc", frames.alias("frames")).groupBy("doc").agg(F.flatten(F.collect_list("frames")).alias("frames"))
+    ordered = F.array_sort("frames", lambda a, b: F.when(a.timestamp < b.timestamp, -1).when(a.timestamp > b.timestamp, 1).otherwise(0))
     # a session without ticks and incidents still lands a timeline, with no frames
-    every = seats.select("doc").distinct().join(frames, "doc", "left").withColumn(
-        "frames", F.coalesce("frames", F.array().cast(frames.schema["frames"].dataType)))
-    return every.select(F.col("doc").alias("match_id"), F.to_json(doc).alias("value"))
+    doc = F.struct(F.struct(F.col("doc").alias("matchId")).alias("metadata"), F.struct(ordered.alias("frames")).alias("info"))
+    return docs.select(F.col("doc").alias("match_id"), F.to_json(doc).alias("value"))
+
+
+def write_documents(docs: DataFrame, path: str) -> None:
+    """JSON Lines, compressed: documents repeat their field names."""
+    docs.select("value").write.mode("error").option("compression", "lz4").text(path)
 
 
 def write_landing(tables: dict[str, DataFrame], path: str, tick_ms: int, part: str = "",
@@ -152,11 +169,11 @@ def write_landing(tables: dict[str, DataFrame], path: str, tick_ms: int, part: s
     let a landing arrive over several runs."""
     suffix = f"/{part}" if part else ""
     if details:
-        detail_documents(tables["sessions"]).select("value").write.mode("error").text(f"{path}/detail{suffix}")
+        write_documents(detail_documents(tables["sessions"]), f"{path}/detail{suffix}")
     t = timeline_documents(tables["sessions"], tables["ticks"], tables["incidents"], tick_ms)
     if timeline_keys is not None:
         t = t.join(timeline_keys, "match_id", "left_semi")
-    t.select("value").write.mode("error").text(f"{path}/timeline{suffix}")
+    write_documents(t, f"{path}/timeline{suffix}")
     return path
 
 
@@ -181,15 +198,15 @@ DEFECTS = {
 }
 
 
-def write_defects(tables: dict[str, DataFrame], path: str, tick_ms: int) -> str:
-    """Add the documents of DEFECTS to a landing."""
-    d = detail_documents(tables["sessions"])
-    t = timeline_documents(tables["sessions"], tables["ticks"], tables["incidents"], tick_ms)
-    for k, (tag, (of_detail, of_timeline, _)) in enumerate(DEFECTS.items()):
-        for kind, docs, edit in (("detail", d, of_detail), ("timeline", t, of_timeline)):
-            if edit is not None:
-                (docs.select(edit(_renamed("match_id", F.col("value"), tag)).alias("value"))
-                 .write.mode("error").text(f"{path}/{kind}/defect{k}"))
+def write_defects(path: str) -> str:
+    """Add the documents of DEFECTS to a landing: its own documents are read once and edited."""
+    spark = SparkSession.active()
+    for at, kind in enumerate(("detail", "timeline")):
+        edits = [(tag, edit[at]) for tag, edit in DEFECTS.items() if edit[at] is not None]
+        landed = spark.read.text(f"{path}/{kind}").select(
+            "value", F.regexp_extract("value", r'^\{"metadata":\{"matchId":"([^"]*)"', 1).alias("match_id"))
+        write_documents(landed.select(F.explode(F.array(*[edit(_renamed("match_id", F.col("value"), tag)) for tag, edit in edits]))
+                                      .alias("value")), f"{path}/{kind}/defects")
     return path
 
 
@@ -206,8 +223,8 @@ def write_strays(tables: dict[str, DataFrame], path: str, tick_ms: int) -> str:
     t = t.select(F.replace(F.replace(F.col("value"), F.lit(',]'), F.lit(']')), F.lit('"participantFrames":{'),
                            F.lit('"participantFrames":{"9":"stray",')).alias("value"))
     t = t.select(F.replace(F.col("value"), F.lit(",}"), F.lit("}")).alias("value"))
-    d.write.mode("error").text(f"{path}/detail")
-    t.write.mode("error").text(f"{path}/timeline")
+    write_documents(d, f"{path}/detail")
+    write_documents(t, f"{path}/timeline")
     return path
 
 
@@ -216,25 +233,32 @@ def write_null_counters(tables: dict[str, DataFrame], path: str, tick_ms: int) -
     kind = F.split("match_id", "-")[0].cast("long") % 3
     text = (F.when(kind == 1, F.regexp_replace("value", '"kills":[0-9]+,', ""))
             .when(kind == 2, F.regexp_replace("value", '"kills":[0-9]+,', '"kills":null,')).otherwise(F.col("value")))
-    detail_documents(tables["sessions"]).select(text.alias("value")).write.mode("error").text(f"{path}/detail")
+    write_documents(detail_documents(tables["sessions"]).select(text.alias("value")), f"{path}/detail")
     return write_landing(tables, path, tick_ms, details=False)
 
 
+SHARDS = 256
+
+
 def write_files(tables: dict[str, DataFrame], path: str, tick_ms: int) -> str:
-    """The ``files`` layout: one document per file, all in one folder, named after its session.
+    """The ``files`` layout: one document per file, named after its session, in SHARDS sub-folders
+    (a folder is listed by one task).
 
     Tasks write the files themselves (Spark's writers name no files); a task that
     runs twice writes the same bytes again."""
     def write_each(rows):
         from pyarrow import fs
         where, root = fs.FileSystem.from_uri(path)
-        where.create_dir(root, recursive=True)
-        for stem, value in rows:
-            with where.open_output_stream(f"{root}/{stem}.json") as out:
+        made = set()
+        for shard, stem, value in rows:
+            if shard not in made:
+                where.create_dir(f"{root}/{shard}", recursive=True)
+                made.add(shard)
+            with where.open_output_stream(f"{root}/{shard}/{stem}.json") as out:
                 out.write(value.encode())
     for kind, docs in (("", detail_documents(tables["sessions"])),
                        ("_timeline", timeline_documents(tables["sessions"], tables["ticks"], tables["incidents"], tick_ms))):
-        docs.select(F.concat("match_id", F.lit(kind)), "value").foreachPartition(write_each)
+        docs.select(F.pmod(F.xxhash64("match_id"), F.lit(SHARDS)), F.concat("match_id", F.lit(kind)), "value").foreachPartition(write_each)
     return path
 
 

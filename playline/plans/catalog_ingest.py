@@ -35,7 +35,7 @@ def _tables(spark, sf):
 
 def land(spark, sf, write=LD.write_landing, defects=False):
     path = write(_tables(spark, sf), shared_path(spark, "landing"), CFG.tick_ms)
-    return LD.write_defects(_tables(spark, sf), path, CFG.tick_ms) if defects else path
+    return LD.write_defects(path) if defects else path
 
 
 def flat(spark, sf, **kw):

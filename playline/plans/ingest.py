@@ -16,7 +16,8 @@ QUARANTINE = "quarantine"
 def new_rows(frames: dict[str, DataFrame], store: TableStore) -> dict[str, DataFrame]:
     """K1: the rows that the three tables do not hold yet, table by table: a
     longer re-parse of a stored session adds its new ticks and incidents."""
-    return absent_rows({t: frames[t] for t in TABLES}, store, PRIMARY_KEYS)
+    # each session at hand has its row in ``sessions``: the other tables need not be read for the ids
+    return absent_rows({t: frames[t] for t in TABLES}, store, PRIMARY_KEYS, frames["sessions"].select("match_id"))
 
 
 def ingest(spark: SparkSession, raw_path: str, store: TableStore, player: str | Column, tick_ms: int = 60_000,

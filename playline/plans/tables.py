@@ -111,28 +111,30 @@ class TableStore:
         return version
 
 
-def absent_rows(frames: dict[str, DataFrame], store: TableStore, keys: dict[str, tuple]) -> dict[str, DataFrame]:
+def absent_rows(frames: dict[str, DataFrame], store: TableStore, keys: dict[str, tuple],
+                at_hand: DataFrame | None = None) -> dict[str, DataFrame]:
     """K1: of each frame the rows whose key its table does not hold yet (the first write wins).
 
     Only files of the buckets that the new rows fall into are read (at most
     ``store.buckets`` numbers reach the driver), of them only the keys, and of
-    these only those of the sessions at hand are compared. ``keys``: the columns
-    of each table's key, the one it is dealt by first."""
-    parts = [f.select(keys[t][0]) for t, f in frames.items() if t in store.tables()]
-    if not parts:
+    these only those of the sessions at hand are compared; nothing is read for
+    tables without rows. ``keys``: the columns of each table's key, the one it is
+    dealt by first. ``at_hand``: the values of that column in all frames, where
+    they are known (one column; values may repeat)."""
+    held = [t for t in frames if t in store.tables() and not store.read(t).isEmpty()]
+    if not held:
         return dict(frames)
-    at_hand = parts[0]
-    for p in parts[1:]:
-        at_hand = at_hand.unionByName(p)
+    if at_hand is None:
+        parts = [frames[t].select(keys[t][0]) for t in held]
+        at_hand = parts[0]
+        for p in parts[1:]:
+            at_hand = at_hand.unionByName(p)
     at_hand, key = at_hand.distinct(), at_hand.columns[0]
     at = [r[0] for r in at_hand.select(store.bucket(key)).distinct().collect()]
-    out = {}
-    for table, df in frames.items():
-        old = store.read(table, at)
-        if old is not None:
-            known = old.select(*keys[table]).join(at_hand, key, "left_semi")
-            df = df.join(known, list(keys[table]), "left_anti")
-        out[table] = df
+    out = dict(frames)
+    for table in held:
+        known = store.read(table, at).select(*keys[table]).join(at_hand, key, "left_semi")
+        out[table] = frames[table].join(known, list(keys[table]), "left_anti")
     return out
 
 

@@ -23,6 +23,10 @@ id the first to arrive wins, for all three tables.
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from playline.functions.scalars import first_present, from_epoch_ms, major_minor, per_minute
@@ -84,12 +88,17 @@ def parsed_each(texts: Column, schema: T.StructType) -> Column:
 
 
 # ---------------------------------------------------------------- S1/S2 ----
+def _key_and_kind(name: Column) -> tuple[Column, Column]:
+    """doc_key and kind that a file's name gives in the ``files`` layout."""
+    return (F.regexp_extract(name, r"^(.*?)(_timeline)?\.json$", 1).alias("doc_key"),
+            F.when(name.endswith("_timeline.json"), F.lit("timeline")).otherwise(F.lit("detail")).alias("kind"))
+
+
 def document_columns(raw: DataFrame, layout: str) -> list[Column]:
     """doc_key, kind, file_name and path of documents read with DOC_SCHEMA."""
     name, path = F.col("_metadata.file_name"), F.col("_metadata.file_path")
     if layout == "files":
-        kind = F.when(name.endswith("_timeline.json"), F.lit("timeline")).otherwise(F.lit("detail"))
-        key = F.regexp_extract(name, r"^(.*?)(_timeline)?\.json$", 1)
+        key, kind = _key_and_kind(name)
     elif layout == "lines":
         kind = F.when(path.contains("/timeline/"), F.lit("timeline")).otherwise(F.lit("detail"))
         key = F.col("metadata.matchId")
@@ -106,11 +115,105 @@ def with_arrival(docs: DataFrame, run: int | Column = 0, row: Column | None = No
     return docs.select("doc_key", "kind", "file_name", place, "metadata", "info", "_corrupt_record", *more)
 
 
+def _elements(text: str) -> list[str]:
+    """The documents of one file: the text itself, or each element's of a list; a broken list is one broken document."""
+    if not text.lstrip().startswith("["):
+        return [text]
+    out, scan, at = [], json.JSONDecoder(), text.index("[") + 1
+    try:
+        while text[at:].lstrip()[:1] != "]" or out and text[:at].rstrip().endswith(","):
+            at = len(text) - len(text[at:].lstrip())
+            end = scan.raw_decode(text, at)[1]
+            out.append(text[at:end])
+            at = len(text) - len(text[end:].lstrip())
+            if text[at] == "]":
+                break
+            if text[at] != ",":
+                return [text]
+            at += 1
+    except (ValueError, IndexError):
+        return [text]
+    return out
+
+
+def _file_system(path: str):
+    """(file system, root) of a path, None if pyarrow does not know its scheme."""
+    from pyarrow import fs
+    try:
+        return fs.FileSystem.from_uri(path)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return None
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame | None:
+    """(path, file_name, value): the texts of all ``*.json`` files under a folder, however many there are.
+
+    Spark's reader lists and plans every file on the driver. Here tasks do: one
+    lists the folder, others its sub-folders, and the names are dealt evenly to
+    those that read. None where only Spark knows the path's file system."""
+    if _file_system(path) is None:
+        return None
+
+    def listed(batches):
+        from pyarrow import fs
+        where, _ = _file_system(path)
+        for batch in batches:
+            names, folders = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            found = [(n, f) for n, f in zip(names, folders) if not f]
+            for n in (n for n, f in zip(names, folders) if f):
+                for x in where.get_file_info(fs.FileSelector(n)):
+                    folder = x.type == fs.FileType.Directory
+                    if x.base_name[:1] not in "._" and (folder or x.base_name.endswith(".json")):
+                        found.append((x.path, folder))
+            for i in range(0, len(found), 10_000):
+                names, folders = zip(*found[i:i + 10_000])
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(folders, pa.bool_())], names=["path", "folder"])
+
+    def deep(batches):
+        for batch in batches:
+            todo = [batch]
+            while todo:
+                for out in listed([todo.pop()]):
+                    files = out.filter(pa.compute.invert(out.column(1)))
+                    if files.num_rows:
+                        yield files
+                    if files.num_rows < out.num_rows:
+                        todo.append(out.filter(out.column(1)))
+
+    def texts(batches):
+        where, _ = _file_system(path)
+        schema = pa.schema([("path", pa.string()), ("file_name", pa.string()), ("value", pa.string())])
+        for batch in batches:
+            rows, size = [], 0
+            for name in batch.column(0).to_pylist():
+                with where.open_input_stream(name) as f:
+                    raw = f.read()
+                for text in _elements(raw.decode(json.detect_encoding(raw), errors="replace")):
+                    rows.append((name, name.rsplit("/", 1)[-1], text))
+                    size += len(text)
+                if size > 8 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in zip(*rows)], schema=schema)
+                    rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in zip(*rows)], schema=schema)
+
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    names = "path string, folder boolean"
+    return (spark.createDataFrame([(_file_system(path)[1], True)], names).coalesce(1).mapInArrow(listed, names)
+            .repartition(n).mapInArrow(deep, names).repartition(n).mapInArrow(texts, "path string, file_name string, value string"))
+
+
 def read_documents(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
     """All documents under ``path`` as rows: doc_key, kind ('detail'|'timeline'),
-    file_name, arrival, metadata, info, _corrupt_record. One scan with the union schema."""
-    reader = (spark.read.schema(DOC_SCHEMA).option("mode", "PERMISSIVE")
-              .option("columnNameOfCorruptRecord", "_corrupt_record"))
+    file_name, arrival, metadata, info, _corrupt_record."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    reader = spark.read.schema(DOC_SCHEMA).options(**options)
+    files = read_files(spark, path) if layout == "files" else None
+    if files is not None:
+        doc = F.from_json("value", DOC_SCHEMA, options)
+        found = files.select("path", "file_name", doc.alias("doc")).where("doc IS NOT NULL")
+        return with_arrival(found.select(*_key_and_kind(F.col("file_name")), "file_name", "path",
+                                         F.lit(0).cast("long").alias("block"), "doc.*"))
     if layout == "files":
         raw = reader.option("multiLine", True).option("pathGlobFilter", "*.json").json(path)
     else:
@@ -150,7 +253,8 @@ def pair_documents(docs: DataFrame, player: str | Column, rival_position: str =
     rejected, never read for somebody else. EVERY makes a row for each player of
     a document; its session id is then the document's with the player's behind it,
     so that every table, window and join keeps its one key. Frames and events of a
-    timeline are parsed once, before its players are told apart.
+    timeline are parsed once: before its players are told apart, else after the
+    pairing, of usable documents only.
 
     * malformed JSON, missing required fields, player absent, participant id
       absent, frames not a list  -> quarantine with a reason;
@@ -171,7 +275,8 @@ def pair_documents(docs: DataFrame, player: str | Column, rival_position: str =
     timelines = _first(docs.where(F.col("kind") == "timeline").select(
         "doc_key", "arrival", F.col("info.frames").alias("frames"), t_bad.alias("_t_corrupt"),
         F.col("file_name").alias("timeline_file")), "doc_key")
-    timelines = parse_frames(timelines)
+    if every:
+        timelines = parse_frames(timelines)
     d = details.withColumn("_people", parsed_each(F.col("info.participants"), PARTICIPANT))
     match_id = F.col("metadata.matchId")
     if every:
@@ -203,6 +308,8 @@ def pair_documents(docs: DataFrame, player: str | Column, rival_position: str =
     t_reason = (F.when(F.col("timeline_file").isNull(), F.lit("timeline missing"))
                 .when(F.col("_t_corrupt"), F.lit("malformed timeline")))
     joined = joined.withColumn("_reason", F.coalesce(F.col("_reason"), t_reason))
+    if not every:       # a document that is rejected needs no frames
+        joined = parse_frames(joined.withColumn("frames", F.when(F.col("_reason").isNull(), F.col("frames"))))
     orphans = timelines.join(details.select("doc_key"), "doc_key", "left_anti").select("doc_key", "timeline_file")
     return {"joined": joined, **split_pairs(joined), "orphans": orphans}
 
