@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from playline.functions.scalars import micros_since
 from playline.operators.sequence import number_rows
 from playline.schemas import INCIDENTS_SCHEMA, TICKS_SCHEMA, conform, sessions_schema
-from playline.session import cut_lineage
 
 # Adapter geometry.
 EPOCH = "2024-01-01 00:00:00"
@@ -101,13 +100,10 @@ def _tick_parts(ev: DataFrame) -> DataFrame:
     Pre-aggregating here (map-side combine) bounds every later window to at
     most 20 rows per session, however many events one user produces.
     """
-    last_key = F.struct(F.col("ts"), F.col("event_id"))
-    ne = ~F.col("is_err")
     return ev.groupBy("match_id", "tick").agg(
         F.sum("cents").alias("t_gold"), F.count(F.lit(1)).alias("t_n"),
         F.count_if(F.col("is_cs")).alias("t_cs"), F.count_if(F.col("is_kill")).alias("t_kills"),
-        F.max(F.when(ne, last_key)).alias("last_ne"),
-        F.max_by(F.struct("k", "event_id", "user_id"), F.when(ne, last_key)).alias("last_ne_row"))
+        F.max(F.when(~F.col("is_err"), F.struct("ts", "event_id", "k", "user_id"))).alias("last"))
 
 
 def ticks(events: DataFrame) -> DataFrame:
@@ -115,32 +111,31 @@ def ticks(events: DataFrame) -> DataFrame:
 
     Running totals count every event (errors included); error events after a
     tick's last non-error event are subtracted again (gold, xp only - errors
-    carry no cs or kills).
+    carry no cs or kills). Parts meet these errors where the first aggregate has
+    put them, by session and tick; only the window by session moves them again.
     """
     ev = event_frame(events)
-    parts = cut_lineage(_tick_parts(ev))      # read twice, aggregated once
-    trailing = (ev.where("is_err").select("match_id", "tick", "ts", "event_id", "cents")
-                .join(parts.select("match_id", "tick", "last_ne"), ["match_id", "tick"])
-                .where(F.col("last_ne").isNotNull()
-                       & (F.struct(F.col("ts"), F.col("event_id")) > F.col("last_ne")))
-                .groupBy("match_id", "tick")
-                .agg(F.sum("cents").alias("x_gold"), F.count(F.lit(1)).alias("x_n")))
+    parts = _tick_parts(ev)
+    errors = ev.where("is_err").select("match_id", "tick", F.struct("ts", "event_id").alias("at"), "cents")
+    late = F.col("at") > F.struct("last.ts", "last.event_id")
+    hidden = F.col("last.user_id") % 5 == 0
+    met = parts.join(errors, ["match_id", "tick"], "left").groupBy(*parts.columns).agg(
+        F.sum(F.when(late, F.col("cents"))).alias("x_gold"), F.count_if(late).alias("x_n"))
     w = Window.partitionBy("match_id").orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)
-    run = (parts.join(trailing, ["match_id", "tick"], "left")
+    run = (met.select("match_id", "tick", "t_gold", "t_n", "t_cs", "t_kills", "x_gold", "x_n", F.col("last").isNotNull().alias("shown"),
+                      F.when(~hidden, F.col("last.k") * POSITION_SCALE).alias("position_x"),
+                      F.when(~hidden, ((F.col("last.event_id") * 37) % 100) * POSITION_SCALE).alias("position_y"))
            .withColumn("c_gold", F.sum("t_gold").over(w))
            .withColumn("c_n", F.sum("t_n").over(w))
            .withColumn("c_cs", F.sum("t_cs").over(w))
            .withColumn("c_kills", F.sum("t_kills").over(w))
-           .where(F.col("last_ne").isNotNull()))
-    hidden = F.col("last_ne_row.user_id") % 5 == 0
+           .where("shown"))
     out = run.select(
         "match_id", F.col("tick").alias("timestamp_min"),
         (F.col("c_gold") - F.coalesce("x_gold", F.lit(0))).alias("gold"),
         F.col("c_cs").alias("cs"),
-        (F.col("c_n") - F.coalesce("x_n", F.lit(0))).alias("xp"),
-        F.col("c_kills").alias("kills"),
-        F.when(~hidden, F.col("last_ne_row.k") * POSITION_SCALE).alias("position_x"),
-        F.when(~hidden, ((F.col("last_ne_row.event_id") * 37) % 100) * POSITION_SCALE).alias("position_y"))
+        (F.col("c_n") - F.col("x_n")).alias("xp"),
+        F.col("c_kills").alias("kills"), "position_x", "position_y")
     return conform(out, TICKS_SCHEMA)
 
 
