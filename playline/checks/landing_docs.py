@@ -48,7 +48,9 @@ def detail_documents(sessions: DataFrame) -> DataFrame:
     second = F.when(rival.isNotNull(), F.struct(
         F.lit("second").alias("puuid"), F.lit(4).alias("participantId"), rival["teamId"].alias("teamId"),
         F.lit(RIVAL_POSITION).alias("teamPosition"), *[none.alias(n) for n in PARTICIPANT.fieldNames()[4:]]).cast(PARTICIPANT))
-    people = F.concat(F.array(bystander), F.array_compact(F.array(rival, second)), F.array(_own()))
+    # a column: two places of the document read it
+    sessions = sessions.withColumn("_people", F.concat(F.array(bystander), F.array_compact(F.array(rival, second)), F.array(_own())))
+    people = F.col("_people")
     doc = F.struct(
         F.struct(F.col("match_id").alias("matchId"),
                  F.transform(people, lambda p: p["puuid"]).alias("participants")).alias("metadata"),

@@ -82,6 +82,37 @@ def parsed(text: Column, schema: T.StructType) -> Column:
     return F.when(F.ltrim(text).startswith("{"), F.from_json(text, _loose(schema)).cast(schema))
 
 
+# A frame with its snapshots and events as objects, whole numbers as doubles.
+WHOLE_FRAME = T.StructType([
+    T.StructField("timestamp", _D), T.StructField("participantFrames", T.MapType(_S, _loose(PARTICIPANT_FRAME))),
+    T.StructField("events", T.ArrayType(_loose(EVENT)))])
+
+
+def loose_part(text: Column, schema: T.StructType) -> Column:
+    return F.when(F.ltrim(text).startswith("{"), F.from_json(text, _loose(schema)))
+
+
+def frame_by_parts(text: Column) -> Column:
+    """A frame whose parts are parsed each on its own: a stray snapshot or event is NULL."""
+    frame = F.from_json(text, RAW_FRAME)
+    return F.when(F.ltrim(text).startswith("{"), F.struct(
+        frame.timestamp.alias("timestamp"),
+        F.transform_values(frame.participantFrames, lambda _, x: loose_part(x, PARTICIPANT_FRAME)).alias("participantFrames"),
+        F.transform(frame.events, lambda x: loose_part(x, EVENT)).alias("events")))
+
+
+def with_objects(df: DataFrame, texts: str, out: str, schema: T.StructType, by_parts) -> DataFrame:
+    """Add ``out``: the elements of ``texts`` as objects, parsed in one go for a row whose elements all
+    fit ``schema``; the elements of any other row are parsed each on its own by ``by_parts``."""
+    made = T.StructType([T.StructField("each", T.ArrayType(schema)), T.StructField("_corrupt_record", _S)])
+    one = F.concat(F.lit('{"each":['), F.array_join(texts, ","), F.lit("]}"))
+    whole = F.when(F.forall(texts, lambda x: F.ltrim(x).startswith("{")),
+                   F.from_json(one, made, {"columnNameOfCorruptRecord": "_corrupt_record"}))
+    fits = F.col("_whole").isNotNull() & F.col("_whole._corrupt_record").isNull() & (F.size("_whole.each") == F.size(texts))
+    return (df.withColumn("_whole", whole)
+            .withColumn(out, F.when(fits, F.col("_whole.each")).otherwise(F.transform(texts, by_parts))).drop("_whole"))
+
+
 def parsed_each(texts: Column, schema: T.StructType) -> Column:
     return F.filter(F.transform(F.coalesce(texts, F.array().cast(TEXTS)), lambda x: parsed(x, schema)),
                     lambda x: x.isNotNull())
@@ -216,9 +247,14 @@ def read_documents(spark: SparkSession, path: str, layout: str = "lines") -> Dat
                                          F.lit(0).cast("long").alias("block"), "doc.*"))
     if layout == "files":
         raw = reader.option("multiLine", True).option("pathGlobFilter", "*.json").json(path)
-    else:
-        raw = reader.option("recursiveFileLookup", True).json([f"{path.rstrip('/')}/detail", f"{path.rstrip('/')}/timeline"])
-    return with_arrival(raw.select(*document_columns(raw, layout), "metadata", "info", "_corrupt_record"))
+        return with_arrival(raw.select(*document_columns(raw, layout), "metadata", "info", "_corrupt_record"))
+    # a scan for each kind: who asks for one kind does not parse the other
+    sides = []
+    for kind in ("detail", "timeline"):
+        raw = reader.option("recursiveFileLookup", True).json(f"{path.rstrip('/')}/{kind}")
+        columns = [F.lit(kind).alias("kind") if at == 1 else c for at, c in enumerate(document_columns(raw, layout))]
+        sides.append(with_arrival(raw.select(*columns, "metadata", "info", "_corrupt_record")))
+    return sides[0].unionByName(sides[1])
 
 
 # ---------------------------------------------------------------- S3/S4 ----
@@ -277,7 +313,9 @@ def pair_documents(docs: DataFrame, player: str | Column, rival_position: str =
         F.col("file_name").alias("timeline_file")), "doc_key")
     if every:
         timelines = parse_frames(timelines)
-    d = details.withColumn("_people", parsed_each(F.col("info.participants"), PARTICIPANT))
+    d = with_objects(details.withColumn("_texts", F.coalesce("info.participants", no_frames)), "_texts", "_people",
+                     _loose(PARTICIPANT), lambda x: loose_part(x, PARTICIPANT)).drop("_texts")
+    d = d.withColumn("_people", F.transform(F.filter("_people", lambda p: p.isNotNull()), lambda p: p.cast(PARTICIPANT)))
     match_id = F.col("metadata.matchId")
     if every:
         d = d.withColumn("own", F.explode_outer(seats(F.col("_people")))).withColumn("player", F.col("own.puuid"))
@@ -299,8 +337,8 @@ def pair_documents(docs: DataFrame, player: str | Column, rival_position: str =
         lambda p: (F.coalesce(p.teamId, F.lit(0)) != F.coalesce(F.col("own.teamId"), F.lit(0)))
         & (F.coalesce(F.nullif(p.individualPosition, F.lit("")), p.teamPosition) == rival_position)), F.lit(1))
     d = d.withColumn("_reason", reason).withColumn("_rival", rival)
-    # only what the three tables need goes on
-    d = d.select("doc_key", "file_name", "arrival", "player", "own", "_rival", "_reason",
+    # only what the three tables need goes on, of a rejected document its reason
+    d = d.select("doc_key", "file_name", "arrival", "player", *[F.when(F.col("_reason").isNull(), F.col(c)).alias(c) for c in ("own", "_rival")], "_reason",
                  match_id.alias("match_id"), F.col("info.gameCreation").cast("long").alias("created"),
                  F.col("info.gameVersion").alias("version"), F.col("info.gameDuration").cast("int").alias("duration"),
                  F.col("info.queueId").cast("int").alias("queue"))
@@ -359,10 +397,12 @@ def session_facts(pairs: DataFrame) -> DataFrame:
 
 def parse_frames(timelines: DataFrame) -> DataFrame:
     """``frames`` (texts) as ``_fr`` (time and snapshots by participant id) and ``_ev`` (events of each frame)."""
-    seen = F.transform("frames", lambda x: F.when(F.ltrim(x).startswith("{"), F.from_json(x, RAW_FRAME)))
-    events = F.transform("_fr", lambda f: parsed_each(f.events, EVENT))
+    none = F.array().cast(WHOLE_FRAME["events"].dataType)
+    events = F.transform("_fr", lambda f: F.transform(
+        F.filter(F.coalesce(f.events, none), lambda e: e.isNotNull()), lambda e: e.cast(EVENT)))
     kept = F.transform("_fr", lambda f: F.struct(f.timestamp.alias("timestamp"), f.participantFrames.alias("participantFrames")))
-    return (timelines.withColumn("_fr", F.filter(seen, lambda f: f.isNotNull())).withColumn("_ev", events)
+    return (with_objects(timelines, "frames", "_fr", WHOLE_FRAME, frame_by_parts)
+            .withColumn("_fr", F.filter("_fr", lambda f: f.isNotNull())).withColumn("_ev", events)
             .withColumn("_fr", kept).drop("frames"))
 
 
@@ -391,7 +431,7 @@ def with_snapshots(pairs: DataFrame, tick_ms: int = 60_000) -> DataFrame:
     snaps = F.filter(F.transform(zipped, lambda z, i: F.named_struct(
         F.lit("pos"), i,
         F.lit("tick"), F.floor(F.coalesce(z.f.timestamp.cast("long"), F.lit(0)) / F.lit(tick_ms)).cast("int"),
-        F.lit("pf"), parsed(F.try_element_at(z.f.participantFrames, key), PARTICIPANT_FRAME),
+        F.lit("pf"), F.try_element_at(z.f.participantFrames, key).cast(PARTICIPANT_FRAME),
         F.lit("kills"), z.k)), lambda s: s.pf.isNotNull())
     snap_type = "array<struct<pos:int,tick:int,pf:{},kills:int>>".format(PARTICIPANT_FRAME.simpleString())
     last = F.aggregate(F.col("_present"), F.array().cast(snap_type),
